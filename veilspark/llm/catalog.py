@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from veilspark.llm import mix, secrets, urls
+from veilspark.llm import mix, secrets, simhash, urls, vectors
 
 QUERIES = {
     "op1_pareto_mix": mix.op1_pareto_mix,
+    "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op6_url_filter": urls.op6_url_filter,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op1_pareto_mix": mix.ORACLE, "op6_url_filter": urls.ORACLE}
