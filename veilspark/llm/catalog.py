@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilspark.llm import mix, secrets, simhash, urls, vectors
+from veilspark.llm import mix, secrets, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_pareto_mix": mix.op1_pareto_mix,
     "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_token_counts": tokens.op4_token_counts,
     "op6_url_filter": urls.op6_url_filter,
     "op10_simhash": simhash.op10_simhash,
 }
