@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspark.llm import mix, secrets, simhash, tokens, urls, vectors
+from veilspark.llm import mix, packing, prefix, secrets, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_pareto_mix": mix.op1_pareto_mix,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_token_counts": tokens.op4_token_counts,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_sum_of_squares_pack": packing.op7_pack,
+    "op9_prefix_fingerprint": prefix.op9_prefix_fingerprint,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op1_pareto_mix": mix.ORACLE, "op6_url_filter": urls.ORACLE}
