@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspark.llm import mix, packing, prefix, secrets, simhash, tokens, urls, vectors
+from veilspark.llm import mix, packing, pii, prefix, secrets, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_pareto_mix": mix.op1_pareto_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
     "op6_url_filter": urls.op6_url_filter,
     "op7_sum_of_squares_pack": packing.op7_pack,
+    "op8_pii_tagger": pii.op8_pii,
     "op9_prefix_fingerprint": prefix.op9_prefix_fingerprint,
     "op10_simhash": simhash.op10_simhash,
 }
