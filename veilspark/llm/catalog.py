@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veilspark.llm import mix, packing, pii, prefix, secrets, simhash, tokens, urls, vectors
+from veilspark.llm import mix, packing, pii, prefix, quality, secrets, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_pareto_mix": mix.op1_pareto_mix,
     "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_quality": quality.op5_quality,
     "op6_url_filter": urls.op6_url_filter,
     "op7_sum_of_squares_pack": packing.op7_pack,
     "op8_pii_tagger": pii.op8_pii,
