@@ -124,6 +124,30 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(of, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
 
 
+#: Ids up to this many are sent to every executor; more are joined by shuffling.
+BROADCAST_IDS = 1 << 20
+
+
+def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, with one of each group of near duplicates: that of the smallest doc_id, once.
+
+    Rows without a doc_id can't stand for a group; of those only exact copies of one another go.
+    """
+    near = stash(near_duplicates(docs, distance).select("doc_id", "component_id"), "near").where("doc_id is not null")
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    again = near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        ids = stash(ids, "ids")
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    gone, again = sized(gone), sized(again)
+    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    once = left.where("doc_id is not null").join(again, F.col("doc_id") == F.col("again"), "left_anti")
+    twice = left.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionAll(twice).unionAll(left.where("doc_id is null").dropDuplicates(["text"]))
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
