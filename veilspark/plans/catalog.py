@@ -1,4 +1,538 @@
 """Queries over the engine's own operators, with DuckDB SQL for each that SQL can express."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions.kinds import PATTERN, kind_table
+from veilspark.functions.text import ascii_digits, ipv4_valid, luhn_valid, pesel_valid, saturating_multiply
+from veilspark.operators import buffer, bursts, detect, gate, phrases, screen
+from veilspark.operators import settings as prefs
+from veilspark.plans import oracle
+from veilspark.session import ship_package
+from veilspark.sources.texts import input_error
+from veilspark.streaming import live
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Phrases searched for by the phrase queries.
+PHRASES = ("thtion", "Élle")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+DOCS = "select doc_id as id, text as t from documents"
+
+
+def _doc_spans(t, kinds=tuple(PATTERN), phr=(), validate=True):
+    df = detect.with_candidates(t("documents").select("doc_id", "text"), "text", kinds, phr, validate)
+    return detect.spans(df, "doc_id", "candidates")
+
+
+def _candidates(kind: str, validate: bool):
+    name = f"q_{kind}_{'valid' if validate else 'matches'}"
+
+    def f(t):
+        return _doc_spans(t, (kind,), validate=validate)
+
+    f.__name__ = name
+    query(f"with src as ({DOCS}) select id as doc_id, \"start\", \"end\", kind, value from ({oracle.candidates_sql('src', (kind,), valid=validate)}) as c")(f)
+
+
+for _kind in PATTERN:
+    _candidates(_kind, False)
+for _kind in ("card", "ip"):
+    _candidates(_kind, True)
+
+DET = f"with recursive {oracle.detections_ctes(DOCS)}"
+
+
+def _detected(t, table="documents", key="doc_id", text="text", **options):
+    return detect.with_detections(t(table).select(key, text), text, **options)
+
+
+@query(f'{DET} select id as doc_id, "start", "end", kind, value from det')
+def q_detections(t):
+    return detect.spans(_detected(t), "doc_id")
+
+
+@query("with recursive " + oracle.detections_ctes("select page_id as id, html as t from pages") + ' select id as page_id, "start", "end", kind, value from det')
+def q_page_detections(t):
+    return detect.spans(_detected(t, "pages", "page_id", "html"), "page_id")
+
+
+@query("with recursive " + oracle.detections_ctes("select conv_id * 1000 + turn as id, text as t from conversations") + ' select id as turn_id, "start", "end", kind, value from det')
+def q_conversation_detections(t):
+    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return detect.spans(detect.with_detections(turns, "text"), "turn_id")
+
+
+@query(f"{DET} select kind, count(*) as n, count(distinct id) as docs from det group by kind")
+def q_kind_counts(t):
+    return detect.spans(_detected(t), "doc_id").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"{DET} select d.source, array_to_string(list_sort(list(distinct case kind when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' when 'ip' then 'IP address' end)), ', ') as kinds, count(*) as n from det join documents d on d.doc_id = det.id group by d.source")
+def q_kinds_per_source(t):
+    df = detect.with_detections(t("documents").select("source", "text"), "text")
+    rows = df.select("source", F.explode_outer("detections.kind").alias("kind")).where("kind is not null")
+    return rows.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(detect.label(F.col("kind")))), ", ").alias("kinds"), F.count("*").alias("n"))
+
+
+@query(f"{DET} select lang, count(*) as docs, count(*) filter (doc_id in (select id from det)) as with_pii from documents group by lang")
+def q_docs_with_pii(t):
+    df = detect.with_detections(t("documents").select("lang", "text"), "text")
+    return df.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.size("detections") > 0).alias("with_pii"))
+
+
+@query("with recursive " + oracle.detections_ctes(DOCS, ("email", "ip")) + ' select id as doc_id, "start", "end", kind, value from det')
+def q_kind_filter(t):
+    return detect.spans(_detected(t, kinds=("email", "ip")), "doc_id")
+
+
+@query("select * from (values ('email', 'Email', 3), ('phone', 'Phone number', 1), ('card', 'Payment card', 5), ('pesel', 'Polish PESEL', 4), ('ip', 'IP address', 2), ('custom', 'Custom phrase', 6)) v(kind, label, priority)")
+def q_priority_dim(t):
+    return kind_table(SparkSession.active())
+
+
+@query("with recursive " + oracle.detections_ctes(DOCS, phrases=PHRASES) + ' select id as doc_id, "start", "end", kind, value from det')
+def q_phrase_detections(t):
+    return detect.spans(_detected(t, phrases=PHRASES), "doc_id")
+
+
+@query(f"with src as ({DOCS}) select id as doc_id, count(*) as n from ({oracle.candidates_sql('src', (), PHRASES)}) as c group by id")
+def q_phrase_hits(t):
+    return _doc_spans(t, ("custom",), PHRASES).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""{DET} select doc_id, coalesce(r.out, text) as redacted from documents left join (
+    select id, (string_agg(gap || '[' || kind || ']', '' order by "start")) || max_by(tail, "start") as out from (
+        select det.*, d.text[coalesce(lag("end") over (partition by id order by "start"), 0) + 1:"start"] as gap, d.text["end" + 1:] as tail from det join documents d on d.doc_id = det.id)
+    group by id) r on r.id = doc_id""")
+def q_redacted_text(t):
+    return _detected(t).select("doc_id", detect.redacted(_detected(t), "text").alias("redacted"))
+
+
+@query(f"""{DET} select doc_id, coalesce(row_number() over (partition by doc_id order by "start") - 1, 0) as line_no,
+    coalesce(case kind when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' when 'ip' then 'IP address' end
+    || ' at characters ' || "start" || '-' || "end", 'No supported PII detected') as line from documents left join det on det.id = doc_id""")
+def q_report_lines(t):
+    return detect.report(_detected(t), "doc_id")
+
+
+@query("select doc_id, octet_length(encode(text)) as n_bytes, case when octet_length(encode(text)) > 20000 then 'too large' end as error from documents")
+def q_input_guard(t):
+    raw = F.col("text").cast("binary")
+    return t("documents").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), input_error(raw, 20_000).alias("error"))
+
+
+@query(f"with d as (select o_orderkey, lpad(((o_orderkey * 7919 + 44051401458) % 100000000000)::varchar, 11, '0') as v from orders) select o_orderkey, v as digits, {oracle.pesel('v')} as valid from d")
+def q_pesel_valid(t):
+    d = F.lpad(((F.col("o_orderkey") * 7919 + 44051401458) % 100000000000).cast("string"), 11, "0")
+    return t("orders").select("o_orderkey", d.alias("digits")).withColumn("valid", pesel_valid(F.col("digits")))
+
+
+@query(f"with d as (select o_orderkey, lpad((o_orderkey * 982451653 % 10000000000000000)::varchar, 16, '4') as v from orders) select o_orderkey, {oracle.luhn('v')} as valid from d")
+def q_luhn_valid(t):
+    d = F.lpad((F.col("o_orderkey") * 982451653 % 10000000000000000).cast("string"), 16, "4")
+    return t("orders").select("o_orderkey", luhn_valid(ascii_digits(d)).alias("valid"))
+
+
+@query("select p_partkey, (p_partkey % 300) || '.' || (p_size % 7) || '.0' || (p_partkey % 11) || '.' || (p_size * 6) as value, p_partkey % 300 <= 255 and p_size * 6 <= 255 as valid from part")
+def q_ipv4_valid(t):
+    v = F.concat_ws(".", (F.col("p_partkey") % 300).cast("string"), (F.col("p_size") % 7).cast("string"), F.concat(F.lit("0"), (F.col("p_partkey") % 11).cast("string")), (F.col("p_size") * 6).cast("string"))
+    return t("part").select("p_partkey", v.alias("value"), ipv4_valid(v).alias("valid"))
+
+
+# phrase dictionary: lists of three phrases made of names
+_LIST = "[n_name, lower(n_name) || 'é', 'Café ' || n_nationkey]"
+
+
+def _phrase_list():
+    return F.array(F.col("n_name"), F.concat(F.lower("n_name"), F.lit("é")), F.concat(F.lit("Café "), F.col("n_nationkey").cast("string")))
+
+
+@query("select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on lower(strip_accents(substr(a.n_name, 1, 1) || 'É')) = lower(strip_accents(lower(substr(b.n_name, 1, 1)) || 'e'))")
+def q_phrase_equiv(t):
+    from veilspark.functions.text import fold_away
+
+    n = t("nation")
+    a = n.select(F.col("n_nationkey").alias("a"), fold_away(F.concat(F.substring("n_name", 1, 1), F.lit("É"))).alias("k"))
+    b = n.select(F.col("n_nationkey").alias("b"), fold_away(F.concat(F.lower(F.substring("n_name", 1, 1)), F.lit("e"))).alias("k"))
+    return a.join(b, "k").select("a", "b")
+
+
+@query(f"""with x as (select n_nationkey, {_LIST} as l, case n_nationkey % 4 when 0 then '  ' when 1 then ' ' || lower(n_name) || ' ' when 2 then 'CAFE ' || n_nationkey else 'new ' || n_name end as raw from nation),
+    y as (select *, trim(raw) as w from x)
+    select n_nationkey, case when w = '' then 'unchanged' when list_bool_or(list_transform(l, lambda p: lower(strip_accents(p)) = lower(strip_accents(w)))) then 'duplicate' else 'changed' end as status,
+    array_to_string(case when w = '' or list_bool_or(list_transform(l, lambda p: lower(strip_accents(p)) = lower(strip_accents(w)))) then l else list_append(l, w) end, '|') as phrases from y""")
+def q_phrase_add(t):
+    k = F.col("n_nationkey") % 4
+    raw = F.when(k == 0, F.lit("  ")).when(k == 1, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).when(k == 2, F.concat(F.lit("CAFE "), F.col("n_nationkey").cast("string"))).otherwise(F.concat(F.lit("new "), F.col("n_name")))
+    out = t("nation").select("n_nationkey", phrases.edited(_phrase_list(), raw).alias("x"))
+    return out.select("n_nationkey", "x.status", F.array_join("x.phrases", "|").alias("phrases"))
+
+
+@query(f"""with x as (select n_nationkey, {_LIST} as l, (n_nationkey % 5 - 1)::int as i, case n_nationkey % 3 when 0 then upper(n_name) when 1 then 'CAFE ' || n_nationkey else ' other ' end as raw from nation), y as (select *, trim(raw) as w from x),
+    z as (select *, case when i < 0 or i > 2 then 'unchanged' when list_bool_or(list_transform(l, lambda p, j: j <> i + 1 and lower(strip_accents(p)) = lower(strip_accents(w)))) then 'duplicate' when l[i + 1] = w then 'unchanged' else 'changed' end as status from y)
+    select n_nationkey, status, array_to_string(case when status = 'changed' then list_transform(l, lambda p, j: case when j = i + 1 then w else p end) else l end, '|') as phrases from z""")
+def q_phrase_edit(t):
+    k = F.col("n_nationkey") % 3
+    raw = F.when(k == 0, F.upper("n_name")).when(k == 1, F.concat(F.lit("CAFE "), F.col("n_nationkey").cast("string"))).otherwise(F.lit(" other "))
+    out = t("nation").select("n_nationkey", phrases.edited(_phrase_list(), raw, (F.col("n_nationkey") % 5 - 1).cast("int")).alias("x"))
+    return out.select("n_nationkey", "x.status", F.array_join("x.phrases", "|").alias("phrases"))
+
+
+@query(f"with x as (select n_nationkey, {_LIST} as l, n_nationkey % 5 - 1 as i from nation) select n_nationkey, array_to_string(list_filter(l, lambda p, j: j <> i + 1), '|') as phrases from x")
+def q_phrase_remove(t):
+    return t("nation").select("n_nationkey", F.array_join(phrases.removed(_phrase_list(), (F.col("n_nationkey") % 5 - 1).cast("int")), "|").alias("phrases"))
+
+
+# snapshots: windows and applications made of part keys, elements of conversations and documents
+WIN = "select p_partkey % 40 as snapshot_id, (p_partkey // 40) as z_order, p_partkey % 7 as pid, (p_partkey * 7 % 1920)::double as x, (p_partkey * 11 % 1080)::double as y, (p_size % 40)::double as w, p_size::double as h from part"
+APPS = "select s as snapshot_id, p as pid, 'app' || p as name, case when p = 5 then 'prohibited' else 'regular' end as policy, (s + p) % 6 = 0 as hidden from range(40) a(s), range(7) b(p)"
+BOUNDS = "0.0 as bx, 0.0 as by_, 1280.0 as bw, 720.0 as bh"
+HIT = "x < 1280 and 0 < x + w and y < 720 and 0 < y + h"
+CAPTURED = f"""win as ({WIN}), apps as ({APPS}),
+    ok as (select win.*, name from win join apps using (snapshot_id, pid) where w > 1 and h > 1 and pid <> 3 and policy <> 'prohibited' and not hidden and {HIT}),
+    firsts as (select snapshot_id, pid, min_by(name, z_order) as name, min(z_order) as z from ok group by 1, 2),
+    captured as (select snapshot_id, pid, name, row_number() over (partition by snapshot_id order by z, pid) as app_ord from firsts)"""
+
+
+def _windows(t):
+    k = F.col("p_partkey")
+    return t("part").select((k % 40).alias("snapshot_id"), F.call_function("div", k, F.lit(40)).alias("z_order"), (k % 7).alias("pid"), (k * 7 % 1920).cast("double").alias("x"), (k * 11 % 1080).cast("double").alias("y"), (F.col("p_size") % 40).cast("double").alias("w"), F.col("p_size").cast("double").alias("h"))
+
+
+def _apps():
+    s, p = F.col("snapshot_id"), F.col("pid")
+    rows = SparkSession.active().range(280).select(F.call_function("div", F.col("id"), F.lit(7)).alias("snapshot_id"), (F.col("id") % 7).alias("pid"))
+    return rows.select(s, p, F.concat(F.lit("app"), p.cast("string")).alias("name"), F.when(p == 5, "prohibited").otherwise("regular").alias("policy"), ((s + p) % 6 == 0).alias("hidden"))
+
+
+def _scans():
+    s = F.col("id")
+    return SparkSession.active().range(40).select(s.alias("snapshot_id"), (s % 13 != 0).alias("trusted"), F.lit(3).cast("long").alias("own_pid"), F.when(s % 11 != 5, F.lit(0.0)).alias("bx"), F.lit(0.0).alias("by"), F.lit(1280.0).alias("bw"), F.lit(720.0).alias("bh"))
+
+
+@query(f"with win as ({WIN}) select snapshot_id, z_order, pid from win where w > 1 and h > 1 and pid <> 3")
+def q_window_filter(t):
+    return _windows(t).where("w > 1 and h > 1 and pid <> 3").select("snapshot_id", "z_order", "pid")
+
+
+@query(f"with win as ({WIN}) select snapshot_id, z_order, pid, x, y from win where {HIT}")
+def q_viewport_join(t):
+    w = _windows(t)
+    box = F.broadcast(SparkSession.active().range(1).select(F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(1280.0).alias("bw"), F.lit(720.0).alias("bh")))  # one row
+    return w.join(box, screen.intersects(*map(F.col, ("x", "y", "w", "h", "bx", "by", "bw", "bh")))).select("snapshot_id", "z_order", "pid", "x", "y")
+
+
+@query(f"with win as ({WIN}) select snapshot_id, pid, count(*) as n, count(*) > 4 as over_limit from win where {HIT} group by 1, 2")
+def q_window_cap(t):
+    n = _windows(t).join(F.broadcast(_scans().drop("own_pid").withColumn("bx", F.lit(0.0))), "snapshot_id").where(screen.intersects(*map(F.col, ("x", "y", "w", "h", "bx", "by", "bw", "bh"))))  # 40 rows
+    return n.groupBy("snapshot_id", "pid").agg(F.count("*").alias("n")).withColumn("over_limit", F.col("n") > screen.MAX_WINDOWS)
+
+
+@query(f"with {CAPTURED} select * from captured")
+def q_first_seen(t):
+    return screen.captured_apps(_windows(t), _apps(), _scans().withColumn("bx", F.lit(0.0)))
+
+
+TREE = """el as (select doc_id % 40 as snapshot_id, doc_id % 7 as pid, doc_id // 280 as window_id, doc_id as elem_id,
+    case when doc_id >= 280 and (doc_id // 280) % 2 = 1 and doc_id % 3 <> 0 then doc_id - 280 end as parent_id0, doc_id as child_pos, case when doc_id % 17 = 0 then false when doc_id % 5 = 0 then true end as visible,
+    text as value, source as title, case when doc_id % 4 = 0 then lang end as description,
+    case when doc_id % 97 = 0 then 'cannotComplete' when doc_id % 3 = 0 then 'noValue' end as err, (doc_id % 151)::double as elapsed_ms from documents)"""
+
+
+def _elements(t):
+    """Pairs of documents as small trees: odd hundreds hang below even ones of the same application and window."""
+    k = F.col("doc_id")
+    part = F.call_function("div", k, F.lit(280))
+    window = F.call_function("div", part, F.lit(2))
+    below = (part % 2 == 1) & (k % 3 != 0)
+    return t("documents").select(
+        (k % 40).alias("snapshot_id"), (k % 7).alias("pid"), window.alias("window_id"), k.alias("elem_id"), F.when(below, k - 280).alias("parent_id"), k.alias("child_pos"),
+        F.when(k % 17 == 0, False).when(k % 5 == 0, True).alias("visible"), F.col("text").alias("value"), F.col("source").alias("title"), F.when(k % 4 == 0, F.col("lang")).alias("description"),
+        F.when(k % 97 == 0, "cannotComplete").when(k % 3 == 0, "noValue").alias("err"), (k % 151).cast("double").alias("elapsed_ms"))
+
+
+TREE = TREE.replace("doc_id // 280 as window_id", "(doc_id // 280) // 2 as window_id").replace("case when doc_id >= 280 and (doc_id // 280) % 2 = 1 and doc_id % 3 <> 0 then doc_id - 280 end as parent_id0", "case when (doc_id // 280) % 2 = 1 and doc_id % 3 <> 0 then doc_id - 280 end as parent_id")
+REACHED = TREE + """, reached as (select el.*, [elem_id] as path from el where parent_id is null
+    union all select e.*, list_append(r.path, e.elem_id) from reached r join el e on e.parent_id = r.elem_id and e.snapshot_id = r.snapshot_id and e.pid = r.pid and e.window_id = r.window_id where coalesce(r.visible, true))"""
+
+
+@query(f"with recursive {REACHED} select snapshot_id, pid, window_id, elem_id, row_number() over (partition by snapshot_id, pid order by window_id, path) as visit from reached")
+def q_tree_walk(t):
+    from pyspark.sql import Window
+
+    r = screen.traversed(_elements(t))
+    order = Window.partitionBy("snapshot_id", "pid").orderBy("window_id", "path")
+    return r.select("snapshot_id", "pid", "window_id", "elem_id", F.row_number().over(order).cast("long").alias("visit"))
+
+
+@query(f"with {TREE} select * from (select elem_id, 0 as attr, value as text from el union all select elem_id, 1, title from el union all select elem_id, 2, description from el) where text is not null")
+def q_elements_unpivot(t):
+    return screen.element_texts(_elements(t)).select("elem_id", "attr", "text")
+
+
+@query(f"with {TREE} select snapshot_id, pid, count(distinct text) as texts from (select snapshot_id, pid, unnest([value, title, description]) as text from el) where text is not null group by 1, 2")
+def q_text_dedupe(t):
+    return screen.distinct_texts(screen.element_texts(_elements(t))).groupBy("snapshot_id", "pid").agg(F.count("*").alias("texts"))
+
+
+@query(f"""with recursive {REACHED} select snapshot_id, pid, count(*) as visited, bool_or(coalesce(elapsed_ms >= 150, false)) as timed_out,
+    bool_or(coalesce(visible, true) and (regexp_matches(coalesce(value, ''), '\\S') or regexp_matches(coalesce(title, ''), '\\S') or regexp_matches(coalesce(description, ''), '\\S'))) as readable,
+    bool_or(coalesce(visible, true) and (length(value) > 20000 or coalesce(err not in ('noValue', 'attributeUnsupported'), false))) or bool_or(coalesce(elapsed_ms >= 150, false)) or count(*) > 1500 as incomplete from reached group by 1, 2""")
+def q_limits(t):
+    return screen.incomplete(screen.traversed(_elements(t)))
+
+
+VERDICTS = f"""with recursive {CAPTURED}, {REACHED},
+    texts as (select distinct snapshot_id, pid, text from (select snapshot_id, pid, unnest([value, title, description]) as text from reached where coalesce(visible, true)) where text is not null),
+    num as (select *, row_number() over (order by snapshot_id, pid, text) as id from texts),
+    {oracle.detections_ctes("select id, text as t from num")},
+    hits as (select snapshot_id, pid, array_to_string(list_sort(list(distinct kind)), ', ') as kinds from det join num using (id) group by 1, 2),
+    lim as (select snapshot_id, pid, bool_or(coalesce(elapsed_ms >= 150, false)) as timed_out,
+        bool_or(coalesce(visible, true) and (length(value) > 20000 or coalesce(err not in ('noValue', 'attributeUnsupported'), false))) or bool_or(coalesce(elapsed_ms >= 150, false)) as incomplete,
+        bool_or(coalesce(visible, true) and (value is not null or title is not null)) as readable from reached group by 1, 2),
+    nwin as (select snapshot_id, pid, count(distinct window_id) as n from el group by 1, 2),
+    app_v as (select c.*, kinds, case when n is null then 'uncovered' when n > 4 then 'uncovered' when coalesce(incomplete, false) then 'inconclusive' when kinds is not null then 'detected' when not coalesce(readable, false) then 'uncovered' else 'scanned' end as status,
+        case when n is null then 'Accessibility unsupported in ' || name when n > 4 then 'Accessibility window limit exceeded in ' || name
+             when coalesce(incomplete, false) then case when timed_out then 'Accessibility scan timed out in ' else 'Accessibility scan incomplete in ' end || name
+             when kinds is null and not coalesce(readable, false) then 'No readable Accessibility text in ' || name end as reason
+        from captured c left join nwin using (snapshot_id, pid) left join lim using (snapshot_id, pid) left join hits using (snapshot_id, pid))"""
+
+
+def _app_verdicts(t):
+    scans, el = _scans(), _elements(t)
+    apps = screen.captured_apps(_windows(t), _apps(), scans.withColumn("bx", F.lit(0.0)))
+    win = el.select("snapshot_id", "pid", "window_id").distinct()
+    null = F.lit(None).cast("double")
+    on = screen.scanned_windows(win.withColumns({"x": null, "y": null, "w": null, "h": null}), scans)
+    return scans, screen.app_verdicts(apps, win, on, el)
+
+
+@query(f"{VERDICTS} select snapshot_id, pid, name, app_ord, status, reason, case when status = 'detected' then kinds end as kinds from app_v")
+def q_app_verdict(t):
+    return _app_verdicts(t)[1].withColumn("kinds", F.array_join("kinds", ", "))
+
+
+@query(f"""{VERDICTS}, s as (select range as snapshot_id, range % 13 <> 0 as trusted, range % 11 <> 5 as bounds from range(40)),
+    v as (select snapshot_id, min_by(status, app_ord) filter (status in ('inconclusive', 'detected')) as st, min_by(name, app_ord) filter (status in ('inconclusive', 'detected')) as nm, min(app_ord) filter (status in ('inconclusive', 'detected')) as o,
+        min_by(reason, app_ord) filter (status = 'uncovered') as failure, min_by(name, app_ord) filter (status = 'scanned') as one, count(*) filter (status = 'scanned') as k from app_v group by 1),
+    w as (select s.*, v.st, v.nm, v.failure, v.one, v.k, a.reason, a.kinds, case when not trusted then 'Accessibility permission required' when not bounds then 'Capture target unavailable' when v.snapshot_id is null then 'No supported app window on the captured display' end as early
+        from s left join v using (snapshot_id) left join app_v a on a.snapshot_id = s.snapshot_id and a.app_ord = v.o),
+    r as (select *, case when early is not null then 'inconclusive' when st is not null then st when failure is not null then 'inconclusive' else 'clean' end as status from w)
+    select snapshot_id, status, case status when 'detected' then nm when 'clean' then case when k = 1 then one else 'captured display' end end as app,
+    case when status = 'inconclusive' then coalesce(early, case when st is not null then reason else failure end) end as reason, case when status = 'detected' then kinds end as kinds from r""")
+def q_scan_verdict(t):
+    scans, apps = _app_verdicts(t)
+    return screen.snapshot_verdicts(scans, apps).withColumn("kinds", F.array_join("kinds", ", "))
+
+
+# gate streams: events of a user in order; hours stand for seconds
+EVENT = "case event_type when 'error' then 'detected' when 'purchase' then 'inconclusive' else 'clean' end"
+GATE = f"g as (select user_id, event_id, ts, {EVENT} as event from events)"
+RUNS = f"{GATE}, a as (select *, sum((event <> 'clean')::int) over (partition by user_id order by ts, event_id) as grp from g), runs as (select *, count(*) filter (event = 'clean') over (partition by user_id, grp order by ts, event_id) as run from a)"
+
+
+def _gate_events(t):
+    kind = F.when(F.col("event_type") == "error", "detected").when(F.col("event_type") == "purchase", "inconclusive").otherwise("clean")
+    return t("events").select("user_id", "event_id", "ts", kind.alias("event"))
+
+
+@query(f"with {GATE} select event_id // 3 as burst_id, coalesce(min_by(event_id, event_id) filter (event <> 'clean'), max(event_id)) as seq, coalesce(min_by(event, event_id) filter (event <> 'clean'), 'clean') as status from g group by 1")
+def q_burst_verdict(t):
+    e = _gate_events(t).withColumn("burst_id", F.call_function("div", F.col("event_id"), F.lit(3)))
+    return bursts.burst_verdicts(e, ["burst_id"], "event_id", "event")
+
+
+@query("select user_id, event_id, date_diff('hour', timestamp '2024-01-01', ts) // 24 as busy from events qualify row_number() over (partition by user_id, date_diff('hour', timestamp '2024-01-01', ts) // 24 order by event_id desc) = 1")
+def q_coalesce_latest(t):
+    busy = F.call_function("div", F.call_function("div", F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200, F.lit(3600)), F.lit(24))
+    return bursts.coalesced(t("events").select("user_id", "event_id", busy.alias("busy")), ["user_id"], "event_id", F.col("busy"))
+
+
+@query("with e as (select user_id, max(event_id % 5) as epoch from events group by 1) select event_id from events join e using (user_id) where event_id % 5 = epoch")
+def q_epoch_filter(t):
+    rows = t("events").select("user_id", "event_id", (F.col("event_id") % 5).alias("epoch"))
+    return bursts.current(rows, rows.groupBy("user_id").agg(F.max("epoch").alias("epoch")), ["user_id", "epoch"]).select("event_id")
+
+
+@query("with e as (select user_id, max(event_id % 5) as epoch from events group by 1) select event_id from events join e using (user_id) where event_id % 5 <> epoch")
+def q_epoch_cancelled(t):
+    rows = t("events").select("user_id", "event_id", (F.col("event_id") % 5).alias("epoch"))
+    return bursts.cancelled(rows, rows.groupBy("user_id").agg(F.max("epoch").alias("epoch")), ["user_id", "epoch"]).select("event_id")
+
+
+@query(f"with {RUNS} select user_id, event_id, run, run < 3 as is_blocked from runs")
+def q_gate_basic(t):
+    return gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3)).select("user_id", "event_id", "run", "is_blocked")
+
+
+@query(f"with {RUNS}, p as (select *, max(case when run = 2 then ts end) over (partition by user_id, grp order by ts, event_id) as passed from runs) select user_id, event_id, not coalesce(ts >= passed + interval 24 hours, false) as is_blocked from p")
+def q_gate_delay(t):
+    return gate.gate_delayed(_gate_events(t), "user_id", ["ts", "event_id"], "ts", F.lit(2), F.expr("interval 24 hours")).select("user_id", "event_id", "is_blocked")
+
+
+MANUAL = f"""with recursive {GATE.replace("else 'clean' end", "when 'login' then 'approve' else 'clean' end")}, o as (select *, row_number() over (partition by user_id order by event_id) as rn from g),
+    w as (select user_id, 0::bigint as rn, 0::bigint as event_id, true as blocked, 0::bigint as checks, false as manual, false as hit from (select distinct user_id from g)
+    union all select o.user_id, o.rn, o.event_id,
+        case when o.event in ('detected', 'inconclusive') then true when o.event = 'approve' then w.blocked and not w.manual when w.manual or not w.blocked then w.blocked when w.checks + 1 >= 2 then w.hit else true end,
+        case when o.event in ('detected', 'inconclusive') then 0 when o.event = 'approve' then case when w.manual then 0 else w.checks end when w.manual or not w.blocked then w.checks else w.checks + 1 end,
+        case when o.event in ('detected', 'inconclusive') then false when o.event = 'approve' then false when w.manual or not w.blocked then w.manual else w.checks + 1 >= 2 and w.hit end,
+        case when o.event = 'detected' then true when o.event = 'approve' then w.hit and not w.manual when o.event = 'clean' and w.blocked and not w.manual and w.checks + 1 >= 2 then w.hit else w.hit end
+    from w join o on o.user_id = w.user_id and o.rn = w.rn + 1)"""
+
+
+def _manual_events(t):
+    kind = F.when(F.col("event_type") == "error", "detected").when(F.col("event_type") == "purchase", "inconclusive").when(F.col("event_type") == "login", "approve").otherwise("clean")
+    return t("events").select("user_id", "event_id", kind.alias("event"), F.lit("PII detected").alias("reason"), F.lit(2).alias("required_checks"), F.lit(True).alias("requires_manual"), F.lit(False).alias("requires_delay"))
+
+
+@query(f"{MANUAL} select user_id, event_id, blocked as is_blocked, checks as clean_checks, manual as pending_manual from w where rn > 0")
+def q_gate_manual(t):
+    return gate.gate_states(_manual_events(t), "user_id", "event_id").select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
+
+
+@query(f"with {RUNS}, s as (select user_id, event_id, run < 3 as is_blocked, lag(run < 3, 1, true) over (partition by user_id order by ts, event_id) as was from runs) select user_id, event_id, is_blocked from s where is_blocked <> was")
+def q_gate_transitions(t):
+    states = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3))
+    return gate.transitions(states, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "is_blocked")
+
+
+@query("select m as mode, r::double as rate, case m when 'quick' then 3 when 'strict' then 10 else case when r < 10 then 5 else 10 end end as checks, m = 'safe' as manual from (values ('quick'), ('balanced'), ('strict'), ('safe')) a(m), (values (5), (10)) b(r)")
+def q_clear_mode(t):
+    spark = SparkSession.active()
+    m = spark.createDataFrame([(m, r) for m in prefs.CLEAR_MODES for r in (5.0, 10.0)], "mode string, rate double")
+    return m.select("mode", "rate", prefs.required_checks(F.col("mode"), F.col("rate")).alias("checks"), prefs.requires_manual(F.col("mode")).alias("manual"))
+
+
+@query("""with p as (select p_partkey, (p_partkey * 37 % 4000)::bigint as w, (p_size * 50)::bigint as h, (p_size % 12)::double as d, (p_partkey % 61)::bigint as f from part),
+    q as (select p_partkey, greatest(w, 1) * greatest(h, 1) * 4 as size, d, greatest(f, 1) as f from p), r as (select *, least(greatest(1, ceil(d * f)::bigint), case when size > 268435456 then 1 else greatest(1, 268435456 // size) end) as n from q)
+    select p_partkey, size as bytes_per_frame, n as max_frames, greatest(1.0::double / f, d / n) as sample_interval, size * n as max_bytes from r""")
+def q_buffer_policy(t):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return t("part").select("p_partkey", buffer.buffer_policy(k * 37 % 4000, s * 50, s % 12, k % 61).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""select n as resolution, d::double as delay, least(greatest(1, ceil(d * 30)::bigint), 268435456 // (w * h * 4)) as max_frames, greatest(2000000, w * h * 3)::bigint as bitrate
+    from (values ('p720', 1280::bigint, 720::bigint), ('p1080', 1920, 1080), ('p1440', 2560, 1440)) a(n, w, h), (values (1), (2), (3), (5), (10)) b(d)""")
+def q_resolution_policy(t):
+    rows = SparkSession.active().createDataFrame([(r[0], float(d)) for r in prefs.RESOLUTIONS for d in (1, 2, 3, 5, 10)], "resolution string, delay double")
+    rows = rows.withColumn("r", prefs.resolution(F.col("resolution")))
+    policy = buffer.buffer_policy(F.col("r.width"), F.col("r.height"), F.col("delay"), F.lit(30))
+    return rows.select("resolution", "delay", policy["max_frames"].alias("max_frames"), buffer.bitrate(F.col("r.width"), F.col("r.height")).cast("long").alias("bitrate"))
+
+
+@query("select p_partkey, case when p_partkey::hugeint * 9000000000000000 > 9223372036854775807 then 9223372036854775807 else (p_partkey::hugeint * 9000000000000000)::bigint end as product from part")
+def q_saturating_multiply(t):
+    return t("part").select("p_partkey", saturating_multiply(F.col("p_partkey").cast("long"), F.lit(9000000000000000)).alias("product"))
+
+
+FRAMES = """with recursive f as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rn, (event_id * 7 % 1000 + event_id // 1000 * 1000 + row_number() over (partition by user_id order by event_id) * 10000)::double as ts from events),
+    b as (select user_id, 0::bigint as rn, 0::bigint as event_id, []::struct(r double, id bigint)[] as held, null::double as last, false as admitted, null::bigint as released from (select distinct user_id from f)
+    union all select f.user_id, f.rn, f.event_id,
+        case when len(keep) < 2 and (last is null or f.ts - last >= 12000) then list_append(keep, {'r': f.ts + 25000, 'id': f.event_id}) else keep end,
+        case when len(keep) < 2 and (last is null or f.ts - last >= 12000) then f.ts else last end, len(keep) < 2 and (last is null or f.ts - last >= 12000),
+        case when len(keep) < len(held) then held[len(held) - len(keep)].id end
+    from b join f on f.user_id = b.user_id and f.rn = b.rn + 1, lateral (select list_filter(b.held, lambda x: x.r > f.ts) as keep))
+    select user_id, event_id, admitted, released as released_seq from b where rn > 0"""
+
+
+def _frames(t):
+    from pyspark.sql import Window
+
+    e = F.col("event_id")
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    ts = (e * 7 % 1000 + F.call_function("div", e, F.lit(1000)) * 1000 + rn * 10000).cast("double")
+    return t("events").select("user_id", "event_id", ts.alias("ts"), F.lit(1).alias("epoch"), F.lit(25000.0).alias("delay"), F.lit(2).alias("max_frames"), F.lit(12000.0).alias("sample_interval"))
+
+
+@query(FRAMES)
+def q_delayed_release(t):
+    return buffer.buffered(_frames(t), "user_id", "event_id")
+
+
+@query(FRAMES.replace("select user_id, event_id, admitted, released as released_seq from b where rn > 0", "select user_id, count(*) filter (admitted) as n from b where rn > 0 group by 1"))
+def q_frame_admission(t):
+    return buffer.buffered(_frames(t), "user_id", "event_id").groupBy("user_id").agg(F.count_if("admitted").alias("n"))
+
+
+@query(f"""with {RUNS}, st as (select user_id, ts, bool_or(run < 3) as b from runs group by 1, 2), fr as (select user_id, event_id, ts + interval 6 hours as ts from events),
+    j as (select fr.*, coalesce(st.b, true) as b, st.b is null as no_state, row_number() over (partition by fr.user_id order by fr.ts, fr.event_id) - 1 as frame_no from fr asof left join st on fr.user_id = st.user_id and fr.ts >= st.ts)
+    select user_id, frame_no, frame_no / 10.0::double as pts, case when no_state then 'Waiting for a privacy check' when b then 'blocked' end as blocked_reason, case when not b then event_id end as event_id from j""")
+def q_recording(t):
+    states = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3)).groupBy("user_id", "ts").agg(F.bool_or("is_blocked").alias("is_blocked")).withColumn("reason", F.lit("blocked"))
+    frames = t("events").select("user_id", "event_id", (F.col("ts") + F.expr("interval 6 hours")).alias("ts"))
+    return buffer.recorded(frames, states, "user_id", "ts", "event_id", F.lit(10.0))
+
+
+@query(f"""with {RUNS} select event_id, case when run < 3 then 'Protection: preview blocked: ' || event else 'Protection: preview safe to share' end as line,
+    '  ' || (event_id % 10)::varchar || '.0 s delayed · ' || case when run < 3 then 'blocked' else 'protected' end || '  ' as footer from runs""")
+def q_status_lines(t):
+    s = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3))
+    return s.select("event_id", gate.status_line(F.col("is_blocked"), F.col("event")).alias("line"), gate.footer(F.col("is_blocked"), (F.col("event_id") % 10).cast("double")).alias("footer"))
+
+
+@query("""with kv as (select c_custkey as owner, c_custkey % 5 as k from customer)
+    select owner, true as is_enabled, case when k = 0 then 3.5 else 2.0 end::double as delay_seconds, case when k = 1 then 'strict' else 'balanced' end as clear_mode, case when k = 2 then 'p1440' else 'p720' end as resolution,
+    case when k = 3 then 30 else 10 end::bigint as fps, true as shows_cursor, case when k = 4 then 'email, phone, pesel, ip, custom' else 'email, phone, card, pesel, ip, custom' end as kinds from kv""")
+def q_settings(t):
+    k = F.col("c_custkey") % 5
+    names = F.array(*map(F.lit, ("delaySeconds", "clearMode", "captureResolution", "captureFPS", "kind.Payment card")))
+    values = F.array(*map(F.lit, ("3.5", "strict", "p1440", "30", "false")))
+    own = t("customer").select(F.col("c_custkey").alias("owner"), F.get(names, k.cast("int")).alias("key"), F.get(values, k.cast("int")).alias("value"))
+    odd = t("customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("owner"), F.lit("clearMode").alias("key"), F.lit("unheard of").alias("value"))
+    return prefs.settings(own.unionByName(odd), "owner").withColumn("kinds", F.array_join("kinds", ", "))
+
+
+@query("select c_custkey as owner, 'k' as key, case when c_custkey % 3 = 0 then 'new' else 'old' end as value from customer")
+def q_settings_upsert(t):
+    old = t("customer").select(F.col("c_custkey").alias("owner"), F.lit("k").alias("key"), F.lit("old").alias("value"))
+    return prefs.upserted(old, old.where("owner % 3 = 0").withColumn("value", F.lit("new")), ["owner", "key"])
+
+
+@query(f"{DET} select id as doc_id, 'PII detected in ' || source || ' · ' || array_to_string(list_sort(list(distinct case kind when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' when 'ip' then 'IP address' end)), ', ') as reason from det join documents on doc_id = id group by 1, source")
+def q_detected_reason(t):
+    df = detect.with_detections(t("documents").select("doc_id", "source", "text"), "text").select("doc_id", "source", F.col("detections.kind").alias("kinds")).where(F.size("kinds") > 0)
+    return df.select("doc_id", bursts.detected_reason(F.col("source"), F.col("kinds")).alias("reason"))
+
+
+def _streamed(frame: DataFrame, build) -> DataFrame:
+    """The rows that a stream over ``frame``, written as files, makes in one go."""
+    from pyspark.sql.types import StructType
+
+    spark = frame.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veilspark-stream-')}"
+    place = f"{base}/veilspark-stream/{frame.sparkSession.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    frame.write.parquet(f"{place}/in")
+    out = build(spark.readStream.schema(StructType(frame.schema.fields)).parquet(f"{place}/in"))
+    live.drain(out, f"{place}/out", f"{place}/state")
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
+
+
+@query(ORACLES["q_gate_manual"])
+def stream_gate(t):
+    rows = _manual_events(t).coalesce(1).sortWithinPartitions("event_id")
+    return _streamed(rows, lambda s: live.gate_stream(s, "user_id", "event_id")).select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
+
+
+@query(ORACLES["q_detections"])
+def stream_detect(t):
+    return _streamed(t("documents").select("doc_id", "text"), lambda s: live.detect_stream(s, "doc_id", "text"))
