@@ -38,6 +38,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_text(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text of ``docs``; whatever else it has stays out of the way."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -69,7 +74,6 @@ def components(edges: DataFrame) -> DataFrame:
     never grows, and rounds end when every edge points at its component's smallest node. Each round's edges are
     written to the shared folder. No edges give no rows; null ends are dropped.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = stash(edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None

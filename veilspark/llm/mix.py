@@ -43,7 +43,7 @@ def order(doc_id: Column, rest: Column) -> Column:
     """Random odds over inclusion odds, mapped from (0, inf) to (0, 1); the same for a doc_id in every run."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
     u = (h.cast("long") + 0.5) / F.lit(4503599627370496.0)
-    q = (u / (1 - u)) / (rest / (1 - rest))
+    q = F.try_divide(u / (1 - u), rest / (1 - rest))  # null where no part of a copy is left
     return q / (1 + q)
 
 

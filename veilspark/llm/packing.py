@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stash, table
+from veilspark.llm.common import id_text, stash, table
 
 LENGTH, END = 2048, 0
 #: Pieces packed together at the most; words whose ids a worker keeps.
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, length: int = LENGT
         import public_tokenizers
 
         tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
-    pieces = stash(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer_file, length, end), PIECES), "pieces")
+    pieces = stash(id_text(docs).mapInArrow(_cut(tokenizer_file, length, end), PIECES), "pieces")
     parts = max(1, round(pieces.count() / group))
     # the place in the stored table keeps repeated rows apart, and stays the same if a task runs again
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bilstm import Tagger
-from veilspark.llm.common import table
+from veilspark.llm.common import id_text, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base kinds. A run of digits that fails for ip fails from each of its digits.
@@ -223,7 +223,7 @@ def find_pii(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Dat
     Base spans come from the patterns and always stay; the tagger adds spans that touch none of them. Whole texts are
     read. Null and empty texts have none; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_found(train(docs, windows, epochs)), SCHEMA)
+    return id_text(docs).mapInArrow(_found(train(docs, windows, epochs)), SCHEMA)
 
 
 def masked(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> DataFrame:

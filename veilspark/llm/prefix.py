@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import id_text, table
 
 #: Two moduli below 2**31, so that products fit in 64 bits; a base for each.
 MODULI, BASES = (2147483647, 2147483629), (1000003, 999983)
@@ -163,6 +163,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     such only. A single row is its own next. Repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    docs = id_text(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("d"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stash, table
+from veilspark.llm.common import id_text, stash, table
 
 #: Words share this many rows of vectors by hash; numbers in a vector; entries of an index vector that aren't 0.
 ROWS, SIZE, ENTRIES = 1 << 14, 32, 4
@@ -177,7 +177,7 @@ def featured(docs: DataFrame, vectors: np.ndarray, weights: np.ndarray) -> DataF
             f = pooled(b.column("text").to_pylist(), *sent.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * FEATURES), pa.array(f.ravel()))], ["doc_id", "f"])
 
-    return stash(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f array<float>"), "features")
+    return stash(id_text(docs).mapInArrow(run, "doc_id long, f array<float>"), "features")
 
 
 def _scored(net: Network | None):

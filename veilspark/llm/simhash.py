@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import components, spanning_edges, stash, table
+from veilspark.llm.common import components, id_text, spanning_edges, stash, table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 
@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     space, have fingerprint 0 and link like any other. A null doc_id is never the smallest and makes no link that
     only it would make. Repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
-    prints = stash(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
+    prints = stash(id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     keyed = variants(classes.where("rep is not null"), distance).repartition("bit", "key").sortWithinPartitions("bit", "key")
     found = components(keyed.mapInArrow(_joined(distance), "a long, b long"))
@@ -134,17 +134,17 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Rows without a doc_id can't stand for a group; of those only exact copies of one another go.
     """
     near = stash(near_duplicates(docs, distance).select("doc_id", "component_id"), "near").where("doc_id is not null")
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    again = near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    again = near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
 
     def sized(ids: DataFrame) -> DataFrame:
         ids = stash(ids, "ids")
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     gone, again = sized(gone), sized(again)
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    once = left.where("doc_id is not null").join(again, F.col("doc_id") == F.col("again"), "left_anti")
-    twice = left.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = left.where("doc_id is not null").join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    twice = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionAll(twice).unionAll(left.where("doc_id is null").dropDuplicates(["text"]))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import id_text, table
 
 LIMIT = 4096
 #: Characters in a chunk at least; chunks end where a word ends.
@@ -190,7 +190,7 @@ def token_counts(docs: DataFrame, model_file: str | None = None, limit: int = LI
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    rows = id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
