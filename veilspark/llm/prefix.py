@@ -173,7 +173,9 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     firsts = sorted({c for c in cuts or () if c is not None and low is not None and c > low})
     edges = [-float("inf"), *firsts, float("inf")]
     placed = rows.withColumn("d", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7976931348623157e308)))
-    placed = Bucketizer(splits=edges, inputCol="d", outputCol="p").transform(placed).withColumn("part", F.col("p").cast("int"))
+    if firsts:
+        placed = Bucketizer(splits=edges, inputCol="d", outputCol="p").transform(placed)
+    placed = placed.withColumn("part", F.col("p").cast("int") if firsts else F.lit(0))
     # the smallest ids of part k end part k - 1; those of the first end the last
     start = F.col("d").isin(firsts) if len(firsts) < 400 else F.array_contains(F.lit(firsts), F.col("d"))
     smallest = F.col("doc_id").isNull() if nulls else F.col("d") == F.lit(low)
