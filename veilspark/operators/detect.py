@@ -50,9 +50,10 @@ VALID = {
 def with_candidates(df: DataFrame, text: str, kinds=tuple(PATTERN), phrases=(), validate: bool = True) -> DataFrame:
     """``df`` with ``candidates``: spans of the enabled kinds and phrases, unresolved. Kinds that are off never run."""
     names, out = [], []
+    df = df.withColumn("_may", F.col(text).rlike(TRIGGER))
     for kind in kinds:
         if kind in PATTERN:
-            df = _matches(df, text, kind, F.lit(PATTERN[kind]), F.col(text).rlike(TRIGGER))
+            df = _matches(df, text, kind, F.lit(PATTERN[kind]), F.col("_may"))
             names.append(kind)
             out.append(_placed(kind, kind, VALID.get(kind) if validate else None))
     if "custom" in kinds and any(phrases):
@@ -63,7 +64,7 @@ def with_candidates(df: DataFrame, text: str, kinds=tuple(PATTERN), phrases=(),
             names.append(f"phrase{i}")
             out.append(_placed(f"phrase{i}", "custom", original=F.col(text)))
     df = df.withColumn("candidates", F.coalesce(F.concat(*out) if out else F.expr(NONE), F.expr(NONE)))
-    return df.drop("_folded", *[f"_{x}_{n}" for n in names for x in "mg"])
+    return df.drop("_may", "_folded", *[f"_{x}_{n}" for n in names for x in "mg"])
 
 
 def phrase_pattern(phrase: str) -> str:

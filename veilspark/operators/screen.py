@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.text import readable
 from veilspark.operators.detect import with_detections
+from veilspark.session import stash
 
 # Limits beyond which a scan counts as incomplete, and the errors of an attribute that don't matter.
 MAX_WINDOWS, MAX_ELEMENTS, MAX_CHILDREN, MAX_CHARS, DEADLINE_MS = 4, 1500, 300, 20_000, 150
@@ -38,23 +39,23 @@ def scanned_windows(ax_windows: DataFrame, scans: DataFrame) -> DataFrame:
     return ax_windows.join(scans.select("snapshot_id", "bx", "by", "bw", "bh"), "snapshot_id").where(F.coalesce(on, F.lit(True)))
 
 
-def traversed(elements: DataFrame, rounds: int = 64) -> DataFrame:
+def traversed(elements: DataFrame) -> DataFrame:
     """Elements reached from the roots (parent_id null), with ``path`` (their preorder); nothing below an invisible one.
 
-    Levels are joined one by one on the parent; the loop ends with the deepest level, ``rounds`` at most.
+    Levels are joined one by one on the parent until one is empty. Only numbers take part, each level is kept as a table, and the
+    elements' texts are joined once at the end.
     """
     key = ["snapshot_id", "pid", "window_id"]
     step = F.struct(F.col("child_pos").cast("long").alias("pos"), F.col("elem_id").alias("id"))
-    level = elements.where("parent_id is null").withColumn("path", F.array(step))
+    shape = elements.select(*key, "elem_id", "parent_id", "child_pos", F.coalesce("visible", F.lit(True)).alias("shown"))
+    cols = [*key, "elem_id", "shown", "path"]
+    level = stash(shape.where("parent_id is null").withColumn("path", F.array(step)).select(*cols), "level")
     out = level
-    for _ in range(rounds):
-        shown = level.where("coalesce(visible, true)").select(*key, F.col("elem_id").alias("parent_id"), F.col("path").alias("above"))
-        level = elements.join(shown, [*key, "parent_id"]).withColumn("path", F.concat("above", F.array(step))).drop("above")
-        level = level.select(*out.columns)
-        if level.isEmpty():
-            return out
+    while not level.isEmpty():
+        above = level.where("shown").select(*key, F.col("elem_id").alias("parent_id"), F.col("path").alias("above"))
+        level = stash(shape.join(above, [*key, "parent_id"]).withColumn("path", F.concat("above", F.array(step))).select(*cols), "level")
         out = out.unionByName(level)
-    return out
+    return elements.join(out.drop("shown"), [*key, "elem_id"])
 
 
 def element_texts(elements: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from veilspark.functions.text import ascii_digits, ipv4_valid, luhn_valid, pesel
 from veilspark.operators import buffer, bursts, detect, gate, phrases, screen
 from veilspark.operators import settings as prefs
 from veilspark.plans import oracle
-from veilspark.session import ship_package
+from veilspark.session import shared_dir, ship_package
 from veilspark.sources.texts import input_error
 from veilspark.streaming import live
 
@@ -519,8 +519,7 @@ def _streamed(frame: DataFrame, build) -> DataFrame:
     from pyspark.sql.types import StructType
 
     spark = frame.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veilspark-stream-')}"
-    place = f"{base}/veilspark-stream/{frame.sparkSession.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    place = f"{shared_dir(spark)}/veilspark/stream-{uuid.uuid4().hex}"
     frame.write.parquet(f"{place}/in")
     out = build(spark.readStream.schema(StructType(frame.schema.fields)).parquet(f"{place}/in"))
     live.drain(out, f"{place}/out", f"{place}/state")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -19,3 +20,26 @@ def ship_package(spark: SparkSession) -> None:
         here = os.path.dirname(os.path.abspath(__file__))
         place = tempfile.mkdtemp(prefix="veilspark-package-")
         spark.sparkContext.addPyFile(shutil.make_archive(f"{place}/veilspark", "zip", os.path.dirname(here), os.path.basename(here)))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a fresh one is set only where the session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and reread: cuts lineage, and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stash(spark: SparkSession) -> None:
+    """Remove all tables that ``stash`` has written; results that still read them can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilspark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
