@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.session import ship_package
+from veilspark.session import ship_package, stash
 
 #: Words are runs of anything but space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -21,23 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a fresh one is set only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and reread: cuts lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text of ``docs``; whatever else it has stays out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
