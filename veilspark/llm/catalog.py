@@ -16,4 +16,4 @@ QUERIES = {
     "op9_prefix_fingerprint": prefix.op9_prefix_fingerprint,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES = {"op1_pareto_mix": mix.ORACLE, "op6_url_filter": urls.ORACLE}
+ORACLES = {"op1_pareto_mix": mix.ORACLE, "op2_embedding_dedup": vectors.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_url_filter": urls.ORACLE}

@@ -104,6 +104,41 @@ def digest(spans: str) -> Column:
     return F.array_join(F.expr(f"transform({spans}, x -> concat(x.name, ':', x.s, ':', x.e))"), ",")
 
 
+def _oracle() -> str:
+    def quoted(p: str) -> str:
+        return p.replace("'", "''")
+
+    def found(name: str, pattern: str) -> str:
+        p, size = quoted(pattern), "lambda x: length(x)"
+        return f"""{name} as (select doc_id, pos as s, pos + length(v) as e, v from (
+            select doc_id, ms[i] as v, (coalesce(list_sum(list_transform(gs[1:i], {size})), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], {size})), 0))::bigint as pos from (
+                select doc_id, ms, gs, unnest(generate_series(1, len(ms))) as i from (select doc_id, regexp_extract_all(t, '{p}') as ms, regexp_split_to_array(t, '{p}') as gs from d))))"""
+
+    def entropy(w: str) -> str:
+        return f"(select log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} from (select count(*)::double as n from (select unnest(string_split({w}, '')) as c) group by c))"
+
+    allowed = " or ".join(f"regexp_matches(v, '{quoted(a)}')" for a in ALLOWED)
+    parts = [found("f0", ASSIGN), found("f1", ACCESS), found("f2", HEX), f"""base as (
+        select doc_id, s, 0 as k, e, 'assign' as name from f0 where length(regexp_extract(v, '{quoted(ASSIGN)}', 1)) >= {ASSIGN_LEAST}
+        union all select doc_id, s, 1, e, 'access' from f1 union all select doc_id, s, 2, e, 'hex' from f2)"""]
+    have = "base"
+    for i, (name, chars, least) in enumerate(CLASSES, 3):
+        parts += [found(f"f{i}", f"[{chars}]{{{WINDOW},}}"), f"""c{i} as (select * from f{i} where regexp_matches(v, '[0-9]') and not ({allowed})
+            and not exists (from {have} b where b.doc_id = f{i}.doc_id and b.s < f{i}.e and f{i}.s < b.e))""", f"""w{i} as (
+            select doc_id, s, i, substr(v, i + 1, {WINDOW}) as w from (select *, unnest(generate_series(0, length(v) - {WINDOW})) as i from c{i})), h{i} as (
+            select * from {have} union all select doc_id, s + min(i), {i}, s + max(i) + {WINDOW}, '{name}' from w{i} where {entropy('w')} >= {least} group by doc_id, s)"""]
+        have = f"h{i}"
+    line = "string_agg(name || ':' || s || ':' || e, ',' order by s, k, e)"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), {", ".join(parts)},
+        b as (select doc_id, {line} as x, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex from base group by 1),
+        a as (select doc_id, {line} as x from {have} group by 1)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b.x, '')) as base_sha256, coalesce(a.x, '') as spans
+        from d left join b using (doc_id) left join a using (doc_id)"""
+
+
+ORACLE = _oracle()
+
+
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     rows = scan_secrets(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, x -> x.name = '{n}'))").cast("long").alias(f"n_{n}") for n in ("assign", "access", "hex")]

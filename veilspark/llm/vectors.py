@@ -169,5 +169,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     return done.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+ORACLE = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, p.b from r join p on p.a = r.b),
+c as (select a, min(b) as component_id from r group by a), n as (select a, count(*) as n from p group by a)
+select vec_id, coalesce(n.n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
+"""
+
+
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
