@@ -285,7 +285,7 @@ def q_tree_walk(t):
     return r.select("snapshot_id", "pid", "window_id", "elem_id", F.row_number().over(order).cast("long").alias("visit"))
 
 
-@query(f"with {TREE} select * from (select elem_id, 0 as attr, value as text from el union all select elem_id, 1, title from el union all select elem_id, 2, description from el) where text is not null")
+@query(f"with {TREE} select * from (select elem_id, 0::bigint as attr, value as text from el union all select elem_id, 1, title from el union all select elem_id, 2, description from el) where text is not null")
 def q_elements_unpivot(t):
     return screen.element_texts(_elements(t)).select("elem_id", "attr", "text")
 
