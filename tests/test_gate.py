@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import buffer, bursts, gate
+from veilspark.operators import buffer, bursts, capture, gate
 from veilspark.plans import catalog
 from veilspark.streaming import live
 
@@ -91,6 +91,29 @@ def test_delay_window_equals_timers(spark):
     assert fast == slow
 
 
+def test_timed_gate_equals_delay_window(spark):
+    rows = [(s, i, float(i), e if e in ("clean", "detected", "inconclusive") else "clean", w, 2, False, True) for s, i, e, w, *_ in random_events(1500, seed=7)]
+    df = spark.createDataFrame(rows, EVENTS.replace("event string", "ts double, event string"))
+    fast = {(r.stream_id, r.seq): r.is_blocked for r in gate.gate_delayed(df, "stream_id", ["seq"], "ts", F.lit(2), F.lit(70.0)).collect()}
+    assert fast == {(r.stream_id, r.seq): r.is_blocked for r in gate.gate_timed(df, 70.0).collect()}
+
+
+def test_timed_gate_waits_for_approval(spark):
+    rows = [("a", i, float(t), e, "found", 1, True, True) for i, (t, e) in enumerate([(0, "detected"), (1, "clean"), (2, "clean"), (20, "clean"), (21, "approve"), (22, "clean")])]
+    out = gate.gate_timed(spark.createDataFrame(rows, EVENTS.replace("event string", "ts double, event string")), 10.0).orderBy("seq").collect()
+    assert [(r.is_blocked, r.pending_manual, r.pending_delay) for r in out] == [(True, False, False), (True, False, True), (True, False, True), (True, True, False), (False, False, False), (False, False, False)]
+    assert [r.seq for r in gate.approval_alerts(gate.gate_states(spark.createDataFrame(random_events(), EVENTS)), "stream_id", ["seq"]).collect()]
+
+
+def test_capture(spark):
+    frames = spark.createDataFrame([("a", 1, 1.0, "screen", True, 0), ("a", 2, 2.0, "audio", True, 1), ("a", 3, 3.0, "screen", True, 1), ("a", 4, 4.0, "screen", False, 1)], "k string, seq long, ts double, type string, valid boolean, epoch int")
+    now = spark.createDataFrame([("a", 1)], "k string, epoch int")
+    assert [r.seq for r in capture.accepted_frames(frames, now, ["k", "epoch"]).collect()] == [3]
+    assert capture.shown_frame(frames, "k", "seq", "type").first() == ("a", 4, "screen")
+    late = capture.after_warm_up(frames, spark.createDataFrame([("a", 1.0)], "k string, started double"), "k", "ts", F.lit(2.0))
+    assert sorted(r.seq for r in late.collect()) == [3, 4]
+
+
 def test_buffer_policy(spark):
     big = 2**63 - 1
     rows = [(1280, 720, 2.0, 10, 268435456), (2560, 1440, 10.0, 30, 268435456), (big, big, 10.0, 30, 1024), (0, -5, -1.0, 0, 268435456)]

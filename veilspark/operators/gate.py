@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.bursts import detected_reason
+
 # The gate's reasons.
 WAITING, PROTECTED, MANUAL = "Waiting for a privacy check", "Protected", "Manual clearance required"
 DELAYED, APPROVAL = "Clean checks passed · waiting for stream delay", "Clean checks passed · approval required"
@@ -86,6 +88,49 @@ def gate_states(events: DataFrame, key: str = "stream_id", order: str = "seq") -
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {STATE}")
 
 
+def gate_timed(events: DataFrame, delay: float, key: str = "stream_id", order: str = "seq", ts: str = "ts") -> DataFrame:
+    """As ``gate_states``, with the clearance timer kept by the operator: no delay_complete events are needed.
+
+    The timer is set when a delay begins to be waited for, to ``delay`` after that event's ``ts`` (a double); a verdict that isn't clean, or a reset,
+    drops it; one that is due at an event's time goes off before it.
+    """
+    kinds = dict(events.dtypes)
+    cols = [key, order, ts, "event", "reason", "required_checks", "requires_manual", "requires_delay"]
+    rows = events.select(*cols).repartition(key).sortWithinPartitions(key, ts, order)
+
+    def run(frames):
+        gate, timer, at = Gate(), None, object()
+        for f in frames:
+            out = []
+            for k, o, now, kind, reason, n, by_hand, delayed in f.itertuples(index=False):
+                if k != at:
+                    gate, timer, at = Gate(), None, k
+                if timer is not None and timer <= now:
+                    timer = None
+                    gate.event("delay_complete", None, int(n), bool(by_hand), bool(delayed))
+                waited = gate.delay
+                gate.event(kind, reason, int(n), bool(by_hand), bool(delayed))
+                timer = (now + delay if not waited else timer) if gate.delay else None
+                out.append((k, o, gate.blocked, gate.reason, gate.checks, gate.manual, gate.delay))
+            yield pd.DataFrame(out, columns=[key, order, "is_blocked", "reason", "clean_checks", "pending_manual", "pending_delay"])
+
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {STATE}")
+
+
+def gate_events(verdicts: DataFrame) -> DataFrame:
+    """``verdicts`` (status, app, kinds, reason, as of snapshots) with the event and the reason that a gate gets for each."""
+    event = F.when(F.col("status").isin("clean", "detected"), F.col("status")).otherwise("inconclusive")
+    reason = F.when(F.col("status") == "detected", detected_reason(F.col("app"), F.col("kinds"))).when(F.col("status") != "clean", F.col("reason"))
+    return verdicts.withColumn("event", event).withColumn("reason", reason)
+
+
+def approval_alerts(states: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows at which an approval begins to be waited for: one alert each."""
+    w = Window.partitionBy(key).orderBy(*order)
+    was = F.lag("pending_manual", 1, False).over(w)
+    return states.withColumn("_was", was).where(F.col("pending_manual") & ~F.col("_was")).drop("_was")
+
+
 def clean_runs(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``events`` with ``run``: clean events in a row up to each, 0 at others."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import PATTERN, kind_table
 from veilspark.functions.text import ascii_digits, ipv4_valid, luhn_valid, pesel_valid, saturating_multiply
-from veilspark.operators import buffer, bursts, detect, gate, phrases, screen
+from veilspark.operators import buffer, bursts, capture, detect, gate, phrases, screen
 from veilspark.operators import settings as prefs
 from veilspark.plans import oracle
 from veilspark.session import shared_dir, ship_package
@@ -390,6 +390,40 @@ def q_gate_delay(t):
     return gate.gate_delayed(_gate_events(t), "user_id", ["ts", "event_id"], "ts", F.lit(2), F.expr("interval 24 hours")).select("user_id", "event_id", "is_blocked")
 
 
+@query(ORACLES["q_gate_delay"])
+def q_gate_timed(t):
+    e = _gate_events(t).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("ts"), "event", F.lit("why").alias("reason"), F.lit(2).alias("required_checks"), F.lit(False).alias("requires_manual"), F.lit(True).alias("requires_delay"))
+    return gate.gate_timed(e, 24.0, "user_id", "event_id").select("user_id", "event_id", "is_blocked")
+
+
+@query("select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type from events group by 1")
+def q_shown_frame(t):
+    return capture.shown_frame(t("events"), "user_id", "event_id", "event_type")
+
+
+@query("with e as (select user_id, max(event_id % 5) as epoch from events group by 1) select event_id from events join e using (user_id) where event_id % 5 = epoch and event_type <> 'error' and event_id % 3 <> 0")
+def q_accepted_frames(t):
+    rows = t("events").select("user_id", "event_id", (F.col("event_id") % 5).alias("epoch"), F.when(F.col("event_type") == "error", "audio").otherwise("screen").alias("type"), (F.col("event_id") % 3 != 0).alias("valid"))
+    return capture.accepted_frames(rows, rows.groupBy("user_id").agg(F.max("epoch").alias("epoch")), ["user_id", "epoch"]).select("event_id")
+
+
+@query("select user_id, time_bucket(interval 6 hours, ts) as tick, count(*) as n from events group by 1, 2")
+def q_ticks(t):
+    return capture.ticks(t("events"), "user_id", "ts", "6 hours").withColumn("tick", F.col("tick").cast(dict(t("events").dtypes)["ts"]))
+
+
+@query("with s as (select user_id, min(ts) as started from events group by 1) select event_id from events join s using (user_id) where ts >= started + interval 48 hours")
+def q_warm_up(t):
+    e = t("events").select("user_id", "event_id", "ts")
+    return capture.after_warm_up(e, e.groupBy("user_id").agg(F.min("ts").alias("started")), "user_id", "ts", F.expr("interval 48 hours")).select("event_id")
+
+
+@query("select p_partkey, least(p_size * 60, 1920) as width, least(p_size * 40, 1080) as height from part")
+def q_capture_size(t):
+    s = F.col("p_size")
+    return t("part").select("p_partkey", capture.capture_size(s * 60, s * 40, F.lit(1920), F.lit(1080)).alias("x")).select("p_partkey", "x.*")
+
+
 MANUAL = f"""with recursive {GATE.replace("else 'clean' end", "when 'login' then 'approve' else 'clean' end")}, o as (select *, row_number() over (partition by user_id order by event_id) as rn from g),
     w as (select user_id, 0::bigint as rn, 0::bigint as event_id, true as blocked, 0::bigint as checks, false as manual, false as hit from (select distinct user_id from g)
     union all select o.user_id, o.rn, o.event_id,
@@ -410,6 +444,18 @@ def q_gate_manual(t):
     return gate.gate_states(_manual_events(t), "user_id", "event_id").select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
 
 
+@query(f"{MANUAL}, x as (select *, lag(manual, 1, false) over (partition by user_id order by rn) as was from w where rn > 0) select user_id, event_id from x where manual and not was")
+def q_approval_alerts(t):
+    return gate.approval_alerts(gate.gate_states(_manual_events(t), "user_id", "event_id"), "user_id", ["event_id"]).select("user_id", "event_id")
+
+
+@query("with v as (" + ORACLES["q_scan_verdict"] + """) select snapshot_id, status as event, case when status = 'detected' then 'PII detected in ' || app || ' · ' ||
+    array_to_string(list_sort(list_transform(string_split(kinds, ', '), lambda k: case k when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' else 'IP address' end)), ', ') else reason end as reason from v""")
+def q_verdict_events(t):
+    scans, apps = _app_verdicts(t)
+    return gate.gate_events(screen.snapshot_verdicts(scans, apps)).select("snapshot_id", "event", "reason")
+
+
 @query(f"with {RUNS}, s as (select user_id, event_id, run < 3 as is_blocked, lag(run < 3, 1, true) over (partition by user_id order by ts, event_id) as was from runs) select user_id, event_id, is_blocked from s where is_blocked <> was")
 def q_gate_transitions(t):
     states = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3))
