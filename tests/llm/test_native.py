@@ -54,6 +54,23 @@ def test_mix_many_documents_come_near(spark):
     assert all(abs(taken[s] - target[s]) <= 4 for s in total)
 
 
+def test_mix_boosted(spark):
+    """Boosted documents are taken more often, in proportion, and the targets stay."""
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 3}") for i in range(3000)]
+    _, total, target = brute_mix(rows)
+    docs = documents(spark, rows).selectExpr("*", "case when doc_id % 10 < 3 then 2.0 when doc_id % 10 = 9 then null when doc_id % 10 = 8 then 0.0 else 1.0 end as liked")
+    out = mix.mix(docs, boost="liked").collect()
+    words, sizes, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in out:
+        group = "2" if r.doc_id % 10 < 3 else "0" if r.doc_id % 10 == 8 else "1"
+        words[group] += r.taken
+        sizes[group] += r["size"]
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert words["0"] == 0 and 1.6 < (words["2"] / sizes["2"]) / (words["1"] / sizes["1"]) < 2.2
+    assert all(abs(taken[s] - target[s]) <= 3 for s in total)
+
+
 def test_mixed_docs_repeat_rows(spark, docs, rows):
     want = {(r.doc_id, r["size"]): r.taken // r["size"] for r in mix.mix(docs).collect() if r["size"]}
     got = defaultdict(int)

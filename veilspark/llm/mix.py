@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import n_words, stash
+from veilspark.llm.common import n_words, stash, table
 
 SALT = "mix:"
 #: Ranks are searched in two histograms of this many steps each, so that no task ever sorts a source.
@@ -13,7 +13,7 @@ STEPS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """One row per source of ``sizes`` (source, size): source, source_size, target (words), whole copies, rest's odds.
+    """One row per source of ``sizes`` (source, size, boost): source, source_size, target (words), copies of a document per boost.
 
     Weights go to the sources by code point, null last, repeating. A source whose share passes ``max_repeats`` times its
     size stops there; with the sources in order of that ratio the water level follows from prefix sums. The rows here
@@ -22,7 +22,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     w = F.array(*[F.lit(x) for x in weights])
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     level = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("boost")).alias("mass"))
     s = s.withColumn("w", F.element_at(w, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap") / F.col("w"))
     before, everything = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -33,10 +33,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("w") * F.col("level"), F.col("cap").cast("double")))
     s = s.withColumn("target", target)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    s = s.withColumn("whole", whole.cast("long"))
-    rest = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(F.lit(0.0))
-    return s.select("source", "source_size", "target", "whole", rest.alias("rest"))
+    return s.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)).alias("factor"))
+
+
+def shares(max_repeats: int) -> tuple[Column, Column]:
+    """(whole copies, probability of one more) of a document from its source's ``factor`` and its ``boost``."""
+    expected = F.least(F.col("factor") * F.col("boost"), F.lit(float(max_repeats)))
+    return F.floor(expected).cast("long"), expected - F.floor(expected)
 
 
 def order(doc_id: Column, rest: Column) -> Column:
@@ -57,10 +60,14 @@ def _crossing(rows: DataFrame, step: Column) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """One row per source of ``sized`` (doc_id, source, size): its target, whole copies, and the last (order, doc_id) taken once more."""
+    """One row per source of ``sized`` (doc_id, source, size, boost): its target, factor, and the first (order, doc_id) not taken once more."""
     t = stash(source_targets(sized, weights, max_repeats), "targets")
-    rows = sized.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("rest > 0 and size > 0")
-    rows = rows.select("source", "doc_id", "size", order(F.col("doc_id"), F.col("rest")).alias("q"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("need"))
+    whole, rest = shares(max_repeats)
+    rows = sized.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.select("source", "doc_id", "size", "target", whole.alias("whole"), rest.alias("rest"))
+    certain = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")).withColumnRenamed("source", "s")
+    rows = rows.where("rest > 0 and size > 0").join(certain, F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.select("source", "doc_id", "size", order(F.col("doc_id"), F.col("rest")).alias("q"), "need")
     for scale in (STEPS, STEPS * STEPS):
         step = F.least(F.floor(F.col("q") * scale), F.lit(scale - 1))
         at = _crossing(rows, step)
@@ -74,45 +81,52 @@ def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats
     return stash(t.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
 
 
-def copies(plan_whole: str = "whole") -> Column:
-    mine = F.struct(order(F.col("doc_id"), F.col("rest")).alias("q"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    more = (F.col("rest") > 0) & (F.col("cut").isNull() | (mine < F.col("cut")))
-    return F.col(plan_whole) + F.when(more, 1).otherwise(0)
+def copies(max_repeats: int) -> Column:
+    """How often the mix takes a row that is joined with its source's plan."""
+    whole, rest = shares(max_repeats)
+    mine = F.struct(order(F.col("doc_id"), rest).alias("q"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
+    more = (rest > 0) & (F.col("cut").isNull() | (mine < F.col("cut")))
+    return whole + F.when(more, 1).otherwise(0)
+
 
+def _boost(docs: DataFrame, boost: str | None) -> Column:
+    """A column that isn't null, below zero or no number; 1 where it is, or where none is named."""
+    if boost is None:
+        return F.lit(1.0)
+    c = F.col(f"`{boost}`").cast("double")
+    return F.when((c >= 0) & (c < float("inf")), c).otherwise(F.lit(1.0))
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of ``docs``, kept as a small table: the texts are read once."""
-    return stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
 
+def sized(docs: DataFrame, boost: str | None = None) -> DataFrame:
+    """doc_id, source, size (words) and boost of ``docs``, kept as a small table: the texts are read once."""
+    return stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _boost(docs, boost).alias("boost")), "sizes")
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) for every row of ``docs``.
 
-    Each document goes in floor(target / source size) whole copies. What is left is a probability below one per document;
-    Pareto order sampling ranks the documents by random odds over those inclusion odds, and a source takes the front of
-    its ranking up to its remaining words, to half a document. Null texts and texts without words have size 0 and take
-    0. A null source is a source of its own, the last. Repeated doc_ids are taken or left together. An empty
-    table gives no rows; other columns are ignored.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, boost: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) and source for every row of ``docs``.
+
+    A document is expected target / source size times, times its ``boost`` (a column) over its source's mean boost, and ``max_repeats`` times at
+    most. Whole copies are certain. What is left is a probability below one; Pareto order sampling ranks a source's documents by
+    random odds over those inclusion odds, and the front of the ranking is taken once more, up to the source's remaining words, to
+    half a document. Where the limit on repeats leaves words over, all of the ranking is taken. Null texts and texts without words
+    have size 0 and take 0. A null source is a source of its own, the last. Repeated doc_ids are taken or left together. An
+    empty table gives no rows; other columns are ignored.
     """
-    rows = sized(docs)
+    rows = sized(docs, boost)
     p = plan_mix(rows, weights, max_repeats).withColumnRenamed("source", "s")
     out = rows.join(p, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(max_repeats)).cast("long").alias("taken"), "source")
 
 
-def mixed_docs(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+def mixed_docs(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, boost: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, once for each copy that the mix takes."""
-    names = docs.columns
-    p = plan_mix(sized(docs), weights, max_repeats).select(
-        F.col("source").alias("_mix_source"), "rest", "whole", "cut")
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source")
-    both = both.join(p, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("n", copies().cast("int"))
+    p = plan_mix(sized(docs, boost), weights, max_repeats).select(F.col("source").alias("_mix_source"), "factor", "cut")
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", _boost(docs, boost).alias("boost"))
+    both = both.join(p, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("n", copies(max_repeats).cast("int"))
     return both.where("n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("_row.*")
 
 
 def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:
-    from veilspark.llm.common import table
-
     return mix(table(spark, sf_dir, "documents"))
 
 
