@@ -97,6 +97,12 @@ def test_deduplicated(spark, rows, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.deduplicated(no_docs).collect() == []
 
 
+def test_deduplicated_keeps_other_texts_of_an_id(spark):
+    rows = [(2, "one two three four five six", "s"), (5, "one two three four five six", "s"), (5, "quite another text stands right here", "s"), (7, "x y", "s"), (7, "x y", "s")]
+    out = sorted((r.doc_id, r.text) for r in simhash.deduplicated(documents(spark, rows)).collect())
+    assert (5, rows[2][1]) in out and out.count((7, "x y")) == 1 and (2, rows[0][1]) in out
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 50)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)] + [(7, 7), (None, 3), (500, 400), (500, 401), (500, 402)]

@@ -131,11 +131,13 @@ BROADCAST_IDS = 1 << 20
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, all columns, with one of each group of near duplicates: that of the smallest doc_id, once.
 
-    Rows without a doc_id can't stand for a group; of those only exact copies of one another go.
+    Of rows that share a doc_id each different text stays, if one of them does. Rows without a doc_id can't stand for a group; of
+    those only exact copies of one another go.
     """
     near = stash(near_duplicates(docs, distance).select("doc_id", "component_id"), "near").where("doc_id is not null")
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    by_id = near.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    gone = by_id.where("not stays").select(F.col("doc_id").alias("_gone"))
+    again = by_id.where("stays and n > 1").select(F.col("doc_id").alias("_again"))
 
     def sized(ids: DataFrame) -> DataFrame:
         ids = stash(ids, "ids")
@@ -144,7 +146,7 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     gone, again = sized(gone), sized(again)
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     once = left.where("doc_id is not null").join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    twice = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    twice = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionAll(twice).unionAll(left.where("doc_id is null").dropDuplicates(["text"]))
 
 
