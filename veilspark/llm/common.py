@@ -68,7 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = e.join(low.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k")).select(
             F.inline(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))))
         e = stash(e.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
-        # done when no node has two parents and no parent has a parent: then it is a forest of stars
+        # a round that changes nothing has left a forest of stars
         n, h = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, h) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
