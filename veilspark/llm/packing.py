@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import id_text, stash, table
 
 LENGTH, END = 2048, 0
-#: Pieces packed together at the most; words whose ids a worker keeps.
-GROUP, WORDS = 40_000, 1 << 19
+#: Pieces packed together, about; words whose ids a worker keeps, and as many met before those.
+GROUP, WORDS = 40_000, 1 << 18
 
 # The word pattern of byte-level vocabularies, for texts of the characters below alone.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -24,30 +25,46 @@ PLAIN = re.compile("[\\t\\n\\r -~\\xa0-ɏ]*")
 SPECIAL = "<|endoftext|>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
 class WordIds(dict):
-    """Ids of words, as bytes of unsigned 32-bit numbers; the library gives those not met yet."""
+    """Ids of words, as bytes of unsigned 32-bit numbers; the library's model gives those not met yet.
+
+    When full, the words met last stay on as ``before``: those met again are taken over from there.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.split = self.tokenizer.model.tokenize
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        out = self[word] = self.whole(word)
+        """A word of the pattern, free of the special string, is one piece of work for the vocabulary's merges."""
+        out = self.before.get(word)
+        if out is None:
+            letters = word.encode().decode("latin-1").translate(LETTERS)
+            out = array("I", [x.id for x in self.split(letters)]).tobytes()
+        self[word] = out
         return out
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > WORDS:
+    def make_room(self) -> None:
+        if len(self) > WORDS:
+            self.before = dict(self)
             self.clear()
-        new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _ids: dict[str, WordIds] = {}
@@ -60,15 +77,9 @@ def encode(texts: list[str | None], tokenizer_file: str) -> list[bytes]:
     with the special string, or with characters whose class may differ between libraries, go to the library whole.
     """
     ids = _ids.get(tokenizer_file) or _ids.setdefault(tokenizer_file, WordIds(tokenizer_file))
-    split = [SPLIT.findall(t) if t and PLAIN.fullmatch(t) and SPECIAL not in t else None for t in texts]
-    new = set()
-    for words in split:
-        if words:
-            new.update(words)
-    new.difference_update(ids.keys())
-    if new:
-        ids.learn(new)
-    return [b"".join(map(ids.__getitem__, w)) if w is not None else ids.whole(t) if t else b"" for t, w in zip(texts, split)]
+    ids.make_room()
+    plain = [bool(t) and SPECIAL not in t and PLAIN.fullmatch(t) for t in texts]
+    return [b"".join(map(ids.__getitem__, SPLIT.findall(t))) if p else ids.whole(t) if t else b"" for t, p in zip(texts, plain)]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
