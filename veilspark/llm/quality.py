@@ -98,13 +98,16 @@ def pooled(texts, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
         of = of - first
         n = np.bincount(of, minlength=stop - first)
         some = np.flatnonzero(n)
-        starts = np.cumsum(n[some]) - n[some]
-        v, w = vectors[ids], weights[ids]
-        m = np.add.reduceat(v, starts) / n[some, None]
-        mw = np.add.reduceat(v * w[:, None], starts) / np.add.reduceat(w, starts)[:, None]
-        distinct = np.bincount(np.unique(of * ROWS + ids) // ROWS, minlength=stop - first)[some]
+        # each text's distinct rows, with how often they occur: sums over words are products with those counts
+        key, times = np.unique(of * ROWS + ids, return_counts=True)
+        row, kinds = key % ROWS, np.bincount(key // ROWS, minlength=stop - first)[some]
+        v, share = vectors[row], np.stack([times, times * weights[row]]).astype(np.float32)
+        ends = np.cumsum(kinds)
+        sums = np.stack([share[:, a:z] @ v[a:z] for a, z in zip(ends - kinds, ends)])
+        m = sums[:, 0] / n[some, None]
+        mw = sums[:, 1] / np.add.reduceat(share[1], ends - kinds)[:, None]
         twice = np.bincount(of[1:][(of[1:] == of[:-1]) & (ids[1:] == ids[:-1])], minlength=stop - first)[some]
-        out[first + some] = np.column_stack([m, mw, np.log1p(n[some]) / 8, distinct / n[some], twice / n[some], np.linalg.norm(m, axis=1)])
+        out[first + some] = np.column_stack([m, mw, np.log1p(n[some]) / 8, kinds / n[some], twice / n[some], np.linalg.norm(m, axis=1)])
     return out
 
 
