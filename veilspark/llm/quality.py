@@ -154,12 +154,16 @@ class Network:
         self.temperature = float(best[1])
 
 
-def fitted(features: DataFrame, labels: DataFrame, bound: int = TRAIN) -> Network | None:
-    """A network from at most ``bound`` labelled documents outside the held-out fold; a third of them set its temperature."""
+def teachers(labels: DataFrame, bound: int = TRAIN) -> DataFrame:
+    """(id, quality, check) of at most ``bound`` labelled documents outside the held-out fold, lowest hashes first."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.where(fold != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("id"), "quality", (fold == 3).alias("check"))
-    got = features.join(F.broadcast(known), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min(F.struct("f", "quality", "check")).alias("x")).orderBy("id").select("x.*").toArrow()  # at most ``bound`` rows
+    return known.where(fold != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("id"), "quality", (fold == 3).alias("check"))
+
+
+def fitted(features: DataFrame, known: DataFrame) -> Network | None:
+    """A network from the features of the ``known`` documents; a third of them set its temperature."""
+    got = features.join(F.broadcast(known), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min(F.struct("f", "quality", "check")).alias("x")).orderBy("id").select("x.*").toArrow()  # a row per known document at most
     if not got.num_rows:
         return None
     x = got.column("f").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES)
@@ -203,15 +207,16 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN) -> DataFrame
     empty table gives no rows.
     """
     features = featured(docs, *word_vectors(docs))
-    rows = features.mapInArrow(_scored(fitted(features, labels, bound)), "doc_id long, score double")
+    rows = features.mapInArrow(_scored(fitted(features, teachers(labels, bound))), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.5, bound: int = TRAIN) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``least``."""
+    """The rows of ``docs``, all columns, that score at least ``least``. Texts are pooled where they are scored, and those known once before."""
     vectors, weights = word_vectors(docs)
-    net = fitted(featured(docs, vectors, weights), labels, bound)
+    known = stash(teachers(labels, bound), "known")
+    net = fitted(featured(id_text(docs).join(F.broadcast(known), F.col("doc_id") == F.col("id"), "left_semi"), vectors, weights), known)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, weights))
 
     def run(batches):
