@@ -63,6 +63,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, gate.gate_states(df).collect()))
 
 
+def test_stream_of_a_hot_key_is_read_in_bounded_batches(spark, tmp_path, monkeypatch):
+    import os
+
+    kinds = ["view", "view", "view", "error", "purchase", "login"]
+    r = random.Random(8)
+    rows = [(1 if i % 3 == 0 else r.randrange(2, 50), i, r.choice(kinds)) for i in r.sample(range(9000), 3000)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    places = []
+    monkeypatch.setattr(catalog, "BATCH", 400, raising=False)
+    monkeypatch.setattr(live, "drain", lambda s, path, state, f=live.drain: (places.append(os.path.dirname(path.removeprefix("file://"))), f(s, path, state)))
+    got = sorted(map(tuple, catalog.QUERIES["stream_gate"](spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, catalog.QUERIES["q_gate_manual"](spark, str(tmp_path)).collect())) and len(got) == 3000
+    read = spark.read.parquet(f"{places[0]}/in").groupBy(F.col("_metadata.file_name")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count("*").alias("n")).orderBy("lo").collect()
+    assert max(x.n for x in read) <= 400 and all(a.hi < b.lo for a, b in zip(read, read[1:]))
+    assert len([f for f in os.listdir(f"{places[0]}/state/offsets") if f.isdigit()]) == len(read)
+
+
 def test_windows_equal_the_fold(spark):
     rows = [(s, i, e if e in ("clean", "detected", "inconclusive") else "clean", w, 3, False, False) for s, i, e, w, *_ in random_events(seed=9)]
     df = spark.createDataFrame(rows, EVENTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -560,22 +561,49 @@ def q_detected_reason(t):
     return df.select("doc_id", bursts.detected_reason(F.col("source"), F.col("kinds")).alias("reason"))
 
 
-def _streamed(frame: DataFrame, build) -> DataFrame:
-    """The rows that a stream over ``frame``, written as files, makes in one go."""
+#: Rows of a micro-batch at most, where a stream is read in order.
+BATCH = 1 << 18
+
+
+def _in_order(frame: DataFrame, order: str, most: int, path: str) -> None:
+    """``frame`` as files of ascending ranges of ``order``, ``most`` rows at most in each, written one after another as a stream reads them."""
+    spark = frame.sparkSession
+    frame.repartitionByRange(order).sortWithinPartitions(order).write.option("maxRecordsPerFile", most).parquet(f"{path}/ranges")
+    ranges = spark.read.schema(frame.schema).parquet(f"{path}/ranges")
+    size = {r.name: r.n for r in ranges.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()}  # a count per file
+    names = sorted((f.rsplit("/", 1)[-1] for f in ranges.inputFiles()), key=lambda f: (int(f.split("-")[1]), int(re.search(r"-c(\d+)", f)[1])))
+    groups, held = [[]], 0
+    for name in names:
+        n = size.get(name, 0)
+        if held + n > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(f"{path}/ranges/{name}")
+        held += n
+    for group in groups:
+        spark.read.schema(frame.schema).parquet(*group).coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+
+def _streamed(frame: DataFrame, build, order: str | None = None) -> DataFrame:
+    """The rows that a stream over ``frame``, written as files, makes: in one go, or by ranges of ``order`` of BATCH rows at most, in order."""
     from pyspark.sql.types import StructType
 
     spark = frame.sparkSession
     place = f"{shared_dir(spark)}/veilspark/stream-{uuid.uuid4().hex}"
-    frame.write.parquet(f"{place}/in")
-    out = build(spark.readStream.schema(StructType(frame.schema.fields)).parquet(f"{place}/in"))
+    source = spark.readStream.schema(StructType(frame.schema.fields))
+    if order:
+        _in_order(frame, order, BATCH, place)
+        source = source.option("maxFilesPerTrigger", 1)
+    else:
+        frame.write.parquet(f"{place}/in")
+    out = build(source.parquet(f"{place}/in"))
     live.drain(out, f"{place}/out", f"{place}/state")
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
 @query(ORACLES["q_gate_manual"])
 def stream_gate(t):
-    rows = _manual_events(t).coalesce(1).sortWithinPartitions("event_id")
-    return _streamed(rows, lambda s: live.gate_stream(s, "user_id", "event_id")).select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
+    return _streamed(_manual_events(t), lambda s: live.gate_stream(s, "user_id", "event_id"), "event_id").select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
 
 
 @query(ORACLES["q_detections"])

@@ -20,7 +20,8 @@ def detect_stream(texts: DataFrame, key: str, text: str, **options) -> DataFrame
 def gate_stream(events: DataFrame, key: str = "stream_id", order: str = "seq") -> DataFrame:
     """The gate's state after every event of a stream, as ``gate_states`` has it; the state is six values per key.
 
-    A micro-batch's events of a key are applied by ``order``. Outputs are appended.
+    A micro-batch's events of a key are held together and applied by ``order``, so the source's rate (``maxFilesPerTrigger`` and the size of its files)
+    bounds what a hot key takes; micro-batches have to come in that order. Outputs are appended.
     """
     kinds = dict(events.dtypes)
     fields = [f.name for f in dataclasses.fields(Gate)]
