@@ -77,6 +77,13 @@ def test_report_and_redaction(spark):
     assert [r[0] for r in found.orderBy("id").select(detect.redacted(found, "t")).collect()] == ["mail [email] now [ip]", "clean"]
 
 
+def test_redaction_beyond_the_bmp(spark):
+    df = spark.createDataFrame([(1, "😀 mail a@b.co 😀😀 now 10.0.0.1 end 😀"), (2, "😀a@b.co"), (3, "😀 clean"), (4, None)], "id long, t string")
+    found = detect.with_detections(df, "t")
+    got = [r[0] for r in found.orderBy("id").select(detect.redacted(found, "t")).collect()]
+    assert got == ["😀 mail [email] 😀😀 now [ip] end 😀", "😀[email]", "😀 clean", None]
+
+
 EDITS = [
     (["Café"], " CAFE ", None, "duplicate", ["Café"]),
     (["Nightjar", "Café"], "NIGHTJAR", 1, "duplicate", ["Nightjar", "Café"]),

@@ -107,14 +107,19 @@ def report(df: DataFrame, key: str) -> DataFrame:
 
 
 def redacted(df: DataFrame, text: str) -> Column:
-    """``text`` with every detection replaced by its kind in brackets. Positions here are code points of BMP text."""
+    """``text`` with every detection replaced by its kind in brackets, cut by UTF-16 code units as spans count them."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"])
-        return F.struct(x["end"].alias("at"), F.concat(a["out"], gap, F.lit("["), x["kind"], F.lit("]")).alias("out"))
+    def piece(units: Column, at: Column, n: Column) -> Column:
+        return F.decode(F.substring(units, 2 * at + 1, 2 * n), "UTF-16BE")
+
+    def masked(units: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            gap = piece(units, a["at"], x["start"] - a["at"])
+            return F.struct(x["end"].alias("at"), F.concat(a["out"], gap, F.lit("["), x["kind"], F.lit("]")).alias("out"))
 
-    def close(a: Column) -> Column:
-        return F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text)))
+        return F.aggregate("detections", start, step, lambda a: F.concat(a["out"], piece(units, a["at"], F.octet_length(units))))
 
-    return F.when(F.size("detections") == 0, F.col(text)).otherwise(F.aggregate("detections", start, step, close))
+    # an array of one, so that a text is encoded once
+    once = F.get(F.transform(F.array(F.encode(F.col(text), "UTF-16BE")), masked), F.lit(0))
+    return F.when(F.size("detections") == 0, F.col(text)).otherwise(once)
