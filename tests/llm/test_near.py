@@ -85,6 +85,26 @@ def test_near_joins_at_every_distance():
         assert hits == 1
 
 
+def test_near_holds_no_square_of_pairs():
+    """All fingerprints of a key are near each other, so pairs are many more than rows."""
+    import itertools
+    import tracemalloc
+
+    r = random.Random(6)
+    low = simhash.segments(4)[0]
+    free = [b for b in range(64) if not low >> b & 1]
+    fp = [0, *(1 << b for b in free), *(1 << a | 1 << b for a, b in itertools.combinations(free, 2))]
+    r.shuffle(fp)
+    n = len(fp)
+    rep = np.array(r.sample(range(10 * n), n))
+    tracemalloc.start()
+    a, b = simhash._near(np.zeros(n, np.int64), np.zeros(n, np.int64), rep, np.array(fp, dtype=np.uint64), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 900 and len(a) == n - 1 and set(a.tolist()) | set(b.tolist()) == set(rep.tolist())
+    assert peak < 5e6 < 16 * n * n / 2
+
+
 def test_deduplicated(spark, rows, no_docs):
     rows = [*rows, *near_copies(20)]
     docs = documents(spark, rows)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import components, id_text, spanning_edges, stash, table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
+#: Pairs that a task holds, besides a forest of its rows, before it folds them.
+PENDING = 1 << 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -54,10 +56,13 @@ def variants(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _near(bit, key, rep, fp, distance: int):
-    """Edges among rows sorted by (bit, key): near pairs that share it, each at the first variant it shares, as spanning trees."""
+    """Edges among rows sorted by (bit, key): near pairs that share it, each at the first variant it shares, as spanning trees.
+
+    Pairs are folded into the forest so far whenever there are PENDING of them, or as many as rows: never all are held.
+    """
     n, k = len(rep), 1
     masks = [np.uint64(m) for m in segments(distance)]
-    at, a, b = np.arange(n), [], []
+    at, a, b, held = np.arange(n), [], [], 0
     while True:
         at = at[at + k < n]
         at = at[(key[at] == key[at + k]) & (bit[at] == bit[at + k])]
@@ -75,6 +80,10 @@ def _near(bit, key, rep, fp, distance: int):
         i = i[first == bit[i]]
         a.append(i)
         b.append(i + k)
+        held += len(i)
+        if held >= max(n, PENDING):
+            node, root = spanning_edges(np.concatenate(a), np.concatenate(b), n)
+            a, b, held = [node], [root], 0
         k += 1
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
