@@ -162,6 +162,48 @@ def test_tagger_learns_spans():
     assert model.marginals(s).sum(1) == pytest.approx(np.ones(len(s)), abs=1e-3)
 
 
+def test_decode_all():
+    r = np.random.default_rng(3)
+    t = Tagger(10, 9)
+    t.w["next"] = r.standard_normal((9, 9)).astype(np.float32)
+    many = [r.standard_normal((n, 9)).astype(np.float32) for n in (5, 1, 70, 5, 300, 2, 64, 1)]
+    for cells in (1, 200, 1 << 18):
+        assert all(np.array_equal(a, t.decode(b)) for a, b in zip(t.decode_all(many, cells), many, strict=True))
+    assert t.decode_all([]) == []
+
+
+def test_transitions_lift_a_span():
+    """No character is likelier within a span than outside by itself, but the path through a phone number is."""
+    t = Tagger(97, 9)
+    t.w["next"] = np.full((9, 9), -8, np.float32)
+    t.w["next"][0, :] = 0
+    t.w["next"][:, 0] = 0
+    t.w["next"][0, 8] = -8
+    t.w["next"][7, 8] = t.w["next"][8, 8] = 6
+
+    def scores(x, keep=False):
+        digit = (x >= pii.CLASS[ord("0")]) & (x <= pii.CLASS[ord("9")])
+        s = np.full((*x.shape, 9), -60, np.float32)
+        s[..., 0] = 0
+        s[..., 7:][digit] = -0.5
+        return s.transpose(1, 0, 2)
+
+    t.scores = scores
+    assert pii.added_spans(t, ["call 5551234567 now", "none"], [[], []]) == [[(5, 3, 15)], []]
+
+
+def test_rare_kinds_have_training_windows(spark, monkeypatch):
+    """One kind makes up nearly all spans, among texts and within those that have others."""
+    r = random.Random(4)
+    ips = [f"host {i} at {r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}.7 is up" for i in range(2000)]
+    rare = [f"mail x{i}@b{i}.org" + " ip 10.0.0.1" * 40 + f" call +1 (555) 123-45{i}" for i in range(10, 13)]
+    seen = []
+    monkeypatch.setattr(Tagger, "fit", lambda self, x, y, epochs: seen.append(y) or [0.0])
+    pii.train(documents(spark, [(i, t, "s") for i, t in enumerate(ips + rare)]), 80, 1)
+    y = seen[0][: len(seen[0]) // 2]
+    assert len(y) <= 80 and (y == 1).any(1).sum() == 3 and (y == 7).any(1).sum() == 3 and (y == 3).any(1).sum() >= 50
+
+
 def test_pipeline(spark, tmp_path):
     prose = junk_and_prose(160)
     base = [(i, t, f"s{i % 4}") for i, t, _ in prose]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bilstm import Tagger
-from veilspark.llm.common import id_text, table
+from veilspark.llm.common import id_text, stash, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base kinds. A run of digits that fails for ip fails from each of its digits.
@@ -102,7 +102,7 @@ def tags_of(spans, a: int, b: int) -> np.ndarray:
 
 
 def _labelled(batches):
-    """Windows of texts with their tags: of each text one with a span, and one with a digit or at sign but no span, by its hash."""
+    """Windows of texts with their tags: of each text one with a span of each kind it has (kind 1 and up), and one with a digit or at sign but no span (0), by its hash."""
     import zlib
 
     for b in batches:
@@ -111,7 +111,10 @@ def _labelled(batches):
             if not text or not TRIGGER.search(text):
                 continue
             spans, h = base_spans(text), zlib.crc32(text.encode("utf-8", "surrogatepass"))
-            picks = [(1, spans[h % len(spans)][0])] if spans else []
+            picks = []
+            for k in sorted({k for _, k, _ in spans}):
+                own = [s for s, kind, _ in spans if kind == k]
+                picks.append((k + 1, own[h % len(own)]))
             free = [r for r in regions(text) if not any(s < r[1] and e > r[0] for s, _, e in spans)]
             picks += [(0, free[h % len(free)][0])] if free else []
             for kind, at in picks:
@@ -124,11 +127,22 @@ def _labelled(batches):
 
 
 def train(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Tagger | None:
-    """A tagger fitted on at most ``windows`` windows labelled by the base patterns, the lowest hashes first; None without any."""
-    got = docs.select("text").mapInArrow(_labelled, "h long, kind int, w string, tags binary")
-    rows = []
-    for kind, share in ((1, windows * 3 // 4), (0, windows // 4)):
-        rows += got.where(F.col("kind") == kind).distinct().orderBy("h", "w", "tags").limit(share).collect() if share else []
+    """A tagger fitted on at most ``windows`` windows labelled by the base patterns, the lowest hashes of each kind first; None without any.
+
+    A quarter of them have no span. The kinds share the others equally; what a kind has too few windows for goes to those that have more.
+    """
+    got = stash(docs.select("text").mapInArrow(_labelled, "h long, kind int, w string, tags binary"), "windows")
+
+    def lowest(kind: int, share: int) -> list:
+        return got.where(F.col("kind") == kind).distinct().orderBy("h", "w", "tags").limit(share).collect() if share else []
+
+    drawn = sorted((lowest(k + 1, windows * 3 // 4) for k in range(len(KINDS))), key=len)
+    rows, left = [], windows * 3 // 4
+    for k, some in enumerate(drawn):
+        some = some[: left // (len(drawn) - k)]
+        rows += some
+        left -= len(some)
+    rows += lowest(0, windows // 4)
     if not any(r.kind for r in rows):
         return None
     r = np.random.default_rng(5)
@@ -173,12 +187,8 @@ def added_spans(model: Tagger, texts: list[str], known: list[list]) -> list[list
             total[k][s : s + n] += got[:n] * weight[:n, None]
             seen[k][s : s + n] += weight[:n]
     out: list[list] = [[] for _ in texts]
-    for (i, a, b), s, n in zip(where, total, seen):
-        s = s / n[:, None]
-        best = s.argmax(1)
-        if not best.any():
-            continue
-        path = model.decode(s)
+    total = [s / n[:, None] for s, n in zip(total, seen)]
+    for (i, a, b), s, path in zip(where, total, model.decode_all(total)):
         if not path.any():
             continue
         p = model.marginals(s)[np.arange(len(s)), path]
