@@ -17,7 +17,10 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: those that score 0.5 or more, so are likelier good than bad.
+
+    That is below ``quality.GOOD``, from which op5 predicts 1: the stage drops only what is likelier bad.
+    """
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
