@@ -133,6 +133,16 @@ def test_secrets(spark, rows):
     assert any(x.name.startswith("entropy") for r in out.values() for x in r.found)
 
 
+def test_secrets_behind_placeholders(spark):
+    key = "Zx9Qw3Er7Ty1Ui5Op2Kj8Lm4"
+    texts = [f"at sample_key={key} here", f"see example/{key}", f"{key}dummy{key}", f"EXAMPLE{key[:15]}EXAMPLE", "sample_0123-4567-8901-2345-6789-0123", f"😀 {key}"]
+    out = {r.doc_id: r for r in secrets.scan_secrets(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    n = len(key)
+    hidden = [[t[s.s:s.e] for s in out[i].found] for i, t in enumerate(texts)]
+    assert [len(x) for x in hidden] == [1, 1, 2, 0, 0, 1]
+    assert all(x.endswith(key) and len(x) <= n + 5 for k in (0, 1, 5) for x in hidden[k]) and hidden[2] == [key, key]
+
+
 def test_secrets_query_columns(spark, tmp_path, docs, no_docs):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = secrets.op3_secret_scan(spark, str(tmp_path))

@@ -68,7 +68,7 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed
     Base kinds are assign, access and hex, each leftmost and not overlapping within its kind; matches that fail their
     length are dropped. The entropy scan adds, for each run of a character class that is long enough, has a digit, touches
     no base span, lies in no entropy span of an earlier class and isn't allow-listed, the stretch from its first to its last
-    window of high entropy. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows each
+    window of high entropy. Placeholders (allow-list entries that aren't anchored) excuse only themselves: a run is cut at them, and its other parts are candidates. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows each
     get a row; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -87,11 +87,21 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed
     rows = rows.select("doc_id", *[f"m{i}" for i in range(len(gaps))], *[_spans(f"m{i}", f"g{i}", n, i).alias(f"s{i}") for i, (n, _) in enumerate(kinds + runs)])
     good = F.expr("filter(s0, (x, i) -> length(regexp_extract(m0[i], '" + ASSIGN.replace("\\", "\\\\").replace("'", "\\'") + f"', 1)) >= {ASSIGN_LEAST})")
     rows = rows.withColumn("base", F.concat(good, "s1", "s2"))
-    allow = " or ".join("rlike(m, '" + a.replace("\\", "\\\\").replace("'", "\\'") + "')" for a in allowed)
+    anchored = [a for a in allowed if a.startswith("^")] or ["(?!)"]
+    allow = " or ".join("rlike(m, '" + a.replace("\\", "\\\\").replace("'", "\\'") + "')" for a in anchored)
+    cuts = "|".join(f"(?:{a})" for a in allowed if not a.startswith("^")) or "(?!)"
+    cuts = "'" + cuts.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    parts = f"""case when not rlike(c.m, {cuts}) then array(c) else aggregate(split(c.m, {cuts}, -1),
+        named_struct('i', 0, 'at', c.x.s, 'out', filter(array(c), y -> false)),
+        (a, p) -> named_struct('i', a.i + 1, 'at', a.at + length(p) + coalesce(length(get(regexp_extract_all(c.m, {cuts}, 0), a.i)), 0), 'out', array_append(a.out, named_struct(
+            'x', named_struct('s', a.at, 'k', c.x.k, 'e', a.at + length(p), 'name', c.x.name), 'm', p))),
+        a -> a.out) end"""
+    fine = allow.replace("(m,", "(c.m,").join("()")
     have = "base"
     for i, (_, _, least) in enumerate(classes, len(kinds)):
         # candidates with their text, free of what is there already
-        ok = f"filter(zip_with(s{i}, m{i}, (x, m) -> named_struct('x', x, 'm', m)), c -> not exists({have}, b -> b.s < c.x.e and c.x.s < b.e) and rlike(c.m, '[0-9]') and not {allow.replace('(m,', '(c.m,').join('()')})"
+        ok = f"filter(zip_with(s{i}, m{i}, (x, m) -> named_struct('x', x, 'm', m)), c -> not exists({have}, b -> b.s < c.x.e and c.x.s < b.e) and rlike(c.m, '[0-9]') and not {fine})"
+        ok = f"filter(flatten(transform({ok}, c -> {parts})), c -> length(c.m) >= {window} and rlike(c.m, '[0-9]') and not {fine})"
         rows = rows.withColumn(f"c{i}", F.expr(ok))
         span = f"transform(c{i}, c -> named_struct('x', c.x, 'w', {_entropy_span('c.m', window, least)}))"
         add = f"transform(filter({span}, c -> c.w.lo is not null), c -> named_struct('s', c.x.s + c.w.lo, 'k', c.x.k, 'e', c.x.s + c.w.hi, 'name', c.x.name))"
