@@ -169,6 +169,12 @@ def test_near_vectors(spark, blocks, grid, chunk):
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in out) == want
 
 
+def test_near_vectors_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [0.9, 0.1, 0.0]), (7, [2.0]), (8, [3.0]), (9, [1.0, 0.0])]
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
+
+
 def test_near_vectors_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(none).collect() == []

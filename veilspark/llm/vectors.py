@@ -141,34 +141,36 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     into blocks. A squared distance of 2 - 2 cosine leaves some block within its proportional part, so each block is range-joined
     within that: rows go to grid cells no narrower than the radius, and meet those of the same and of adjoining cells, in chunks of
     bounded size. Candidates are verified by the cosine in double precision, and a link counts in one block only. Tasks
-    return counts and spanning trees, never all pairs. Vectors that are null, zero, of another length than most, or with null or
-    non-finite values link with nothing, nor do rows without vec_id. Repeated rows count as vectors of their own; other columns
+    return counts and spanning trees, never all pairs. Vectors of different lengths don't link; each length is joined by itself.
+    Vectors that are null, empty, zero, or with null or non-finite values link with nothing, nor do rows without vec_id. Repeated rows count as vectors of their own; other columns
     are ignored; an empty table gives no rows.
     """
     e = F.col("embedding")
-    size = vectors.where("embedding is not null and size(embedding) > 0").groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = size["d"] if size else 0
-    sound = (F.size(e) == dim) & F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)") & F.col("vec_id").isNotNull()
+    sound = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)") & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), e).alias("e"))
-    whole = stash(rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    second = whole.select("e").mapInArrow(_moments, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    done = rows.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
-    if second:
-        grid = Grid(np.array([r.v for r in second]).reshape(dim, dim), cosine, blocks, grid_dims)
-        counts = whole.select("e").mapInArrow(_counted(grid), "b long, cell long, n long").groupBy("b", "cell").agg(F.sum("n").alias("n")).collect()  # at most blocks * 129 ** grid_dims cells
-        chunks = {(r.b, r.cell): -(-r.n // chunk) for r in counts}
-        kind = dict(whole.dtypes)["e"]
-        dealt = whole.mapInArrow(_dealt(grid, chunks), f"b long, lo long, hi long, i long, j long, side long, rep long, n long, e {kind}")
-        found = stash(dealt.groupBy("b", "lo", "hi", "i", "j").applyInArrow(_compared(grid, cosine), "a long, links long, b long"), "links")
-        links = found.where("b is null").groupBy(F.col("a").alias("at")).agg(F.sum("links").alias("links"))
-        comp = components(found.where("b is not null").select("a", "b"))
-        of = whole.join(links, F.col("rep") == F.col("at"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-        of = of.select(F.col("e").alias("k"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        done = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        done = done.unionAll(rows.where("e is not null").join(of, F.col("e") == F.col("k")).select("vec_id", "n_links", "component_id"))
+    done = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for r in rows.where("e is not null").select(F.size("e").alias("d")).distinct().orderBy("d").collect():  # a row per length
+        done = done.unionAll(_linked(rows.where(F.size("e") == r.d), r.d, cosine, blocks, grid_dims, chunk))
     return done.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _linked(rows: DataFrame, dim: int, cosine: float, blocks: int, grid_dims: int, chunk: int) -> DataFrame:
+    """vec_id, n_links, component_id for every row of ``rows`` (vec_id, e), sound vectors of ``dim`` components."""
+    whole = stash(rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    second = whole.select("e").mapInArrow(_moments, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    grid = Grid(np.array([r.v for r in second]).reshape(dim, dim), cosine, blocks, grid_dims)
+    counts = whole.select("e").mapInArrow(_counted(grid), "b long, cell long, n long").groupBy("b", "cell").agg(F.sum("n").alias("n")).collect()  # at most blocks * 129 ** grid_dims cells
+    chunks = {(r.b, r.cell): -(-r.n // chunk) for r in counts}
+    kind = dict(whole.dtypes)["e"]
+    dealt = whole.mapInArrow(_dealt(grid, chunks), f"b long, lo long, hi long, i long, j long, side long, rep long, n long, e {kind}")
+    found = stash(dealt.groupBy("b", "lo", "hi", "i", "j").applyInArrow(_compared(grid, cosine), "a long, links long, b long"), "links")
+    links = found.where("b is null").groupBy(F.col("a").alias("at")).agg(F.sum("links").alias("links"))
+    comp = components(found.where("b is not null").select("a", "b"))
+    of = whole.join(links, F.col("rep") == F.col("at"), "left").join(comp, F.col("rep") == F.col("node"), "left")
+    of = of.select(F.col("e").alias("k"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(of, F.col("e") == F.col("k")).select("vec_id", "n_links", "component_id")
+
+
 ORACLE = """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings where len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
