@@ -74,13 +74,13 @@ def test_report_and_redaction(spark):
     found = detect.with_detections(df, "t")
     lines = [tuple(r) for r in detect.report(found, "id").orderBy("id", "line_no").collect()]
     assert lines == [(1, 0, "Email at characters 5-11"), (1, 1, "IP address at characters 16-24"), (2, 0, "No supported PII detected")]
-    assert [r[0] for r in found.orderBy("id").select(detect.redacted(found, "t")).collect()] == ["mail [email] now [ip]", "clean"]
+    assert [r[0] for r in found.orderBy("id").select(detect.redacted("t")).collect()] == ["mail [email] now [ip]", "clean"]
 
 
 def test_redaction_beyond_the_bmp(spark):
     df = spark.createDataFrame([(1, "😀 mail a@b.co 😀😀 now 10.0.0.1 end 😀"), (2, "😀a@b.co"), (3, "😀 clean"), (4, None)], "id long, t string")
     found = detect.with_detections(df, "t")
-    got = [r[0] for r in found.orderBy("id").select(detect.redacted(found, "t")).collect()]
+    got = [r[0] for r in found.orderBy("id").select(detect.redacted("t")).collect()]
     assert got == ["😀 mail [email] 😀😀 now [ip] end 😀", "😀[email]", "😀 clean", None]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -9,8 +12,6 @@ from pyspark.sql import functions as F
 
 # Weights of a PESEL's first ten digits.
 PESEL_WEIGHTS = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)
-#: First digits of the scripts whose digits count as digits besides ASCII.
-ZEROS = (0x0660, 0x06F0, 0x0966, 0x09E6, 0xFF10)
 MARKS = "[\\u0300-\\u036f]"
 
 
@@ -19,10 +20,16 @@ def utf16_length(c: Column) -> Column:
     return F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """The decimal digits of all scripts but ASCII, and their values."""
+    other = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(other), "".join(str(unicodedata.digit(c)) for c in other)
+
+
 def ascii_digits(c: Column) -> Column:
-    """The digits of ``c``, as ASCII."""
-    other = "".join(chr(z + d) for z in ZEROS for d in range(10))
-    return F.regexp_replace(F.translate(c, other, "0123456789" * len(ZEROS)), "[^0-9]", "")
+    """The decimal digits of ``c``, of any script, as ASCII."""
+    return F.regexp_replace(F.translate(c, *_digits()), "[^0-9]", "")
 
 
 def luhn_valid(digits: Column) -> Column:
@@ -51,14 +58,27 @@ def _folds() -> tuple[str, str]:
 FOLDS = _folds()
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def fold(c: Column) -> Column:
     """``c`` without case and accents, code point by code point: positions stay."""
-    return F.lower(F.translate(c, *FOLDS))
+    return F.lower(F.when(is_ascii(c), c).otherwise(F.translate(c, *FOLDS)))
 
 
 def fold_away(c: Column) -> Column:
     """``c`` folded and without combining marks, for comparing."""
-    return F.regexp_replace(fold(c), MARKS, "")
+    return without_marks(fold(c))
+
+
+def without_marks(c: Column) -> Column:
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, MARKS, ""))
+
+
+def folded_away(phrase: str) -> str:
+    """``fold_away`` of a constant."""
+    return re.sub(MARKS, "", phrase.translate(dict(zip(map(ord, FOLDS[0]), FOLDS[1]))).lower())
 
 
 def trimmed(c: Column) -> Column:

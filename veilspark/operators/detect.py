@@ -5,39 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import let, scan
 from veilspark.functions.kinds import LABEL, PATTERN, PRIORITY, TRIGGER
-from veilspark.functions.text import MARKS, ascii_digits, fold, ipv4_valid, luhn_valid, pesel_valid, utf16_length
+from veilspark.functions.text import MARKS, ascii_digits, fold, fold_away, folded_away, ipv4_valid, luhn_valid, pesel_valid, utf16_length, without_marks
 
 SPAN = "struct<start:int,lessLength:int,lessPriority:int,end:int,kind:string,value:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
 
-def _matches(df: DataFrame, text: str, name: str, pattern: Column, when: Column | None = None) -> DataFrame:
+def _matches(df: DataFrame, text: str, name: str, pattern: Column, when: Column) -> DataFrame:
     """``df`` with the matches of a pattern and the gaps between them as arrays: each pattern runs over a text once or twice."""
     none = F.expr("cast(array() as array<string>)")
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    df = df.withColumn(f"_m_{name}", F.coalesce(found if when is None else F.when(when, found).otherwise(none), none))
+    df = df.withColumn(f"_m_{name}", F.coalesce(F.when(when, found), none))
     return df.withColumn(f"_g_{name}", F.when(F.size(f"_m_{name}") > 0, F.split(text, pattern, -1)).otherwise(none))
 
 
-def _placed(name: str, kind: str, valid=None, original: Column | None = None) -> Column:
-    """Spans of the matches from running UTF-16 lengths of gaps and matches, those that aren't valid left out.
+def _placed(m: Column, g: Column, kind: str, original: Column | None = None) -> Column:
+    """Spans of the matches ``m`` from running UTF-16 lengths of gaps ``g`` and matches.
 
     Values are taken from ``original``, where what was matched is a copy of it with other characters in the same places.
     """
-    m, g = F.col(f"_m_{name}"), F.col(f"_g_{name}")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("chars"), F.expr(NONE).alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("chars"))
 
-    def step(a: Column, v: Column) -> Column:
+    def step(a: Column, v: Column) -> tuple[Column, Column]:
         gap = F.get(g, a["i"])
-        s, c = a["at"] + utf16_length(gap), a["chars"] + F.length(gap)
-        n = utf16_length(v)
+        s, c, n = a["at"] + utf16_length(gap), a["chars"] + F.length(gap), utf16_length(v)
         value = v if original is None else F.substring(original, c + 1, F.length(v))
         span = F.struct(s.alias("start"), (-n).alias("lessLength"), F.lit(-PRIORITY[kind]).alias("lessPriority"), (s + n).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct((a["i"] + 1).alias("i"), (s + n).alias("at"), (c + F.length(v)).alias("chars"), F.array_append(a["out"], span).alias("out"))
+        return F.struct((a["i"] + 1).alias("i"), (s + n).alias("at"), (c + F.length(v)).alias("chars")), F.array(span)
 
-    spans = F.when(F.size(m) == 0, F.expr(NONE)).otherwise(F.aggregate(m, start, step, lambda a: a["out"]))
-    return spans if valid is None else F.filter(spans, valid)
+    return F.when(F.size(m) == 0, F.expr(NONE)).otherwise(scan(m, start, step, SPAN))
 
 
 VALID = {
@@ -47,44 +45,60 @@ VALID = {
 }
 
 
-def with_candidates(df: DataFrame, text: str, kinds=tuple(PATTERN), phrases=(), validate: bool = True) -> DataFrame:
-    """``df`` with ``candidates``: spans of the enabled kinds and phrases, unresolved. Kinds that are off never run."""
-    names, out = [], []
+def with_candidates(df: DataFrame, text: str, kinds: Column | tuple = tuple(PATTERN), phrases: Column | tuple = (), validate: bool = True) -> DataFrame:
+    """``df`` with ``candidates``: spans of the enabled kinds and phrases, unresolved. Kinds that are off never run.
+
+    Kinds and phrases are the same for all rows, or columns of arrays, so that each row has those of its own settings; null arrays hold nothing.
+    """
+    own = isinstance(kinds, Column)
+    out = []
     df = df.withColumn("_may", F.col(text).rlike(TRIGGER))
-    for kind in kinds:
-        if kind in PATTERN:
-            df = _matches(df, text, kind, F.lit(PATTERN[kind]), F.col("_may"))
-            names.append(kind)
-            out.append(_placed(kind, kind, VALID.get(kind) if validate else None))
-    if "custom" in kinds and any(phrases):
+    for kind in PATTERN:
+        if own or kind in kinds:
+            df = _matches(df, text, kind, F.lit(PATTERN[kind]), F.col("_may") & F.array_contains(kinds, kind) if own else F.col("_may"))
+            found = _placed(F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), kind)
+            out.append(F.filter(found, VALID[kind]) if validate and kind in VALID else found)
+    if isinstance(phrases, Column) or (any(phrases) and (own or "custom" in kinds)):
         # folding keeps positions; combining marks after a letter belong to it
-        df = df.withColumn("_folded", fold(F.col(text)))
-        for i, phrase in enumerate(p for p in phrases if p):
-            df = _matches(df, "_folded", f"phrase{i}", F.lit(phrase_pattern(phrase)))
-            names.append(f"phrase{i}")
-            out.append(_placed(f"phrase{i}", "custom", original=F.col(text)))
+        df = df.withColumn("_folded", fold(F.col(text))).withColumn("_plain", without_marks(F.col("_folded")))
+        found = _phrase_spans(F.col(text), F.col("_folded"), F.col("_plain"), phrases)
+        on = F.array_contains(kinds, "custom") if own else F.lit("custom" in kinds)
+        out.append(F.coalesce(F.when(on, found), F.expr(NONE)))
     df = df.withColumn("candidates", F.coalesce(F.concat(*out) if out else F.expr(NONE), F.expr(NONE)))
-    return df.drop("_may", "_folded", *[f"_{x}_{n}" for n in names for x in "mg"])
+    return df.drop("_may", "_folded", "_plain", *[f"_{x}_{kind}" for kind in PATTERN for x in "mg"])
+
+
+def _phrase_spans(text: Column, folded: Column, plain: Column, phrases: Column | tuple) -> Column:
+    """Spans of every phrase. One that isn't in the text without marks costs a search for a constant; the others' patterns give the places."""
+    if isinstance(phrases, Column):
+        known = F.transform(phrases, lambda p: let(fold_away(p), lambda f: F.struct(f.alias("plain"), _quoted(f).alias("pattern"))))
+    else:
+        pairs = [(f, "".join(f"\\Q{c}\\E{MARKS}*" for c in f)) for f in map(folded_away, phrases) if f]
+        known = F.array(*[F.struct(F.lit(f).alias("plain"), F.lit(p).alias("pattern")) for f, p in pairs]) if pairs else F.expr("cast(array() as array<struct<plain:string,pattern:string>>)")
+    hit = F.filter(known, lambda p: (p["plain"] != "") & F.contains(plain, p["plain"]))
 
+    def found(p: Column) -> Column:
+        both = F.struct(F.regexp_extract_all(folded, p["pattern"], F.lit(0)).alias("m"), F.split(folded, p["pattern"], -1).alias("g"))
+        return let(both, lambda x: _placed(x["m"], x["g"], "custom", original=text))
 
-def phrase_pattern(phrase: str) -> str:
-    import unicodedata
+    return F.flatten(F.transform(hit, found))
 
-    plain = [c for c in unicodedata.normalize("NFD", phrase).lower() if not unicodedata.category(c) == "Mn"]
-    return "".join(("\\" + c if not c.isalnum() and c.isascii() and not c.isspace() else c) + MARKS + "*" for c in plain)
+
+def _quoted(c: Column) -> Column:
+    """A pattern of the characters of ``c``, each with any marks behind it."""
+    return F.regexp_replace(c, "(?s)(.)", F.lit("\\\\Q$1\\\\E" + MARKS.replace("\\", "\\\\") + "*"))
 
 
 def resolved(candidates: Column) -> Column:
     """Of spans in order of start, then longest, then priority, those that touch no span kept before."""
-    start = F.struct(F.lit(-1).alias("end"), F.expr(NONE).alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        return F.when(x["start"] >= a["end"], F.struct(x["end"].alias("end"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        free = x["start"] >= end
+        return F.when(free, x["end"]).otherwise(end), F.when(free, F.array(x)).otherwise(F.expr(NONE))
 
-    return F.when(F.size(candidates) == 0, F.expr(NONE)).otherwise(F.aggregate(F.array_sort(candidates), start, step, lambda a: a["kept"]))
+    return F.when(F.size(candidates) == 0, F.expr(NONE)).otherwise(scan(F.array_sort(candidates), F.lit(-1), step, SPAN))
 
 
-def with_detections(df: DataFrame, text: str, kinds=tuple(PRIORITY), phrases=()) -> DataFrame:
+def with_detections(df: DataFrame, text: str, kinds: Column | tuple = tuple(PRIORITY), phrases: Column | tuple = ()) -> DataFrame:
     """``df`` with ``detections``: an array of spans (start, end in UTF-16 code units, kind, value). Null text has none."""
     return with_candidates(df, text, kinds, phrases).withColumn("detections", resolved(F.col("candidates"))).drop("candidates")
 
@@ -106,20 +120,15 @@ def report(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def redacted(df: DataFrame, text: str) -> Column:
+def redacted(text: str) -> Column:
     """``text`` with every detection replaced by its kind in brackets, cut by UTF-16 code units as spans count them."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def piece(units: Column, at: Column, n: Column) -> Column:
-        return F.decode(F.substring(units, 2 * at + 1, 2 * n), "UTF-16BE")
+    def piece(units: Column, at: Column, end: Column) -> Column:
+        return F.decode(F.substring(units, 2 * at + 1, 2 * (end - at)), "UTF-16BE")
 
     def masked(units: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            gap = piece(units, a["at"], x["start"] - a["at"])
-            return F.struct(x["end"].alias("at"), F.concat(a["out"], gap, F.lit("["), x["kind"], F.lit("]")).alias("out"))
-
-        return F.aggregate("detections", start, step, lambda a: F.concat(a["out"], piece(units, a["at"], F.octet_length(units))))
+        spans = F.col("detections")
+        before = F.transform(spans, lambda x, i: F.concat(piece(units, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), x["start"]), F.lit("["), x["kind"], F.lit("]")))
+        return F.concat(F.array_join(before, ""), piece(units, F.element_at(spans, -1)["end"], F.octet_length(units)))
 
-    # an array of one, so that a text is encoded once
-    once = F.get(F.transform(F.array(F.encode(F.col(text), "UTF-16BE")), masked), F.lit(0))
-    return F.when(F.size("detections") == 0, F.col(text)).otherwise(once)
+    # bound, so that a text is encoded once
+    return F.when(F.size("detections") == 0, F.col(text)).otherwise(let(F.encode(F.col(text), "UTF-16BE"), masked))

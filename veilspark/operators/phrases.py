@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import fold_away, trimmed
@@ -39,5 +39,15 @@ def edited(phrases: Column, raw: Column, index: Column | None = None) -> Column:
 
 
 def removed(phrases: Column, index: Column) -> Column:
-    """``phrases`` without the one at a 0-based index, if there is one."""
-    return F.filter(phrases, lambda p, i: i != index)
+    """``phrases`` without the one at a 0-based index, if there is one; a null index removes none."""
+    return F.filter(phrases, lambda p, i: ~i.eqNullSafe(index))
+
+
+def persisted(dictionaries: DataFrame, edits: DataFrame, owner: str) -> DataFrame:
+    """``dictionaries`` (owner, phrases) after ``edits`` (owner, outcome as of ``edited``): only outcomes that changed something are stored.
+
+    ``notified`` is true for those, and for no other. An owner has one edit at most; edits of unknown owners are ignored.
+    """
+    new = edits.where("outcome.status = 'changed'").select(owner, F.col("outcome.phrases").alias("_new"))
+    both = dictionaries.join(new, owner, "left")
+    return both.select(owner, F.coalesce("_new", "phrases").alias("phrases"), F.col("_new").isNotNull().alias("notified"))

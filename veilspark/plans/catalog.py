@@ -88,7 +88,7 @@ def q_kind_counts(t):
     return detect.spans(_detected(t), "doc_id").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(f"{DET} select d.source, array_to_string(list_sort(list(distinct case kind when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' when 'ip' then 'IP address' end)), ', ') as kinds, count(*) as n from det join documents d on d.doc_id = det.id group by d.source")
+@query(f"{DET} select d.source, array_to_string(list_sort(list(distinct {oracle.LABELS})), ', ') as kinds, count(*) as n from det join documents d on d.doc_id = det.id group by d.source")
 def q_kinds_per_source(t):
     df = detect.with_detections(t("documents").select("source", "text"), "text")
     rows = df.select("source", F.explode_outer("detections.kind").alias("kind")).where("kind is not null")
@@ -121,16 +121,69 @@ def q_phrase_hits(t):
     return _doc_spans(t, ("custom",), PHRASES).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""{DET} select doc_id, coalesce(r.out, text) as redacted from documents left join (
-    select id, (string_agg(gap || '[' || kind || ']', '' order by "start")) || max_by(tail, "start") as out from (
-        select det.*, d.text[coalesce(lag("end") over (partition by id order by "start"), 0) + 1:"start"] as gap, d.text["end" + 1:] as tail from det join documents d on d.doc_id = det.id)
-    group by id) r on r.id = doc_id""")
+def _redaction_sql(docs: str) -> str:
+    """(doc_id, redacted) of ``docs`` (doc_id, text) and its det."""
+    return f"""select doc_id, coalesce(r.out, text) as redacted from {docs} left join (
+        select id, (string_agg(gap || '[' || kind || ']', '' order by c0)) || max_by(tail, c0) as out from (
+            select det.*, d.text[coalesce(lag(c1) over (partition by id order by c0), 0) + 1:c0] as gap, d.text[c1 + 1:] as tail from det join {docs} d on d.doc_id = det.id)
+        group by id) r on r.id = doc_id"""
+
+
+@query(f"{DET} {_redaction_sql('documents')}")
 def q_redacted_text(t):
-    return _detected(t).select("doc_id", detect.redacted(_detected(t), "text").alias("redacted"))
+    return _detected(t).select("doc_id", detect.redacted("text").alias("redacted"))
+
+
+# texts with characters beyond U+FFFF, and numbers in digits of other scripts
+ODD = "select doc_id, case doc_id % 3 when 0 then '😀 ' || text || ' 👍🏽 mail a@b.example.com' when 1 then 'tel +٤٨ ١٢٣ ٤٥٦ ٧٨٩ 😀 card ٤٢٤٢ ٤٢٤٢ ٤٢٤٢ ٤٢٤٢, id ４４０５１４０１４５８ or 44051401458, ip 10.0.0.١ ' || text else text end as text from documents"
+ODD_DET = f"with recursive odd as ({ODD}), " + oracle.detections_ctes("select doc_id as id, text as t from odd")
+
+
+def _odd_texts(t):
+    k = F.col("doc_id") % 3
+    first = F.concat(F.lit("😀 "), "text", F.lit(" 👍🏽 mail a@b.example.com"))
+    second = F.concat(F.lit("tel +٤٨ ١٢٣ ٤٥٦ ٧٨٩ 😀 card ٤٢٤٢ ٤٢٤٢ ٤٢٤٢ ٤٢٤٢, id ４４０５１４０１４５８ or 44051401458, ip 10.0.0.١ "), "text")
+    return t("documents").select("doc_id", F.when(k == 0, first).when(k == 1, second).otherwise(F.col("text")).alias("text"))
+
+
+@query(f'{ODD_DET} select id as doc_id, "start", "end", kind, value from det')
+def q_utf16_offsets(t):
+    return detect.spans(detect.with_detections(_odd_texts(t), "text"), "doc_id")
+
+
+@query(f"{ODD_DET} {_redaction_sql('odd')}")
+def q_redacted_odd_text(t):
+    return detect.with_detections(_odd_texts(t), "text").select("doc_id", detect.redacted("text").alias("redacted"))
+
+
+@query(f"with odd as ({ODD}), src as (select doc_id as id, text as t from odd) select id as doc_id, \"start\", \"end\", kind, value from ({oracle.candidates_sql('src', ('pesel',))}) as c")
+def q_pesel_found(t):
+    return detect.spans(detect.with_candidates(_odd_texts(t), "text", ("pesel",)), "doc_id", "candidates")
+
+
+@query("with recursive " + oracle.detections_ctes("select conv_id * 1000 + turn as id, text || ' (from user' || conv_id || '@chat.example.com)' as t from conversations") + ' select id as turn_id, "start", "end", kind, value from det')
+def q_turn_detections(t):
+    signed = F.concat("text", F.lit(" (from user"), F.col("conv_id").cast("string"), F.lit("@chat.example.com)"))
+    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), signed.alias("text"))
+    return detect.spans(detect.with_detections(turns, "text"), "turn_id")
+
+
+# each document under the settings of its own source: kinds that are on, and phrases
+OWN = "select doc_id as id, text as t, case doc_id % 4 when 0 then ['email', 'ip', 'custom'] when 1 then ['phone', 'card', 'pesel', 'custom'] when 2 then ['custom'] else ['email', 'phone', 'card', 'pesel', 'ip'] end as kinds, case when doc_id % 2 = 0 then ['thtion'] else ['Élle', ''] end as phr from documents"
+
+
+@query(f"""with recursive own as ({OWN}), src as (select id, t from own), cand0 as ({oracle.candidates_sql('src', tuple(PATTERN))} union all {oracle.phrase_sql('thtion', '(select id, t from own where id % 2 = 0)')} union all {oracle.phrase_sql('Élle', '(select id, t from own where id % 2 = 1)')}),
+    cand as (select c.* from cand0 c join own using (id) where list_contains(kinds, kind)), {oracle.resolved_ctes()} select id as doc_id, "start", "end", kind, value from det""")
+def q_own_detections(t):
+    k = F.col("doc_id") % 4
+    kinds = F.when(k == 0, F.array(*map(F.lit, ("email", "ip", "custom")))).when(k == 1, F.array(*map(F.lit, ("phone", "card", "pesel", "custom")))).when(k == 2, F.array(F.lit("custom"))).otherwise(F.array(*map(F.lit, ("email", "phone", "card", "pesel", "ip"))))
+    words = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("thtion"))).otherwise(F.array(F.lit("Élle"), F.lit("")))
+    rows = t("documents").select("doc_id", "text", kinds.alias("kinds"), words.alias("phrases"))
+    return detect.spans(detect.with_detections(rows, "text", F.col("kinds"), F.col("phrases")), "doc_id")
 
 
 @query(f"""{DET} select doc_id, coalesce(row_number() over (partition by doc_id order by "start") - 1, 0) as line_no,
-    coalesce(case kind when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' when 'ip' then 'IP address' end
+    coalesce({oracle.LABELS}
     || ' at characters ' || "start" || '-' || "end", 'No supported PII detected') as line from documents left join det on det.id = doc_id""")
 def q_report_lines(t):
     return detect.report(_detected(t), "doc_id")
@@ -555,7 +608,7 @@ def q_settings_upsert(t):
     return prefs.upserted(old, old.where("owner % 3 = 0").withColumn("value", F.lit("new")), ["owner", "key"])
 
 
-@query(f"{DET} select id as doc_id, 'PII detected in ' || source || ' · ' || array_to_string(list_sort(list(distinct case kind when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' when 'ip' then 'IP address' end)), ', ') as reason from det join documents on doc_id = id group by 1, source")
+@query(f"{DET} select id as doc_id, 'PII detected in ' || source || ' · ' || array_to_string(list_sort(list(distinct {oracle.LABELS})), ', ') as reason from det join documents on doc_id = id group by 1, source")
 def q_detected_reason(t):
     df = detect.with_detections(t("documents").select("doc_id", "source", "text"), "text").select("doc_id", "source", F.col("detections.kind").alias("kinds")).where(F.size("kinds") > 0)
     return df.select("doc_id", bursts.detected_reason(F.col("source"), F.col("kinds")).alias("reason"))
