@@ -84,6 +84,33 @@ def test_redaction_beyond_the_bmp(spark):
     assert got == ["😀 mail [email] 😀😀 now [ip] end 😀", "😀[email]", "😀 clean", None]
 
 
+def test_masking_against_plain_python(spark):
+    r = random.Random(31)
+    bits = ["😀", "a@b.co", " ", "é", "10.0.0.1", "x", "👍🏽", "+48 123 456 789", ". "]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 14)))) for i in range(400)]
+    for x in detect.with_detections(spark.createDataFrame(rows, "id long, t string"), "t").withColumn("masked", detect.redacted("t")).collect():
+        units, out, at = x.t.encode("utf-16-be"), b"", 0
+        for d in x.detections:
+            assert units[2 * d.start : 2 * d.end].decode("utf-16-be") == d.value
+            out += units[2 * at : 2 * d.start] + f"[{d.kind}]".encode("utf-16-be")
+            at = d.end
+        assert x.masked == (out + units[2 * at :]).decode("utf-16-be")
+
+
+def test_many_matches_in_a_text(spark):
+    """More matches than a block holds, and in time that doesn't grow with their square."""
+    n = 30_000
+    (r,) = detect.with_detections(spark.range(1).select(F.lit("😀 a@b.co " * n).alias("t")), "t").select(F.size("detections").alias("n"), F.element_at("detections", -1).alias("last"), F.length(detect.redacted("t")).alias("m")).collect()
+    assert (r.n, r.last.start, r.last.end, r.m) == (n, 10 * (n - 1) + 3, 10 * (n - 1) + 9, 10 * n)
+
+
+def test_settings_of_each_row(spark):
+    rows = [(1, "NIGHTJAR a@b.co 10.0.0.1 café", ["email"], ["nightjar"]), (2, "NIGHTJAR a@b.co Cafe\u0301.", ["custom"], ["nightjar", "CAFÉ", "", None, "a.b"]), (3, "a@b.co", None, None), (4, "x\\y [z]", ["custom"], ["x\\Y", "[Z]"]), (5, None, ["email"], [])]
+    df = spark.createDataFrame(rows, "id long, t string, kinds array<string>, phrases array<string>")
+    out = {r.id: [(x.kind, x.value) for x in r.detections] for r in detect.with_detections(df, "t", F.col("kinds"), F.col("phrases")).collect()}
+    assert out == {1: [("email", "a@b.co")], 2: [("custom", "NIGHTJAR"), ("custom", "Cafe\u0301")], 3: [], 4: [("custom", "x\\y"), ("custom", "[z]")], 5: []}
+
+
 EDITS = [
     (["Café"], " CAFE ", None, "duplicate", ["Café"]),
     (["Nightjar", "Café"], "NIGHTJAR", 1, "duplicate", ["Nightjar", "Café"]),
@@ -103,10 +130,17 @@ def test_phrase_edits(spark):
     assert {r.id: (r.x.status, r.x.phrases) for r in out} == {i: (e[3], e[4]) for i, e in enumerate(EDITS)}
     gone = df.select("id", phrases.removed(F.col("p"), F.lit(1)).alias("p")).collect()
     assert {r.id: r.p for r in gone} == {i: [x for j, x in enumerate(e[0]) if j != 1] for i, e in enumerate(EDITS)}
+    assert [r.p for r in df.orderBy("id").select(phrases.removed(F.col("p"), F.lit(None).cast("int")).alias("p")).collect()] == [e[0] for e in EDITS]
+
+
+def test_only_changes_are_stored(spark):
+    kept = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["c"])], "o long, phrases array<string>")
+    edits = kept.where("o < 3").select("o", phrases.edited(F.col("phrases"), F.when(F.col("o") == 1, "A").otherwise("new")).alias("outcome"))
+    assert sorted(map(tuple, phrases.persisted(kept, edits, "o").collect())) == [(1, ["a"], False), (2, ["b", "new"], True), (3, ["c"], False)]
 
 
 def test_checksums(spark):
-    df = spark.createDataFrame([("44051401458", True), ("44051401459", False), ("1", False), ("٤٤٠٥١٤٠١٤٥٨", True)], "v string, ok boolean")
+    df = spark.createDataFrame([("44051401458", True), ("44051401459", False), ("1", False), ("٤٤٠٥١٤٠١٤٥٨", True), ("𝟒𝟒𝟎𝟓𝟏𝟒𝟎𝟏𝟒𝟓𝟖", True), ("๔๔๐๕๑๔๐๑๔๕๘", True)], "v string, ok boolean")
     assert all(r.ok == r.got for r in df.withColumn("got", fn.pesel_valid(fn.ascii_digits(F.col("v")))).collect())
     ips = spark.createDataFrame([("1.2.3.4", True), ("256.1.1.1", False), ("1.2.3", False), ("١.2.3.4", False)], "v string, ok boolean")
     assert all(r.ok == r.got for r in ips.withColumn("got", fn.ipv4_valid(F.col("v"))).collect())
@@ -126,5 +160,8 @@ def test_settings(spark):
     out = {r.owner: r for r in prefs.settings(spark.createDataFrame(rows, "owner string, key string, value string"), "owner").collect()}
     assert (out["a"].delay_seconds, out["a"].clear_mode, out["b"].clear_mode, out["b"].fps) == (5.0, "safe", "balanced", 10)
     assert "email" not in out["a"].kinds and len(out["a"].kinds) == 5 and len(out["b"].kinds) == 6
+    own = spark.createDataFrame(rows + [("a", "customPhrases", '["x", "é y"]'), ("b", "customPhrases", "oops")], "owner string, key string, value string")
+    out = {r.owner: r for r in prefs.settings(own, "owner", spark.createDataFrame([("a",), ("c",), ("c",)], "owner string")).collect()}
+    assert sorted(out) == ["a", "c"] and out["a"].phrases == ["x", "é y"] and (out["c"].clear_mode, out["c"].phrases, len(out["c"].kinds)) == ("balanced", [], 6)
     new = prefs.upserted(spark.createDataFrame(rows, "owner string, key string, value string"), spark.createDataFrame([("a", "clearMode", "quick")], "owner string, key string, value string"), ["owner", "key"])
     assert new.count() == 5 and new.where("value = 'quick'").count() == 1

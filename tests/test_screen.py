@@ -54,4 +54,59 @@ def test_captured_apps(spark):
 
 def test_preorder(spark):
     rows = tree(1, 1, 1, [(1, None, None, "a", None, 0.0), (2, 1, None, "b", None, 0.0), (4, 2, False, "c", None, 0.0), (5, 4, None, "d", None, 0.0), (3, 1, None, "e", None, 0.0)])
-    assert [r.elem_id for r in screen.traversed(spark.createDataFrame(rows, EL)).orderBy("path").collect()] == [1, 2, 4, 3]
+    assert [r.elem_id for r in screen.traversed(spark.createDataFrame(rows, EL)).orderBy("visit").collect()] == [1, 2, 4, 3]
+
+
+def walk_rows(seed, n=300):
+    """Random forests with repeated elements, invisible ones, elements without a parent in the window and cycles."""
+    import random
+
+    r, rows = random.Random(seed), []
+    for pid in (1, 2, 3):
+        for i in range(n):
+            e = r.randrange(n) if r.random() < 0.1 else i
+            rows.append((1, pid, r.randint(1, 2), e, None if r.random() < 0.05 else r.randrange(n), r.randint(0, 5), r.random() > 0.1, f"v{e}", None, None, None, 0.0))
+    return rows
+
+
+def test_walks_agree(spark):
+    """One task per application, joins per level, and plain Python."""
+    rows = walk_rows(7)
+    df = spark.createDataFrame(rows, EL)
+    want = {}
+    for pid in (1, 2, 3):
+        n = 0
+        for w in (1, 2):
+            mine, nodes = sorted((x for x in rows if x[1] == pid and x[2] == w), key=lambda x: (x[5], x[3], x[4] is not None, x[4] or 0)), {}
+            for x in sorted(mine, key=lambda x: (x[5], x[4] is not None, x[4] or 0)):
+                nodes.setdefault(x[3], x)
+
+            def visit(x):
+                nonlocal n
+                n += 1
+                want[pid, w, x[3]] = n
+                if x[6]:
+                    for y in sorted((y for y in nodes.values() if y[4] == x[3] and y[3] != x[3]), key=lambda y: (y[5], y[3])):
+                        visit(y)
+
+            for x in sorted((x for x in nodes.values() if x[4] is None), key=lambda x: (x[5], x[3])):
+                visit(x)
+    for held in (1 << 20, 10):
+        got = screen.traversed(df, 1 << 20, held)
+        assert {(r.pid, r.window_id, r.elem_id): r.visit for r in got.collect()} == want
+    few = screen.traversed(df, 20).select("pid", "visit").distinct().groupBy("pid").count().collect()
+    assert len(want) > 60 and all(r["count"] <= 20 for r in few)
+
+
+def test_walk_ends_on_cycles(spark):
+    rows = tree(1, 1, 1, [(1, None, None, "a", None, 0.0), (2, 1, None, "b", None, 0.0), (1, 2, None, "again", None, 0.0), (3, 4, None, "c", None, 0.0), (4, 3, None, "d", None, 0.0)])
+    for held in (100, 1):
+        assert sorted((r.elem_id, r.value) for r in screen.traversed(spark.createDataFrame(rows, EL), 50, held).collect()) == [(1, "a"), (1, "again"), (2, "b")]
+    assert screen.traversed(spark.createDataFrame([], EL)).collect() == []
+
+
+def test_typed_attributes(spark):
+    df = spark.createDataFrame([(("point", 1.0, 2.0), ("size", 3.0, 4.0)), (("size", 1.0, 2.0), ("size", 3.0, 4.0)), (None, ("size", 3.0, 4.0)), (("point", 1.0, None), ("size", 3.0, 4.0))], "p struct<type:string,a:double,b:double>, s struct<type:string,a:double,b:double>")
+    assert [r.f and tuple(r.f) for r in df.select(screen.frame_of(F.col("p"), F.col("s")).alias("f")).collect()] == [(1.0, 2.0, 3.0, 4.0), None, None, None]
+    text = spark.createDataFrame([(("string", "x"),), (("number", "5"),), (None,)], "a struct<type:string,value:string>")
+    assert [r.t for r in text.select(screen.text_of(F.col("a")).alias("t")).collect()] == ["x", None, None]

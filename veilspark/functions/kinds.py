@@ -24,8 +24,8 @@ PATTERN = {
     "pesel": r"(?U)(?<!\d)\d{11}(?!\d)",
     "ip": r"(?U)(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])",
 }
-#: Every pattern needs one of these, so texts without them are passed over.
-TRIGGER = r"(?U)[\d@]"
+#: What a match of any kind but email has in it: texts without are passed over. An email has an at sign.
+NUMERIC = r"(?U)\d[\d ().-]{5,}\d"
 
 
 def kind_table(spark: SparkSession) -> DataFrame:

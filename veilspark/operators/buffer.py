@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import saturating_multiply
+from veilspark.operators.gate import WAITING
 
 BUDGET = 256 * 1024 * 1024
 
@@ -26,32 +29,64 @@ def buffer_policy(width: Column, height: Column, delay: Column, fps: Column, bud
 RELEASED = "admitted boolean, released_seq long"
 
 
+class Buffer:
+    """The delayed frames of one stream: numbers with the times they are ready at."""
+
+    def __init__(self, epoch=None, last=None, held=()):
+        self.epoch, self.last, self.held = epoch, last, deque(held)
+
+    def arrival(self, number, now, epoch, delay, most, gap) -> tuple[bool, int | None]:
+        """(admitted, released number) of an arrival: frames leave from the front while the first is ready, then there may be room."""
+        if epoch != self.epoch:
+            self.epoch, self.last = epoch, None
+            self.held.clear()
+        ready = None
+        while self.held and self.held[0][0] <= now:
+            ready = self.held.popleft()[1]
+        admitted = len(self.held) < most and (self.last is None or now - self.last >= gap)
+        if admitted:
+            self.held.append((now + delay, number))
+            self.last = now
+        return admitted, ready
+
+
+def arrivals(frames: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` and the settings of ``frames``; a buffer with null settings has no delay, room for one frame and no least interval."""
+    def or_else(c: str, kind: str, value) -> Column:
+        return F.coalesce(F.col(c).cast(kind), F.lit(value).cast(kind)).alias(c)
+
+    return frames.select(*cols, F.col("epoch").cast("string").alias("epoch"), or_else("delay", "double", 0), or_else("max_frames", "long", 1), or_else("sample_interval", "double", 0))
+
+
 def buffered(frames: DataFrame, key: str, order: str, ts: str = "ts") -> DataFrame:
     """``key``, ``order``, admitted, released_seq for every arrival of ``frames`` (also epoch, delay, max_frames, sample_interval).
 
-    An arrival first releases all buffered frames that are ready, of which the newest is delivered (``released_seq`` is its number), then
-    enters if there is room and enough time has passed since the last that did. A new epoch starts empty. Partitions are sorted
-    and read in order; a task holds one buffer, at most max_frames numbers.
+    An arrival first releases frames from the front of the buffer while the first is ready; the newest of them is delivered (``released_seq`` is its
+    number). Then it enters if there is room and enough time has passed since the last that did. A new epoch starts empty; a null key
+    is a stream of its own. What enters depends on all that came before, so partitions are sorted and read in order; a task holds one buffer,
+    at most max_frames numbers.
     """
     kinds = dict(frames.dtypes)
-    rows = frames.select(key, order, ts, "epoch", "delay", "max_frames", "sample_interval").repartition(key).sortWithinPartitions(key, order)
+    rows = arrivals(frames, key, order, F.col(ts).cast("double").alias(ts)).repartition(key).sortWithinPartitions(key, order)
 
-    def run(parts):
-        at, held, last = object(), [], None
-        for f in parts:
+    def run(batches):
+        at, buffer = None, Buffer()
+        for b in batches:
             out = []
-            for k, o, now, epoch, delay, most, gap in f.itertuples(index=False):
-                if (k, epoch) != at:
-                    at, held, last = (k, epoch), [], None
-                ready = [x for x in held if x[0] <= now]
-                held = held[len(ready) :]
-                admitted = len(held) < most and (last is None or now - last >= gap)
-                if admitted:
-                    held, last = [*held, (now + delay, o)], now
-                out.append((k, o, admitted, ready[-1][1] if ready else None))
-            yield pd.DataFrame({key: [x[0] for x in out], order: [x[1] for x in out], "admitted": [x[2] for x in out], "released_seq": pd.array([x[3] for x in out], dtype="Int64")})
+            for k, *arrival in zip(*(c.to_pylist() for c in b.columns)):
+                if (k,) != at:
+                    at, buffer = (k,), Buffer()
+                out.append(buffer.arrival(*arrival))
+            if out:
+                admitted, released = zip(*out)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(admitted, pa.bool_()), pa.array(released, pa.int64())], [key, order, "admitted", "released_seq"])
+
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {RELEASED}")
+
 
-    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {RELEASED}")
+def delivered(released: DataFrame, lifecycles: DataFrame, keys: list[str]) -> DataFrame:
+    """Released frames whose lifecycle is still the current one (``lifecycles``: ``keys``) when they are delivered."""
+    return released.where("released_seq is not null").join(lifecycles, keys, "left_semi")
 
 
 def recorded(frames: DataFrame, states: DataFrame, key: str, ts: str, payload: str, fps: Column) -> DataFrame:
@@ -60,17 +95,46 @@ def recorded(frames: DataFrame, states: DataFrame, key: str, ts: str, payload: s
     states (key, ts, is_blocked, reason): the latest at or before a frame's time counts; before any, a stream is blocked. Times of the recording
     follow the frame numbers, so frames left out leave no gap.
     """
-    both = frames.select(key, ts, F.lit(1).alias("_side"), F.col(payload), F.lit(None).cast("struct<b:boolean,r:string>").alias("_state"))
-    gate = states.select(key, ts, F.lit(0).alias("_side"), F.lit(None).cast(dict(frames.dtypes)[payload]).alias(payload), F.struct(F.col("is_blocked").alias("b"), F.col("reason").alias("r")).alias("_state"))
-    w = Window.partitionBy(key).orderBy(ts, "_side", payload).rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.unionByName(gate).withColumn("_now", F.last("_state", True).over(w)).where("_side = 1")
-    blocked = F.coalesce(F.col("_now.b"), F.lit(True))
-    number = (F.row_number().over(Window.partitionBy(key).orderBy(ts, payload)) - 1).cast("long")
-    rows = rows.withColumn("frame_no", number)
+    rows = with_states(frames, states, key, ts, payload)
+    w = Window.partitionBy(key).orderBy(ts, "side", payload)
+    now = F.last(F.when(F.col("side") == 0, F.struct("is_blocked", "reason")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_now", now).where("side = 1")
+    rows = rows.withColumn("frame_no", (F.row_number().over(w) - 1).cast("long"))
+    blocked = F.coalesce(F.col("_now.is_blocked"), F.lit(True))
     return rows.select(
-        key, "frame_no", (F.col("frame_no") / fps).alias("pts"), F.when(blocked, F.coalesce(F.col("_now.r"), F.lit("Waiting for a privacy check"))).alias("blocked_reason"),
+        key, "frame_no", (F.col("frame_no") / fps).alias("pts"), F.when(blocked, F.coalesce(F.col("_now.reason"), F.lit(WAITING))).alias("blocked_reason"),
         F.when(~blocked, F.col(payload)).alias(payload))
 
 
+def with_states(frames: DataFrame, states: DataFrame, key: str, ts: str, payload: str) -> DataFrame:
+    """key, ts, side, payload, is_blocked, reason: frames (side 1) among the gate's states (side 0), which come first at a time."""
+    kind = dict(frames.dtypes)[payload]
+    both = frames.select(key, ts, F.lit(1).alias("side"), payload, F.lit(None).cast("boolean").alias("is_blocked"), F.lit(None).cast("string").alias("reason"))
+    return both.unionByName(states.select(key, ts, F.lit(0).alias("side"), F.lit(None).cast(kind).alias(payload), "is_blocked", "reason"))
+
+
+def in_sessions(frames: DataFrame, sessions: DataFrame, key: str, ts: str) -> DataFrame:
+    """Frames that a recorder takes, with their ``session_id``: from a session's start until it is stopped (null: it goes on), and only those
+    that find the writer ready (``ready``; null: it is). Others are passed over and get no number.
+
+    sessions (session_id, key, started, stopped) of a stream don't overlap.
+    """
+    rows = frames.where(F.coalesce("ready", F.lit(True))) if "ready" in frames.columns else frames
+    at = (F.col(ts) >= F.col("started")) & (F.col("stopped").isNull() | (F.col(ts) < F.col("stopped")))
+    return rows.join(sessions.select("session_id", key, "started", "stopped"), key).where(at).drop("started", "stopped")
+
+
+def session_outcomes(sessions: DataFrame, frames: DataFrame, ts: str) -> DataFrame:
+    """session_id, frames, width, height, published, message of every session (session_id, failure): what is left when it ends.
+
+    A recording has the size of its first frame. One with frames is published; one that failed is deleted and leaves a message; one
+    without frames leaves nothing but an earlier failure's message.
+    """
+    own = frames.groupBy("session_id").agg(F.count("*").alias("frames"), F.min_by("width", ts).alias("width"), F.min_by("height", ts).alias("height"))
+    out = sessions.join(own, "session_id", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    message = F.when(F.col("failure").isNotNull(), F.concat(F.lit("Recording failed: "), F.col("failure")))
+    return out.select("session_id", "frames", "width", "height", ((F.col("frames") > 0) & F.col("failure").isNull()).alias("published"), message.alias("message"))
+
+
 def bitrate(width: Column, height: Column) -> Column:
     return F.greatest(F.lit(2_000_000), width * height * 3)

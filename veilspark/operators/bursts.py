@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from veilspark.operators.detect import label
 
 
-def burst_verdicts(scans: DataFrame, keys: list[str], order: str, value: str = "status") -> DataFrame:
-    """Per burst the first scan that isn't clean, else the last clean one: ``keys``, seq, status."""
+def burst_verdicts(scans: DataFrame, keys: list[str], order: str, value: str = "status", count: Column | int | None = None) -> DataFrame:
+    """Per burst the first scan that isn't clean, else the last clean one: ``keys``, seq, status.
+
+    With ``count`` only a burst's first so many scans count, at least one.
+    """
+    if count is not None:
+        scans = scans.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+        scans = scans.where(F.col("_nth") <= F.greatest(count if isinstance(count, Column) else F.lit(count), F.lit(1)))
     bad = F.col(value) != "clean"
     first = F.min_by(F.struct(F.col(order).alias("seq"), F.col(value).alias("status")), F.when(bad, F.col(order)))
     last = F.max_by(F.struct(F.col(order).alias("seq"), F.col(value).alias("status")), F.col(order))
@@ -18,6 +24,11 @@ def burst_verdicts(scans: DataFrame, keys: list[str], order: str, value: str = "
     return out.select(*keys, F.col("x.seq").cast("long").alias("seq"), F.col("x.status").alias("status"))
 
 
+def check_counts(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """How many checks (``ok``; null counts as failed) were made and how many failed, by ``keys``; the failures are ``checks`` where not ``ok``."""
+    return checks.groupBy(*keys).agg(F.count("*").alias("checks"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failures"))
+
+
 def coalesced(requests: DataFrame, keys: list[str], order: str, busy: Column) -> DataFrame:
     """Requests that run: one at a time; of those that arrive while one runs, the latest. ``busy`` numbers the stretch of time that
     a running request fills."""

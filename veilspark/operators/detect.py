@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import let, scan
-from veilspark.functions.kinds import LABEL, PATTERN, PRIORITY, TRIGGER
+from veilspark.functions.kinds import LABEL, NUMERIC, PATTERN, PRIORITY
 from veilspark.functions.text import MARKS, ascii_digits, fold, fold_away, folded_away, ipv4_valid, luhn_valid, pesel_valid, utf16_length, without_marks
 
 SPAN = "struct<start:int,lessLength:int,lessPriority:int,end:int,kind:string,value:string>"
@@ -52,10 +52,11 @@ def with_candidates(df: DataFrame, text: str, kinds: Column | tuple = tuple(PATT
     """
     own = isinstance(kinds, Column)
     out = []
-    df = df.withColumn("_may", F.col(text).rlike(TRIGGER))
+    df = df.withColumn("_may", F.col(text).rlike(NUMERIC))
     for kind in PATTERN:
         if own or kind in kinds:
-            df = _matches(df, text, kind, F.lit(PATTERN[kind]), F.col("_may") & F.array_contains(kinds, kind) if own else F.col("_may"))
+            may = F.contains(F.col(text), F.lit("@")) if kind == "email" else F.col("_may")
+            df = _matches(df, text, kind, F.lit(PATTERN[kind]), may & F.array_contains(kinds, kind) if own else may)
             found = _placed(F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), kind)
             out.append(F.filter(found, VALID[kind]) if validate and kind in VALID else found)
     if isinstance(phrases, Column) or (any(phrases) and (own or "custom" in kinds)):

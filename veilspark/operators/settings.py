@@ -10,7 +10,7 @@ from veilspark.functions.kinds import KINDS
 # Modes of clearing, resolutions, and defaults of all settings.
 CLEAR_MODES = ("quick", "balanced", "strict", "safe")
 RESOLUTIONS = (("p720", 1280, 720), ("p1080", 1920, 1080), ("p1440", 2560, 1440))
-DEFAULTS = {"isEnabled": "true", "delaySeconds": "2", "clearMode": "balanced", "captureResolution": "p720", "captureFPS": "10", "showsCursor": "true"}
+DEFAULTS = {"isEnabled": "true", "delaySeconds": "2", "clearMode": "balanced", "captureResolution": "p720", "captureFPS": "10", "showsCursor": "true", "customPhrases": "[]"}
 
 
 def required_checks(mode: Column, checks_per_second: Column) -> Column:
@@ -34,21 +34,28 @@ def resolution(name: Column) -> Column:
     return out
 
 
-def settings(rows: DataFrame, owner: str) -> DataFrame:
-    """One row per ``owner`` of typed settings from rows (owner, key, value); missing and unreadable values take their defaults."""
+def settings(rows: DataFrame, owner: str, owners: DataFrame | None = None) -> DataFrame:
+    """One row per ``owner`` of typed settings from rows (owner, key, value); missing and unreadable values take their defaults.
+
+    With ``owners`` (owner), each of those has a row, and no other: owners without rows have the defaults. Custom phrases are a JSON array of texts.
+    ``kinds`` and ``phrases`` are what ``with_detections`` takes as columns.
+    """
     keys = [*DEFAULTS, *(f"kind.{label}" for _, label, _ in KINDS)]
     wide = rows.groupBy(owner).pivot("key", keys).agg(F.max("value"))
+    if owners is not None:
+        wide = owners.select(owner).distinct().join(wide, owner, "left")
 
     def get(key: str, kind: str) -> Column:
         default = DEFAULTS.get(key, "true")
         return F.coalesce(F.col(f"`{key}`").try_cast(kind), F.lit(default).cast(kind))
 
     on = F.filter(F.array(*[F.when(get(f"kind.{label}", "boolean"), F.lit(k)) for k, label, _ in KINDS]), lambda x: x.isNotNull())
+    phrases = F.filter(F.coalesce(F.from_json("customPhrases", "array<string>"), F.from_json(F.lit(DEFAULTS["customPhrases"]), "array<string>")), lambda x: x.isNotNull())
     return wide.select(
         owner, get("isEnabled", "boolean").alias("is_enabled"), get("delaySeconds", "double").alias("delay_seconds"),
         known_or(F.col("clearMode"), CLEAR_MODES, "balanced").alias("clear_mode"),
         known_or(F.col("captureResolution"), [r[0] for r in RESOLUTIONS], "p720").alias("resolution"),
-        get("captureFPS", "long").alias("fps"), get("showsCursor", "boolean").alias("shows_cursor"), on.alias("kinds"))
+        get("captureFPS", "long").alias("fps"), get("showsCursor", "boolean").alias("shows_cursor"), on.alias("kinds"), phrases.alias("phrases"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

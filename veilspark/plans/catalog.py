@@ -332,11 +332,7 @@ REACHED = TREE + """, reached as (select el.*, [elem_id] as path from el where p
 
 @query(f"with recursive {REACHED} select snapshot_id, pid, window_id, elem_id, row_number() over (partition by snapshot_id, pid order by window_id, path) as visit from reached")
 def q_tree_walk(t):
-    from pyspark.sql import Window
-
-    r = screen.traversed(_elements(t))
-    order = Window.partitionBy("snapshot_id", "pid").orderBy("window_id", "path")
-    return r.select("snapshot_id", "pid", "window_id", "elem_id", F.row_number().over(order).cast("long").alias("visit"))
+    return screen.traversed(_elements(t)).select("snapshot_id", "pid", "window_id", "elem_id", "visit")
 
 
 @query(f"with {TREE} select * from (select elem_id, 0::bigint as attr, value as text from el union all select elem_id, 1, title from el union all select elem_id, 2, description from el) where text is not null")
@@ -356,6 +352,70 @@ def q_limits(t):
     return screen.incomplete(screen.traversed(_elements(t)))
 
 
+# applications of a few shapes: one parent with many children, and trees over the limit of elements
+MANY = """el as (select 1::bigint as snapshot_id, case when c_custkey % 3 = 0 then 1 else 2 + c_custkey % 7 end as pid, c_custkey as elem_id, c_custkey as pos from customer),
+    kids as (select snapshot_id, pid, count(*) - 1 as n from el group by 1, 2)"""
+
+
+@query(f"with {MANY} select snapshot_id, pid, n + 1 as visited, n > 300 as incomplete from kids")
+def q_child_limit(t):
+    from pyspark.sql import Window
+
+    k = F.col("c_custkey")
+    rows = t("customer").select(F.lit(1).cast("long").alias("snapshot_id"), F.when(k % 3 == 0, 1).otherwise(2 + k % 7).cast("long").alias("pid"), k.alias("elem_id"))
+    root = F.min("elem_id").over(Window.partitionBy("snapshot_id", "pid"))  # the smallest is the root of the others
+    rows = rows.withColumn("root", root).select(
+        "snapshot_id", "pid", F.lit(1).cast("long").alias("window_id"), "elem_id", F.when(F.col("elem_id") != F.col("root"), F.col("root")).alias("parent_id"), F.col("elem_id").alias("child_pos"),
+        F.lit(True).alias("visible"), F.lit("text").alias("value"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("err"), F.lit(0.0).alias("elapsed_ms"))
+    return screen.incomplete(screen.traversed(rows)).select("snapshot_id", "pid", "visited", "incomplete")
+
+
+def _deep(t):
+    """Trees of 2000 and 1400 elements, ten below each."""
+    i, p = F.col("event_id") % 2000, F.call_function("div", F.col("event_id"), F.lit(2000))
+    rows = t("events").select(
+        F.lit(1).cast("long").alias("snapshot_id"), p.alias("pid"), F.lit(1).cast("long").alias("window_id"), i.alias("elem_id"), F.when(i > 0, F.call_function("div", i, F.lit(10))).alias("parent_id"), i.alias("child_pos"),
+        F.lit(True).alias("visible"), F.col("event_type").alias("value"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("err"), F.lit(0.0).alias("elapsed_ms"))
+    return rows.where("pid % 2 = 0 or elem_id < 1400")
+
+
+@query("with el as (select event_id // 2000 as pid, event_id % 2000 as i from events), n as (select pid, count(*) as n from el where pid % 2 = 0 or i < 1400 group by 1) select pid, least(n, 1501) as visited, n > 1500 as incomplete from n")
+def q_element_limit(t):
+    return screen.incomplete(screen.traversed(_deep(t))).select("pid", "visited", "incomplete")
+
+
+@query("with el as (select event_id // 2000 as pid, event_id % 2000 as i from events), n as (select pid, count(*) as n from el where pid % 2 = 0 or i < 1400 group by 1) select pid, n as visited from n")
+def q_tree_levels(t):
+    return screen.traversed(_deep(t), 1 << 20, 1000).groupBy("pid").agg(F.count("*").alias("visited"))
+
+
+TYPED = """w as (select p_partkey as window_id, p_partkey % 40 as snapshot_id, (p_partkey * 7 % 1920)::double as x, (p_partkey * 11 % 1080)::double as y, (p_size % 40)::double as w, p_size::double as h,
+    p_partkey % 5 <> 0 and p_partkey % 7 <> 1 and p_partkey % 6 <> 2 as readable from part)"""
+
+
+def _typed_frames(t):
+    k = F.col("p_partkey")
+    position = F.struct(F.when(k % 5 == 0, "size").otherwise("point").alias("type"), (k * 7 % 1920).cast("double").alias("a"), F.when(k % 6 != 2, (k * 11 % 1080).cast("double")).alias("b"))
+    size = F.when(k % 7 != 1, F.struct(F.lit("size").alias("type"), (F.col("p_size") % 40).cast("double").alias("a"), F.col("p_size").cast("double").alias("b")))
+    return t("part").select(k.alias("window_id"), (k % 40).alias("snapshot_id"), screen.frame_of(position, size).alias("f"))
+
+
+@query(f"with {TYPED} select window_id, case when readable then x end as x, case when readable then y end as y, case when readable then w end as w, case when readable then h end as h from w")
+def q_frame_of(t):
+    return _typed_frames(t).select("window_id", "f.x", "f.y", "f.w", "f.h")
+
+
+@query(f"with {TYPED} select window_id, snapshot_id from w where not coalesce(readable, false) or ({HIT})")
+def q_scanned_windows(t):
+    return screen.scanned_windows(_typed_frames(t).select("window_id", "snapshot_id", "f.*"), _scans().withColumn("bx", F.lit(0.0))).select("window_id", "snapshot_id")
+
+
+@query("select doc_id, case when doc_id % 3 <> 1 then text end as text from documents")
+def q_text_of(t):
+    attribute = F.struct(F.when(F.col("doc_id") % 3 == 1, "number").otherwise("string").alias("type"), F.col("text").alias("value"))
+    return t("documents").select("doc_id", screen.text_of(attribute).alias("text"))
+
+
 VERDICTS = f"""with recursive {CAPTURED}, {REACHED},
     texts as (select distinct snapshot_id, pid, text from (select snapshot_id, pid, unnest([value, title, description]) as text from reached where coalesce(visible, true)) where text is not null),
     num as (select *, row_number() over (order by snapshot_id, pid, text) as id from texts),
@@ -416,6 +476,17 @@ def q_burst_verdict(t):
     return bursts.burst_verdicts(e, ["burst_id"], "event_id", "event")
 
 
+@query(f"with {GATE}, n as (select *, event_id // 7 as burst_id, row_number() over (partition by event_id // 7 order by event_id) as nth from g), k as (select * from n where nth <= greatest(event_id // 7 % 4, 1)) select burst_id, coalesce(min_by(event_id, event_id) filter (event <> 'clean'), max(event_id)) as seq, coalesce(min_by(event, event_id) filter (event <> 'clean'), 'clean') as status from k group by 1")
+def q_burst_bound(t):
+    e = _gate_events(t).withColumn("burst_id", F.call_function("div", F.col("event_id"), F.lit(7)))
+    return bursts.burst_verdicts(e, ["burst_id"], "event_id", "event", F.col("burst_id") % 4)
+
+
+@query("select event_type, count(*) as checks, count(*) filter (not coalesce(event_id % 3 = 0, false)) as failures from events group by 1")
+def q_check_counts(t):
+    return bursts.check_counts(t("events").select("event_type", (F.col("event_id") % 3 == 0).alias("ok")), ["event_type"])
+
+
 @query("select user_id, event_id, date_diff('hour', timestamp '2024-01-01', ts) // 24 as busy from events qualify row_number() over (partition by user_id, date_diff('hour', timestamp '2024-01-01', ts) // 24 order by event_id desc) = 1")
 def q_coalesce_latest(t):
     busy = F.call_function("div", F.call_function("div", F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200, F.lit(3600)), F.lit(24))
@@ -503,6 +574,66 @@ def q_approval_alerts(t):
     return gate.approval_alerts(gate.gate_states(_manual_events(t), "user_id", "event_id"), "user_id", ["event_id"]).select("user_id", "event_id")
 
 
+# every kind of event, settings of each event's own, null settings and a null stream
+FULL = """with recursive e as (select case when user_id % 10 = 0 then null else user_id + 9007199254740993 end as user_id, event_id, case event_id % 13 when 0 then 'reset' when 1 then 'detected' when 2 then 'inconclusive' when 3 then 'delay_complete' when 4 then 'approve' when 5 then 'deny' when 6 then 'delay_complete' when 7 then 'approve' else 'clean' end as event,
+        case when event_id % 4 <> 0 then 'why ' || event_id end as why, coalesce(case when event_id % 17 <> 0 then 1 + event_id % 3 end, 5) as n, coalesce(case when event_id % 19 <> 0 then event_id % 5 <> 0 end, false) as by_hand, coalesce(case when event_id % 23 <> 0 then event_id // 40 % 3 = 0 end, false) as delayed from events),
+    o as (select *, row_number() over (partition by user_id order by event_id) as rn from e),
+    s as (select user_id, 0::bigint as rn, 0::bigint as event_id, true as blocked, 'Waiting for a privacy check' as reason, 0::bigint as checks, false as manual, false as delay, false as hit from (select distinct user_id from o)
+    union all select o.user_id, o.rn, o.event_id,
+        case when hard then true when enough and not o.delayed then asks when fires then asks when says then false else s.blocked end,
+        case when hard then coalesce(o.why, '') when o.event = 'clean' and s.delay then 'Clean checks passed · waiting for stream delay' when o.event = 'clean' and s.manual then 'Manual clearance required' when o.event = 'clean' and not s.blocked then 'Protected'
+             when enough and o.delayed then 'Clean checks passed · waiting for stream delay' when enough or fires then case when asks then 'Clean checks passed · approval required' else 'Protected' end
+             when o.event = 'clean' then 'Checking for PII · ' || (s.checks + 1) || '/' || o.n || ' clean bursts' when says then 'Protected' when o.event = 'deny' and s.manual then 'Manual clearance required' else s.reason end,
+        case when hard or says then 0 when counts then s.checks + 1 else s.checks end,
+        case when hard or says then false when (enough and not o.delayed) or fires then asks else s.manual end,
+        case when hard or fires then false when enough and o.delayed then true else s.delay end,
+        case when o.event = 'detected' then true when o.event = 'reset' or says then false when (enough and not o.delayed) or fires then asks else s.hit end
+    from s join o on o.user_id is not distinct from s.user_id and o.rn = s.rn + 1,
+        lateral (select o.event in ('detected', 'inconclusive', 'reset') as hard, o.event = 'clean' and s.blocked and not s.delay and not s.manual as counts, o.event = 'delay_complete' and s.delay as fires, o.event = 'approve' and s.manual as says, o.by_hand and s.hit as asks) x,
+        lateral (select x.counts and s.checks + 1 >= o.n as enough) y)
+    select user_id, event_id, blocked as is_blocked, reason, checks as clean_checks, manual as pending_manual, delay as pending_delay from s where rn > 0"""
+
+
+def _all_events(t):
+    k = F.col("event_id")
+    names = ("reset", "detected", "inconclusive", "delay_complete", "approve", "deny", "delay_complete", "approve")
+    kind = F.coalesce(F.get(F.array(*map(F.lit, names)), (k % 13).cast("int")), F.lit("clean"))
+    return t("events").select(
+        F.when(F.col("user_id") % 10 != 0, F.col("user_id") + 9007199254740993).alias("user_id"), "event_id", kind.alias("event"), F.when(k % 4 != 0, F.concat(F.lit("why "), k.cast("string"))).alias("reason"),
+        F.when(k % 17 != 0, 1 + k % 3).alias("required_checks"), F.when(k % 19 != 0, k % 5 != 0).alias("requires_manual"), F.when(k % 23 != 0, F.call_function("div", k, F.lit(40)) % 3 == 0).alias("requires_delay"))
+
+
+@query(FULL)
+def q_gate_states(t):
+    return gate.gate_states(_all_events(t), "user_id", "event_id")
+
+
+CONTROLS = "select event_id, case event_id % 6 when 0 then 'start' when 1 then 'warm_up' when 2 then 'settings' when 3 then 'stop' when 4 then 'error' else 'none' end as control, event_id % 7 / 2.0::double as delay, event_id % 4 <> 0 as trusted from events"
+
+
+@query(f"""with c as ({CONTROLS}) select event_id, 'reset' as event, case control when 'start' then case when trusted then 'Filling delayed stream buffer' else 'Accessibility permission required' end
+    when 'warm_up' then 'Filling ' || trunc(delay)::int || '-second buffer' when 'settings' then 'Settings changed · checking again' when 'stop' then 'Preview stopped' else 'Capture stopped' end as reason,
+    'Buffering for ' || trunc(delay)::int || ' seconds before checks begin' as status from c where control <> 'none'""")
+def q_control_events(t):
+    k = F.col("event_id")
+    names = F.array(*map(F.lit, ("start", "warm_up", "settings", "stop", "error", "none")))
+    rows = t("events").select("event_id", F.get(names, (k % 6).cast("int")).alias("control"), (k % 7 / 2.0).alias("delay"), (k % 4 != 0).alias("trusted"))
+    return gate.control_events(rows).select("event_id", "event", "reason", gate.buffering_status(F.col("delay")).alias("status"))
+
+
+ANSWERS = """with e as (select user_id, event_id, case event_id % 9 when 0 then 'approve' when 1 then 'deny' when 2 then 'detected' when 3 then 'reset' else 'clean' end as event, case when event_id % 9 = 3 then 'start' end as control from events),
+    g as (select *, count(*) filter (control is not null) over w as lifecycle, count(*) filter (control is null and event in ('detected', 'inconclusive')) over w as clearance from e window w as (partition by user_id order by event_id rows between unbounded preceding and current row))
+    select user_id, event_id, event from g where event not in ('approve', 'deny') or (lifecycle = event_id % 3 and clearance = event_id % 2)"""
+
+
+@query(ANSWERS)
+def q_valid_answers(t):
+    k = F.col("event_id")
+    kind = F.coalesce(F.get(F.array(*map(F.lit, ("approve", "deny", "detected", "reset"))), (k % 9).cast("int")), F.lit("clean"))
+    rows = t("events").select("user_id", "event_id", kind.alias("event"), F.when(k % 9 == 3, "start").alias("control"), (k % 3).alias("asked_lifecycle"), (k % 2).alias("asked_clearance"))
+    return gate.valid_answers(rows, "user_id", ["event_id"]).select("user_id", "event_id", "event")
+
+
 @query("with v as (" + ORACLES["q_scan_verdict"] + """) select snapshot_id, status as event, case when status = 'detected' then 'PII detected in ' || app || ' · ' ||
     array_to_string(list_sort(list_transform(string_split(kinds, ', '), lambda k: case k when 'email' then 'Email' when 'phone' then 'Phone number' when 'card' then 'Payment card' when 'pesel' then 'Polish PESEL' else 'IP address' end)), ', ') else reason end as reason from v""")
 def q_verdict_events(t):
@@ -574,6 +705,70 @@ def q_frame_admission(t):
     return buffer.buffered(_frames(t), "user_id", "event_id").groupBy("user_id").agg(F.count_if("admitted").alias("n"))
 
 
+# epochs, delays that fall within an epoch, and a null stream: frames leave from the front only
+EPOCHS = """with recursive f as (select case when user_id % 10 <> 0 then user_id end as user_id, event_id, event_id // 2000 as epoch, case when event_id % 3 = 0 then 40000 else 15000 - event_id % 3 * 5000 end::double as delay,
+        row_number() over (partition by case when user_id % 10 <> 0 then user_id end order by event_id) as rn, (row_number() over (partition by case when user_id % 10 <> 0 then user_id end order by event_id) * 10000)::double as ts from events),
+    b as (select user_id, 0::bigint as rn, 0::bigint as event_id, null::bigint as epoch, []::struct(r double, id bigint)[] as held, null::double as last, false as admitted, null::bigint as released from (select distinct user_id from f)
+    union all select f.user_id, f.rn, f.event_id, f.epoch, case when goes then list_append(held2[gone + 1:], {'r': f.ts + f.delay, 'id': f.event_id}) else held2[gone + 1:] end, case when goes then f.ts else last2 end, goes, case when gone > 0 then held2[gone].id end
+    from b join f on f.user_id is not distinct from b.user_id and f.rn = b.rn + 1,
+        lateral (select case when b.epoch is not distinct from f.epoch then b.held else [] end as held2, case when b.epoch is not distinct from f.epoch then b.last end as last2) x,
+        lateral (select coalesce(list_position(list_transform(x.held2, lambda h: h.r > f.ts), true) - 1, len(x.held2)) as gone) y,
+        lateral (select len(x.held2) - y.gone < 3 and (x.last2 is null or f.ts - x.last2 >= 12000) as goes) z)
+    select user_id, event_id, admitted, released as released_seq from b where rn > 0"""
+
+
+def _epoch_frames(t):
+    from pyspark.sql import Window
+
+    e, user = F.col("event_id"), F.when(F.col("user_id") % 10 != 0, F.col("user_id"))
+    rows = t("events").select(user.alias("user_id"), "event_id", F.call_function("div", e, F.lit(2000)).alias("epoch"), F.when(e % 3 == 0, 40000.0).otherwise(15000.0 - e % 3 * 5000).alias("delay"))
+    ts = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) * 10000.0
+    return rows.withColumns({"ts": ts, "max_frames": F.lit(3), "sample_interval": F.lit(12000.0)})
+
+
+@query(EPOCHS)
+def q_release_epochs(t):
+    return buffer.buffered(_epoch_frames(t), "user_id", "event_id")
+
+
+@query(EPOCHS.replace("select user_id, event_id, admitted, released as released_seq from b where rn > 0", "select event_id, released as released_seq from b where released is not null and epoch = (select max(event_id) // 2000 from events)"))
+def q_delivery_check(t):
+    frames = _epoch_frames(t)
+    released = buffer.buffered(frames, "user_id", "event_id").join(frames.select("event_id", "epoch"), "event_id")
+    return buffer.delivered(released, frames.agg(F.max("epoch").alias("epoch")), ["epoch"]).select("event_id", "released_seq")
+
+
+SESSIONS = """s as (select c_custkey * 10 as session_id, c_custkey as user_id, timestamp '2024-01-05' + to_hours((c_custkey % 50)::int) as started, case when c_custkey % 4 <> 0 then timestamp '2024-01-15' + to_hours((c_custkey % 50)::int) end as stopped, case when c_custkey % 5 = 0 then 'disk full' end as failure from customer),
+    f as (select s.session_id, e.event_id, e.ts, 640 + e.event_id % 3 as width, 480 as height from events e join s using (user_id) where e.event_id % 6 <> 0 and e.ts >= started and (stopped is null or e.ts < stopped))"""
+
+
+def _sessions(t):
+    k = F.col("c_custkey")
+    hours = F.make_dt_interval(hours=(k % 50).cast("int"))
+    return t("customer").select(
+        (k * 10).alias("session_id"), k.alias("user_id"), (F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00")) + hours).alias("started"), F.when(k % 4 != 0, F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")) + hours).alias("stopped"), F.when(k % 5 == 0, "disk full").alias("failure"))
+
+
+def _session_frames(t):
+    k = F.col("event_id")
+    frames = t("events").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), (640 + k % 3).alias("width"), F.lit(480).alias("height"), F.when(k % 6 != 1, k % 6 != 0).alias("ready"))
+    return buffer.in_sessions(frames, _sessions(t), "user_id", "ts")
+
+
+@query(f"with {SESSIONS} select session_id, event_id, row_number() over (partition by session_id order by ts, event_id) - 1 as frame_no from f")
+def q_session_frames(t):
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) - 1
+    return _session_frames(t).select("session_id", "event_id", number.cast("long").alias("frame_no"))
+
+
+@query(f"""with {SESSIONS}, n as (select session_id, count(*) as frames, min_by(width, ts) as width, min_by(height, ts)::int as height from f group by 1)
+    select session_id, coalesce(frames, 0) as frames, width, height, coalesce(frames, 0) > 0 and failure is null as published, 'Recording failed: ' || failure as message from s left join n using (session_id)""")
+def q_session_outcomes(t):
+    return buffer.session_outcomes(_sessions(t), _session_frames(t), "ts")
+
+
 @query(f"""with {RUNS}, st as (select user_id, ts, bool_or(run < 3) as b from runs group by 1, 2), fr as (select user_id, event_id, ts + interval 6 hours as ts from events),
     j as (select fr.*, coalesce(st.b, true) as b, st.b is null as no_state, row_number() over (partition by fr.user_id order by fr.ts, fr.event_id) - 1 as frame_no from fr asof left join st on fr.user_id = st.user_id and fr.ts >= st.ts)
     select user_id, frame_no, frame_no / 10.0::double as pts, case when no_state then 'Waiting for a privacy check' when b then 'blocked' end as blocked_reason, case when not b then event_id end as event_id from j""")
@@ -599,7 +794,27 @@ def q_settings(t):
     values = F.array(*map(F.lit, ("3.5", "strict", "p1440", "30", "false")))
     own = t("customer").select(F.col("c_custkey").alias("owner"), F.get(names, k.cast("int")).alias("key"), F.get(values, k.cast("int")).alias("value"))
     odd = t("customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("owner"), F.lit("clearMode").alias("key"), F.lit("unheard of").alias("value"))
-    return prefs.settings(own.unionByName(odd), "owner").withColumn("kinds", F.array_join("kinds", ", "))
+    return prefs.settings(own.unionByName(odd), "owner").drop("phrases").withColumn("kinds", F.array_join("kinds", ", "))
+
+
+@query("""select c_custkey as owner, case when c_custkey % 3 = 0 then 'safe' else 'balanced' end as clear_mode, case when c_custkey % 3 = 0 and c_custkey % 2 = 0 then 'Nightjar|Café' when c_custkey % 3 = 0 then '' else '' end as phrases,
+    case when c_custkey % 3 = 1 then 'email, phone, card, pesel, ip' else 'email, phone, card, pesel, ip, custom' end as kinds from customer""")
+def q_settings_owners(t):
+    k = F.col("c_custkey")
+    own = t("customer").where("c_custkey % 3 < 2").select(k.alias("owner"), F.when(k % 3 == 0, F.map_from_arrays(
+        F.array(F.lit("clearMode"), F.lit("customPhrases")), F.array(F.lit("safe"), F.when(k % 2 == 0, F.lit('["Nightjar", null, "Café"]')).otherwise("no list")))).otherwise(F.create_map(F.lit("kind.Custom phrase"), F.lit("false"))).alias("m"))
+    out = prefs.settings(own.select("owner", F.explode("m").alias("key", "value")), "owner", t("customer").select(k.alias("owner")))
+    return out.select("owner", "clear_mode", F.array_join("phrases", "|").alias("phrases"), F.array_join("kinds", ", ").alias("kinds"))
+
+
+@query(f"""with x as (select n_nationkey, {_LIST} as l, case n_nationkey % 3 when 0 then lower(n_name) when 1 then '' else 'new ' || n_name end as raw from nation)
+    select n_nationkey, array_to_string(case when n_nationkey % 3 = 2 and n_nationkey % 2 = 0 then list_append(l, raw) else l end, '|') as phrases, n_nationkey % 3 = 2 and n_nationkey % 2 = 0 as notified from x""")
+def q_phrase_persist(t):
+    k = F.col("n_nationkey")
+    kept = t("nation").select("n_nationkey", _phrase_list().alias("phrases"))
+    raw = F.when(k % 3 == 0, F.lower("n_name")).when(k % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("new "), F.col("n_name")))
+    edits = t("nation").where("n_nationkey % 2 = 0").select("n_nationkey", phrases.edited(_phrase_list(), raw).alias("outcome"))
+    return phrases.persisted(kept, edits, "n_nationkey").select("n_nationkey", F.array_join("phrases", "|").alias("phrases"), "notified")
 
 
 @query("select c_custkey as owner, 'k' as key, case when c_custkey % 3 = 0 then 'new' else 'old' end as value from customer")
@@ -618,13 +833,13 @@ def q_detected_reason(t):
 BATCH = 1 << 18
 
 
-def _in_order(frame: DataFrame, order: str, most: int, path: str) -> None:
+def _in_order(frame: DataFrame, order: list[str], most: int, path: str) -> None:
     """``frame`` as files of ascending ranges of ``order``, ``most`` rows at most in each, written one after another as a stream reads them."""
     spark = frame.sparkSession
-    frame.repartitionByRange(order).sortWithinPartitions(order).write.option("maxRecordsPerFile", most).parquet(f"{path}/ranges")
+    frame.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", most).parquet(f"{path}/ranges")
     ranges = spark.read.schema(frame.schema).parquet(f"{path}/ranges")
     size = {r.name: r.n for r in ranges.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()}  # a count per file
-    names = sorted((f.rsplit("/", 1)[-1] for f in ranges.inputFiles()), key=lambda f: (int(f.split("-")[1]), int(re.search(r"-c(\d+)", f)[1])))
+    names = sorted((f.rsplit("/", 1)[-1] for f in ranges.inputFiles()), key=lambda f: (int(f.split("-")[1]), int(re.search(r"-c(\d+)\.", f)[1])))
     groups, held = [[]], 0
     for name in names:
         n = size.get(name, 0)
@@ -637,7 +852,7 @@ def _in_order(frame: DataFrame, order: str, most: int, path: str) -> None:
         spark.read.schema(frame.schema).parquet(*group).coalesce(1).write.mode("append").parquet(f"{path}/in")
 
 
-def _streamed(frame: DataFrame, build, order: str | None = None) -> DataFrame:
+def _streamed(frame: DataFrame, build, order: list[str] | None = None, sink=None) -> DataFrame:
     """The rows that a stream over ``frame``, written as files, makes: in one go, or by ranges of ``order`` of BATCH rows at most, in order."""
     from pyspark.sql.types import StructType
 
@@ -650,13 +865,43 @@ def _streamed(frame: DataFrame, build, order: str | None = None) -> DataFrame:
     else:
         frame.write.parquet(f"{place}/in")
     out = build(source.parquet(f"{place}/in"))
-    live.drain(out, f"{place}/out", f"{place}/state")
+    (sink or live.drain)(out, f"{place}/out", f"{place}/state")
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
 @query(ORACLES["q_gate_manual"])
 def stream_gate(t):
-    return _streamed(_manual_events(t), lambda s: live.gate_stream(s, "user_id", "event_id"), "event_id").select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
+    return _streamed(_manual_events(t), lambda s: live.gate_stream(s, "user_id", "event_id"), ["event_id"]).select("user_id", "event_id", "is_blocked", "clean_checks", "pending_manual")
+
+
+@query(FULL)
+def stream_gate_states(t):
+    return _streamed(_all_events(t), lambda s: live.gate_stream(s, "user_id", "event_id"), ["event_id"])
+
+
+@query(ORACLES["q_gate_delay"])
+def stream_gate_timed(t):
+    e = _gate_events(t).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event", F.lit("why").alias("reason"), F.lit(2).alias("required_checks"), F.lit(False).alias("requires_manual"), F.lit(True).alias("requires_delay"))
+    out = _streamed(e, lambda s: live.gate_timed_stream(s, 86400.0, "user_id", "event_id"), ["ts", "event_id"])
+    return out.where("event_id is not null").select("user_id", "event_id", "is_blocked")
+
+
+@query(EPOCHS)
+def stream_release(t):
+    return _streamed(_epoch_frames(t), lambda s: live.release_stream(s, "user_id", "event_id"), ["event_id"])
+
+
+@query(ORACLES["q_recording"])
+def stream_recording(t):
+    states = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3)).groupBy("user_id", "ts").agg(F.bool_or("is_blocked").alias("is_blocked")).withColumn("reason", F.lit("blocked"))
+    frames = t("events").select("user_id", "event_id", (F.col("ts") + F.expr("interval 6 hours")).alias("ts"))
+    both = buffer.with_states(frames, states, "user_id", "ts", "event_id")
+    return _streamed(both, lambda s: live.record_stream(s, "user_id", "ts", "event_id", 10.0), ["ts", "side", "event_id"], lambda out, path, _: live.record_to(out, path))
+
+
+@query(ORACLES["q_shown_frame"])
+def stream_shown(t):
+    return _streamed(t("events").select("user_id", "event_id", "event_type"), lambda s: capture.shown_frame(s, "user_id", "event_id", "event_type"), None, live.show_to)
 
 
 @query(ORACLES["q_detections"])

@@ -23,9 +23,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a fresh one is set only where the session names none."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a fresh one is made if driver and executors are one machine; elsewhere that would lose data, so it's refused.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -39,7 +44,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(table: DataFrame) -> None:
+    """Remove a table that ``stash`` gave and that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        delete(table.sparkSession, path)
+
+
 def clear_stash(spark: SparkSession) -> None:
     """Remove all tables that ``stash`` has written; results that still read them can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilspark")
+    delete(spark, f"{shared_dir(spark)}/veilspark")
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,15 +1,25 @@
-"""Detection and gating over streams, with the batch operators' rules."""
+"""Detection, gating, delayed release and recording over streams, with the batch operators' rules.
+
+Keyed state is kept by ``transformWithState`` in RocksDB. A micro-batch's rows of a key are put in order together, so the source's rate
+(``maxFilesPerTrigger`` and the size of its files) bounds what a hot key takes; micro-batches have to come in that order.
+"""
 
 from __future__ import annotations
 
 import dataclasses
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from veilspark.operators.buffer import RELEASED, Buffer, arrivals, with_states
 from veilspark.operators.detect import spans, with_detections
-from veilspark.operators.gate import STATE, Gate
+from veilspark.operators.gate import STATE, WAITING, Gate, with_defaults
+from veilspark.session import delete
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+GATE = "blocked boolean, reason string, checks long, manual boolean, delay boolean, detected boolean"
 
 
 def detect_stream(texts: DataFrame, key: str, text: str, **options) -> DataFrame:
@@ -17,30 +27,231 @@ def detect_stream(texts: DataFrame, key: str, text: str, **options) -> DataFrame
     return spans(with_detections(texts, text, **options), key)
 
 
+def _plain(x):
+    """A value of a pandas cell as Python has it: missing ones are None."""
+    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x.item() if hasattr(x, "item") else x
+
+
+def _rows(frames, order: list[str], cols: list[str]) -> list[tuple]:
+    got = pd.concat(list(frames)).sort_values(order)
+    return [tuple(map(_plain, r)) for r in got[cols].itertuples(index=False)]
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+
+
+def _keyed(rows: DataFrame, key: str, make: StatefulProcessor, out: str, mode: str = "None") -> DataFrame:
+    """``rows`` grouped by ``key`` as text, so that null keys and keys of any size come through; the processor gets the text."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kind = dict(rows.dtypes)[key]
+    done = rows.withColumn("key_text", F.col(key).cast("string")).drop(key).groupBy("key_text").transformWithStateInPandas(make, f"key_text string, {out}", "append", mode)
+    return done.withColumn(key, F.col("key_text").cast(kind)).select(key, *[c for c in done.columns if c != "key_text"])
+
+
+def _own(key) -> str | None:
+    return _plain(key[0])
+
+
+class GateProcessor(StatefulProcessor):
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("gate", GATE)
+
+    def gate(self) -> Gate:
+        return Gate(*map(_plain, self.state.get())) if self.state.exists() else Gate()
+
+    def handleInputRows(self, key, rows, timerValues):
+        gate, out = self.gate(), []
+        for o, *event in _rows(rows, [self.order, "event", "reason"], [self.order, "event", "reason", "required_checks", "requires_manual", "requires_delay"]):
+            gate.event(*event)
+            out.append((_own(key), o, *gate.shown()))
+        self.state.update(dataclasses.astuple(gate))
+        yield _frame(out, ["key_text", self.order, *SHOWN])
+
+    def close(self) -> None:
+        pass
+
+
+SHOWN = [x.split()[0] for x in STATE.split(", ")]
+
+
 def gate_stream(events: DataFrame, key: str = "stream_id", order: str = "seq") -> DataFrame:
-    """The gate's state after every event of a stream, as ``gate_states`` has it; the state is six values per key.
+    """The gate's state after every event of a stream, as ``gate_states`` has it; the state is six values per key. Outputs are appended."""
+    rows = with_defaults(events, key, order)
+    return _keyed(rows, key, GateProcessor(order), f"{order} {dict(events.dtypes)[order]}, {STATE}")
+
+
+class TimedGateProcessor(GateProcessor):
+    """A gate with its clearance timer, as an event-time timer of the state store."""
+
+    def __init__(self, order: str, ts: str):
+        self.order, self.ts = order, ts
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.handle, self.timer = handle, handle.getValueState("timer", "due double, by_hand boolean")
+
+    def _fire(self, key, gate: Gate, due: float, by_hand: bool):
+        gate.event("delay_complete", None, 0, by_hand, True)
+        return (_own(key), None, due, *gate.shown())
+
+    def handleInputRows(self, key, rows, timerValues):
+        gate, out = self.gate(), []
+        due, by_hand = map(_plain, self.timer.get()) if self.timer.exists() else (None, False)
+        was = due
+        for o, now, delay, *event in _rows(rows, [self.ts, self.order, "event", "reason"], [self.order, self.ts, "wait_seconds", "event", "reason", "required_checks", "requires_manual", "requires_delay"]):
+            if due is not None and due <= now:
+                out.append(self._fire(key, gate, due, by_hand))
+                due = None
+            waited = gate.delay
+            gate.event(*event)
+            by_hand = event[3]
+            due = (due if waited else now + delay) if gate.delay else None
+            out.append((_own(key), o, now, *gate.shown()))
+        self.state.update(dataclasses.astuple(gate))
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(_millis(was))
+            if due is not None:
+                self.handle.registerTimer(_millis(due))
+        if due is None:
+            self.timer.clear()
+        else:
+            self.timer.update((due, by_hand))
+        yield _frame(out, ["key_text", self.order, self.ts, *SHOWN])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out = []
+        due, by_hand = map(_plain, self.timer.get()) if self.timer.exists() else (None, False)
+        if due is not None and _millis(due) <= expiredTimerInfo.getExpiryTimeInMs():
+            gate = self.gate()
+            out.append(self._fire(key, gate, due, by_hand))
+            self.state.update(dataclasses.astuple(gate))
+            self.timer.clear()
+        yield _frame(out, ["key_text", self.order, self.ts, *SHOWN])
 
-    A micro-batch's events of a key are held together and applied by ``order``, so the source's rate (``maxFilesPerTrigger`` and the size of its files)
-    bounds what a hot key takes; micro-batches have to come in that order. Outputs are appended.
+
+def _millis(seconds: float) -> int:
+    return int(-(-seconds * 1000 // 1))
+
+
+def gate_timed_stream(events: DataFrame, delay: Column | float, key: str = "stream_id", order: str = "seq", ts: str = "ts", late: str = "1 minute") -> DataFrame:
+    """The gate's state after every event, as ``gate_timed`` has it, and after every clearance that no event was needed for (its ``order`` is null).
+
+    ``ts`` is a timestamp; ``delay`` is in seconds. Timers are event-time timers: they go off when the watermark, ``late`` behind the newest event, passes
+    them, or before the first later event of their key.
     """
-    kinds = dict(events.dtypes)
-    fields = [f.name for f in dataclasses.fields(Gate)]
+    rows = with_defaults(events.withColumn("wait_seconds", (delay if isinstance(delay, Column) else F.lit(delay)).cast("double")).withWatermark(ts, late), key, order, ts, "wait_seconds")
+    rows = rows.withColumn("at_seconds", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    out = _keyed(rows, key, TimedGateProcessor(order, "at_seconds"), f"{order} {dict(events.dtypes)[order]}, at_seconds double, {STATE}", "EventTime")
+    return out.withColumn(ts, F.timestamp_micros((F.col("at_seconds") * 1e6).cast("long"))).drop("at_seconds")
+
+
+class BufferProcessor(StatefulProcessor):
+    def __init__(self, order: str, ts: str):
+        self.order, self.ts = order, ts
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("clock", "epoch string, last double")
+        self.held = handle.getListState("held", "ready double, number long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        epoch, last = map(_plain, self.state.get()) if self.state.exists() else (None, None)
+        held = [tuple(map(_plain, x)) for x in self.held.get()] if self.held.exists() else []
+        buffer, out = Buffer(epoch, last, held), []
+        for o, *arrival in _rows(rows, [self.order], [self.order, self.ts, "epoch", "delay", "max_frames", "sample_interval"]):
+            out.append((_own(key), o, *buffer.arrival(o, *arrival)))
+        self.state.update((buffer.epoch, buffer.last))
+        if buffer.held:
+            self.held.put(list(buffer.held))
+        else:
+            self.held.clear()
+        yield _frame(out, ["key_text", self.order, "admitted", "released_seq"])
+
+    def close(self) -> None:
+        pass
+
+
+def release_stream(frames: DataFrame, key: str, order: str, ts: str = "ts") -> DataFrame:
+    """Admission and release of every arrival of a stream, as ``buffered`` has them; the state is one buffer per key."""
+    rows = arrivals(frames, key, order, F.col(ts).cast("double").alias(ts))
+    return _keyed(rows, key, BufferProcessor(order, ts), f"{order} {dict(frames.dtypes)[order]}, {RELEASED}")
+
+
+class RecorderProcessor(StatefulProcessor):
+    def __init__(self, ts: str, payload: str, fps: float):
+        self.ts, self.payload, self.fps = ts, payload, fps
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("recorder", "frames long, blocked boolean, reason string")
 
-    def run(k, frames, state: GroupState):
-        gate = Gate(**dict(zip(fields, state.get))) if state.exists else Gate()
-        got = pd.concat(list(frames)).sort_values(order)
+    def handleInputRows(self, key, rows, timerValues):
+        n, blocked, reason = map(_plain, self.state.get()) if self.state.exists() else (0, True, WAITING)
         out = []
-        for o, kind, reason, n, by_hand, delayed in got[[order, "event", "reason", "required_checks", "requires_manual", "requires_delay"]].itertuples(index=False):
-            gate.event(kind, reason, int(n), bool(by_hand), bool(delayed))
-            out.append((k[0], o, gate.blocked, gate.reason, gate.checks, gate.manual, gate.delay))
-        state.update(dataclasses.astuple(gate))
-        yield pd.DataFrame(out, columns=[key, order, "is_blocked", "reason", "clean_checks", "pending_manual", "pending_delay"])
+        for side, payload, is_blocked, why in _rows(rows, [self.ts, "side", self.payload], ["side", self.payload, "is_blocked", "reason"]):
+            if side == 0:
+                blocked, reason = is_blocked is not False, why or WAITING
+            else:
+                out.append((_own(key), n, n / self.fps, reason if blocked else None, None if blocked else payload))
+                n += 1
+        self.state.update((n, blocked, reason))
+        yield _frame(out, ["key_text", "frame_no", "pts", "blocked_reason", self.payload])
 
-    kept = "blocked boolean, reason string, checks long, manual boolean, delay boolean, detected boolean"
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {STATE}", kept, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def record_stream(both: DataFrame, key: str, ts: str, payload: str, fps: float) -> DataFrame:
+    """The protected recording of a stream of frames among gate states (``with_states``), as ``recorded`` has it; the state is a frame
+    number and the gate's last state per key."""
+    return _keyed(both, key, RecorderProcessor(ts, payload, fps), f"frame_no long, pts double, blocked_reason string, {payload} {dict(both.dtypes)[payload]}")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write all that a stream has now to parquet, then end."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def show_to(shown: DataFrame, path: str, checkpoint: str) -> None:
+    """Keep ``path`` at the frames that previews show now: every micro-batch of the aggregate takes the place of the one before."""
+    def show(now: DataFrame, _: int) -> None:
+        now.write.mode("overwrite").parquet(path)
+
+    query = shown.writeStream.outputMode("complete").foreachBatch(show).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def record_to(stream: DataFrame, target: str) -> tuple[str | None, str | None]:
+    """Record what a stream has now as parquet at ``target``: (target, None), (None, message) or, without frames, (None, None).
+
+    Frames go to a folder beside it that takes its place when all are written; a failure leaves no partial recording there, and no old one
+    that looks like a new one.
+    """
+    spark = stream.sparkSession
+    part = f"{target}.partial"
+    delete(spark, part)
+
+    def append(frames: DataFrame, _: int) -> None:  # once a micro-batch: a failure ends the recording
+        frames.write.mode("append").parquet(f"{part}/frames")
+
+    try:
+        query = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{part}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        done = spark.read.schema(stream.schema).parquet(f"{part}/frames")
+        if done.isEmpty():
+            return None, None
+        delete(spark, target)
+        source, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{part}/frames", target))
+        if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, to):
+            return None, "Recording failed while finalizing the video."
+        return target, None
+    except Exception as e:  # whatever ends the stream ends the recording, and is reported
+        delete(spark, target)
+        return None, f"Recording failed: {e}"
+    finally:
+        delete(spark, part)
+
