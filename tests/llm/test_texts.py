@@ -28,8 +28,9 @@ def test_transducer_counts_as_the_library():
     assert tokens.count_tokens(texts, tokens.model_path()).tolist() == [len(x) for x in sp.encode(texts)]
 
 
-def test_transducer_with_small_tables(monkeypatch):
-    for name, v in (("DENSE_STATES", 40), ("DENSE_CHARS", 8), ("STATES", 300), ("PAIRS", 50), ("CHUNK", 7), ("SLICE", 200)):
+@pytest.mark.parametrize("rounds", [0, 1, 9])
+def test_transducer_with_small_tables(monkeypatch, rounds):
+    for name, v in (("TRANSITIONS", 300), ("PAIRS", 50), ("CHUNK", 7), ("SLICE", 200), ("WARM", 2), ("ROUNDS", rounds)):
         monkeypatch.setattr(tokens, name, v)
     monkeypatch.setattr(tokens, "_compiled", {})
     texts = odd_texts(300, 2)
@@ -37,6 +38,38 @@ def test_transducer_with_small_tables(monkeypatch):
     assert tokens.count_tokens(texts, tokens.model_path()).tolist() == [len(x) for x in sp.encode(texts)]
 
 
+def test_transducer_on_long_texts_without_spaces():
+    """Chunks end anywhere: texts whose states come together, pass from chunk to chunk, or go round."""
+    r = random.Random(8)
+    texts = ["a" * 300_001, "ab" * 70_000, "".join(r.choice("abcdefghijklmnop") for _ in range(40_000)), "".join(r.choice("中文的一é😀") for _ in range(60_000)), "1" + "the" * 50_000, " " * 40_000, "x" + " " * 5000 + "y" * 5000]
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
+    assert tokens.count_tokens(texts, tokens.model_path()).tolist() == [len(x) for x in sp.encode(texts)]
+
+
+def test_a_million_characters_without_a_space(monkeypatch):
+    import time
+
+    monkeypatch.setattr(tokens, "_compiled", {})
+    tokens.count_tokens(["warm"], tokens.model_path())
+    at = time.time()
+    assert tokens.count_tokens(["abcd" * 250_000], tokens.model_path())[0] == len(sentencepiece.SentencePieceProcessor(model_file=tokens.model_path()).encode("abcd" * 250_000))
+    assert time.time() - at < 20
+
+
+def test_other_models_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(tokens.model_path(), "rb") as f:
+        model = f.read()
+    tokens.check_model(model)
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.trainer_spec, "byte_fallback", False), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.pieces[5000], "piece", "a▁b")):
+        m = sentencepiece_model_pb2.ModelProto()
+        m.ParseFromString(model)
+        change(m)
+        with pytest.raises(ValueError):
+            tokens.check_model(m.SerializeToString())
+
+
 def test_token_counts(spark, docs, rows, no_docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
     want = sorted((str(i), len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t, _ in rows)
