@@ -16,6 +16,8 @@ from veilspark.llm.common import id_text, table
 MODULI, BASES = (2147483647, 2147483629), (1000003, 999983)
 #: Characters in a fingerprinted window, and windows kept.
 WINDOW, SLOTS = 8, 64
+#: Characters in a range of documents, about; ranges at most (beyond those they grow).
+RANGE_CHARS, RANGES = 16 << 20, 20_000
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -156,35 +158,35 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every text of ``docs`` and of its edited text, and their likeness; columns as in SCHEMA.
 
     The edited text's last half, rounded down, is replaced by the front of the next document's text in order of doc_id,
-    nulls first, then text; after the last comes the first. For that, rows are dealt to ranges of doc_id, and the first rows of a range are
-    also sent to the one before, which they end. A fingerprint is the length and the smallest distinct hashes of all windows of
+    nulls first, then text; after the last comes the first. For that, rows are dealt to ranges of doc_id of about RANGE_CHARS characters, and the
+    first rows of a range are also sent to the one before, which they end. A fingerprint is the length and the smallest distinct hashes of all windows of
     WINDOW characters, read off prefix polynomial hashes; equal texts have equal ones. Common prefixes are found by binary
     search over the prefix hashes. Null texts are empty; an empty text's fingerprint has no windows and is like another
     such only. A single row is its own next. Repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = id_text(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("double").alias("d"))
+    d = F.col("doc_id").cast("double")
+    low, nulls, chars = docs.agg(F.min(d), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = parts or max(1, min(RANGES, -(-chars // RANGE_CHARS)))
     at = [k / parts for k in range(1, parts)]
-    low, cuts = ids.agg(F.min("d"), F.percentile_approx("d", at, 10 * parts) if at else F.array()).first()
-    nulls = docs.where("doc_id is null").limit(1).count() > 0
-    firsts = sorted({c for c in cuts or () if c is not None and low is not None and c > low})
+    cuts = docs.agg(F.percentile_approx(d, at, 10 * parts)).first()[0] if at and low is not None else ()
+    firsts = sorted({c for c in cuts or () if c > low})
     edges = [-float("inf"), *firsts, float("inf")]
     placed = rows.withColumn("d", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7976931348623157e308)))
     if firsts:
         placed = Bucketizer(splits=edges, inputCol="d", outputCol="p").transform(placed)
     placed = placed.withColumn("part", F.col("p").cast("int") if firsts else F.lit(0))
     # the smallest ids of part k end part k - 1; those of the first end the last
-    start = F.col("d").isin(firsts) if len(firsts) < 400 else F.array_contains(F.lit(firsts), F.col("d"))
+    start = F.get(F.lit(edges), F.col("part")) == F.col("d")
     smallest = F.col("doc_id").isNull() if nulls else F.col("d") == F.lit(low)
     n = len(edges) - 1
     ends = F.when(smallest, F.lit(n - 1)).when(start, F.col("part") - 1)
     to = F.array(F.struct(F.col("part"), F.lit(False).alias("tail")))
     dealt = placed.select("doc_id", "text", F.explode(F.when(ends.isNull(), to).otherwise(F.concat(to, F.array(F.struct(ends.alias("part"), F.lit(True).alias("tail")))))).alias("x"))
     dealt = dealt.select(F.col("x.part").alias("part"), F.col("x.tail").alias("tail"), "doc_id", "text")
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "text")
+    # range k is partition k: dealing the numbers by hash would leave some tasks several ranges, and others none
+    dealt = dealt.repartitionById(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(_paired, SCHEMA)
 
 
