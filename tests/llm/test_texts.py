@@ -155,6 +155,30 @@ def test_sketch_depends_on_windows_alone():
     assert prefix.likeness(a.sketch(), prefix.Prefix("").sketch()) == 0.0
 
 
+def plain_sketch(text):
+    """The smallest distinct hashes of a text's windows, each window hashed by itself."""
+    size = min(prefix.WINDOW, len(text))
+    if not size:
+        return []
+    out = set()
+    for i in range(len(text) - size + 1):
+        a, b = (sum((ord(c) + 1) * pow(base, k, mod) for k, c in enumerate(text[i : i + size])) % mod for base, mod in zip(prefix.BASES, prefix.MODULI))
+        x = a << 32 | b
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 % (1 << 64)
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) ^ size
+        out.add(x ^ x >> 32)
+    return sorted(out)[: prefix.SLOTS]
+
+
+def plain_likeness(a, b):
+    both = sorted({*a, *b})[: prefix.SLOTS]
+    return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+
+def written(text, sketch):
+    return f"{len(text):x}:" + "".join(f"{x:016x}" for x in sketch)
+
+
 @pytest.mark.parametrize("parts", [None, 1, 7])
 def test_fingerprints(spark, docs, rows, no_docs, parts):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -163,9 +187,10 @@ def test_fingerprints(spark, docs, rows, no_docs, parts):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         h = len(t) // 2
         e = t[: len(t) - h] + after[:h]
-        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), len(os.path.commonprefix([t, e])), len(os.path.commonprefix([t, after]))))
+        own, new, theirs = map(plain_sketch, (t, e, after))
+        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), written(t, own), written(e, new), plain_likeness(own, new), plain_likeness(own, theirs), len(os.path.commonprefix([t, e])), len(os.path.commonprefix([t, after]))))
     out = prefix.fingerprints(docs, parts).collect()
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.common_prefix_edited, r.common_prefix_next) for r in out) == sorted(want)
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in out) == sorted(want)
     by = {r.doc_id: r for r in out}
     assert by[2].fingerprint == by[3].fingerprint and by[2].near_next == 1.0
     assert by[6].fingerprint == by[7].fingerprint == by[7].edited_fingerprint and by[6].near_edited == 1.0
@@ -173,6 +198,14 @@ def test_fingerprints(spark, docs, rows, no_docs, parts):
     assert prefix.fingerprints(no_docs, parts).collect() == []
 
 
+def test_ranges_fill_partitions_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_CHARS", 1000)
+    texts = [(i, "some text of a document " * 4, "s") for i in range(200)]
+    out = prefix.fingerprints(documents(spark, texts))
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 20 and max(sizes) <= 2 * min(sizes) and sum(sizes) == 200
+
+
 def test_fingerprint_of_one_row(spark):
     (r,) = prefix.fingerprints(documents(spark, [(1, "abcdef", "s")])).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and r.near_next == 1.0
