@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.session import ship_package, stash
+from veilspark.session import ship_package, stash, unstash
 
 #: Words are runs of anything but space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -52,12 +52,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: every round is a distributed aggregate and an equi-join on the node, the edge list
     never grows, and rounds end when every edge points at its component's smallest node. Each round's edges are
-    written to the shared folder. No edges give no rows; null ends are dropped.
+    written to the shared folder, and those of the round before removed. No edges give no rows; null ends are dropped.
     """
     e = stash(edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
+        last = e
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         # every larger neighbour of u now points at the smallest node that u sees
@@ -68,6 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = e.join(low.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k")).select(
             F.inline(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))))
         e = stash(e.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        unstash(last)
         # a round that changes nothing has left a forest of stars
         n, h = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, h) == seen:
