@@ -56,10 +56,10 @@ def near_copies(n=60, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("distance", [4, 7])
-def test_near_duplicates(spark, rows, distance):
+@pytest.mark.parametrize("distance,hot", [(4, 4096), (7, 4096), (4, 4)])
+def test_near_duplicates(spark, rows, distance, hot):
     rows = [*rows, *near_copies()]
-    out = simhash.near_duplicates(documents(spark, rows), distance).collect()
+    out = simhash.near_duplicates(documents(spark, rows), distance, hot).collect()
     assert len(out) == len(rows)
     fps = [slow_print(t) for _, t, _ in rows]
     comp = reach([i for i, _, _ in rows], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= distance)
@@ -81,7 +81,7 @@ def test_near_joins_at_every_distance():
         hits = 0
         for bit, k in enumerate(keys):
             key = fp & np.uint64(k)
-            hits += len(simhash._near(np.full(2, bit), key, np.array([1, 2]), fp, 4)[0])
+            hits += len(simhash._near(np.full(2, bit), key, np.zeros(2, int), np.array([1, 2]), fp, 4)[0])
         assert hits == 1
 
 
@@ -98,13 +98,58 @@ def test_near_holds_no_square_of_pairs():
     n = len(fp)
     rep = np.array(r.sample(range(10 * n), n))
     tracemalloc.start()
-    a, b = simhash._near(np.zeros(n, np.int64), np.zeros(n, np.int64), rep, np.array(fp, dtype=np.uint64), 4)
+    a, b = simhash._near(np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), rep, np.array(fp, dtype=np.uint64), 4)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n > 900 and len(a) == n - 1 and set(a.tolist()) | set(b.tolist()) == set(rep.tolist())
     assert peak < 5e6 < 16 * n * n / 2
 
 
+def test_frequent_variants_are_dealt_further(spark):
+    """10^5 fingerprints of one segment value: no group that one task compares is large, and every near pair is in one."""
+    r = random.Random(11)
+    segment = simhash.segments(4)[0]
+    free = [b for b in range(64) if not segment >> b & 1]
+    fps = set()
+    while len(fps) < 100_000:
+        fp = r.getrandbits(64) & ~segment | (segment & 0x155555)
+        fps.add(fp)
+        if r.random() < 0.01:
+            for b in r.sample(free, r.randint(1, 4)):
+                fp ^= 1 << b
+            fps.add(fp)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    known = spark.createDataFrame(list(enumerate(signed)), "rep long, fp long").repartition(8)
+    rows = simhash.dealt(simhash.variants(known, 4), known, 4)
+    size = rows.groupBy("bit", "key", "part").count().selectExpr("max(count) m", "sum(count) n").first()
+    assert size.m <= 2 * simhash.HOT and size.n < 64 * len(fps) * 3
+    # one bit's rows are enough to find all pairs of this segment value
+    one = rows.where("bit = 0").repartition("bit", "key", "part").sortWithinPartitions("bit", "key", "part")
+    got = one.mapInArrow(simhash._joined(4), "a long, b long").collect()
+    node, root = spanning_edges(np.array([x.a for x in got], int), np.array([x.b for x in got], int), len(fps))
+    label = np.arange(len(fps))
+    label[node] = root
+    a = np.array(fps, np.uint64)
+    want = {(i, int(j)) for i in r.sample(range(len(fps)), 400) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 4) if j != i}
+    assert len(want) > 3 and all(label[i] == label[j] for i, j in want)
+
+
+def test_a_large_part_is_cut_into_chunks(spark):
+    """Near fingerprints in one variant and one block: chunks meet each other, and all end in one component."""
+    import itertools as it
+
+    segment = simhash.segments(4)[0]
+    free = [b for b in range(64) if not segment >> b & 1]
+    fps = [0, *(1 << b for b in free), *(1 << a | 1 << b for a, b in it.combinations(free, 2))]
+    known = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "rep long, fp long")
+    rows = simhash.dealt(simhash.variants(known, 4), known, 4, 64)
+    assert rows.groupBy("bit", "key", "part").count().agg({"count": "max"}).first()[0] <= 3 * 64
+    keyed = rows.repartition("bit", "key", "part").sortWithinPartitions("bit", "key", "part")
+    comp = components(keyed.mapInArrow(simhash._joined(4), "a long, b long")).collect()
+    assert {x.component for x in comp} == {0} and len(comp) == len(fps)
+
+
 def test_deduplicated(spark, rows, no_docs):
     rows = [*rows, *near_copies(20)]
     docs = documents(spark, rows)
@@ -150,8 +195,10 @@ def vector_rows(seed=4, dim=16):
     return rows + [(400 + k, v) for k, v in enumerate(odd)] + [(200, rows[3][1]), (None, rows[3][1])]
 
 
+@pytest.mark.parametrize("prunes", [0, 9])  # one cell for all blocks, and grids
 @pytest.mark.parametrize("blocks,grid,chunk", [(4, 2, 4096), (2, 1, 5), (5, 3, 16)])
-def test_near_vectors(spark, blocks, grid, chunk):
+def test_near_vectors(spark, monkeypatch, blocks, grid, chunk, prunes):
+    monkeypatch.setattr(vectors, "PRUNES", prunes)
     rows = vector_rows()
     df = spark.createDataFrame([(i, v, "x", 1, "y", 2) for i, v in rows], "vec_id long, embedding array<float>, label string, n long, e string, rep int")
     out = vectors.near_vectors(df, 0.9, blocks, grid, chunk).collect()
@@ -169,6 +216,22 @@ def test_near_vectors(spark, blocks, grid, chunk):
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in out) == want
 
 
+def test_grid_cells_hold_all_near_rows():
+    """Of rows within a block's radius each is in the other's cell, or visits it."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 12)) * np.array([3, 2, 1] * 4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grid = vectors.Grid(x.T @ x, 0.9, 3, 2)
+    for b in range(3):
+        home, near = grid.cells(x, b)
+        own = x @ grid.axes[:, grid.parts[b]]
+        seen = [{int(home[i])} | {int(c[i]) for c, m in near if m[i]} for i in range(len(x))]
+        gap = ((own[:, None] - own[None]) ** 2).sum(-1)
+        for i, j in zip(*np.nonzero(gap <= grid.budget[b])):
+            assert int(home[j]) in seen[i]
+        assert sum(map(len, seen)) < 9 * len(x)
+
+
 def test_near_vectors_of_other_lengths(spark):
     rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [0.9, 0.1, 0.0]), (7, [2.0]), (8, [3.0]), (9, [1.0, 0.0])]
     out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

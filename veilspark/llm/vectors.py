@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import components, spanning_edges, stash, table
 
-COSINE, BLOCKS, GRID, CHUNK = 0.9, 4, 2, 4096
+#: Least cosine, blocks, dimensions of a block that its grid has, and vectors that meet as one side at most.
+COSINE, BLOCKS, GRID, CHUNK = 0.9, 4, 2, 32768
+#: Sides that a table is cut into where it's small, and vectors of a side at least, so that all tasks have work.
+SIDES, LEAST = 8, 4096
 SLACK = 1e-4
+#: The grid is used where it leaves less than this part of all pairs to compare, over all blocks.
+PRUNES = 0.25
+ALL = -1
 
 
 def _units(column) -> np.ndarray:
@@ -47,85 +53,115 @@ class Grid:
         #: cells are no narrower than the budget's radius, so that near rows are in the same or adjoining cells; nor than 1/64.
         self.width = np.maximum(np.sqrt(self.budget + SLACK), 1 / 64)
 
-    def cells(self, x: np.ndarray, b: int) -> np.ndarray:
-        """Numbers of the cells of block ``b``: coordinates in base 256."""
-        c = np.floor(x @ self.axes[:, self.grid[b]] / self.width[b]).astype(np.int64) + 128
-        return c @ (256 ** np.arange(c.shape[1]))
-
-    def steps(self, b: int) -> list[int]:
-        return [int(np.dot(s, 256 ** np.arange(len(s)))) for s in itertools.product((-1, 0, 1), repeat=len(self.grid[b]))]
-
-
-def _counted(grid: Grid):
-    def run(batches):
-        for t in batches:
-            if t.num_rows:
-                x = _units(t.column("e"))
-                for b in range(len(grid.parts)):
-                    cell, n = np.unique(grid.cells(x, b), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), b)), pa.array(cell), pa.array(n)], ["b", "cell", "n"])
-
-    return run
-
-
-def _dealt(grid: Grid, chunks: dict):
-    """Each row to every pair of chunks that it belongs to: of its own cell, and of its cell with each adjoining one that has rows."""
+    def cells(self, x: np.ndarray, b: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The cell of each row in block ``b``, as a number (coordinates in base 256), and the adjoining ones within the radius of each row."""
+        at = x @ self.axes[:, self.grid[b]] / self.width[b]
+        home = np.floor(at)
+        reach = np.sqrt(self.budget[b] + SLACK) / self.width[b] + 1e-9
+        gap = [np.maximum(at - home, 0), np.zeros_like(at), np.maximum(home + 1 - at, 0)]  # to the cells before, of and after each coordinate
+        base = 256 ** np.arange(at.shape[1])
+        number, near = (home.astype(np.int64) + 128) @ base, []
+        for steps in itertools.product((-1, 0, 1), repeat=at.shape[1]):
+            if any(steps):
+                far = sum(gap[s + 1][:, k] ** 2 for k, s in enumerate(steps))
+                near.append((number + int(np.dot(steps, base)), far <= reach**2))
+        return number, near
+
+
+def _placed(grid: Grid):
+    """Rows with their cell in each block (``home``), and the adjoining cells that may hold rows near them (``visits``)."""
     def run(batches):
         for t in batches:
             if not t.num_rows:
                 continue
-            x, rep = _units(t.column("e")), t.column("rep").to_numpy()
-            mix = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            x, n = _units(t.column("e")), t.num_rows
+            homes, visits, sizes = [], [], []
             for b in range(len(grid.parts)):
-                cell = grid.cells(x, b)
-                for mine in np.unique(cell):
-                    at = np.flatnonzero(cell == mine)
-                    k = chunks[b, int(mine)]
-                    chunk = (mix[at] % np.uint64(k)).astype(np.int64)
-                    for other in (int(mine) + s for s in grid.steps(b)):
-                        for j in range(chunks.get((b, other), 0)):
-                            lo, hi = min(mine, other), max(mine, other)
-                            i, j2 = (chunk, np.full(len(at), j)) if mine <= other else (np.full(len(at), j), chunk)
-                            side = np.full(len(at), int(mine > other))
-                            if mine == other:
-                                i, j2, side = np.minimum(chunk, j), np.maximum(chunk, j), (chunk > j).astype(np.int64)
-                            cols = [np.full(len(at), b), np.full(len(at), lo), np.full(len(at), hi), i, j2, side]
-                            sent = t.take(pa.array(at))
-                            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), sent.column("rep"), sent.column("n"), sent.column("e")], ["b", "lo", "hi", "i", "j", "side", "rep", "n", "e"])
+                number, near = grid.cells(x, b)
+                cell, there = np.stack([c for c, _ in near], axis=1), np.stack([m for _, m in near], axis=1)
+                homes.append(number)
+                visits.append([c[m] for c, m in zip(cell, there)])
+                sizes.append(there.sum(axis=1))
+            k = len(homes)
+            flat = np.concatenate([v for row in zip(*visits) for v in row])
+            inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.stack(sizes, axis=1).ravel())), pa.int32()), pa.array(flat, pa.int64()))
+            outer = pa.array(np.arange(n + 1) * k, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [t.column("rep"), t.column("n"), t.column("e"), pa.ListArray.from_arrays(outer, pa.array(np.stack(homes, axis=1).ravel())), pa.ListArray.from_arrays(outer, inner)], ["rep", "n", "e", "home", "visits"])
 
     return run
 
 
+def _pairs_left(counts: list, grid: Grid) -> float:
+    """Pairs that the grid leaves to compare, over all blocks, if every row visited all adjoining cells."""
+    size = {(r.b, r.cell): r.n for r in counts}
+    steps = {b: [int(np.dot(s, 256 ** np.arange(len(d)))) for s in itertools.product((-1, 0, 1), repeat=len(d))] for b, d in enumerate(grid.grid)}
+    return sum(n * size.get((b, c + s), 0) / 2 for (b, c), n in size.items() for s in steps[b])
+
+
+def _met(rows: DataFrame, counts: DataFrame | None, chunk: int, n: int) -> DataFrame:
+    """Rows once for every (b, lo, hi, i, j) at which they meet others; side 0 meets side 1, and where there is but one chunk all meet all.
+
+    Chunk i of cell lo meets chunk j of cell hi. Without ``counts`` there is one cell for all blocks.
+    """
+    if counts is None:
+        cells = rows.select("rep", "n", "e", F.lit(ALL).alias("b"), F.lit(0).cast("long").alias("cell"))
+        cells = cells.withColumns({"k": F.lit(-(-n // chunk)), "other": F.lit(0).cast("long"), "ks": F.lit(-(-n // chunk))})
+    else:
+        chunks = F.broadcast(counts.select(F.col("b").alias("at_b"), F.col("cell").alias("at_cell"), F.ceil(F.col("n") / chunk).cast("int").alias("k")))  # at most blocks * 129 ** dimensions
+        cells = rows.select("rep", "n", "e", F.posexplode(F.arrays_zip("home", "visits")).alias("b", "x"))
+        cells = cells.select("rep", "n", "e", "b", F.col("x.home").alias("cell"), F.explode(F.concat(F.array("x.home"), "x.visits")).alias("other"))
+        mine = chunks.withColumnRenamed("k", "own")
+        cells = cells.join(mine, (F.col("b") == F.col("at_b")) & (F.col("cell") == F.col("at_cell"))).select("rep", "n", "e", "b", "cell", "other", F.col("own").alias("k"))
+        cells = cells.join(chunks.withColumnRenamed("k", "ks"), (F.col("b") == F.col("at_b")) & (F.col("other") == F.col("at_cell")))
+    c, j = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"), F.col("j")
+    cells = cells.withColumn("c", c).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)))
+    same, first = F.col("cell") == F.col("other"), F.col("cell") < F.col("other")
+    left = F.when(same, F.least("c", "j")).when(first, F.col("c")).otherwise(j)
+    right = F.when(same, F.greatest("c", "j")).when(first, j).otherwise(F.col("c"))
+    side = F.when(same, F.col("c") > j).otherwise(~first).cast("int")
+    return cells.select("b", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), left.alias("i"), right.alias("j"), side.alias("side"), "rep", "n", "e")
+
+
 def _compared(grid: Grid, cosine: float):
     def run(t: pa.Table) -> pa.Table:
-        b, alone = t.column("b")[0].as_py(), t.column("lo")[0] == t.column("hi")[0] and t.column("i")[0] == t.column("j")[0]
+        alone = t.column("lo")[0] == t.column("hi")[0] and t.column("i")[0] == t.column("j")[0]
+        at = t.column("b")[0].as_py()
         x, rep, n, side = _units(t.column("e")), t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("side").to_numpy()
         y = x @ grid.axes
         left = np.arange(len(x)) if alone else np.flatnonzero(side == 0)
         right = left if alone else np.flatnonzero(side == 1)
-        own = y[:, grid.parts[b]].astype(np.float32)
-        square = (own * own).sum(axis=1)
         starts = np.cumsum([0, *map(len, grid.parts[:-1])])
         deal = np.concatenate(grid.parts)
-        links, us, vs = np.zeros(len(x), np.int64), [], []
-        for at in range(0, len(left), 1024):
-            p = left[at : at + 1024]
-            gap = square[p][:, None] + square[right][None, :] - 2 * (own[p] @ own[right].T)
-            r, c = np.nonzero(gap <= grid.budget[b] + SLACK)
-            u, v = p[r], right[c]
-            if alone:
-                u, v = u[u < v], v[u < v]
-            for k in range(0, len(u), 50_000):
-                i, j = u[k : k + 50_000], v[k : k + 50_000]
-                near = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-                i, j = i[near], j[near]
-                # a link counts in the block that uses the least of its budget, so once among all blocks
-                part = np.add.reduceat(((y[i] - y[j]) ** 2)[:, deal], starts, axis=1) / grid.budget
-                mine = part.argmin(axis=1) == b
-                i, j = i[mine], j[mine]
-                links += np.bincount(i, n[j], len(x)).astype(np.int64) + np.bincount(j, n[i], len(x)).astype(np.int64)
-                us.append(i)
-                vs.append(j)
+        links, us, vs, held = np.zeros(len(x), np.int64), [], [], 0
+        for b in range(len(grid.parts)) if at == ALL else [at]:
+            own = y[:, grid.parts[b]].astype(np.float32)
+            square = (own * own).sum(axis=1)
+            for lo in range(0, len(left), 512):
+                p = left[lo : lo + 512]
+                q = right[lo:] if alone else right
+                gap = own[p] @ own[q].T
+                gap *= -2
+                gap += square[q]
+                r, c = np.nonzero(gap <= (grid.budget[b] + SLACK - square[p])[:, None])
+                u, v = p[r], q[c]
+                if alone:
+                    u, v = u[u < v], v[u < v]
+                for k in range(0, len(u), 50_000):
+                    i, j = u[k : k + 50_000], v[k : k + 50_000]
+                    near = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+                    i, j = i[near], j[near]
+                    # a link counts in the block that uses the least of its budget, so once among all blocks
+                    part = np.add.reduceat(((y[i] - y[j]) ** 2)[:, deal], starts, axis=1) / grid.budget
+                    mine = part.argmin(axis=1) == b
+                    i, j = i[mine], j[mine]
+                    links += np.bincount(i, n[j], len(x)).astype(np.int64) + np.bincount(j, n[i], len(x)).astype(np.int64)
+                    us.append(i)
+                    vs.append(j)
+                    held += len(i)
+                    if held > max(1 << 20, len(x)):  # pairs are folded into a forest as they are found
+                        node, root = spanning_edges(np.concatenate(us), np.concatenate(vs), len(x))
+                        us, vs, held = [node], [root], 0
         has = np.flatnonzero(links)
         node, root = spanning_edges(np.concatenate(us), np.concatenate(vs), len(x)) if us else (np.empty(0, int),) * 2
         empty = pa.nulls(len(has), pa.int64())
@@ -139,8 +175,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
 
     Equal vectors form a class, compared once. Unit vectors are rotated onto the principal axes of all classes and split
     into blocks. A squared distance of 2 - 2 cosine leaves some block within its proportional part, so each block is range-joined
-    within that: rows go to grid cells no narrower than the radius, and meet those of the same and of adjoining cells, in chunks of
-    bounded size. Candidates are verified by the cosine in double precision, and a link counts in one block only. Tasks
+    within that: rows go to grid cells no narrower than the radius, and meet those of their own cell and, near a border, of adjoining ones, in chunks of
+    bounded size. Where vectors spread so evenly that the grids leave most pairs, all blocks are joined over one cell instead: the
+    same comparisons, of which a row then needs far fewer copies. Candidates are verified by the cosine in double precision, and a link counts in one block only. Tasks
     return counts and spanning trees, never all pairs. Vectors of different lengths don't link; each length is joined by itself.
     Vectors that are null, empty, zero, or with null or non-finite values link with nothing, nor do rows without vec_id. Repeated rows count as vectors of their own; other columns
     are ignored; an empty table gives no rows.
@@ -159,11 +196,15 @@ def _linked(rows: DataFrame, dim: int, cosine: float, blocks: int, grid_dims: in
     whole = stash(rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     second = whole.select("e").mapInArrow(_moments, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     grid = Grid(np.array([r.v for r in second]).reshape(dim, dim), cosine, blocks, grid_dims)
-    counts = whole.select("e").mapInArrow(_counted(grid), "b long, cell long, n long").groupBy("b", "cell").agg(F.sum("n").alias("n")).collect()  # at most blocks * 129 ** grid_dims cells
-    chunks = {(r.b, r.cell): -(-r.n // chunk) for r in counts}
     kind = dict(whole.dtypes)["e"]
-    dealt = whole.mapInArrow(_dealt(grid, chunks), f"b long, lo long, hi long, i long, j long, side long, rep long, n long, e {kind}")
-    found = stash(dealt.groupBy("b", "lo", "hi", "i", "j").applyInArrow(_compared(grid, cosine), "a long, links long, b long"), "links")
+    placed = stash(whole.mapInArrow(_placed(grid), f"rep long, n long, e {kind}, home array<long>, visits array<array<long>>"), "placed")
+    counts = placed.select(F.posexplode("home").alias("b", "cell")).groupBy("b", "cell").agg(F.count("*").alias("n"))
+    sizes = counts.collect()  # at most blocks * 129 ** grid_dims cells
+    total = sum(r.n for r in sizes if r.b == 0)
+    side = min(chunk, max(min(chunk, LEAST), -(-total // SIDES)))
+    prunes = _pairs_left(sizes, grid) < PRUNES * total * total / 2 * len(grid.parts)
+    met = _met(placed, counts if prunes else None, side, total)
+    found = stash(met.groupBy("b", "lo", "hi", "i", "j").applyInArrow(_compared(grid, cosine), "a long, links long, b long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("at")).agg(F.sum("links").alias("links"))
     comp = components(found.where("b is not null").select("a", "b"))
     of = whole.join(links, F.col("rep") == F.col("at"), "left").join(comp, F.col("rep") == F.col("node"), "left")
