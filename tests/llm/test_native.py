@@ -100,17 +100,31 @@ def base(text):
     return sorted(out)
 
 
-def entropy_spans(text, taken, window=secrets.WINDOW):
-    out = list(taken)
+PLACEHOLDER = "|".join(f"(?i:{a.removeprefix('(?i)')})" for a in secrets.ALLOWED if not a.startswith("^"))
+
+
+def entropy_spans(text, base_found, window=secrets.WINDOW):
+    out = []
+
+    def fine(v):
+        return any(re.search(x, v) for x in secrets.ALLOWED if x.startswith("^"))
+
     for k, (name, chars, least) in enumerate(secrets.CLASSES, 3):
         have = list(out)
         for m in re.finditer(f"[{chars}]{{{window},}}", text or ""):
-            if not re.search("[0-9]", m[0]) or any(a < m.end() and m.start() < e for a, _, e, _ in have) or any(re.search(x, m[0]) for x in secrets.ALLOWED):
+            if not re.search("[0-9]", m[0]) or any(a < m.end() and m.start() < e for a, _, e, _ in have) or fine(m[0]):
                 continue
-            at = [i for i in range(len(m[0]) - window + 1) if entropy(m[0][i : i + window]) >= least]
-            if at:
-                out.append((m.start() + at[0], k, m.start() + at[-1] + window, name))
-    return sorted(out)
+            at, parts = 0, []
+            for x in re.finditer(PLACEHOLDER, m[0]):
+                parts.append((at, m[0][at : x.start()]))
+                at = x.end()
+            for a, v in [*parts, (at, m[0][at:])]:
+                if len(v) < window or not re.search("[0-9]", v) or fine(v):
+                    continue
+                high = [i for i in range(len(v) - window + 1) if entropy(v[i : i + window]) >= least]
+                if high:
+                    out.append((m.start() + a + high[0], k, m.start() + a + high[-1] + window, name))
+    return sorted([*base_found, *out])
 
 
 def entropy(s):
@@ -133,6 +147,19 @@ def test_secrets(spark, rows):
     assert any(x.name.startswith("entropy") for r in out.values() for x in r.found)
 
 
+def test_entropy_of_random_runs(spark):
+    import random
+
+    r = random.Random(17)
+    chars = "abcdefABCDEF0123456789+/_=-zZqQ"
+    texts = [(i, " ".join("".join(r.choice(chars[: r.randint(2, len(chars))]) for _ in range(r.randint(15, 90))) for _ in range(4)), "s") for i in range(300)]
+    texts += [(900, "".join(r.choice(chars) for _ in range(30_000)), "s"), (901, "password=" + "Zx9Qw3Er7Ty1Ui5Op2Kj8Lm4", "s")]
+    out = {x.doc_id: x for x in secrets.scan_secrets(documents(spark, texts)).collect()}
+    for i, t, _ in texts:
+        assert [tuple(x) for x in out[i].found] == entropy_spans(t, base(t)), t[:200]
+    assert [x.name for x in out[901].found] == ["assign", "entropy_base64"] or {x.name for x in out[901].found} == {"assign", "entropy_base64"}
+
+
 def test_secrets_behind_placeholders(spark):
     key = "Zx9Qw3Er7Ty1Ui5Op2Kj8Lm4"
     texts = [f"at sample_key={key} here", f"see example/{key}", f"{key}dummy{key}", f"EXAMPLE{key[:15]}EXAMPLE", "sample_0123-4567-8901-2345-6789-0123", f"😀 {key}"]
@@ -148,7 +175,7 @@ def test_secrets_query_columns(spark, tmp_path, docs, no_docs):
     out = secrets.op3_secret_scan(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] and out.count() == docs.count()
     r = out.where("doc_id = 10").first()
-    assert r.n_assign == 1 and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    assert r.n_assign == 1 and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()  # too short for a window
     assert secrets.scan_secrets(no_docs).collect() == []
 
 
@@ -174,6 +201,21 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(pages.where("page_id = 12"), listed.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("bits", [16, 0])
+def test_listed_urls_that_no_page_has(spark, monkeypatch, bits):
+    """With no bits every URL is a possible hit: the exact join removes the false ones."""
+    monkeypatch.setattr(urls, "BITS_PER_URL", bits)
+    pages = spark.createDataFrame([(i, f"http://site{i}.net/p{i}") for i in range(300)] + [(999, None)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"https://SITE{i}.net/p{i}/",) for i in range(0, 600, 7)] + [(f"http://absent{i}.net/x",) for i in range(50)] + [(None,), ("nope",)], "url string")
+    out = {r.page_id: r.verdict for r in urls.filter_urls(pages, listed).collect()}
+    assert out == {i: "block" if i % 7 == 0 else "allow" for i in range(300)} | {999: "allow"}
+
+
+def test_listed_pages(spark):
+    pages = spark.createDataFrame([(1, "http://www.free-bets.net/a"), (2, None), (3, "http://free-bets"), (4, "http://x.org/free-bets.net"), (5, "nope")], "page_id long, url string")
+    assert [r.url for r in urls.listed_pages(pages).collect()] == ["http://www.free-bets.net/a"]
+
+
 def test_bloom_has_no_false_negative(spark):
     listed = spark.range(5000).selectExpr("concat('h', id, '.net/p') url")
     blocks = urls.bloom_blocks(listed, 2048)

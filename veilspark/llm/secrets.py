@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import scan
 from veilspark.llm.common import table
 
 # The patterns of the base kinds. Runs of at least n characters equal runs that are then checked for n.
@@ -24,52 +28,69 @@ ALLOWED = (
     "(?i)example|sample|dummy|placeholder|changeme|xxxx|0{8}|1234567",
 )
 
-SPAN = "array<struct<s:int,k:int,e:int,name:string>>"
+ITEM = "struct<s:int,k:int,e:int,name:string>"
+SPAN = f"array<{ITEM}>"
 NONE = f"cast(array() as {SPAN})"
 
 
 def _spans(found: str, gaps: str, name: str, order: int) -> Column:
     """Positions of the matches ``found`` between the pieces ``gaps`` of the same text: running lengths, in one pass."""
-    return F.expr(f"""case when size({found}) = 0 then {NONE} else aggregate({found},
-        named_struct('i', 0, 'at', 0, 'out', {NONE}),
-        (a, m) -> named_struct('i', a.i + 1, 'at', a.at + length({gaps}[a.i]) + length(m), 'out', array_append(a.out, named_struct(
-            's', a.at + length({gaps}[a.i]), 'k', {order}, 'e', a.at + length({gaps}[a.i]) + length(m), 'name', '{name}'))),
-        a -> a.out) end""")
+    def step(a: Column, m: Column) -> tuple[Column, Column]:
+        s = a["at"] + F.length(F.get(F.col(gaps), a["i"]))
+        e = s + F.length(m)
+        span = F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e"), F.lit(name).alias("name"))
+        return F.struct((a["i"] + 1).alias("i"), e.alias("at")), F.array(span)
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"))
+    return F.when(F.size(found) == 0, F.expr(NONE)).otherwise(scan(F.col(found), start, step, ITEM))
+
+
+def _alphabet(chars: str) -> str:
+    """The characters of a class of ASCII characters and ranges."""
+    return "".join(c for c in map(chr, range(128)) if re.fullmatch(f"[{chars}]", c))
 
 
-def _entropy_span(c: str, window: int, least: float) -> str:
+def _entropy_span(c: str, chars: str, window: int, least: float) -> str:
     """SQL for the first and last end of windows of candidate ``c`` with at least ``least`` bits: a struct (lo, hi), null without any.
 
-    The window moves one character at a time. Of entropy's sum of n log2 n only the terms of the character that enters and
-    the one that leaves change; their counts are those in the window at hand.
+    The window moves one character at a time. The count of each character of the class is kept, and one goes up and one
+    goes down; of entropy's sum of n log2 n only those two characters' terms change. n log2 n is looked up.
     """
-    def term(n: str) -> str:
-        return f"case when {n} > 0 then {n} * log2({n}) else 0d end"
+    letters = _alphabet(chars)
+    terms = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}d" for n in range(window + 2)) + ")"
 
-    n_in = "(length(a.w) - length(replace(a.w, ch, '')))"
-    entered = f"""named_struct('w', concat(a.w, ch), 'i', a.i + 1, 'sum', a.sum + {term(f'({n_in} + 1)')} - {term(n_in)}, 'lo', a.lo, 'hi', a.hi)"""
-    out = "substr(b.w, 1, 1)"
-    n_out = f"(length(b.w) - length(replace(b.w, {out}, '')))"
-    left = f"""case when length(b.w) > {window} then named_struct('w', substr(b.w, 2), 'i', b.i, 'sum', b.sum - {term(n_out)} + {term(f'({n_out} - 1)')}, 'lo', b.lo, 'hi', b.hi) else b end"""
-    high = f"length(b.w) = {window} and log2({window}) - b.sum / {window} >= {least}"
-    noted = f"named_struct('w', b.w, 'i', b.i, 'sum', b.sum, 'lo', case when {high} then coalesce(b.lo, b.i - {window}) else b.lo end, 'hi', case when {high} then b.i else b.hi end)"
+    def let(value: str, name: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
 
-    def let(value: str, body: str) -> str:
-        return f"transform(array({value}), b -> {body})[0]"
+    def moved(counts: str, at: str, by: int) -> str:
+        return f"concat(slice({counts}, 1, {at}), array({counts}[{at}] + {by}), slice({counts}, {at} + 2, {len(letters)}))"
 
-    step = let(let(entered, left), noted)
-    start = "named_struct('w', '', 'i', 0, 'sum', 0d, 'lo', cast(null as int), 'hi', cast(null as int))"
-    return f"aggregate(split({c}, ''), {start}, (a, ch) -> {step}, a -> named_struct('lo', a.lo, 'hi', a.hi))"
+    def place(ch: str) -> str:
+        return f"instr('{letters}', {ch}) - 1"
+
+    def state(counts: str, total: str, source: str) -> str:
+        return f"named_struct('n', {counts}, 'i', {source}.i, 'sum', {total}, 'lo', {source}.lo, 'hi', {source}.hi)"
+
+    entered = let(place("x.new"), "p", state(moved("a.n", "p", 1), f"a.sum + {terms}[a.n[p] + 1] - {terms}[a.n[p]]", "a"))
+    left = f"case when x.old is null then b else {let(place('x.old'), 'q', state(moved('b.n', 'q', -1), f'b.sum + {terms}[b.n[q] - 1] - {terms}[b.n[q]]', 'b'))} end"
+    high = f"d.i + 1 >= {window} and log2({window}) - d.sum / {window} >= {least}"
+    noted = f"named_struct('n', d.n, 'i', d.i + 1, 'sum', d.sum, 'lo', case when {high} then coalesce(d.lo, d.i + 1 - {window}) else d.lo end, 'hi', case when {high} then d.i + 1 else d.hi end)"
+    step = let(entered, "b", let(left, "d", noted))
+    start = f"named_struct('n', array_repeat(0, {len(letters)}), 'i', 0, 'sum', 0d, 'lo', cast(null as int), 'hi', cast(null as int))"
+    leaving = f"concat(array_repeat(cast(null as string), {window}), slice(v, 1, greatest(size(v) - {window}, 0)))"
+    pairs = f"zip_with(v, {leaving}, (new, old) -> named_struct('new', new, 'old', old))"
+    return let(f"split({c}, '')", "v", f"aggregate({pairs}, {start}, (a, x) -> {step}, a -> named_struct('lo', a.lo, 'hi', a.hi))")
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
-    """doc_id and found (array of s, k, e, name) for every row of ``docs``: base spans first decided, then entropy spans.
+    """doc_id, base and found (arrays of s, k, e, name) for every row of ``docs``: spans of the base kinds, and those with the entropy spans.
 
     Base kinds are assign, access and hex, each leftmost and not overlapping within its kind; matches that fail their
-    length are dropped. The entropy scan adds, for each run of a character class that is long enough, has a digit, touches
-    no base span, lies in no entropy span of an earlier class and isn't allow-listed, the stretch from its first to its last
-    window of high entropy. Placeholders (allow-list entries that aren't anchored) excuse only themselves: a run is cut at them, and its other parts are candidates. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows each
-    get a row; other columns are ignored; an empty table gives no rows.
+    length are dropped. The entropy scan adds, for each run of a character class that is long enough, has a digit,
+    lies in no entropy span of an earlier class and isn't allow-listed, the stretch from its first to its last
+    window of high entropy, also where a base span is: the two then say the same of one secret. Placeholders (allow-list entries that aren't
+    anchored) excuse only themselves: a run is cut at them, and its other parts are candidates. Offsets are code points, ends exclusive. Null and
+    empty texts have no spans; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("t"))
@@ -97,17 +118,18 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed
             'x', named_struct('s', a.at, 'k', c.x.k, 'e', a.at + length(p), 'name', c.x.name), 'm', p))),
         a -> a.out) end"""
     fine = allow.replace("(m,", "(c.m,").join("()")
-    have = "base"
-    for i, (_, _, least) in enumerate(classes, len(kinds)):
-        # candidates with their text, free of what is there already
+    rows = rows.withColumn("entropy", F.expr(NONE))
+    have = "entropy"
+    for i, (_, chars, least) in enumerate(classes, len(kinds)):
+        # candidates with their text, free of what earlier classes found
         ok = f"filter(zip_with(s{i}, m{i}, (x, m) -> named_struct('x', x, 'm', m)), c -> not exists({have}, b -> b.s < c.x.e and c.x.s < b.e) and rlike(c.m, '[0-9]') and not {fine})"
         ok = f"filter(flatten(transform({ok}, c -> {parts})), c -> length(c.m) >= {window} and rlike(c.m, '[0-9]') and not {fine})"
         rows = rows.withColumn(f"c{i}", F.expr(ok))
-        span = f"transform(c{i}, c -> named_struct('x', c.x, 'w', {_entropy_span('c.m', window, least)}))"
+        span = f"transform(c{i}, c -> named_struct('x', c.x, 'w', {_entropy_span('c.m', chars, window, least)}))"
         add = f"transform(filter({span}, c -> c.w.lo is not null), c -> named_struct('s', c.x.s + c.w.lo, 'k', c.x.k, 'e', c.x.s + c.w.hi, 'name', c.x.name))"
         rows = rows.withColumn(f"h{i}", F.concat(F.col(have), F.expr(f"cast({add} as {SPAN})")))
         have = f"h{i}"
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(have).alias("found"))
+    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", have)).alias("found"))
 
 
 def digest(spans: str) -> Column:
@@ -127,17 +149,22 @@ def _oracle() -> str:
     def entropy(w: str) -> str:
         return f"(select log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} from (select count(*)::double as n from (select unnest(string_split({w}, '')) as c) group by c))"
 
-    allowed = " or ".join(f"regexp_matches(v, '{quoted(a)}')" for a in ALLOWED)
+    def fine(v: str) -> str:
+        return " or ".join(f"regexp_matches({v}, '{quoted(a)}')" for a in ALLOWED if a.startswith("^"))
+
+    cuts = quoted("|".join(f"(?:{a})" for a in ALLOWED if not a.startswith("^")))
     parts = [found("f0", ASSIGN), found("f1", ACCESS), found("f2", HEX), f"""base as (
         select doc_id, s, 0 as k, e, 'assign' as name from f0 where length(regexp_extract(v, '{quoted(ASSIGN)}', 1)) >= {ASSIGN_LEAST}
-        union all select doc_id, s, 1, e, 'access' from f1 union all select doc_id, s, 2, e, 'hex' from f2)"""]
-    have = "base"
+        union all select doc_id, s, 1, e, 'access' from f1 union all select doc_id, s, 2, e, 'hex' from f2)""", "h2 as (select * from base where false)"]
     for i, (name, chars, least) in enumerate(CLASSES, 3):
-        parts += [found(f"f{i}", f"[{chars}]{{{WINDOW},}}"), f"""c{i} as (select * from f{i} where regexp_matches(v, '[0-9]') and not ({allowed})
-            and not exists (from {have} b where b.doc_id = f{i}.doc_id and b.s < f{i}.e and f{i}.s < b.e))""", f"""w{i} as (
+        parts += [found(f"f{i}", f"[{chars}]{{{WINDOW},}}"), f"""r{i} as (select * from f{i} where regexp_matches(v, '[0-9]') and not ({fine('v')})
+            and not exists (from h{i - 1} b where b.doc_id = f{i}.doc_id and b.s < f{i}.e and f{i}.s < b.e)), p{i} as (
+            select doc_id, s, unnest(generate_series(1, len(gs))) as j, gs, ms from (select doc_id, s, regexp_split_to_array(v, '{cuts}') as gs, regexp_extract_all(v, '{cuts}') as ms from r{i})), c{i} as (
+            select * from (select doc_id, (s + coalesce(list_sum(list_transform(gs[1:j - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:j - 1], lambda x: length(x))), 0))::bigint as s, gs[j] as v from p{i})
+            where length(v) >= {WINDOW} and regexp_matches(v, '[0-9]') and not ({fine('v')})), w{i} as (
             select doc_id, s, i, substr(v, i + 1, {WINDOW}) as w from (select *, unnest(generate_series(0, length(v) - {WINDOW})) as i from c{i})), h{i} as (
-            select * from {have} union all select doc_id, s + min(i), {i}, s + max(i) + {WINDOW}, '{name}' from w{i} where {entropy('w')} >= {least} group by doc_id, s)"""]
-        have = f"h{i}"
+            select * from h{i - 1} union all select doc_id, s + min(i), {i}, s + max(i) + {WINDOW}, '{name}' from w{i} where {entropy('w')} >= {least} group by doc_id, s)"""]
+    have = f"(select * from base union all select * from h{len(CLASSES) + 2})"
     line = "string_agg(name || ':' || s || ':' || e, ',' order by s, k, e)"
     return f"""with d as (select doc_id, coalesce(text, '') as t from documents), {", ".join(parts)},
         b as (select doc_id, {line} as x, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex from base group by 1),
