@@ -1,6 +1,7 @@
 """Corpus pipeline: quality classifier, SimHash near-dedup, masking of personal data, source mixing, packing.
 
-Every stage takes the documents that its predecessor kept, as a table, and all but the last return the columns of documents.
+Every stage takes the documents that its predecessor kept, as a table, and all but the last return the columns of documents, whatever their names.
+Nulls in any column are left alone; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -19,28 +20,32 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject: those that score 0.5 or more, so are likelier good than bad.
 
-    That is below ``quality.GOOD``, from which op5 predicts 1: the stage drops only what is likelier bad.
+    That is below ``quality.GOOD``, from which op5 predicts 1: the stage drops only what is likelier bad. Null and empty texts share one score; equal
+    texts have equal scores, so repeated rows stay or go together; long texts are read whole; without labels all stay.
     """
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest doc_id, once.
+
+    Null and blank texts are copies of each other. Rows without a doc_id stay but for exact copies; different texts of one doc_id stay together.
+    """
     return simhash.deduplicated(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked and ``n_chars`` counted anew."""
+    """All documents, with personal data masked and ``n_chars`` counted anew (null for null texts); whole texts are masked, and repeated rows alike."""
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for every copy that the mix takes."""
+    """Each document once for every copy that the mix takes; a null source is one of its own, and rows of one doc_id are taken equally often."""
     return mix.mixed_docs(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequences and places."""
+    """Pieces of the documents with their sequences and places; null and empty texts are one id, and repeated rows are packed each."""
     return packing.pack(docs)
 
 
