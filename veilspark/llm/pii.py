@@ -25,8 +25,6 @@ TRIGGER = re.compile("[0-9@]")
 WINDOW, STRIDE, AROUND = 64, 32, 24
 #: Windows to train on at most, epochs, and the least mean probability of an added span's tags.
 TRAIN, EPOCHS, SURE = 1200, 8, 0.95
-# Least digits of an added span by kind.
-LEAST = {"email": 0, "ip": 4, "card": 12, "phone": 9}
 
 
 def luhn(digits: str) -> bool:
@@ -126,6 +124,55 @@ def _labelled(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kind, pa.int32()), pa.array(text), pa.array(tags, pa.binary())], ["h", "kind", "w", "tags"])
 
 
+def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the spans that begin within ``tags``."""
+    out, at = [], 0
+    while at < len(tags):
+        end = at + 1
+        if tags[at] % 2:
+            while end < len(tags) and tags[end] == tags[at] + 1:
+                end += 1
+            out.append((at, (int(tags[at]) - 1) // 2, end))
+        at = end
+    return out
+
+
+def rewritten(kind: int, value: str, r: np.random.Generator) -> str:
+    """A value as people also write it, though the base patterns miss it: a spaced at sign, a number without plus or country, a card with dots."""
+    if kind == 0:
+        return value.replace("@", " @ ") if r.random() < 0.5 else value
+    if kind == 2:
+        digits, gap = _digits(value), str(r.choice(["", " ", "-", ".", "."]))
+        return gap.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3:
+        return re.sub(r"^\+[0-9]+[ .-]*(?=[(0-9])" if r.random() < 0.6 else r"^\+", "", value)
+    return value
+
+
+def altered(text: str, tags: np.ndarray, r: np.random.Generator) -> tuple[str, np.ndarray]:
+    """A window with its spans rewritten and other digits throughout, and its tags."""
+    words, marks, at = [], [], 0
+    for s, k, e in spans_of(tags):
+        value = rewritten(k, text[s:e], r)
+        words += [text[at:s], value]
+        marks += [tags[at:s], np.array([2 * k + 1] + [2 * k + 2] * (len(value) - 1), np.int8)]
+        at = e
+    other = "".join(str(r.integers(10)) if "0" <= c <= "9" else c for c in "".join([*words, text[at:]]))
+    return other[:WINDOW], np.concatenate([*marks, tags[at:]])[:WINDOW]
+
+
+def is_valid(kind: int, value: str) -> bool:
+    """Whether a decoded span has the parts and the digits of its kind."""
+    digits = _digits(value)
+    if kind == 0:
+        local, _, host = value.partition("@")
+        return bool(local.strip()) and "." in host.strip(" .") and "@" not in host
+    if kind == 1:
+        parts = re.findall("[0-9]+", value)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
 def train(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Tagger | None:
     """A tagger fitted on at most ``windows`` windows labelled by the base patterns, the lowest hashes of each kind first; None without any.
 
@@ -149,24 +196,19 @@ def train(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Tagger
     x, y = np.zeros((2 * len(rows), WINDOW), np.int16), np.zeros((2 * len(rows), WINDOW), np.int8)
     for i, row in enumerate(rows):
         text, tags = row.w, np.frombuffer(row.tags, np.int8)
-        x[i, : len(text)], y[i, : len(tags)] = classes(text), tags
-        # a second look: other digits, and numbers whose plus and country are left out
-        other = "".join(str(r.integers(10)) if "0" <= c <= "9" else c for c in text)
-        m = re.search(r"\+[0-9]+ (?=\()", other)
-        if m and tags[m.start()] == 7:
-            other, tags = other[: m.start()] + other[m.end() :], np.concatenate([tags[: m.start()], [7], tags[m.end() + 1 :]])
-        x[len(rows) + i, : len(other)], y[len(rows) + i, : len(tags)] = classes(other), tags
+        for at, (w, t) in ((i, (text, tags)), (len(rows) + i, altered(text, tags, r))):
+            x[at, : len(w)], y[at, : len(t)] = classes(w), t
     model = Tagger(97, 2 * len(KINDS) + 1)
     model.losses = model.fit(x, y, epochs)
     return model
 
 
-def added_spans(model: Tagger, texts: list[str], known: list[list]) -> list[list]:
-    """Spans that the model adds to each text's base spans.
+def tagged_spans(model: Tagger, texts: list[str]) -> list[list]:
+    """Spans that the model finds in each text by itself.
 
     Regions around digits and at signs are read in overlapping windows; where windows overlap their scores are averaged, the
-    middle of a window weighing most, and one best path is decoded over the whole region. A span must be sure, touch no base span,
-    and have the digits or at sign of its kind.
+    middle of a window weighing most, and one best path is decoded over the whole region. A span must be sure, and have the parts and digits of
+    its kind.
     """
     where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
     cut = [(k, s) for k, (_, a, b) in enumerate(where) for s in range(0, max(1, b - a - WINDOW + STRIDE), STRIDE)]
@@ -192,24 +234,18 @@ def added_spans(model: Tagger, texts: list[str], known: list[list]) -> list[list
         if not path.any():
             continue
         p = model.marginals(s)[np.arange(len(s)), path]
-        at = 0
-        while at < len(path):
-            if path[at] == 0:
-                at += 1
-                continue
-            kind, end = (path[at] - 1) // 2, at + 1
-            while end < len(path) and path[end] == 2 * kind + 2:
-                end += 1
-            u, v = a + at, a + end
-            text = texts[i][u:v]
-            fits = ("@" in text and "." in text) if kind == 0 else len(_digits(text)) >= LEAST[KINDS[kind]]
-            if path[at] % 2 and fits and p[at:end].mean() >= SURE and not any(x < v and u < y for x, _, y in known[i]):
-                out[i].append((u, int(kind), v))
-            at = end
+        for at, kind, end in spans_of(path):
+            if p[at:end].mean() >= SURE and is_valid(kind, texts[i][a + at : a + end]):
+                out[i].append((a + at, kind, a + end))
     return out
 
 
-SCHEMA = "doc_id long, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,k:int,e:int>>"
+def added_spans(tagged: list[list], known: list[list]) -> list[list]:
+    """Of each text's tagged spans those that touch none of its base spans."""
+    return [[(s, k, e) for s, k, e in some if not any(x < e and s < y for x, _, y in base)] for some, base in zip(tagged, known)]
+
+
+SCHEMA = "doc_id long, " + ", ".join(f"{c} array<struct<s:int,k:int,e:int>>" for c in ("base", "tagged", "found"))
 
 
 def _found(model: Tagger | None):
@@ -219,25 +255,29 @@ def _found(model: Tagger | None):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
-            more = added_spans(model, texts, base) if model else [[] for _ in texts]
-            both = [sorted(x + y) for x, y in zip(base, more)]
-            rows = [pa.array([[dict(zip("ske", x)) for x in spans] for spans in some], kind) for some in (base, both)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *rows], ["doc_id", "base", "found"])
+            tagged = tagged_spans(model, texts) if model else [[] for _ in texts]
+            both = [sorted(x + y) for x, y in zip(base, added_spans(tagged, base))]
+            rows = [pa.array([[dict(zip("ske", x)) for x in spans] for spans in some], kind) for some in (base, tagged, both)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *rows], ["doc_id", "base", "tagged", "found"])
 
     return run
 
 
 def find_pii(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, base and found (arrays of start, kind number, end) for every row of ``docs``; offsets are code points, ends exclusive.
+    """doc_id, base, tagged and found (arrays of start, kind number, end) for every row of ``docs``; offsets are code points, ends exclusive.
 
-    Base spans come from the patterns and always stay; the tagger adds spans that touch none of them. Whole texts are
+    Base spans come from the patterns and always stay; ``tagged`` are the tagger's own, of which those that touch no base span are added. Whole texts are
     read. Null and empty texts have none; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
     return id_text(docs).mapInArrow(_found(train(docs, windows, epochs)), SCHEMA)
 
 
 def masked(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by its kind in brackets; all columns and rows stay."""
+    """``docs`` with every found span of ``text`` replaced by its kind in brackets; all columns and rows stay.
+
+    Null and empty texts stay as they are, and long ones are masked whole; repeated rows each stay; an empty table gives no rows; columns of any names
+    and nulls in them are left alone.
+    """
     model, names = train(docs, windows, epochs), docs.columns
 
     def run(batches):
@@ -246,7 +286,7 @@ def masked(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> DataF
             some = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
             sub = [texts[i] for i in some]
             base = [base_spans(t) for t in sub]
-            more = added_spans(model, sub, base) if model else [[] for _ in sub]
+            more = added_spans(tagged_spans(model, sub), base) if model else [[] for _ in sub]
             for i, t, x, y in zip(some, sub, base, more):
                 if not x and not y:
                     continue
@@ -270,4 +310,4 @@ def digest(spans: str):
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     rows = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, x -> x.k = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("found").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("found").alias("spans"), digest("tagged").alias("tagged"))
