@@ -58,6 +58,52 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def test_features_against_plain_python(spark, rows, no_docs):
+    """Word vectors over all texts, and what is pooled from them, word by word."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    places, signs = quality._index()
+    texts = [t for _, t, _ in rows]
+
+    def ids(t):
+        return [zlib.crc32(w.encode()) % quality.ROWS for w in quality.WORD.findall(t or "")]
+
+    total, count = defaultdict(lambda: np.zeros(quality.SIZE)), Counter()
+    for t in texts:
+        r = ids(t)
+        count.update(r)
+        for a, b in zip(r, r[1:]):
+            for x, y in ((a, b), (b, a)):
+                for k in range(quality.ENTRIES):
+                    total[x][places[y, k]] += signs[y, k]
+    vectors, weights = quality.word_vectors(documents(spark, rows))
+    n = sum(count.values())
+    for x, k in count.items():
+        v = total[x].astype(np.float32)
+        assert np.allclose(vectors[x], v / (np.linalg.norm(v) + 1e-9), atol=1e-5) and weights[x] == pytest.approx(1e-3 / (1e-3 + k / n), rel=1e-5)
+    assert not np.any(vectors[[x for x in range(quality.ROWS) if x not in count]])
+    for t, got in zip(texts, quality.pooled(texts, vectors, weights)):
+        r = ids(t)
+        want = np.zeros(quality.FEATURES)
+        if r:
+            m = sum(vectors[x].astype(float) for x in r) / len(r)
+            mw = sum(weights[x] * vectors[x].astype(float) for x in r) / sum(float(weights[x]) for x in r)
+            want = [*m, *mw, np.log1p(len(r)) / 8, len(set(r)) / len(r), sum(a == b for a, b in zip(r, r[1:])) / len(r), np.linalg.norm(m)]
+        assert np.allclose(got, want, atol=1e-4)
+    assert not np.any(quality.word_vectors(no_docs)[0])
+
+
+def test_kept_cases(spark, no_docs):
+    """Empty tables, no labels, repeated rows and odd texts."""
+    labels = spark.createDataFrame([(i, q) for i, _, q in junk_and_prose(60)], "doc_id long, quality int")
+    assert quality.kept(no_docs, labels).collect() == []
+    odd = documents(spark, [(1, None, None), (2, "", "s"), (None, "x y", "s"), (4, "again and again", "s"), (4, "again and again", "s"), (5, "word " * 30_000, "s")])
+    assert quality.kept(odd, labels.limit(0)).count() == 6  # nothing learned, nothing rejected
+    out = quality.kept(documents(spark, [(i, t, "s") for i, t, _ in junk_and_prose(60)]).unionByName(odd), labels)
+    assert [r.doc_id for r in out.collect()].count(4) in (0, 2)
+
+
 def test_temperature_calibrates():
     r = np.random.default_rng(0)
     x = r.standard_normal((4000, quality.FEATURES))
@@ -133,6 +179,7 @@ def test_pii(spark, rows, no_docs):
     for (i, t, _), r in by:
         base, found = [tuple(x) for x in r.base], [tuple(x) for x in r.found]
         assert base == slow_spans(t or "") and set(base) <= set(found) and found == sorted(found)
+        assert set(found) - set(base) <= {tuple(x) for x in r.tagged}
         for s, _, e in set(found) - set(base):
             added += 1
             assert all(e <= a or b <= s for a, _, b in base) and 0 <= s < e <= len(t) and re.search("[0-9@]", t[s:e])
@@ -154,7 +201,7 @@ def test_tagger_learns_spans():
         x[i, : len(t) - a], y[i, : len(t) - a] = pii.classes(t[a:]), pii.tags_of(pii.base_spans(t), a, len(t))
     model = Tagger(97, 9)
     losses = model.fit(x[:240], y[:240], 14)
-    found = pii.added_spans(model, texts[240:], [[] for _ in texts[240:]])
+    found = pii.tagged_spans(model, texts[240:])
     want = [set(pii.base_spans(t)) for t in texts[240:]]
     hits = sum(len(w & set(f)) for w, f in zip(want, found))
     assert losses[-1] < losses[0] / 5 and hits / sum(map(len, want)) > 0.6
@@ -189,8 +236,47 @@ def test_transitions_lift_a_span():
         return s.transpose(1, 0, 2)
 
     t.scores = scores
-    assert pii.added_spans(t, ["call 5551234567 now", "none"], [[], []]) == [[(5, 3, 15)], []]
-
+    assert pii.tagged_spans(t, ["call 5551234567 now", "none"]) == [[(5, 3, 15)], []]
+    assert pii.added_spans([[(5, 3, 15)], []], [[(0, 1, 6)], []]) == [[], []] and pii.added_spans([[(5, 3, 15)]], [[(15, 1, 16)]]) == [[(5, 3, 15)]]
+
+
+def test_decoding_against_all_paths():
+    """The best path and the marginals of short regions, by weighing every path."""
+    import itertools
+
+    r = np.random.default_rng(9)
+    t = Tagger(10, 5)
+    for n in (1, 2, 5):
+        t.w["next"] = r.standard_normal((5, 5)).astype(np.float32)
+        s = r.standard_normal((n, 5)).astype(np.float32)
+        paths = list(itertools.product(range(5), repeat=n))
+        weight = np.array([sum(s[i, p[i]] for i in range(n)) + sum(t.w["next"][a, b] for a, b in zip(p, p[1:])) for p in paths])
+        assert tuple(t.decode(s).tolist()) == paths[weight.argmax()] == tuple(t.decode_all([s])[0].tolist())
+        share = np.exp(weight - weight.max())
+        want = np.array([[share[[k for k, p in enumerate(paths) if p[i] == tag]].sum() for tag in range(5)] for i in range(n)]) / share.sum()
+        assert np.allclose(t.marginals(s), want, atol=1e-4)
+
+
+def test_altered_windows_keep_their_tags():
+    r = np.random.default_rng(4)
+    text = "mail bo@x.org or +1 (555) 123-4567, card 4242 4242 4242 4242 ok"[: pii.WINDOW]
+    tags = pii.tags_of(pii.base_spans(text), 0, len(text))
+    seen = set()
+    for _ in range(200):
+        w, t = pii.altered(text, tags, r)
+        assert len(w) == len(t) <= pii.WINDOW
+        for s, k, e in pii.spans_of(t):
+            if e < len(w):
+                digits = sum(c.isdigit() for c in w[s:e])
+                assert digits == {0: 0, 2: 16}.get(k, digits) and (k != 3 or digits in (10, 11))
+            seen.add((k, w[s:e].translate(str.maketrans("0123456789", "d" * 10))))
+    assert {(0, "bo @ x.org"), (3, "(ddd) ddd-dddd"), (2, "dddd.dddd.dddd.dddd")} <= seen
+
+
+def test_span_checks():
+    good = [(0, "a @ b.org"), (0, "a@b.c"), (1, "10.0.0.7"), (2, "4242.4242.4242.4242"), (3, "(555) 123-4567")]
+    bad = [(0, "a@b"), (0, "@b.c"), (0, "a@b.c@d"), (1, "10.0.0.700"), (1, "1.2.3"), (2, "4242.4242.4242.4243"), (2, "42"), (3, "12345678"), (3, "1234567890123456")]
+    assert all(pii.is_valid(*x) for x in good) and not any(pii.is_valid(*x) for x in bad)
 
 def test_rare_kinds_have_training_windows(spark, monkeypatch):
     """One kind makes up nearly all spans, among texts and within those that have others."""

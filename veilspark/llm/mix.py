@@ -119,7 +119,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
 
 def mixed_docs(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, boost: str | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, once for each copy that the mix takes."""
+    """The rows of ``docs``, all columns, once for each copy that the mix takes.
+
+    Null texts and texts without words have size 0: they come along as often as their source's whole copies say. A null source is a source of its own;
+    rows that share a doc_id are taken equally often; an empty table gives no rows; columns of any names and nulls in them are left alone.
+    """
     p = plan_mix(sized(docs, boost), weights, max_repeats).select(F.col("source").alias("_mix_source"), "factor", "cut")
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", _boost(docs, boost).alias("boost"))
     both = both.join(p, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("n", copies(max_repeats).cast("int"))

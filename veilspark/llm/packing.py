@@ -85,8 +85,15 @@ def encode(texts: list[str | None], tokenizer_file: str) -> list[bytes]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(tokenizer_file: str, length: int, end: int):
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _cut(tokenizer_file: str | None, length: int, end: int):
     def run(batches):
+        path = tokenizer_file or tokenizer_path()  # where this worker has it
         for b in batches:
             rows, doc_ids, texts = [], b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             at = 0
@@ -95,7 +102,7 @@ def _cut(tokenizer_file: str, length: int, end: int):
                 while stop < len(texts) and (stop == at or size < 2 << 20):
                     size += len(texts[stop] or "")
                     stop += 1
-                for doc_id, ids in zip(doc_ids[at:stop], encode(texts[at:stop], tokenizer_file)):
+                for doc_id, ids in zip(doc_ids[at:stop], encode(texts[at:stop], path)):
                     ids += np.uint32(end).tobytes()
                     n = len(ids) // 4
                     first = (n - 1) % length + 1
@@ -157,12 +164,9 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, length: int = LENGT
     A document's ids end with ``end``; only longer ones than ``length`` are cut, into full pieces after a first that may be shorter.
     Pieces are dealt by hash into groups of about ``group``, longest first within a group, each packed by the sum-of-squares rule: a
     group leaves few part-filled sequences against the thousands that it fills. Null and empty texts are one id. Repeated rows
-    are packed each; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
+    are packed each; a null doc_id stays null; other columns are ignored; an empty table gives no rows. A given
+    tokenizer file has to be readable on every executor.
     """
-    if tokenizer_file is None:
-        import public_tokenizers
-
-        tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
     pieces = stash(id_text(docs).mapInArrow(_cut(tokenizer_file, length, end), PIECES), "pieces")
     parts = max(1, round(pieces.count() / group))
     # the place in the stored table keeps repeated rows apart, and stays the same if a task runs again

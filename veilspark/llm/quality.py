@@ -213,7 +213,11 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN) -> DataFrame
 
 
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.5, bound: int = TRAIN) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``least``. Texts are pooled where they are scored, and those known once before."""
+    """The rows of ``docs``, all columns, that score at least ``least``. Texts are pooled where they are scored, and those known once before.
+
+    Null and empty texts, and texts without words, are scored from zero features; long ones are read whole. Equal texts have equal scores, so repeated rows
+    stay or go together. With no label to learn from every row stays. An empty table gives no rows; columns of any names and nulls in them are left alone.
+    """
     vectors, weights = word_vectors(docs)
     known = stash(teachers(labels, bound), "known")
     net = fitted(featured(id_text(docs).join(F.broadcast(known), F.col("doc_id") == F.col("id"), "left_semi"), vectors, weights), known)
