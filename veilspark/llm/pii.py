@@ -39,8 +39,8 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base kinds, leftmost and not overlapping within a kind, in order."""
+def base_spans(text: str, luhns: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base kinds, leftmost and not overlapping within a kind, in order; cards of any digits without ``luhns``."""
     out = []
     at, end = text.find("@"), 0
     while at >= 0:
@@ -54,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", at + 1)
     if TRIGGER.search(text):
         out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-        out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+        out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and (luhn(d) or not luhns)]
     if "+" in text:
         out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(out)
@@ -100,7 +100,10 @@ def tags_of(spans, a: int, b: int) -> np.ndarray:
 
 
 def _labelled(batches):
-    """Windows of texts with their tags: of each text one with a span of each kind it has (kind 1 and up), and one with a digit or at sign but no span (0), by its hash."""
+    """Windows of texts with their tags: of each text one with a span of each kind it has (kind 1 and up), and one with a digit or at sign but no span (0), by its hash.
+
+    A number that only fails the card checksum is tagged like a card: characters can't tell the two apart, and decoded spans are checked.
+    """
     import zlib
 
     for b in batches:
@@ -108,7 +111,7 @@ def _labelled(batches):
         for text in b.column("text").to_pylist():
             if not text or not TRIGGER.search(text):
                 continue
-            spans, h = base_spans(text), zlib.crc32(text.encode("utf-8", "surrogatepass"))
+            spans, h = base_spans(text, False), zlib.crc32(text.encode("utf-8", "surrogatepass"))
             picks = []
             for k in sorted({k for _, k, _ in spans}):
                 own = [s for s, kind, _ in spans if kind == k]
