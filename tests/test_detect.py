@@ -77,6 +77,12 @@ def test_report_and_redaction(spark):
     assert [r[0] for r in found.orderBy("id").select(detect.redacted("t")).collect()] == ["mail [email] now [ip]", "clean"]
 
 
+def test_report_is_written(spark, tmp_path):
+    found = detect.with_detections(spark.createDataFrame([(1, "mail a@b.co now"), (2, None)], "id long, t string"), "t")
+    src.write_report(detect.report(found, "id"), f"{tmp_path}/report")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/report").collect()) == ["Email at characters 5-11", "No supported PII detected"]
+
+
 def test_redaction_beyond_the_bmp(spark):
     df = spark.createDataFrame([(1, "😀 mail a@b.co 😀😀 now 10.0.0.1 end 😀"), (2, "😀a@b.co"), (3, "😀 clean"), (4, None)], "id long, t string")
     found = detect.with_detections(df, "t")

@@ -324,6 +324,9 @@ def test_recording(spark):
 def test_bursts_and_reasons(spark):
     df = spark.createDataFrame([(1, 0, "clean"), (1, 1, "detected"), (1, 2, "inconclusive"), (2, 0, "clean"), (2, 1, "clean")], "burst long, idx long, status string")
     assert sorted(map(tuple, bursts.burst_verdicts(df, ["burst"], "idx").collect())) == [(1, 1, "detected"), (2, 1, "clean")]
+    assert sorted(map(tuple, bursts.burst_verdicts(df, ["burst"], "idx", count=0).collect())) == [(1, 0, "clean"), (2, 0, "clean")]
+    ok = spark.createDataFrame([("a", True), ("a", None), ("a", False), ("b", True)], "k string, ok boolean")
+    assert sorted(map(tuple, bursts.check_counts(ok, ["k"]).collect())) == [("a", 3, 2), ("b", 1, 0)]
     r = spark.range(1).select(bursts.detected_reason(F.lit("Mail"), F.array(F.lit("ip"), F.lit("email"), F.lit("ip")))).first()[0]
     assert r == "PII detected in Mail · Email, IP address"
 

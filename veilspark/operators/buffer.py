@@ -138,3 +138,8 @@ def session_outcomes(sessions: DataFrame, frames: DataFrame, ts: str) -> DataFra
 
 def bitrate(width: Column, height: Column) -> Column:
     return F.greatest(F.lit(2_000_000), width * height * 3)
+
+
+def mask_font_size(width: Column) -> Column:
+    """Points of the reason's letters on a mask of that width."""
+    return F.greatest(F.lit(22.0), width / 38)

@@ -671,6 +671,11 @@ def q_resolution_policy(t):
     return rows.select("resolution", "delay", policy["max_frames"].alias("max_frames"), buffer.bitrate(F.col("r.width"), F.col("r.height")).cast("long").alias("bitrate"))
 
 
+@query("select p_partkey, greatest(22.0::double, (p_partkey % 3000)::double / 38) as points from part")
+def q_mask_font(t):
+    return t("part").select("p_partkey", buffer.mask_font_size(F.col("p_partkey") % 3000).alias("points"))
+
+
 @query("select p_partkey, case when p_partkey::hugeint * 9000000000000000 > 9223372036854775807 then 9223372036854775807 else (p_partkey::hugeint * 9000000000000000)::bigint end as product from part")
 def q_saturating_multiply(t):
     return t("part").select("p_partkey", saturating_multiply(F.col("p_partkey").cast("long"), F.lit(9000000000000000)).alias("product"))
