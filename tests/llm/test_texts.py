@@ -30,7 +30,7 @@ def test_transducer_counts_as_the_library():
 
 @pytest.mark.parametrize("rounds", [0, 1, 9])
 def test_transducer_with_small_tables(monkeypatch, rounds):
-    for name, v in (("TRANSITIONS", 300), ("PAIRS", 50), ("CHUNK", 7), ("SLICE", 200), ("WARM", 2), ("ROUNDS", rounds)):
+    for name, v in (("STATES", 300), ("PAIRS", 50), ("CHUNK", 7), ("SLICE", 200), ("WARM", 2), ("ROUNDS", rounds)):
         monkeypatch.setattr(tokens, name, v)
     monkeypatch.setattr(tokens, "_compiled", {})
     texts = odd_texts(300, 2)

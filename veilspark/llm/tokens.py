@@ -13,8 +13,8 @@ LIMIT = 4096
 #: Characters in a chunk, about; a chunk ends at the first word end after so many, or where it must. Characters read before a chunk that
 #: begins elsewhere, to guess its state; rounds in which maps are completed for every state before only states of the texts at hand count.
 CHUNK, WARM, ROUNDS = 512, 48, 40
-#: Characters handled at once; transitions compiled before all start anew, and pairs of pieces remembered.
-SLICE, TRANSITIONS, PAIRS = 1 << 20, 1 << 20, 1 << 19
+#: Characters handled at once; states compiled before all start anew, and pairs of pieces remembered.
+SLICE, STATES, PAIRS = 4 << 20, 1 << 20, 1 << 19
 SPACE = "▁"
 
 
@@ -87,7 +87,7 @@ class Transducer:
         self.class_of = np.full(0x110000, -1, np.int32)
         self.chars: list[str] = []
         start = ("", ((0, "", 0),))
-        self.number, self.states, self.table = {start: 0}, [start], Table()
+        self.number, self.states, self.shared, self.table = {start: 0}, [start], {}, Table()
         self.known: dict[tuple[str, str], bool] = {}  # the pairs of pieces tried so far
 
     def halves(self, piece: str) -> tuple[str, str] | None:
@@ -141,6 +141,7 @@ class Transducer:
 
     def compile(self, state: int, cls: int) -> tuple[int, int]:
         """The transition from ``state`` on a character of class ``cls``: state and count."""
+        share = self.shared.setdefault
         end, starts = self.states[state]
         c = self.chars[cls]
         if c not in self.score:
@@ -155,7 +156,7 @@ class Transducer:
             kept = [(size + 1, before, n - count) for size, before, n in starts if read[len(read) - 1 - size :] in self.grows]
             kept.append((0, piece, 0))
             end = read[len(read) - kept[0][0] :] if kept[0][0] else ""
-            to = (end, tuple(kept))
+            to = (share(end, end), tuple(share(x, x) for x in kept))
         n = self.number.setdefault(to, len(self.states))
         if n == len(self.states):
             self.states.append(to)
@@ -190,7 +191,7 @@ class Transducer:
         of the chunk before it end in, until none is missing. Maps are then composed by a parallel prefix scan, from which follows what each
         chunk started from, so what it emitted.
         """
-        if self.table.n > TRANSITIONS:
+        if len(self.states) > STATES:
             self.reset()
         # the library puts one space before a text; a space after a character can only begin a piece
         whole = "".join(" " + t for t in texts)
