@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspark.llm import align, mix, packing, pii, prefix, quality, secrets, simhash, tokens, tries, urls, vectors
+from veilspark.llm import align, maxent, mix, packing, pii, prefix, quality, secrets, simhash, tokens, tries, urls, vectors
 
 QUERIES = {
     "op1_pareto_mix": mix.op1_pareto_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_prefix_fingerprint": prefix.op9_prefix_fingerprint,
     "op10_simhash": simhash.op10_simhash,
     "op11_token_alignment": align.op11_token_alignment,
+    "op12_lm_score": maxent.op12_lm_score,
     "op13_divergence_audit": tries.op13_divergence_audit,
 }
 ORACLES = {"op1_pareto_mix": mix.ORACLE, "op2_embedding_dedup": vectors.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_url_filter": urls.ORACLE, "op13_divergence_audit": tries.ORACLE}
