@@ -88,12 +88,12 @@ def test_tries_add_merge_and_walk():
     for _ in range(30):
         part, path = tries.Trie(), []
         for t in sorted("".join(r.choice("abé中") for _ in range(r.randint(0, 6))).encode() for _ in range(40)):
-            part.add(t, 1, [(f"s{r.randint(0, 2)}", 2)], path if r.random() < 2 else None)
+            part.add(t, 1, [(f"s{r.randint(0, 2)}", 2)], path)
         for t, leaf in part.walk():
-            plain[t].update(leaf.counts)
+            plain[t].update(dict(zip(leaf.counts[::2], leaf.counts[1::2])))
             plain[t]["docs"] += leaf.docs
         whole.merge(part)
-    got = [(t, leaf.counts | {"docs": leaf.docs}) for t, leaf in whole.walk()]
+    got = [(t, dict(zip(leaf.counts[::2], leaf.counts[1::2])) | {"docs": leaf.docs}) for t, leaf in whole.walk()]
     assert [t for t, _ in got] == sorted(plain) and whole.leaves == len(plain)
     assert all(plain[t] == Counter(c) for t, c in got)
 
@@ -104,3 +104,13 @@ def test_shares_are_exact():
     total = np.array([r.randint(1, 9 * 10**15) for _ in range(2000)] + [9 * 10**15, 5])
     count = np.minimum(count, total)
     assert tries.share(count, total).tolist() == [1 + 10**9 * c // t for c, t in zip(count.tolist(), total.tolist())]
+
+
+def test_tries_of_sorted_terms():
+    r = random.Random(7)
+    for width in (1, 3, 40):
+        terms = sorted({"".join(r.choice("ab中") for _ in range(r.randint(1, width))).encode() for _ in range(300)})
+        trie, leaves = tries.Trie.of(terms)
+        assert [t for t, _ in trie.walk()] == terms and [x for _, x in trie.walk()] == leaves and trie.leaves == len(terms)
+        for t in terms:
+            assert trie.at(t) is leaves[terms.index(t)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,7 +19,7 @@ from veilspark.llm.common import stash, table
 #: Documents that a term is in at least; what counts are raised by; the unit of shares; ranks reported of a group's terms.
 LEAST, RAISE, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Terms counted before they go to the tries, leaves of a task's tries before they are written, terms of a merged block, sources compared at once.
-FRESH, LEAVES, BLOCK, TILE = 1 << 19, 1 << 18, 1 << 13, 256
+FRESH, LEAVES, BLOCK, TILE = 1 << 20, 1 << 18, 1 << 13, 256
 #: Bytes of a text that are cut into terms at once.
 SLICE = 4 << 20
 #: Terms are runs of letters and of bytes past ASCII; A-Z count as a-z.
@@ -26,7 +27,7 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 
 
 class Node:
-    """A run of bytes, the nodes below it by their first byte, and what is counted at its end: documents, and occurrences by source."""
+    """A run of bytes, the nodes below it by their first byte, and what is counted at its end: documents, and sources in turn with their occurrences."""
 
     __slots__ = ("label", "below", "docs", "counts")
 
@@ -51,6 +52,27 @@ def _shared(a: bytes, b: bytes) -> int:
     return n
 
 
+def _alike(terms: list[bytes], width: int = 24) -> list[int]:
+    """How many bytes each of some distinct sorted terms begins with that the one before begins with as well."""
+    if not terms:
+        return []
+    table = np.array(terms, f"S{width}").view(np.uint8).reshape(len(terms), width)
+    same = table[1:] == table[:-1]
+    n = np.where(same.all(axis=1), -1, same.argmin(axis=1)).tolist()
+    return [0, *(x if x >= 0 else _shared(a, b) for x, a, b in zip(n, terms, terms[1:]))]
+
+
+def _add(counts: list, more) -> None:
+    """Add (source, occurrences) pairs to a leaf's."""
+    for source, n in more:
+        for k in range(0, len(counts), 2):
+            if counts[k] == source:
+                counts[k + 1] += n
+                break
+        else:
+            counts += (source, n)
+
+
 class Trie:
     """A radix trie of terms as bytes. Its root stands for the empty term, at which sources are noted that have none."""
 
@@ -79,16 +101,38 @@ class Trie:
             if path is not None:
                 path.append((term[:i], node))
         if node.counts is None:
-            node.counts = {}
+            node.counts = []
             self.leaves += 1
         return node
 
+    @classmethod
+    def of(cls, terms: list[bytes]) -> tuple["Trie", list[Node]]:
+        """A trie of distinct terms in order, none of them empty, and their leaves: every term branches off the path of the one before."""
+        trie, leaves = cls(), []
+        path = [(0, trie.root)]
+        for term, n in zip(terms, _alike(terms)):
+            while path[-1][0] > n:
+                node = path.pop()[1]
+            end, above = path[-1]
+            if end < n:
+                node = above.below[term[end]] = node.cut(n - end)
+                path.append((n, node))
+                above = node
+            leaf = Node(term[n:])
+            leaf.counts = []
+            if above.below is None:
+                above.below = {}
+            above.below[term[n]] = leaf
+            path.append((len(term), leaf))
+            leaves.append(leaf)
+        trie.leaves = len(leaves)
+        return trie, leaves
+
     def add(self, term: bytes, docs: int, counts, path: list | None = None) -> None:
         """Add to a term's leaf: documents, and (source, occurrences) pairs."""
         leaf = self.at(term, path)
         leaf.docs += docs
-        for source, n in counts:
-            leaf.counts[source] = leaf.counts.get(source, 0) + n
+        _add(leaf.counts, counts)
 
     def merge(self, other: "Trie") -> None:
         """Take over all of ``other``, which is used up: branches that only it has are hung in whole, leaves of both are added up."""
@@ -101,8 +145,7 @@ class Trie:
                     self.leaves += 1
                 else:
                     mine.docs += new.docs
-                    for source, n in new.counts.items():
-                        mine.counts[source] = mine.counts.get(source, 0) + n
+                    _add(mine.counts, zip(new.counts[::2], new.counts[1::2]))
             for first, kid in (new.below or {}).items():
                 if mine.below is None:
                     mine.below = {}
@@ -146,7 +189,8 @@ class Counted:
     """A task's tries, one per language. New terms are counted by hash and poured into a trie of their own, which is merged into the language's."""
 
     def __init__(self):
-        self.tries: dict[str, Trie] = defaultdict(Trie)
+        self.tries: dict[str, Trie] = {}
+        self.sources: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -164,37 +208,50 @@ class Counted:
 
     def pour(self) -> None:
         for lang, docs in self.docs.items():
-            trie, path, leaf = Trie(), [], {}
-            for term in sorted(docs):
-                leaf[term] = node = trie.at(term, path)
-                node.docs = docs[term]
+            terms = sorted(docs)
+            trie, leaves = Trie.of(terms)
+            at = dict(zip(terms, leaves))
+            for term, leaf in at.items():
+                leaf.docs = docs[term]
             for (lang_, source), counts in self.counts.items():
                 if lang_ == lang:
-                    trie.at(b"").counts[source] = 0  # noted even without terms
+                    code = self.sources.setdefault(source, len(self.sources))
+                    trie.add(b"", 0, [(code, 0)])  # noted even without terms
                     for term, n in counts.items():
-                        leaf[term].counts[source] = n
-            self.tries[lang].merge(trie)
+                        at[term].counts += (code, n)
+            if lang in self.tries:
+                self.tries[lang].merge(trie)
+            else:
+                self.tries[lang] = trie
         self.clear()
 
     def leaves(self) -> int:
         return sum(t.leaves for t in self.tries.values())
 
+    def written(self):
+        """Record batches of all leaves, which are forgotten."""
+        for lang, trie in self.tries.items():
+            yield from _leaf_batches(lang, trie, list(self.sources))
+        self.tries = {}
+
 
 LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
-def _leaf_batches(rows, more: tuple[str, ...] = ()):
-    """Record batches of (more.., lang, term, docs, sources, counts) rows."""
-    names = [*more, "lang", "term", "docs", "sources", "counts"]
-    kinds = [*[pa.binary()] * len(more), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    some = []
-    for row in rows:
-        some.append(row)
-        if len(some) == BLOCK:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
-            some = []
-    if some:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
+def _leaf_batches(lang: str, trie: Trie, names: list[str], block: bool = False):
+    """Record batches of a trie's leaves; with the first term that isn't empty as their ``block``, which is empty for the empty term."""
+    leaves, first = trie.walk(), None
+    while some := list(itertools.islice(leaves, BLOCK)):
+        terms = [t for t, _ in some]
+        flat = np.array([x for _, leaf in some for x in leaf.counts], np.int64).reshape(-1, 2)
+        sizes = np.fromiter((len(leaf.counts) // 2 for _, leaf in some), np.int32, len(some))
+        at = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        sources = pa.array(names, pa.string()).take(pa.array(flat[:, 0]))
+        cols = [pa.array([lang] * len(some), pa.string()), pa.array(terms, pa.binary()), pa.array([leaf.docs for _, leaf in some], pa.int64()), pa.ListArray.from_arrays(at, sources), pa.ListArray.from_arrays(at, pa.array(flat[:, 1]))]
+        if block:
+            first = first or next(filter(None, terms), None)
+            cols.insert(0, pa.array([t and first for t in terms], pa.binary()))
+        yield pa.RecordBatch.from_arrays(cols, ["block", "lang", "term", "docs", "sources", "counts"][not block :])
 
 
 @contextmanager
@@ -210,12 +267,6 @@ def _no_cycles() -> Iterator[None]:
 def _count(batches):
     """The leaves of the task's tries; they are written and begun anew whenever there are LEAVES of them."""
     task = Counted()
-
-    def out():
-        for lang, trie in task.tries.items():
-            for term, leaf in trie.walk():
-                yield lang, term, leaf.docs, list(leaf.counts), list(leaf.counts.values())
-
     with _no_cycles():
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -223,32 +274,44 @@ def _count(batches):
                 if task.fresh() >= FRESH:
                     task.pour()
                     if task.leaves() >= LEAVES:
-                        yield from _leaf_batches(out())
-                        task.tries.clear()
+                        yield from task.written()
         task.pour()
-        yield from _leaf_batches(out())
+        yield from task.written()
 
 
-def _merge(least: int):
-    """Tries of the terms of a range, as their leaves come in order: blocks of BLOCK terms are merged, and those that are kept are written."""
-    def kept(lang, trie):
-        block = b""
-        for term, leaf in trie.walk():
-            block = block or term
-            if leaf.docs >= least or not term:
-                yield block, lang, term, leaf.docs, list(leaf.counts), list(leaf.counts.values())
+def _whole_terms(batches):
+    """The rows of sorted batches, with those of a term together, and where its rows begin."""
+    left = None
+    for b in batches:
+        b = b if left is None else pa.concat_batches([left, b])
+        left = None
+        if b.num_rows:
+            new = [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (b.column("lang"), b.column("term"))]
+            starts = np.append(0, np.flatnonzero(new[0] | new[1]) + 1)
+            left = b.slice(starts[-1])  # may go on
+            if len(starts) > 1:
+                yield b.slice(0, starts[-1]), starts[:-1]
+    if left is not None:
+        yield left, np.zeros(1, np.int64)
+
 
+def _merge(least: int):
+    """Tries of the terms of a range, as their leaves come in order: those in too few documents go, and blocks of BLOCK terms are merged and written."""
     def run(batches):
-        lang, trie, path, last = None, Trie(), [], None
+        lang, trie, path, sources = None, Trie(), [], {}
         with _no_cycles():
-            for b in batches:
-                for lang_, term, docs, sources, counts in zip(*(c.to_pylist() for c in b.columns)):
+            for b, starts in _whole_terms(batches):
+                docs = np.add.reduceat(b.column("docs").to_numpy(), starts)
+                empty = pc.binary_length(b.column("term")).to_numpy()[starts] == 0
+                rows = b.filter(pa.array(np.repeat((docs >= least) | empty, np.diff(np.append(starts, b.num_rows)))))
+                last = None
+                for lang_, term, docs, names, counts in zip(*(c.to_pylist() for c in rows.columns)):
                     if lang_ != lang or (trie.leaves >= BLOCK and term != last):
-                        yield from _leaf_batches(kept(lang, trie), ("block",))
-                        lang, trie, path = lang_, Trie(), []
-                    trie.add(term, docs, zip(sources, counts), path)
+                        yield from _leaf_batches(lang, trie, list(sources), True)
+                        lang, trie, path, sources = lang_, Trie(), [], {}
+                    trie.add(term, docs, [(sources.setdefault(s, len(sources)), n) for s, n in zip(names, counts)], path)
                     last = term
-            yield from _leaf_batches(kept(lang, trie), ("block",))
+            yield from _leaf_batches(lang, trie, list(sources), True)
 
     return run
 
