@@ -50,8 +50,8 @@ def test_base_scores(spark, docs, rows, monkeypatch):
     got = maxent.scores(docs).collect()
     check_base(rows, got)
     assert all(r.score < 0 for r in got)
-    # few words known everywhere, words written often, long words by digest, few tokens at once
-    for name, v in (("FREQUENT", 5), ("KEPT", 20), ("SLICE", 8), ("LONG", 4)):
+    # few words known everywhere, words written often, few tokens and bytes at once
+    for name, v in (("FREQUENT", 5), ("FRESH", 20), ("SLICE", 8), ("PART", 50)):
         monkeypatch.setattr(maxent, name, v)
     again = maxent.scores(docs.repartition(3)).collect()
     check_base(rows, again)
@@ -72,17 +72,18 @@ def plain_scores(rows, rates):
     tokens = [[w.translate(UPPER).encode() for w in WORD.findall(t or "")] + [b" "] for _, t, *_ in rows]
     learn = [not held(i) for i, *_ in rows]
     c = Counter(w for ok, ts in zip(learn, tokens) if ok for w in ts)
-    top = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: M.OWN])}
-    outcome = {w: top.get(w, M.OWN + zlib.crc32(w) % M.BUCKETS) for ts in tokens for w in ts}
-    once = [max(1, sum(n == 1 and w not in top and zlib.crc32(w) % M.BUCKETS == b for w, n in c.items())) for b in range(M.BUCKETS)]
-    total = [once[b] + sum(n for w, n in c.items() if w not in top and zlib.crc32(w) % M.BUCKETS == b) for b in range(M.BUCKETS)]
+    word = {w: M.word_hash(b"" if w == b" " else w) for ts in tokens for w in ts}
+    top = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], word[x[0]]))[: M.OWN])}
+    outcome = {w: top.get(w, M.OWN + word[w] % M.BUCKETS) for w in word}
+    once = [max(1, sum(n == 1 and w not in top and word[w] % M.BUCKETS == b for w, n in c.items())) for b in range(M.BUCKETS)]
+    total = [once[b] + sum(n for w, n in c.items() if w not in top and word[w] % M.BUCKETS == b) for b in range(M.BUCKETS)]
     mass = [next((c[w] for w, k in top.items() if k == o), 0) if o < M.OWN else total[o - M.OWN] for o in range(M.WIDE**2)]
     classes = [sum(mass[k * M.WIDE : (k + 1) * M.WIDE]) for k in range(M.WIDE)]
     prior = {None: [x / sum(classes) for x in classes]} | {k: [x / classes[k] for x in mass[k * M.WIDE : (k + 1) * M.WIDE]] for k in range(M.WIDE) if classes[k]}
     wrap, mask = (1 << 64) - 1, (1 << M.HASH) - 1
 
     def choices(ts):
-        h = [zlib.crc32(w) >> 32 - M.HASH for w in ts]
+        h = [word[w] % (1 << 64) >> 64 - M.HASH for w in ts]
         for i, w in enumerate(ts):
             a, b = (h[i - 1] if i else M.START), (h[i - 2] if i > 1 else M.START)
             mixed = []
@@ -190,3 +191,16 @@ def test_no_rows_and_nothing_to_learn_from(spark, no_docs):
     assert sorted(r.n_tokens for r in got) == [1, 1, 4]
     for r in got:
         assert r.score == pytest.approx(-r.n_tokens * math.log10(maxent.BUCKETS), rel=1e-5)
+
+
+def test_hashes_tell_words_apart():
+    r = random.Random(3)
+    texts = ["".join(r.choice("aB \t\né中\x00") for _ in range(r.randint(0, 200))) for _ in range(300)] + [None, "", " ", "x" * 200, "x" * 264, "y" + "x" * 199]
+    words = [[w.translate(UPPER).encode() for w in WORD.findall(t or "")] for t in texts]
+    column = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    for part, some in ((column, words), (column.slice(50, 100), words[50:150])):
+        got, n = maxent.hashed(part)
+        assert n.tolist() == [len(x) + 1 for x in some]
+        flat = [w for x in some for w in [*x, None]]
+        known = dict(zip(flat, got.tolist()))
+        assert [known[w] for w in flat] == got.tolist() and len(set(known.values())) == len(known)

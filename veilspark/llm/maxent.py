@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections import Counter
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import id_text, stash, table
@@ -21,19 +18,54 @@ CLASS_ROWS, BUCKET_ROWS = 1 << 15, 1 << 11
 ROWS = CLASS_ROWS + WIDE * BUCKET_ROWS
 #: Gradient updates, how far each goes, and the prior's weight in occurrences.
 RATES, PRIOR = (0.5, 0.2), 30.0
-#: Words whose counts every worker has; bytes of a word beyond which its digest stands for it; words a worker remembers, tokens handled at once.
-FREQUENT, LONG, KEPT, SLICE = 1 << 18, 64, 1 << 19, 1 << 16
-#: Bits of a token's hash; what ends a text, and what stands in front of it: no word has a space.
+#: Words whose counts every worker has; words counted by a task before they are written, tokens and bytes handled at once.
+FREQUENT, FRESH, SLICE, PART = 1 << 18, 1 << 20, 1 << 16, 1 << 20
+#: Bits of a token's hash that features see, and what they see in front of a text.
 HASH = 22
-END, START = b" ", 1 << HASH
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+START = 1 << HASH
+#: What words are made of, in lower case; 0 between words.
+LOWER = np.array([0 if b in (32, *range(9, 14)) else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+WORD = np.array([b not in (32, *range(9, 14)) for b in range(256)])
+#: A random number for each byte at each of 64 places in a word: a word is known by their sum, which two words share by a chance of 2^-64.
+RANDOM = np.random.default_rng(41).integers(0, 1 << 64, (64, 256), np.uint64)
+END = int(np.random.default_rng(43).integers(0, 1 << 63))
 TINY = -1e30
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case, as bytes: what isn't between spaces, tabs and line ends. Long ones are known by a digest."""
-    words = text.translate(LOWER).split() if text else []
-    return [w if len(w) <= LONG else END + hashlib.md5(w).digest() for w in words]
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, how many tokens each text has): its words, A-Z as a-z, and an end. Null texts are an end alone.
+
+    Words of over 64 bytes go round the places again, each round with its own odd factor.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size = np.diff(offsets)
+    if texts.null_count:
+        size[texts.is_null().to_numpy(zero_copy_only=False)] = 0
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    at = offsets[:-1] - offsets[0]
+    inside = WORD[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    first = at[size > 0]
+    begin[first] = inside[first]  # words don't go on from one text to the next
+    place = np.flatnonzero(inside)
+    head = np.flatnonzero(begin[place])
+    n_words = np.diff(np.searchsorted(place[head], np.append(at, len(data))))
+    long = np.diff(np.append(head, len(place)))
+    step = np.arange(len(place)) - np.repeat(head, long)
+    value = RANDOM.ravel()[(step & 63) << 8 | LOWER[data[place]]]
+    if len(long) and long.max() > 64:
+        value = value * (2 * (step >> 6) + 1).astype(np.uint64)
+    words = np.add.reduceat(value, head) if len(head) else np.zeros(0, np.uint64)
+    n = n_words + 1
+    out = np.full(len(words) + len(n), END, np.uint64)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(n)), n_words)] = words
+    return out, n
+
+
+def word_hash(word: bytes) -> int:
+    """What ``hashed`` knows a word by, as a signed long."""
+    return int(hashed(pa.array([word], pa.binary()))[0][0].astype(np.int64)) if word else END
 
 
 def _held_out(docs: DataFrame):
@@ -46,22 +78,44 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", _held_out(rows).alias("held_out"), F.col("text").cast("binary").alias("text"))
 
 
+def _parts(texts: pa.Array):
+    """Runs of texts of about PART bytes or more."""
+    at, size = 0, np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
+    ends = np.cumsum(size)
+    while at < len(texts):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART)) + 1
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def _count(batches):
-    """(word, count) of a task's texts, counted by hash and written whenever there are KEPT of them."""
-    counts: Counter = Counter()
+    """(word, c) of a task's texts, written whenever there are FRESH of them."""
+    words, c = [], []
+
+    def written():
+        every, of = np.unique(np.concatenate([np.zeros(0, np.int64), *words]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([np.zeros(0, np.int64), *c]), len(every)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(every), pa.array(n)], ["word", "c"])
+
     for b in batches:
-        for text in b.column("text").to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-            if len(counts) >= KEPT:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-                counts.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+        for texts in _parts(b.column("text")):
+            new, n = np.unique(hashed(texts)[0].view(np.int64), return_counts=True)
+            words.append(new)
+            c.append(n)
+            if sum(map(len, words)) >= FRESH:
+                yield written()
+                words, c = [], []
+    yield written()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all of ``texts``, kept as a table."""
-    return stash(texts.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    return stash(texts.select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+
+
+def bucket_of(word: Column) -> Column:
+    """The shared bucket of a word without one of its own."""
+    return word.bitwiseAND(BUCKETS - 1).cast("int")
 
 
 class Words:
@@ -72,13 +126,12 @@ class Words:
     """
 
     def __init__(self, counts: DataFrame):
-        n, v, c_max = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.max("c")).first()
-        self.n, self.v = n, v
-        top = counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()  # LONG bytes each at most
-        self.words, self.c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
-        own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in self.words[:OWN]], "word binary")
+        self.n, self.v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        top = counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()
+        self.words, self.c = top.column("word").to_numpy(), top.column("c").to_numpy().astype(np.float64)
+        own = counts.sparkSession.createDataFrame([(w,) for w in self.words[:OWN].tolist()], "word long")
         shared = counts.join(F.broadcast(own), "word", "left_anti")  # OWN words
-        got = shared.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
+        got = shared.groupBy(bucket_of(F.col("word")).alias("bucket")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
         self.mass, self.once = np.zeros(BUCKETS), np.ones(BUCKETS)
         for bucket, c, once in got:
             self.mass[bucket], self.once[bucket] = c, max(1, once)
@@ -93,48 +146,19 @@ class Words:
         self.prior = np.where(nodes > 0, logs, TINY).astype(np.float32)
 
 
-class Codes(dict):
-    """A word as one number: its place among the frequent words plus one (or 0), its outcome and its hash."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.place = {w: i + 1 for i, w in enumerate(words.words)}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        place, h = self.place.get(word, 0), zlib.crc32(word)
-        outcome = place - 1 if 0 < place <= OWN else OWN + h % BUCKETS
-        out = self[word] = place << 42 | outcome << 32 | h
-        return out
-
-
 class Tables:
-    """Codes of the words that a broadcast brings, made once by a worker."""
+    """The places of the words that a broadcast brings, as an index that a worker makes once."""
 
-    words, codes = None, None
+    words, places = None, None
 
     @classmethod
-    def of(cls, words: Words) -> Codes:
+    def of(cls, words: Words) -> pd.Index:
         if cls.words is not words:
-            cls.words, cls.codes = words, Codes(words)
-        return cls.codes
-
-
-def _some_texts(column: pa.Array):
-    """Runs of texts of about SLICE tokens or more."""
-    texts, size = [], 0
-    for t in column.to_pylist():
-        texts.append(t)
-        size += len(t or b"")
-        if size >= 8 * SLICE:
-            yield texts
-            texts, size = [], 0
-    if texts:
-        yield texts
+            cls.words, cls.places = words, pd.Index(words.words)
+        return cls.places
 
 
-CODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<binary>, times array<int>, codes array<int>"
+CODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>, codes array<int>"
 
 
 def _code(words):
@@ -144,60 +168,61 @@ def _code(words):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 33
-        codes, w = Tables.of(words.value), words.value
+        places, w = Tables.of(words.value), words.value
         log_c, log_more, log_total = np.log10(w.c), np.log10(w.c + 1), np.log10(w.total)
         for b in batches:
             done = 0
-            for texts in _some_texts(b.column("text")):
-                found = [words_of(t) for t in texts]
-                n = np.fromiter(map(len, found), np.int64, len(texts)) + 1
-                every = np.concatenate([x for ws in found for x in (np.fromiter(map(codes.__getitem__, ws), np.int64, len(ws)), [codes[END]])])
-                of, first = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
-                place, outcome = (every >> 42) - 1, every >> 32 & 1023
+            for texts in _parts(b.column("text")):
+                every, n = hashed(texts)
+                of = np.repeat(np.arange(len(n)), n)
+                place = places.get_indexer(every.view(np.int64))
+                outcome = np.where((place >= 0) & (place < OWN), place, OWN + (every & np.uint64(BUCKETS - 1)).astype(np.int64))
                 frequent, shared = place >= 0, outcome >= OWN
                 score, base = np.zeros(len(every)), np.zeros(len(every))
                 score[shared] = -log_total[outcome[shared] - OWN]
                 score[shared & frequent] += log_c[place[shared & frequent]]
                 base[frequent] = log_more[place[frequent]]
-                known, base, score = (np.bincount(of, x, len(texts)) for x in (frequent, base, score))
+                known, base, score = (np.bincount(of, x, len(n)) for x in (frequent, base, score))
                 base -= n * np.log10(w.n + w.v + 1)
-                rare = [Counter() for _ in texts]
-                for i in np.flatnonzero(~frequent).tolist():
-                    j = of[i]
-                    k = i - first[j]
-                    rare[j][found[j][k] if k < len(found[j]) else END] += 1
-                coded = (outcome << HASH | (every & 0xFFFFFFFF) >> 32 - HASH).astype(np.uint32).view(np.int32)
-                ids, held = (b.column(c)[done : done + len(texts)] for c in ("doc_id", "held_out"))
+                rare_of, rare = of[~frequent], every[~frequent].view(np.int64)
+                order = np.lexsort((rare, rare_of))
+                rare_of, rare = rare_of[order], rare[order]
+                new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1]))[: len(rare)])
+                lists = pa.array(np.append(0, np.cumsum(np.bincount(rare_of[new], minlength=len(n)))).astype(np.int32))
+                coded = (outcome.astype(np.uint64) << np.uint64(HASH) | every >> np.uint64(64 - HASH)).astype(np.uint32).view(np.int32)
+                ids, held = (b.column(c)[done : done + len(n)] for c in ("doc_id", "held_out"))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(at, at + len(texts))), ids, held, pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score),
-                    pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
+                    pa.array(np.arange(at, at + len(n))), ids, held, pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score),
+                    pa.ListArray.from_arrays(lists, pa.array(rare[new])), pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(new, len(rare))).astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(coded))],
                     ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times", "codes"])
-                done, at = done + len(texts), at + len(texts)
+                done, at = done + len(n), at + len(n)
 
     return run
 
 
 def _choices(lists: pa.ListArray):
-    """Slices of the tokens of some texts, with two choices each: (places, ((node, rows of the features, outcome), ..)). The node is None where a class is chosen."""
-    codes = lists.flatten().to_numpy().view(np.uint32)
-    n = np.diff(lists.offsets.to_numpy())
-    h, outcome = (codes & (1 << HASH) - 1).astype(np.uint64), (codes >> HASH).astype(np.int64)
-    first = np.cumsum(n) - n
-    one, two = np.empty_like(h), np.empty_like(h)
-    one[1:], two[2:] = h[:-1], h[:-2]
-    one[first], two[first] = START, START
-    two[(first + 1)[n > 1]] = START
+    """Slices of the tokens of some texts, with two choices each: (where each text's tokens begin in it, ((node, rows of the features, outcome), ..)).
+    The node is None where a class is chosen."""
+    codes, ends = lists.flatten().to_numpy().view(np.uint32), lists.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    first = ends[:-1][np.diff(ends) > 0]
     for at in range(0, len(codes), SLICE):
-        part = slice(at, at + SLICE)
-        before, skipped = one[part], two[part]
+        stop = min(at + SLICE, len(codes))
+        outcome = (codes[at:stop] >> HASH).astype(np.int64)
+        before = np.append([0] * max(0, 2 - at), codes[max(0, at - 2) : stop] & (1 << HASH) - 1).astype(np.uint64)
+        one, two = before[1:-1].copy(), before[:-2].copy()
+        begin = first[np.searchsorted(first, at - 1) : np.searchsorted(first, stop)] - at
+        one[begin[begin >= 0]] = START
+        two[begin[begin >= 0]] = START
+        two[(begin + 1)[begin + 1 < stop - at]] = START
         mixed = [(x * np.uint64(m)) ^ ((x * np.uint64(m)) >> np.uint64(29)) for x, m in (
-            (before, 0x9E3779B97F4A7C15), (skipped, 0xC2B2AE3D27D4EB4F), (before << np.uint64(HASH + 1) | skipped, 0xD6E8FEB86659FD93))]
-        cls, bucket = outcome[part] >> 5, outcome[part] & 31
+            (one, 0x9E3779B97F4A7C15), (two, 0xC2B2AE3D27D4EB4F), (one << np.uint64(HASH + 1) | two, 0xD6E8FEB86659FD93))]
+        cls, bucket = outcome // WIDE, outcome % WIDE
         whole = [(x * np.uint64(0x165667B19E3779F9) >> np.uint64(49)).astype(np.int64) for x in mixed]
         salt = (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0x27D4EB2F165667C5)
         within = [((x ^ salt) * np.uint64(0x94D049BB133111EB) >> np.uint64(53)).astype(np.int64) + CLASS_ROWS + cls * BUCKET_ROWS for x in mixed]
-        yield part, ((None, whole, cls), (cls, within, bucket))
+        yield np.clip(ends, at, stop) - at, ((None, whole, cls), (cls, within, bucket))
 
 
 def _shares(weights: np.ndarray, prior: np.ndarray, node: np.ndarray | None, rows: list[np.ndarray]) -> np.ndarray:
@@ -231,10 +256,11 @@ def _gradient(words, weights):
                     shares = _shares(weights.value, prior, node, rows)
                     shares /= shares.sum(axis=0)
                     low, high = (0, CLASS_ROWS) if node is None else (CLASS_ROWS, ROWS)
-                    for r in rows:
-                        r = r - low
-                        for k in range(WIDE):
-                            sums[k, low:high] += np.bincount(r, shares[k], high - low)
+                    places = [r - low for r in rows]
+                    for k in range(WIDE):
+                        share = shares[k].astype(np.float64)
+                        for r in places:
+                            sums[k, low:high] += np.bincount(r, share, high - low)
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(s[some].astype(np.float32)) for s in sums)], ["row", *(f"v{k}" for k in range(WIDE))])
 
@@ -285,16 +311,15 @@ def _score(words, weights):
     def run(batches):
         prior = words.value.prior
         for b in batches:
-            lists = b.column("codes")
-            score = np.empty(len(lists.flatten()))
-            for part, choices in _choices(lists):
-                score[part] = 0
+            score = b.column("score").to_numpy().copy()
+            for ends, choices in _choices(b.column("codes")):
+                of_token = 0
                 for node, rows, outcome in choices:
                     shares = _shares(weights.value, prior, node, rows)
-                    score[part] += np.log10(shares[outcome, np.arange(len(outcome))] / shares.sum(axis=0))
-            ends = np.append(0, np.cumsum(score))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+                    of_token = of_token + np.log10(shares[outcome, np.arange(len(outcome))] / shares.sum(axis=0), dtype=np.float64)
+                score += np.diff(np.append(0, np.cumsum(of_token))[ends])
             kept = [c for c in b.schema.names if c not in ("codes", "score")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(b.column("score").to_numpy() + np.diff(ends))], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(score)], [*kept, "score"])
 
     return run
 
@@ -308,18 +333,18 @@ def scores(docs: DataFrame, rates=RATES) -> DataFrame:
 
     Null and empty texts are an end alone; a null doc_id isn't held out; texts of any length are read whole; repeated rows each count and each get a row; other
     columns are ignored; an empty table gives no rows. With nothing to learn from, all words are unknown: the base score is 0, and the score that of a shared bucket,
-    chosen at random. Words of over LONG bytes are known by their MD5. Weights, frequent words and sums of buckets have fixed sizes; counts of all other
+    chosen at random. Words are known by a hash of 64 bits. Weights, frequent words and sums of buckets have fixed sizes; counts of all other
     words are joined, and none of these is frequent.
     """
     texts = _texts(docs)
     counts = word_counts(texts.where(~F.col("held_out")))
     context = docs.sparkSession.sparkContext
-    words = context.broadcast(Words(counts))  # FREQUENT words of LONG bytes at most
+    words = context.broadcast(Words(counts))  # FREQUENT hashes and counts
     coded = stash(texts.mapInArrow(_code(words), CODED), "coded")
     weights = context.broadcast(train(coded.where(~F.col("held_out")), words, rates))  # ROWS x WIDE numbers
     rare = coded.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts, "word", "left")
-    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in np.log10(words.value.once)]), (F.crc32("word") % BUCKETS + 1).cast("int"))
+    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in np.log10(words.value.once)]), bucket_of(F.col("word")) + 1)
     rare = rare.select(
         "uid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens"),
         F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("known"), (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"),
