@@ -9,38 +9,74 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import id_text, stash, table
-from veilspark.llm.packing import LETTERS, PLAIN, SPLIT, WORDS, WordIds, tokenizer_path
+from veilspark.llm.packing import LETTERS, PLAIN, SPLIT, tokenizer_path
 from veilspark.llm.tokens import SPACE, check_model, model_path
 
-#: Characters of texts that are encoded together, about, and bytes whose owners are held at once.
-SLICE, WINDOW = 2 << 20, 4 << 20
+#: Characters of texts that are encoded together, about, bytes whose owners are held at once, and words that a worker remembers for each tokenizer.
+SLICE, WINDOW, KEPT = 1 << 19, 1 << 20, 1 << 17
 #: What a piece tokenizer encodes by itself: spaces with the word behind them, or the spaces at the end.
 PIECE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 
-class PlainIds(WordIds):
-    """Ids of the byte-level vocabulary, special strings being plain text."""
+class Ids(dict):
+    """Ids of words, as bytes of unsigned 32-bit numbers, asked of the library once while they are remembered: the last KEPT words, and of as many before those
+    the ones met again. Words that their tokens don't give back byte for byte are ``lost``."""
 
-    def __init__(self, tokenizer_file: str):
-        super().__init__(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.lost: set[str] = set()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT:
+            self.before = dict(self)
+            self.clear()
+        out = self.before.get(word)
+        if out is None:
+            ids, raw = self.encoded(word)
+            if b"".join(map(self.tokens.__getitem__, ids)) != raw:
+                self.lost.add(word)
+            out = array("I", ids).tobytes()
+        self[word] = out
+        return out
+
+    def joined(self, words: list[str]) -> bytes | None:
+        ids = b"".join(map(self.__getitem__, words))
+        return ids if not self.lost or self.lost.isdisjoint(words) else None
+
+
+class PlainIds(Ids):
+    """The byte-level vocabulary, special strings being plain text."""
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, SPLIT.findall(text))) if PLAIN.fullmatch(text) else self.whole(text)
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
 
-    def token_bytes(self) -> list[bytes]:
+        super().__init__()
+        self.library = Tokenizer.from_file(tokenizer_file)
+        self.library.encode_special_tokens = True
         back = str.maketrans({v: chr(k) for k, v in LETTERS.items()})
-        tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        return [(t or "").translate(back).encode("latin-1", "replace") for t in tokens]
+        tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        self.tokens = [(t or "").translate(back).encode("latin-1", "replace") for t in tokens]
+
+    def encoded(self, word: str) -> tuple[list[int], bytes]:
+        raw = word.encode()
+        return [x.id for x in self.library.model.tokenize(raw.decode("latin-1").translate(LETTERS))], raw
+
+    def ids(self, text: str) -> bytes | None:
+        if PLAIN.fullmatch(text):
+            return self.joined(SPLIT.findall(text))
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes() if b"".join(map(self.tokens.__getitem__, ids)) == text.encode() else None
 
 
-class PieceIds(dict):
-    """Ids of the piece vocabulary for spaces with the word behind them, as the library gives them; bounded like ``WordIds``."""
+class PieceIds(Ids):
+    """The piece vocabulary, for spaces with the word behind them."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -48,29 +84,17 @@ class PieceIds(dict):
         super().__init__()
         with open(model_file, "rb") as f:
             check_model(f.read())  # no piece goes on past the end of a word, so words are encoded one by one
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.before: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.before.get(word)
-        if out is None:
-            # the library puts a space in front of whatever isn't empty
-            ids = self.model.encode(word[1:].replace(SPACE, " ")) if len(word) > 1 else [self.model.piece_to_id(word)]
-            out = array("I", ids).tobytes()
-        self[word] = out
-        return out
-
-    def make_room(self) -> None:
-        if len(self) > WORDS:
-            self.before = dict(self)
-            self.clear()
+        m = self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.tokens = [bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PIECE.findall(SPACE + text.replace(" ", SPACE))))
+    def encoded(self, word: str) -> tuple[list[int], bytes]:
+        # the library puts a space in front of whatever isn't empty
+        shown = word.replace(SPACE, " ")
+        return (self.library.encode(shown[1:]) if len(word) > 1 else [self.library.piece_to_id(word)]), shown.encode()
 
-    def token_bytes(self) -> list[bytes]:
-        m = self.model
-        return [bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
+    def ids(self, text: str) -> bytes | None:
+        """None for texts with the sign that stands for a space: it would be given back as one."""
+        return None if SPACE in text else self.joined(PIECE.findall(SPACE + text.replace(" ", SPACE)))
 
 
 class Pair:
@@ -78,37 +102,35 @@ class Pair:
 
     def __init__(self, a_file: str, b_file: str):
         self.a, self.b = PlainIds(a_file), PieceIds(b_file)
-        self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
+        self.bytes_a, self.bytes_b = self.a.tokens, self.b.tokens
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         #: Decimal ids, with what follows them in a group: a comma, or the end of a side.
         ends = [("A", "|", self.bytes_a), ("B", ";", self.bytes_b)]
         self.shown = [f"{i}{end}".encode() for _, last, x in ends for i in range(len(x)) for end in (",", last)]
-        self.links = self._links()
+        #: Ids a * |B| + b of all links that can be, in order.
+        self.links = pd.Index(self._links())
 
     def _links(self) -> np.ndarray:
         """All ids a * |B| + b of which one's bytes end the other's, in order: no others can end together. Tokens of n bytes have at most
         n ends, so there are fewer of them than bytes in both vocabularies, times ids of the same bytes."""
-        found = set()
+        found, n = [], len(self.bytes_b)
         by_bytes = [{}, {}]
         for table_, tokens in zip(by_bytes, (self.bytes_a, self.bytes_b)):
             for i, t in enumerate(tokens):
                 table_.setdefault(t, []).append(i)
-        n = len(self.bytes_b)
         for i, t in enumerate(self.bytes_a):
-            found.update(i * n + j for k in range(len(t)) for j in by_bytes[1].get(t[k:], ()))
+            found += [i * n + j for k in range(len(t)) for j in by_bytes[1].get(t[k:], ())]
         for j, t in enumerate(self.bytes_b):
-            found.update(i * n + j for k in range(len(t)) for i in by_bytes[0].get(t[k:], ()))
-        return np.array(sorted(found), np.int64)
+            found += [i * n + j for k in range(len(t)) for i in by_bytes[0].get(t[k:], ())]
+        return np.unique(np.array(found, np.int64))
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Ids by A and by B; none where the tokens' bytes aren't those of a space and the text."""
         if not text:
             return b"", b""
-        a, b, raw = self.a.ids(" " + text), self.b.ids(text), (" " + text).encode()
-        for ids, tokens in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join(map(tokens.__getitem__, memoryview(ids).cast("I"))) != raw:
-                return b"", b""
-        return a, b
+        b = self.b.ids(text)
+        a = self.a.ids(" " + text) if b is not None else None
+        return (b"", b"") if a is None else (a, b)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -166,8 +188,8 @@ class Aligned:
 
     def per_document(self) -> tuple[np.ndarray, np.ndarray]:
         """(overlaps, cuts) of each document."""
-        of = np.searchsorted(np.cumsum(self.n_a), self.over_a, "right")
-        return np.bincount(of, minlength=len(self.n_a)), np.bincount(of[self.cut], minlength=len(self.n_a))
+        at = np.searchsorted(self.over_a, np.append(0, np.cumsum(self.n_a)))
+        return np.diff(at), np.diff(np.append(0, np.cumsum(self.cut))[at])
 
 
 def _aligned(batches, a_file: str | None, b_file: str | None) -> Iterator[Aligned]:
@@ -179,8 +201,6 @@ def _aligned(batches, a_file: str | None, b_file: str | None) -> Iterator[Aligne
             while stop < len(texts) and (stop == at or size < SLICE):
                 size += len(texts[stop] or "")
                 stop += 1
-            both.a.make_room()
-            both.b.make_room()
             ids = [both.encode(t) for t in texts[at:stop]]
             n_a, n_b = (np.array([len(x[k]) // 4 for x in ids], np.int64) for k in (0, 1))
             a, b = (np.frombuffer(b"".join(x[k] for x in ids), np.uint32).astype(np.int64) for k in (0, 1))
@@ -245,7 +265,7 @@ def _digested(a_file: str | None, b_file: str | None):
         both = pair(a_file, b_file)
         for x in _aligned(batches, a_file, b_file):
             groups = x.per_document()[1]
-            links = np.searchsorted(both.links, x.a[x.over_a[x.cut]] * len(both.bytes_b) + x.b[x.over_b[x.cut]])
+            links = both.links.get_indexer(x.a[x.over_a[x.cut]] * len(both.bytes_b) + x.b[x.over_b[x.cut]])
             yield pa.RecordBatch.from_arrays(
                 [x.doc_ids, pa.array(x.n_a), pa.array(x.n_b), pa.array(groups), _lists(pa.array(links.astype(np.int32)), groups), pa.array(_digests(x, both.shown, len(both.bytes_a), groups), pa.string())],
                 ["doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256"])
@@ -257,7 +277,7 @@ def link_counts(rows: DataFrame, both: Pair) -> tuple[np.ndarray, np.ndarray]:
     """(how many links of the corpus hold it linked, whether that's the most that its token of B has) for each possible link of the two
     vocabularies: as many numbers as ``Pair.links`` has, whatever the corpus."""
     got = rows.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n")).toArrow()
-    counts, of_b = np.zeros(len(both.links), np.int64), both.links % len(both.bytes_b)
+    counts, of_b = np.zeros(len(both.links), np.int64), both.links.to_numpy() % len(both.bytes_b)
     counts[got.column("link").to_numpy()] = got.column("n").to_numpy()
     most = np.zeros(len(both.bytes_b), np.int64)
     np.maximum.at(most, of_b, counts)
