@@ -43,3 +43,19 @@ def test_text_functions(spark, values):
     for r in df.withColumns({"n": utf16_length(F.col("v")), "l": luhn_valid(F.col("d")), "p": pesel_valid(F.col("d"))}).collect():
         d = "".join(c.replace("٣", "3") for c in r.v if c in "0123456789٣")
         assert (r.d, r.n, r.l, r.p) == (d, len(r.v.encode("utf-16-be")) // 2, luhn(d), pesel(d))
+
+
+def test_scans_along_arrays(spark):
+    """States and outputs in order, over arrays that end in and between blocks and groups, and 10^5 elements in seconds."""
+    import time
+
+    from veilspark.functions.arrays import scan
+
+    sizes = [0, 1, 63, 64, 65, 4095, 4096, 4097, 9000, 100_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", F.expr("case when n = 0 then cast(array() as array<int>) else sequence(1, n) end").alias("a"))
+    at = time.time()
+    sums = scan(F.col("a"), F.lit(0).cast("long"), lambda s, x: (s + x, F.when(x % 3 != 0, F.array(s + x)).otherwise(F.expr("cast(array() as array<bigint>)"))), "bigint")
+    got = {r.n: r.o for r in rows.select("n", sums.alias("o")).collect()}
+    assert time.time() - at < 30
+    for n in sizes:
+        assert got[n] == [x * (x + 1) // 2 for x in range(1, n + 1) if x % 3]
