@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from conftest import documents
+from pyspark.sql import functions as F
 
 from veilspark.llm import mix, secrets, urls
 
@@ -226,3 +228,34 @@ def test_bloom_has_no_false_negative(spark):
     hit = probe.withColumn("b", urls.block_of(F.col("url"), 2048)).join(blocks, F.col("b") == F.col("block"), "left").withColumn("hit", F.coalesce(F.col("bits").bitwiseAND(m) == m, F.lit(False)))
     n = {r.real: r.n for r in hit.where("hit").groupBy((F.col("id") < 5000).alias("real")).agg(F.count("*").alias("n")).collect()}
     assert n[True] == 5000 and n.get(False, 0) < 15000 * 0.03
+
+
+def test_secrets_in_long_runs(spark):
+    """A megabyte of placeholders in one run, and one of thousands of candidates, in seconds."""
+    import time
+
+    r = random.Random(4)
+    runs = ["".join(r.choice("0123456789abcdef") for _ in range(24)) for _ in range(10_000)]
+    texts = ["x" * 1_000_000 + "1q", ("xxxx" + runs[0] + "A") * 3000, " ".join(runs)]
+    at = time.time()
+    got = [x.found for x in secrets.scan_secrets(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert time.time() - at < 60
+    assert got[0] == []
+    assert sum(x.name == "hex" for x in got[2]) == 10_000
+    for x in got[1]:
+        assert "x" not in texts[1][x.s : x.e]
+    assert len(got[1]) >= 3000
+
+
+def test_candidates_apart_from_spans(spark):
+    """Those that overlap no span, against all pairs."""
+    r = random.Random(5)
+
+    def runs():
+        cuts = sorted(r.sample(range(60), 2 * r.randint(0, 8)))
+        return list(zip(cuts[::2], cuts[1::2]))
+
+    cases = [(i, runs(), runs()) for i in range(300)]
+    rows = spark.createDataFrame([(i, [((s, 0, e, "n"), "m") for s, e in c], [(s, 0, e, "n") for s, e in h]) for i, c, h in cases], f"i int, c array<{secrets.CANDIDATE}>, h {secrets.SPAN}")
+    got = {x.i: [(c.x.s, c.x.e) for c in x.o] for x in rows.select("i", secrets._apart(F.col("c"), F.col("h")).alias("o")).collect()}
+    assert got == {i: [x for x in c if not any(s < x[1] and x[0] < e for s, e in h)] for i, c, h in cases}

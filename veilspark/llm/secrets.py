@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import scan
+from veilspark.functions.arrays import let, scan
 from veilspark.llm.common import table
 
 # The patterns of the base kinds. Runs of at least n characters equal runs that are then checked for n.
@@ -31,6 +31,8 @@ ALLOWED = (
 ITEM = "struct<s:int,k:int,e:int,name:string>"
 SPAN = f"array<{ITEM}>"
 NONE = f"cast(array() as {SPAN})"
+CANDIDATE = f"struct<x:{ITEM},m:string>"
+NO_CANDIDATES = f"cast(array() as array<{CANDIDATE}>)"
 
 
 def _spans(found: str, gaps: str, name: str, order: int) -> Column:
@@ -45,6 +47,41 @@ def _spans(found: str, gaps: str, name: str, order: int) -> Column:
     return F.when(F.size(found) == 0, F.expr(NONE)).otherwise(scan(F.col(found), start, step, ITEM))
 
 
+def _parts(c: Column, cuts: str, least: int) -> Column:
+    """A candidate's parts between placeholders that are long enough: each pattern runs over it once, and one pass places the parts."""
+    def step(gaps: Column):
+        def one(a: Column, p: Column) -> tuple[Column, Column]:
+            e = a["at"] + F.length(p)
+            part = F.struct(F.struct(a["at"].alias("s"), c["x"]["k"].alias("k"), e.alias("e"), c["x"]["name"].alias("name")).alias("x"), p.alias("m"))
+            after = F.coalesce(F.length(F.get(gaps, a["i"])), F.lit(0))
+            return F.struct((a["i"] + 1).alias("i"), (e + after).alias("at")), F.when(F.length(p) >= least, F.array(part)).otherwise(F.expr(NO_CANDIDATES))
+        return one
+
+    start = F.struct(F.lit(0).alias("i"), c["x"]["s"].alias("at"))
+    found = F.struct(F.split(c["m"], cuts, -1).alias("parts"), F.regexp_extract_all(c["m"], F.lit(cuts), F.lit(0)).alias("gaps"))
+    return F.when(c["m"].rlike(cuts), let(found, lambda z: scan(z["parts"], start, step(z["gaps"]), CANDIDATE))).otherwise(F.array(c))
+
+
+def _apart(candidates: Column, have: Column) -> Column:
+    """``candidates`` that no span of ``have`` overlaps. Neither overlap among themselves, so one pass over both in order decides: a candidate waits until the next begins."""
+    event = f"struct<s:int,t:int,e:int,c:{CANDIDATE}>"
+    none = F.lit(None).cast(CANDIDATE)
+
+    def at(s: Column, t: int, e: Column, c: Column) -> Column:
+        return F.struct(s.alias("s"), F.lit(t).alias("t"), e.alias("e"), c.alias("c")).cast(event)
+
+    def step(a: Column, v: Column) -> tuple[Column, Column]:
+        span, reach = v["t"] == 0, F.greatest(a["reach"], F.when(v["t"] == 0, v["e"]))
+        hit = F.when(span, a["hit"] | F.coalesce(v["s"] < a["c"]["x"]["e"], F.lit(False))).otherwise(a["reach"] > v["s"])
+        out = F.when(span | a["hit"] | a["c"].isNull(), F.expr(NO_CANDIDATES)).otherwise(F.array(a["c"]))
+        return F.struct(reach.alias("reach"), hit.alias("hit"), F.when(span, a["c"]).otherwise(v["c"]).alias("c")), out
+
+    last = F.array(at(F.lit(2**31 - 1), 1, F.lit(2**31 - 1), none))
+    events = F.array_sort(F.concat(F.transform(have, lambda x: at(x["s"], 0, x["e"], none)), F.transform(candidates, lambda c: at(c["x"]["s"], 1, c["x"]["e"], c)), last))
+    start = F.struct(F.lit(-1).alias("reach"), F.lit(False).alias("hit"), none.alias("c"))
+    return F.when(F.size(have) == 0, candidates).otherwise(scan(events, start, step, CANDIDATE))
+
+
 def _alphabet(chars: str) -> str:
     """The characters of a class of ASCII characters and ranges."""
     return "".join(c for c in map(chr, range(128)) if re.fullmatch(f"[{chars}]", c))
@@ -108,28 +145,26 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed
     rows = rows.select("doc_id", *[f"m{i}" for i in range(len(gaps))], *[_spans(f"m{i}", f"g{i}", n, i).alias(f"s{i}") for i, (n, _) in enumerate(kinds + runs)])
     good = F.expr("filter(s0, (x, i) -> length(regexp_extract(m0[i], '" + ASSIGN.replace("\\", "\\\\").replace("'", "\\'") + f"', 1)) >= {ASSIGN_LEAST})")
     rows = rows.withColumn("base", F.concat(good, "s1", "s2"))
-    anchored = [a for a in allowed if a.startswith("^")] or ["(?!)"]
-    allow = " or ".join("rlike(m, '" + a.replace("\\", "\\\\").replace("'", "\\'") + "')" for a in anchored)
-    cuts = "|".join(f"(?:{a})" for a in allowed if not a.startswith("^")) or "(?!)"
-    cuts = "'" + cuts.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    parts = f"""case when not rlike(c.m, {cuts}) then array(c) else aggregate(split(c.m, {cuts}, -1),
-        named_struct('i', 0, 'at', c.x.s, 'out', filter(array(c), y -> false)),
-        (a, p) -> named_struct('i', a.i + 1, 'at', a.at + length(p) + coalesce(length(get(regexp_extract_all(c.m, {cuts}, 0), a.i)), 0), 'out', array_append(a.out, named_struct(
-            'x', named_struct('s', a.at, 'k', c.x.k, 'e', a.at + length(p), 'name', c.x.name), 'm', p))),
-        a -> a.out) end"""
-    fine = allow.replace("(m,", "(c.m,").join("()")
-    rows = rows.withColumn("entropy", F.expr(NONE))
-    have = "entropy"
+    anchored = [a for a in allowed if a.startswith("^")]
+    cuts = "|".join(f"(?:{a})" for a in allowed if not a.startswith("^"))
+
+    def fine(c: Column) -> Column:
+        """Long enough for a window, with a digit, and not allow-listed."""
+        good = (F.length(c["m"]) >= window) & c["m"].rlike("[0-9]")
+        for a in anchored:
+            good = good & ~c["m"].rlike(a)
+        return good
+
+    rows = rows.withColumn("h", F.expr(NONE))
     for i, (_, chars, least) in enumerate(classes, len(kinds)):
-        # candidates with their text, free of what earlier classes found
-        ok = f"filter(zip_with(s{i}, m{i}, (x, m) -> named_struct('x', x, 'm', m)), c -> not exists({have}, b -> b.s < c.x.e and c.x.s < b.e) and rlike(c.m, '[0-9]') and not {fine})"
-        ok = f"filter(flatten(transform({ok}, c -> {parts})), c -> length(c.m) >= {window} and rlike(c.m, '[0-9]') and not {fine})"
-        rows = rows.withColumn(f"c{i}", F.expr(ok))
-        span = f"transform(c{i}, c -> named_struct('x', c.x, 'w', {_entropy_span('c.m', chars, window, least)}))"
+        both = F.zip_with(f"s{i}", f"m{i}", lambda x, m: F.struct(x.alias("x"), m.alias("m")))
+        rows = rows.withColumn("c", _apart(F.filter(both, fine), F.col("h")))
+        if cuts:
+            rows = rows.withColumn("c", F.filter(F.flatten(F.transform("c", lambda c: _parts(c, cuts, window))), fine))
+        span = f"transform(c, c -> named_struct('x', c.x, 'w', {_entropy_span('c.m', chars, window, least)}))"
         add = f"transform(filter({span}, c -> c.w.lo is not null), c -> named_struct('s', c.x.s + c.w.lo, 'k', c.x.k, 'e', c.x.s + c.w.hi, 'name', c.x.name))"
-        rows = rows.withColumn(f"h{i}", F.concat(F.col(have), F.expr(f"cast({add} as {SPAN})")))
-        have = f"h{i}"
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", have)).alias("found"))
+        rows = rows.withColumn("h", F.concat("h", F.expr(f"cast({add} as {SPAN})")))
+    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "h")).alias("found"))
 
 
 def digest(spans: str) -> Column:
