@@ -26,33 +26,27 @@ PIECE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 class Ids(dict):
     """Ids of words, as bytes of unsigned 32-bit numbers, asked of the library once while they are remembered: the last KEPT words, and of as many before those
-    the ones met again. Words that their tokens don't give back byte for byte are ``lost``."""
+    the ones met again."""
 
     def __init__(self):
         super().__init__()
         self.before: dict[str, bytes] = {}
-        self.lost: set[str] = set()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.before = dict(self)
-            self.clear()
         out = self.before.get(word)
         if out is None:
-            ids, raw = self.encoded(word)
-            if b"".join(map(self.tokens.__getitem__, ids)) != raw:
-                self.lost.add(word)
-            out = array("I", ids).tobytes()
+            out = array("I", self.encoded(word)).tobytes()
         self[word] = out
         return out
 
-    def joined(self, words: list[str]) -> bytes | None:
-        ids = b"".join(map(self.__getitem__, words))
-        return ids if not self.lost or self.lost.isdisjoint(words) else None
+    def make_room(self) -> None:
+        if len(self) >= KEPT:
+            self.before = dict(self)
+            self.clear()
 
 
 class PlainIds(Ids):
-    """The byte-level vocabulary, special strings being plain text."""
+    """The byte-level vocabulary, special strings being plain text. It has all bytes and changes no text, so it gives every word back."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -60,23 +54,25 @@ class PlainIds(Ids):
         super().__init__()
         self.library = Tokenizer.from_file(tokenizer_file)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        if self.library.normalizer is not None or not all(x in vocabulary for x in LETTERS.values()):
+            raise ValueError("alignment needs a byte-level vocabulary of all bytes without a normalizer")
         back = str.maketrans({v: chr(k) for k, v in LETTERS.items()})
         tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
         self.tokens = [(t or "").translate(back).encode("latin-1", "replace") for t in tokens]
 
-    def encoded(self, word: str) -> tuple[list[int], bytes]:
-        raw = word.encode()
-        return [x.id for x in self.library.model.tokenize(raw.decode("latin-1").translate(LETTERS))], raw
+    def encoded(self, word: str) -> list[int]:
+        return [x.id for x in self.library.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))]
 
     def ids(self, text: str) -> bytes | None:
         if PLAIN.fullmatch(text):
-            return self.joined(SPLIT.findall(text))
+            return b"".join(map(self.__getitem__, SPLIT.findall(text)))
         ids = self.library.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes() if b"".join(map(self.tokens.__getitem__, ids)) == text.encode() else None
 
 
 class PieceIds(Ids):
-    """The piece vocabulary, for spaces with the word behind them."""
+    """The piece vocabulary, for spaces with the word behind them. It falls back to bytes and changes no text but for spaces, so it gives every word back."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -86,15 +82,16 @@ class PieceIds(Ids):
             check_model(f.read())  # no piece goes on past the end of a word, so words are encoded one by one
         m = self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.tokens = [bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
+        if sum(map(m.is_byte, range(m.get_piece_size()))) != 256:
+            raise ValueError("alignment needs a piece model with all bytes")
 
-    def encoded(self, word: str) -> tuple[list[int], bytes]:
+    def encoded(self, word: str) -> list[int]:
         # the library puts a space in front of whatever isn't empty
-        shown = word.replace(SPACE, " ")
-        return (self.library.encode(shown[1:]) if len(word) > 1 else [self.library.piece_to_id(word)]), shown.encode()
+        return self.library.encode(word[1:].replace(SPACE, " ")) if len(word) > 1 else [self.library.piece_to_id(word)]
 
     def ids(self, text: str) -> bytes | None:
         """None for texts with the sign that stands for a space: it would be given back as one."""
-        return None if SPACE in text else self.joined(PIECE.findall(SPACE + text.replace(" ", SPACE)))
+        return None if SPACE in text else b"".join(map(self.__getitem__, PIECE.findall(SPACE + text.replace(" ", SPACE))))
 
 
 class Pair:
@@ -201,6 +198,8 @@ def _aligned(batches, a_file: str | None, b_file: str | None) -> Iterator[Aligne
             while stop < len(texts) and (stop == at or size < SLICE):
                 size += len(texts[stop] or "")
                 stop += 1
+            both.a.make_room()
+            both.b.make_room()
             ids = [both.encode(t) for t in texts[at:stop]]
             n_a, n_b = (np.array([len(x[k]) // 4 for x in ids], np.int64) for k in (0, 1))
             a, b = (np.frombuffer(b"".join(x[k] for x in ids), np.uint32).astype(np.int64) for k in (0, 1))
@@ -297,10 +296,15 @@ def alignment_digests(docs: DataFrame, a_file: str | None = None, b_file: str |
         counts, best = sent.value
         for x in batches:
             lists = x.column("links")
-            links, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            at = np.append(0, np.cumsum(n))
-            sums = [np.append(0, np.cumsum(v))[at] for v in (best[links].astype(np.int64), counts[links])]
-            more = [pa.array(n.astype(np.int64)), *(pa.array(np.diff(s)) for s in sums)]
+            links, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            sums = np.zeros((2, len(x)), np.int64)
+            for at in range(0, len(links), WINDOW):
+                some = links[at : at + WINDOW]
+                here = np.clip(ends, at, at + len(some)) - at
+                for total, values in zip(sums, (best, counts)):
+                    total += np.diff(np.append(0, np.cumsum(values[some], dtype=np.int64))[here])
+            more = [pa.array(np.diff(ends)), *map(pa.array, sums)]
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("n_a"), x.column("n_b"), x.column("n_groups"), *more, x.column("groups_sha256")], OUT)
 
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in OUT[:-1]) + ", groups_sha256 string")
