@@ -285,9 +285,34 @@ def test_rare_kinds_have_training_windows(spark, monkeypatch):
     rare = [f"mail x{i}@b{i}.org" + " ip 10.0.0.1" * 40 + f" call +1 (555) 123-45{i}" for i in range(10, 13)]
     seen = []
     monkeypatch.setattr(Tagger, "fit", lambda self, x, y, epochs: seen.append(y) or [0.0])
-    pii.train(documents(spark, [(i, t, "s") for i, t in enumerate(ips + rare)]), 80, 1)
-    y = seen[0][: len(seen[0]) // 2]
-    assert len(y) <= 80 and (y == 1).any(1).sum() == 3 and (y == 7).any(1).sum() == 3 and (y == 3).any(1).sum() >= 50
+    with pytest.warns(UserWarning, match="too few"):
+        pii.train(documents(spark, [(i, t, "s") for i, t in enumerate(ips + rare)]), 80, 1)
+    n = next(n for n in range(40, 81) if n * (1 + pii.copies(n, 1)) == len(seen[0]))
+    y = seen[0][:n]
+    assert (y == 1).any(1).sum() == 3 and (y == 7).any(1).sum() == 3 and (y == 3).any(1).sum() >= 40
+
+
+def windows_of(texts):
+    return [(t[:64], pii.tags_of(pii.base_spans(t), 0, len(t[:64]))) for t in texts]
+
+
+def test_few_windows_are_enough():
+    """The number of updates doesn't follow the number of windows; values that the base patterns read into one are told apart."""
+    texts = [t for _, t, _ in personal(60, seed=9)]
+    model = pii.fitted(windows_of(texts + [t[::-1][:64] for t in texts[:10]]))
+    assert model.recall >= 0.8
+    other = [t for _, t, _ in personal(100, seed=10)]
+    want, got = [set(pii.base_spans(t)) for t in other], [set(x) for x in pii.tagged_spans(model, other)]
+    assert sum(len(a & b) for a, b in zip(want, got)) >= 0.8 * sum(map(len, want))
+    glued = ["here 4242424242424242 4242424242424242 there", "tel +1 (555) 555-4081 10.20.30.40 now"]
+    assert [pii.base_spans(t) for t in glued] == [[], [(22, 1, 33)]]
+    added = pii.added_spans(pii.tagged_spans(model, glued), [pii.base_spans(t) for t in glued])
+    assert (4, 3, 21) in added[1] or {(5, 2, 21), (22, 2, 38)} & set(added[0])
+
+
+def test_training_says_so_when_it_fails():
+    with pytest.warns(UserWarning, match="too few"):
+        assert pii.fitted(windows_of([t for _, t, _ in personal(30)]), 0).recall < pii.POOR
 
 
 def test_pipeline(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ TRIGGER = re.compile("[0-9@]")
 
 #: Characters in a window, between windows, and kept on either side of a digit or at sign.
 WINDOW, STRIDE, AROUND = 64, 32, 24
-#: Windows to train on at most, epochs, and the least mean probability of an added span's tags.
-TRAIN, EPOCHS, SURE = 1200, 8, 0.95
+#: Windows to train on at most, epochs and updates at least, and the least mean probability of an added span's tags.
+TRAIN, EPOCHS, UPDATES, SURE = 1200, 8, 600, 0.95
+#: Of so many windows of a kind one is held out to measure recall; the recall below which training warns.
+HELD, POOR = 6, 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -152,13 +155,21 @@ def rewritten(kind: int, value: str, r: np.random.Generator) -> str:
     return value
 
 
-def altered(text: str, tags: np.ndarray, r: np.random.Generator) -> tuple[str, np.ndarray]:
-    """A window with its spans rewritten and other digits throughout, and its tags."""
+def altered(text: str, tags: np.ndarray, r: np.random.Generator, values: list[tuple[int, str]] = ()) -> tuple[str, np.ndarray]:
+    """A window with its spans rewritten, some of them with another of ``values`` (kind, value) right behind, and other digits throughout; and its tags.
+
+    The base patterns read on into a neighbour, and then drop both for their number of digits.
+    """
     words, marks, at = [], [], 0
     for s, k, e in spans_of(tags):
-        value = rewritten(k, text[s:e], r)
-        words += [text[at:s], value]
-        marks += [tags[at:s], np.array([2 * k + 1] + [2 * k + 2] * (len(value) - 1), np.int8)]
+        parts = [(k, rewritten(k, text[s:e], r))]
+        if values and r.random() < 0.3:
+            parts.append(values[r.integers(len(values))])
+        words.append(text[at:s])
+        marks.append(tags[at:s])
+        for i, (kind, value) in enumerate(parts):
+            words += [" " * (i > 0), value]
+            marks += [np.zeros(int(i > 0), np.int8), np.array([2 * kind + 1] + [2 * kind + 2] * (len(value) - 1), np.int8)]
         at = e
     other = "".join(str(r.integers(10)) if "0" <= c <= "9" else c for c in "".join([*words, text[at:]]))
     return other[:WINDOW], np.concatenate([*marks, tags[at:]])[:WINDOW]
@@ -179,7 +190,9 @@ def is_valid(kind: int, value: str) -> bool:
 def train(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Tagger | None:
     """A tagger fitted on at most ``windows`` windows labelled by the base patterns, the lowest hashes of each kind first; None without any.
 
-    A quarter of them have no span. The kinds share the others equally; what a kind has too few windows for goes to those that have more.
+    A quarter of them have no span. The kinds share the others equally; what a kind has too few windows for goes to those that have more. Of HELD windows of a kind one
+    is held out: the model's ``recall`` is the part of their spans that it finds exactly, and training warns where that is poor. Where windows are few
+    there are more altered copies of each, so that there are UPDATES all the same.
     """
     got = stash(docs.select("text").mapInArrow(_labelled, "h long, kind int, w string, tags binary"), "windows")
 
@@ -195,14 +208,41 @@ def train(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Tagger
     rows += lowest(0, windows // 4)
     if not any(r.kind for r in rows):
         return None
+    return fitted([(r.w, np.frombuffer(r.tags, np.int8)) for r in rows], epochs)
+
+
+def copies(windows: int, epochs: int) -> int:
+    """Altered copies of each window: one, or as many as make UPDATES of 32 windows each."""
+    return max(1, -(-32 * UPDATES // max(1, windows * epochs)) - 1) if epochs else 1
+
+
+def fitted(rows: list[tuple[str, np.ndarray]], epochs: int = EPOCHS) -> Tagger:
+    """A tagger for (text, tags) windows, and altered copies of them."""
     r = np.random.default_rng(5)
-    x, y = np.zeros((2 * len(rows), WINDOW), np.int16), np.zeros((2 * len(rows), WINDOW), np.int8)
-    for i, row in enumerate(rows):
-        text, tags = row.w, np.frombuffer(row.tags, np.int8)
-        for at, (w, t) in ((i, (text, tags)), (len(rows) + i, altered(text, tags, r))):
-            x[at, : len(w)], y[at, : len(t)] = classes(w), t
+    nth, drawn = [0] * (len(KINDS) + 1), ([], [])
+    for text, tags in rows:
+        kind = next((k + 1 for _, k, _ in spans_of(tags)), 0)
+        nth[kind] += 1
+        drawn[nth[kind] % HELD == 0].append((text, tags))
+    rows, held = list(drawn[0]), drawn[1]
+    values = [(k, text[s:e]) for text, tags in rows for s, k, e in spans_of(tags) if e < len(tags)]
+    rows += [altered(text, tags, r, values) for _ in range(copies(len(rows), epochs)) for text, tags in rows]
+    x, y = np.zeros((len(rows), WINDOW), np.int16), np.zeros((len(rows), WINDOW), np.int8)
+    for at, (w, t) in enumerate(rows):
+        x[at, : len(w)], y[at, : len(t)] = classes(w), t
     model = Tagger(97, 2 * len(KINDS) + 1)
     model.losses = model.fit(x, y, epochs)
+    spans = [spans_of(tags) for _, tags in held]
+    model.recall = None
+    if any(spans):
+        x = np.zeros((len(held), WINDOW), np.int16)
+        for row, (w, _) in zip(x, held):
+            row[: len(w)] = classes(w)
+        paths = model.decode_all(list(model.scores(x).transpose(1, 0, 2)))
+        found = [set(spans_of(path[: len(tags)])) for path, (_, tags) in zip(paths, held)]
+        model.recall = sum(s in f for some, f in zip(spans, found) for s in some) / sum(map(len, spans))
+        if model.recall < POOR:
+            warnings.warn(f"the tagger finds {model.recall:.2f} of the spans held out: {len(drawn[0])} windows are too few to learn from, so little is added to the base spans", stacklevel=3)
     return model
 
 
@@ -270,7 +310,8 @@ def find_pii(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> Dat
     """doc_id, base, tagged and found (arrays of start, kind number, end) for every row of ``docs``; offsets are code points, ends exclusive.
 
     Base spans come from the patterns and always stay; ``tagged`` are the tagger's own, of which those that touch no base span are added. Whole texts are
-    read. Null and empty texts have none; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
+    read. Null and empty texts have none; repeated rows each get a row; other columns are ignored; an empty table gives no rows. Where no text has a base span
+    nothing is learned and nothing added; where few have one, training warns if the tagger doesn't find those held out.
     """
     return id_text(docs).mapInArrow(_found(train(docs, windows, epochs)), SCHEMA)
 
