@@ -43,9 +43,8 @@ def test_mix_targets_and_taken(spark, docs, rows):
         assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source])
         assert r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
         taken[r.source] += r.taken
-    big = max(size)
     for s in total:
-        assert abs(taken[s] - target[s]) <= big / 2 + 1e-6
+        assert abs(taken[s] - target[s]) <= (max(size) / 2 if s == "src0" else 60)  # most words of src0 are in one text
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mix.mix(docs).collect()), key=str)
 
 
@@ -73,6 +72,18 @@ def test_mix_boosted(spark):
     assert all(abs(taken[s] - target[s]) <= 3 for s in total)
 
 
+def test_mix_of_long_documents_comes_near(spark):
+    """Half of a source's words are in a few long texts, at which its ranking often ends."""
+    r = random.Random(12)
+    rows = [(i, "w " * (r.randint(3000, 9000) if i % 60 == 0 else r.randint(20, 200)), f"s{i % 4}") for i in range(600)]
+    _, total, target = brute_mix(rows)
+    taken = defaultdict(int)
+    for x in mix.mix(documents(spark, rows).selectExpr("*", "1 + doc_id % 3 as liked"), boost="liked").collect():
+        taken[x.source] += x.taken
+        assert x.taken <= 3 * x["size"]
+    assert all(abs(taken[s] - target[s]) <= 20 for s in total)
+
+
 def test_mixed_docs_repeat_rows(spark, docs, rows):
     want = {(r.doc_id, r["size"]): r.taken // r["size"] for r in mix.mix(docs).collect() if r["size"]}
     got = defaultdict(int)
