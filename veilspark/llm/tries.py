@@ -295,23 +295,47 @@ def _whole_terms(batches):
         yield left, np.zeros(1, np.int64)
 
 
+def _added(rows: pa.RecordBatch, of: np.ndarray, codes: dict[str, int]) -> tuple[np.ndarray, list[int]]:
+    """The counters of ``rows`` (the leaves of the terms ``of``) added up: where each term's begin in a list of sources in turn with their occurrences."""
+    lists = rows.column("sources")
+    found = lists.flatten().dictionary_encode()
+    source = np.array([codes.setdefault(s, len(codes)) for s in found.dictionary.to_pylist()], np.int64)[found.indices.to_numpy()]
+    key, at = np.unique(np.repeat(of, np.diff(lists.offsets.to_numpy())) << 32 | source, return_inverse=True)
+    n = np.zeros(len(key), np.int64)
+    np.add.at(n, at, rows.column("counts").flatten().to_numpy())
+    return 2 * np.searchsorted(key, np.arange(of[-1] + 2) << 32), np.stack([key & 0xFFFFFFFF, n], axis=1).ravel().tolist()
+
+
 def _merge(least: int):
     """Tries of the terms of a range, as their leaves come in order: those in too few documents go, and blocks of BLOCK terms are merged and written."""
+    def written(lang, terms, names):
+        trie = Trie()
+        if terms and not terms[0][0]:
+            trie.add(b"", 0, zip(terms[0][2][::2], terms[0][2][1::2]))
+            yield from _leaf_batches(lang, trie, names, True)
+            terms = terms[1:]
+        trie, leaves = Trie.of([t for t, _, _ in terms])
+        for leaf, (_, docs, counts) in zip(leaves, terms):
+            leaf.docs, leaf.counts = docs, counts
+        yield from _leaf_batches(lang, trie, names, True)
+
     def run(batches):
-        lang, trie, path, sources = None, Trie(), [], {}
+        lang, block, codes = None, [], {}
         with _no_cycles():
             for b, starts in _whole_terms(batches):
                 docs = np.add.reduceat(b.column("docs").to_numpy(), starts)
-                empty = pc.binary_length(b.column("term")).to_numpy()[starts] == 0
-                rows = b.filter(pa.array(np.repeat((docs >= least) | empty, np.diff(np.append(starts, b.num_rows)))))
-                last = None
-                for lang_, term, docs, names, counts in zip(*(c.to_pylist() for c in rows.columns)):
-                    if lang_ != lang or (trie.leaves >= BLOCK and term != last):
-                        yield from _leaf_batches(lang, trie, list(sources), True)
-                        lang, trie, path, sources = lang_, Trie(), [], {}
-                    trie.add(term, docs, [(sources.setdefault(s, len(sources)), n) for s, n in zip(names, counts)], path)
-                    last = term
-            yield from _leaf_batches(lang, trie, list(sources), True)
+                keep = (docs >= least) | (pc.binary_length(b.column("term")).to_numpy()[starts] == 0)
+                if not keep.any():
+                    continue
+                size = np.diff(np.append(starts, b.num_rows))
+                at, counts = _added(b.filter(pa.array(np.repeat(keep, size))), np.repeat(np.arange(keep.sum()), size[keep]), codes)
+                heads = b.take(pa.array(starts[keep]))
+                for i, (lang_, term, n) in enumerate(zip(heads.column("lang").to_pylist(), heads.column("term").to_pylist(), docs[keep].tolist())):
+                    if lang_ != lang or len(block) >= BLOCK:
+                        yield from written(lang, block, list(codes))
+                        lang, block = lang_, []
+                    block.append((term, n, counts[at[i] : at[i + 1]]))
+            yield from written(lang, block, list(codes))
 
     return run
 
