@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import PATTERN, kind_table
 from veilspark.functions.text import ascii_digits, ipv4_valid, luhn_valid, pesel_valid, saturating_multiply
-from veilspark.operators import buffer, bursts, capture, detect, gate, phrases, screen
+from veilspark.operators import buffer, bursts, capture, detect, dictionary, gate, phrases, screen
 from veilspark.operators import settings as prefs
 from veilspark.plans import oracle
 from veilspark.session import shared_dir, ship_package
@@ -182,6 +182,38 @@ def q_own_detections(t):
     return detect.spans(detect.with_detections(rows, "text", F.col("kinds"), F.col("phrases")), "doc_id")
 
 
+# a dictionary of 10^5 phrases at sf0.01: words of a document, in pairs, with the document's language for an owner
+WORD_PAIRS = """ph as (select distinct lang, n, plain from (select lang, lower(strip_accents(w)) as plain, length(w) as n from (
+        select lang, unnest(list_transform(generate_series(1, least(len(ws) - 1, 150)), lambda k: case when k % 3 = 0 then lower(ws[k]) || ' ' || ws[k + 1] else ws[k] || ' ' || ws[k + 1] end)) as w
+        from (select lang, string_split(text, ' ') as ws from documents))) where length(plain) between 8 and 15),
+    own as (select doc_id as id, lang, text as t, lower(strip_accents(text)) as low from documents), lens as (select distinct n from ph),
+    occ as (select id, lang, n, pos, substr(low, pos + 1, n) as plain, t from (select id, lang, n, t, low, unnest(generate_series(0, length(low) - n)) as pos from own, lens)),
+    hit as (select occ.*, lead(pos, -1) over (partition by id, occ.plain order by pos) as before, row_number() over (partition by id, occ.plain order by pos) as rn from occ join ph on ph.plain = occ.plain and PAIRED),
+    near as (select distinct id, plain from hit where pos < before + n),
+    step as (select id, plain, rn, pos, n, pos + n as reach, true as kept from hit join near using (id, plain) where rn = 1
+        union all select h.id, h.plain, h.rn, h.pos, h.n, case when h.pos >= s.reach then h.pos + h.n else s.reach end, h.pos >= s.reach from step s join hit h on h.id = s.id and h.plain = s.plain and h.rn = s.rn + 1),
+    said as (select id, t, pos, n from hit where (id, plain, rn) not in (select id, plain, rn from step where not kept))"""
+WORD_PAIRS = WORD_PAIRS + f""", placed as (select id, {oracle.units('t[1:pos]')}::bigint as "start", ({oracle.units('t[1:pos]')} + n)::bigint as "end", 'custom' as kind, t[pos + 1:pos + n] as value, pos as c0, pos + n as c1 from said)"""
+
+
+def _word_pairs(t):
+    w = F.split("text", " ", -1)
+    pair = F.transform(F.sequence(F.lit(1), F.least(F.size(w) - 1, F.lit(150))), lambda k: F.concat(F.when(k % 3 == 0, F.lower(F.element_at(w, k))).otherwise(F.element_at(w, k)), F.lit(" "), F.element_at(w, k + 1)))
+    return t("documents").where(F.size(w) > 1).select("lang", F.explode(pair).alias("phrase")).where("length(phrase) between 8 and 15")
+
+
+@query(f"with recursive {WORD_PAIRS.replace('PAIRED', 'true')} select id as doc_id, count(*) as n, count(distinct value) as values, sum(\"start\" * 31 + \"end\")::bigint as places from placed group by 1")
+def q_dictionary_matches(t):
+    found = dictionary.phrase_matches(t("documents"), _word_pairs(t).distinct(), "doc_id", "text", "phrase")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"), F.sum(F.col("start") * 31 + F.col("end")).alias("places"))
+
+
+@query(f"with recursive {WORD_PAIRS.replace('PAIRED', 'ph.lang = occ.lang')}, src as ({DOCS}), cand as (select * from ({oracle.candidates_sql('src', tuple(PATTERN))}) as c union all select * from placed), {oracle.resolved_ctes()} select id as doc_id, \"start\", \"end\", kind, value from det")
+def q_dictionary_detections(t):
+    docs = t("documents").select("doc_id", "lang", "text")
+    return detect.spans(dictionary.with_dictionary(docs, _word_pairs(t), "doc_id", "text", "phrase", tuple(PATTERN), ("lang",)), "doc_id")
+
+
 @query(f"""{DET} select doc_id, coalesce(row_number() over (partition by doc_id order by "start") - 1, 0) as line_no,
     coalesce({oracle.LABELS}
     || ' at characters ' || "start" || '-' || "end", 'No supported PII detected') as line from documents left join det on det.id = doc_id""")
