@@ -15,6 +15,11 @@ CHECKS = 5
 DELAYED, APPROVAL = "Clean checks passed · waiting for stream delay", "Clean checks passed · approval required"
 
 
+def checking(checks: int, required: int) -> str:
+    """What a gate says while it counts."""
+    return f"Checking for PII · {checks}/{required} clean bursts"
+
+
 @dataclass
 class Gate:
     """The state of one stream's gate, and how an event changes it: what streams keep, where ``gate_states`` has windows."""
@@ -50,7 +55,7 @@ class Gate:
             self.reason = PROTECTED
         else:
             self.checks += 1
-            self.reason = f"Checking for PII · {self.checks}/{required} clean bursts"
+            self.reason = checking(self.checks, required)
             if self.checks >= required:
                 if delayed:
                     self.delay, self.reason = True, DELAYED

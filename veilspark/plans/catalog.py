@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import PATTERN, kind_table
 from veilspark.functions.text import ascii_digits, ipv4_valid, luhn_valid, pesel_valid, saturating_multiply
-from veilspark.operators import buffer, bursts, capture, detect, dictionary, gate, phrases, screen
+from veilspark.operators import buffer, bursts, capture, detect, dictionary, gate, phrases, ranges, screen
 from veilspark.operators import settings as prefs
 from veilspark.plans import oracle
 from veilspark.session import shared_dir, ship_package
@@ -640,6 +640,16 @@ def q_gate_states(t):
     return gate.gate_states(_all_events(t), "user_id", "event_id")
 
 
+ONE_STREAM = FULL.replace("case when user_id % 10 = 0 then null else user_id + 9007199254740993 end as user_id", "case when event_id % 50 = 0 then user_id else -1 end as user_id")
+
+
+@query(ONE_STREAM)
+def q_gate_hot(t):
+    """Nearly all events are one stream's, which fills most of 64 ranges."""
+    rows = _all_events(t).join(t("events").select("event_id", F.col("user_id").alias("u")), "event_id").withColumn("user_id", F.when(F.col("event_id") % 50 == 0, F.col("u")).otherwise(F.lit(-1).cast("long"))).drop("u")
+    return ranges.gate_states_by_ranges(rows, 64, "user_id", "event_id")
+
+
 CONTROLS = "select event_id, case event_id % 6 when 0 then 'start' when 1 then 'warm_up' when 2 then 'settings' when 3 then 'stop' when 4 then 'error' else 'none' end as control, event_id % 7 / 2.0::double as delay, event_id % 4 <> 0 as trusted from events"
 
 
