@@ -120,17 +120,23 @@ def in_sessions(frames: DataFrame, sessions: DataFrame, key: str, ts: str) -> Da
     sessions (session_id, key, started, stopped) of a stream don't overlap.
     """
     rows = frames.where(F.coalesce("ready", F.lit(True))) if "ready" in frames.columns else frames
-    at = (F.col(ts) >= F.col("started")) & (F.col("stopped").isNull() | (F.col(ts) < F.col("stopped")))
-    return rows.join(sessions.select("session_id", key, "started", "stopped"), key).where(at).drop("started", "stopped")
+    kind, session = rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType, sessions.select(F.struct("session_id", "stopped").alias("s")).schema["s"].dataType
+    both = rows.select(key, F.col(ts).alias("_at"), F.lit(1).alias("_side"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast(session).alias("_session")).unionByName(
+        sessions.select(key, F.col("started").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_row"), F.struct("session_id", "stopped").alias("_session")))
+    # the last session that began at or before a frame, on either side no product of frames and sessions
+    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    now = both.where(F.col(key).isNotNull()).withColumn("_session", F.last("_session", True).over(w)).where("_side = 1 and _session is not null")
+    return now.where(F.col("_session.stopped").isNull() | (F.col("_at") < F.col("_session.stopped"))).select("_row.*", "_session.session_id")
 
 
-def session_outcomes(sessions: DataFrame, frames: DataFrame, ts: str) -> DataFrame:
+def session_outcomes(sessions: DataFrame, frames: DataFrame, ts: str, *more: str) -> DataFrame:
     """session_id, frames, width, height, published, message of every session (session_id, failure): what is left when it ends.
 
-    A recording has the size of its first frame. One with frames is published; one that failed is deleted and leaves a message; one
+    A recording has the size of its first frame (by ``ts`` and ``more`` columns that break its ties). One with frames is published; one that failed is deleted and leaves a message; one
     without frames leaves nothing but an earlier failure's message.
     """
-    own = frames.groupBy("session_id").agg(F.count("*").alias("frames"), F.min_by("width", ts).alias("width"), F.min_by("height", ts).alias("height"))
+    first = F.struct(ts, *more)
+    own = frames.groupBy("session_id").agg(F.count("*").alias("frames"), F.min_by("width", first).alias("width"), F.min_by("height", first).alias("height"))
     out = sessions.join(own, "session_id", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
     message = F.when(F.col("failure").isNotNull(), F.concat(F.lit("Recording failed: "), F.col("failure")))
     return out.select("session_id", "frames", "width", "height", ((F.col("frames") > 0) & F.col("failure").isNull()).alias("published"), message.alias("message"))

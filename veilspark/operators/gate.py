@@ -175,11 +175,14 @@ def buffering_status(delay: Column) -> Column:
 
 def generations(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``events`` (event; control null for verdicts) with ``lifecycle`` and ``clearance`` as of each: starts, stops and errors begin a
-    new lifecycle; verdicts that aren't clean outdate the clearance that was asked for."""
+    new lifecycle, and so do settings while a preview is wanted (from a start to a stop or an error); verdicts that aren't clean outdate the clearance that was
+    asked for."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("control").isin("start", "stop", "error", "settings")
+    wanted = F.last(F.when(F.col("control") == "start", True).when(F.col("control").isin("stop", "error"), False), True).over(w)
+    events = events.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
+    begins = F.col("control").isin("start", "stop", "error") | ((F.col("control") == "settings") & F.col("_wanted"))
     lost = F.col("control").isNull() & F.col("event").isin("detected", "inconclusive")
-    return events.withColumns({"lifecycle": F.count_if(begins).over(w), "clearance": F.count_if(lost).over(w)})
+    return events.withColumns({"lifecycle": F.count_if(begins).over(w), "clearance": F.count_if(lost).over(w)}).drop("_wanted")
 
 
 def valid_answers(events: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -135,21 +135,22 @@ def incomplete(elements: DataFrame) -> DataFrame:
     """snapshot_id, pid, incomplete, timed_out, readable, visited of applications with traversed ``elements`` (columns as in ``traversed``).
 
     A scan is incomplete with over MAX_ELEMENTS elements, over MAX_CHILDREN children of one, a text of over MAX_CHARS, an error
-    that matters on a visible element, or when its time is up.
+    that matters on a visible element, or when its time is up. Rows that repeat an element count once, below the first of its places.
     """
     app = ["snapshot_id", "pid"]
     shown = F.coalesce(F.col("visible"), F.lit(True))
     texts = F.array("value", "title", "description")
     long = F.exists(texts, lambda t: F.coalesce(F.char_length(t) > MAX_CHARS, F.lit(False)))
     error = F.col("err").isNotNull() & ~F.col("err").isin(*BENIGN)
-    kids = elements.groupBy(*app, "window_id", "parent_id").agg(F.count("*").alias("n")).where("parent_id is not null")
-    many = kids.groupBy(*app).agg(F.max("n").alias("most"))
-    per = elements.groupBy(*app).agg(
-        F.count("*").alias("visited"),
+    one = elements.groupBy(*app, "window_id", "elem_id").agg(
+        F.min(F.struct("child_pos", "parent_id")).alias("place"),
         F.bool_or(shown & (long | error)).alias("bad"),
         F.bool_or(F.coalesce(F.col("elapsed_ms") >= DEADLINE_MS, F.lit(False))).alias("timed_out"),
         F.bool_or(shown & F.exists(texts, readable)).alias("readable"))
-    per = per.join(many, app, "left")
+    flags = [F.bool_or(c).alias(c) for c in ("bad", "timed_out", "readable")]
+    below = one.groupBy(*app, "window_id", "place.parent_id").agg(F.count("*").alias("n"), *flags)
+    most = F.max(F.when(F.col("parent_id").isNotNull(), F.col("n"))).alias("most")
+    per = below.groupBy(*app).agg(F.sum("n").alias("visited"), most, *flags)
     flag = F.col("bad") | F.col("timed_out") | (F.col("visited") > MAX_ELEMENTS) | (F.coalesce("most", F.lit(0)) > MAX_CHILDREN)
     return per.select(*app, flag.alias("incomplete"), "timed_out", "readable", F.col("visited").cast("long").alias("visited"))
 

@@ -810,10 +810,10 @@ def q_session_frames(t):
     return _session_frames(t).select("session_id", "event_id", number.cast("long").alias("frame_no"))
 
 
-@query(f"""with {SESSIONS}, n as (select session_id, count(*) as frames, min_by(width, ts) as width, min_by(height, ts)::int as height from f group by 1)
+@query(f"""with {SESSIONS}, n as (select session_id, count(*) as frames, min_by(width, row(ts, event_id)) as width, min_by(height, row(ts, event_id))::int as height from f group by 1)
     select session_id, coalesce(frames, 0) as frames, width, height, coalesce(frames, 0) > 0 and failure is null as published, 'Recording failed: ' || failure as message from s left join n using (session_id)""")
 def q_session_outcomes(t):
-    return buffer.session_outcomes(_sessions(t), _session_frames(t), "ts")
+    return buffer.session_outcomes(_sessions(t), _session_frames(t), "ts", "event_id")
 
 
 @query(f"""with {RUNS}, st as (select user_id, ts, bool_or(run < 3) as b from runs group by 1, 2), fr as (select user_id, event_id, ts + interval 6 hours as ts from events),
@@ -912,8 +912,8 @@ def _streamed(frame: DataFrame, build, order: list[str] | None = None, sink=None
     else:
         frame.write.parquet(f"{place}/in")
     out = build(source.parquet(f"{place}/in"))
-    (sink or live.drain)(out, f"{place}/out", f"{place}/state")
-    return spark.read.schema(out.schema).parquet(f"{place}/out")
+    made = (sink or live.drain)(out, f"{place}/out", f"{place}/state")
+    return spark.read.schema(out.schema).parquet(f"{place}/out") if made is None else made
 
 
 @query(ORACLES["q_gate_manual"])
@@ -943,12 +943,35 @@ def stream_recording(t):
     states = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3)).groupBy("user_id", "ts").agg(F.bool_or("is_blocked").alias("is_blocked")).withColumn("reason", F.lit("blocked"))
     frames = t("events").select("user_id", "event_id", (F.col("ts") + F.expr("interval 6 hours")).alias("ts"))
     both = buffer.with_states(frames, states, "user_id", "ts", "event_id")
-    return _streamed(both, lambda s: live.record_stream(s, "user_id", "ts", "event_id", 10.0), ["ts", "side", "event_id"], lambda out, path, _: live.record_to(out, path))
+    return _recorded(both, "event_id")
+
+
+def _recorded(both: DataFrame, payload: str) -> DataFrame:
+    def record(out: DataFrame, path: str, _: str) -> DataFrame:
+        target, message = live.record_to(out, path)
+        if message:
+            raise RuntimeError(message)
+        return out.sparkSession.read.schema(out.schema).parquet(target) if target else out.sparkSession.createDataFrame([], out.schema)
+
+    return _streamed(both, lambda s: live.record_stream(s, "user_id", "ts", payload, 10.0), ["ts", "side", payload], record)
+
+
+@query("select * replace ((event_id + 9007199254740993)::varchar as event_id) from (" + ORACLES["q_recording"] + ")")
+def stream_recording_whole(t):
+    """Payloads that no double holds."""
+    states = gate.gate_basic(_gate_events(t), "user_id", ["ts", "event_id"], F.lit(3)).groupBy("user_id", "ts").agg(F.bool_or("is_blocked").alias("is_blocked")).withColumn("reason", F.lit("blocked"))
+    frames = t("events").select("user_id", (F.col("event_id") + 9007199254740993).alias("event_id"), (F.col("ts") + F.expr("interval 6 hours")).alias("ts"))
+    return _recorded(buffer.with_states(frames, states, "user_id", "ts", "event_id"), "event_id").withColumn("event_id", F.col("event_id").cast("string"))
 
 
 @query(ORACLES["q_shown_frame"])
 def stream_shown(t):
-    return _streamed(t("events").select("user_id", "event_id", "event_type"), lambda s: capture.shown_frame(s, "user_id", "event_id", "event_type"), None, live.show_to)
+    return _streamed(t("events").select("user_id", "event_id", "event_type"), lambda s: capture.shown_frame(s, "user_id", "event_id", "event_type"), None, lambda out, path, state: _shown(out, path, state))
+
+
+def _shown(out: DataFrame, path: str, state: str) -> DataFrame:
+    live.show_to(out, path, state, "user_id")
+    return live.read_shown(out.sparkSession, path, out.schema)
 
 
 @query(ORACLES["q_detections"])

@@ -7,17 +7,27 @@ Keyed state is kept by ``transformWithState`` in RocksDB. A micro-batch's rows o
 from __future__ import annotations
 
 import dataclasses
+import json
+import sys
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from veilspark.operators import buffer as buffer_module
+from veilspark.operators import gate as gate_module
 from veilspark.operators.buffer import RELEASED, Buffer, arrivals, with_states
 from veilspark.operators.detect import spans, with_detections
 from veilspark.operators.gate import STATE, WAITING, Gate, with_defaults
 from veilspark.session import delete
 
+# processors go to the workers by value: the one that Spark starts beside the driver has no copy of the package
+for _module in (sys.modules[__name__], buffer_module, gate_module):
+    cloudpickle.register_pickle_by_value(_module)
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GATE = "blocked boolean, reason string, checks long, manual boolean, delay boolean, detected boolean"
 
@@ -29,7 +39,7 @@ def detect_stream(texts: DataFrame, key: str, text: str, **options) -> DataFrame
 
 def _plain(x):
     """A value of a pandas cell as Python has it: missing ones are None."""
-    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x.item() if hasattr(x, "item") else x
+    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x.item() if isinstance(x, np.generic) else x
 
 
 def _rows(frames, order: list[str], cols: list[str]) -> list[tuple]:
@@ -42,7 +52,10 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def _keyed(rows: DataFrame, key: str, make: StatefulProcessor, out: str, mode: str = "None") -> DataFrame:
-    """``rows`` grouped by ``key`` as text, so that null keys and keys of any size come through; the processor gets the text."""
+    """``rows`` grouped by ``key`` as text, so that null keys and keys of any size come through; the processor gets the text.
+
+    Sets the session's state store to RocksDB, which these processors need, for all streams that start from then on.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = dict(rows.dtypes)[key]
     done = rows.withColumn("key_text", F.col(key).cast("string")).drop(key).groupBy("key_text").transformWithStateInPandas(make, f"key_text string, {out}", "append", mode)
@@ -109,7 +122,7 @@ class TimedGateProcessor(GateProcessor):
             waited = gate.delay
             gate.event(*event)
             by_hand = event[3]
-            due = (due if waited else now + delay) if gate.delay else None
+            due = (due if waited or delay is None else now + delay) if gate.delay else None
             out.append((_own(key), o, now, *gate.shown()))
         self.state.update(dataclasses.astuple(gate))
         if was != due:
@@ -141,7 +154,7 @@ def _millis(seconds: float) -> int:
 def gate_timed_stream(events: DataFrame, delay: Column | float, key: str = "stream_id", order: str = "seq", ts: str = "ts", late: str = "1 minute") -> DataFrame:
     """The gate's state after every event, as ``gate_timed`` has it, and after every clearance that no event was needed for (its ``order`` is null).
 
-    ``ts`` is a timestamp; ``delay`` is in seconds. Timers are event-time timers: they go off when the watermark, ``late`` behind the newest event, passes
+    ``ts`` is a timestamp; ``delay`` is in seconds, and a null one never goes off. Timers are event-time timers: they go off when the watermark, ``late`` behind the newest event, passes
     them, or before the first later event of their key.
     """
     rows = with_defaults(events.withColumn("wait_seconds", (delay if isinstance(delay, Column) else F.lit(delay)).cast("double")).withWatermark(ts, late), key, order, ts, "wait_seconds")
@@ -191,7 +204,8 @@ class RecorderProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         n, blocked, reason = map(_plain, self.state.get()) if self.state.exists() else (0, True, WAITING)
         out = []
-        for side, payload, is_blocked, why in _rows(rows, [self.ts, "side", self.payload], ["side", self.payload, "is_blocked", "reason"]):
+        got = [(at, side, _plain(box[0]) if len(box) else None, is_blocked, why) for at, side, box, is_blocked, why in _rows(rows, [self.ts, "side"], [self.ts, "side", self.payload, "is_blocked", "reason"])]
+        for _, side, payload, is_blocked, why in sorted(got, key=lambda x: (x[0], x[1], x[2] is not None, x[2])):
             if side == 0:
                 blocked, reason = is_blocked is not False, why or WAITING
             else:
@@ -206,8 +220,9 @@ class RecorderProcessor(StatefulProcessor):
 
 def record_stream(both: DataFrame, key: str, ts: str, payload: str, fps: float) -> DataFrame:
     """The protected recording of a stream of frames among gate states (``with_states``), as ``recorded`` has it; the state is a frame
-    number and the gate's last state per key."""
-    return _keyed(both, key, RecorderProcessor(ts, payload, fps), f"frame_no long, pts double, blocked_reason string, {payload} {dict(both.dtypes)[payload]}")
+    number and the gate's last state per key. Payloads travel in arrays, so that numbers stay whole where some are null; they have to have an order."""
+    boxed = both.withColumn(payload, F.array_compact(F.array(payload)))
+    return _keyed(boxed, key, RecorderProcessor(ts, payload, fps), f"frame_no long, pts double, blocked_reason string, {payload} {dict(both.dtypes)[payload]}")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -216,15 +231,84 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def show_to(shown: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep ``path`` at the frames that previews show now: every micro-batch of the aggregate takes the place of the one before."""
-    def show(now: DataFrame, _: int) -> None:
-        now.write.mode("overwrite").parquet(path)
+#: Buckets of keys in a table of what is shown, and its versions that stay readable.
+BUCKETS, VERSIONS = 64, 3
+
 
-    query = shown.writeStream.outputMode("complete").foreachBatch(show).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def show_to(shown: DataFrame, path: str, checkpoint: str, key: str, buckets: int = BUCKETS) -> None:
+    """Keep the table at ``path`` at what previews show now. ``shown`` is an aggregate by ``key``: a micro-batch gives the keys that changed, and only their buckets
+    are written anew.
+
+    A bucket's files are never changed. A version is a list of each bucket's files, and is there when its list is renamed into place: ``read_shown`` finds the
+    last whole version at any time. A micro-batch that comes again makes the same version again.
+    """
+    spark, schema = shown.sparkSession, shown.schema
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+    def show(changed: DataFrame, number: int) -> None:
+        files = _version(spark, path, number)
+        changed = changed.withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+        if touched:
+            new = changed
+            old = [files[str(b)] for b in touched if str(b) in files]
+            if old:
+                kept = spark.read.schema(schema).parquet(*old).withColumn("bucket", bucket)
+                same = kept[key].eqNullSafe(changed[key])
+                new = kept.join(changed.select(key), same, "left_anti").unionByName(changed)
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{number}")
+            files |= {str(b): f"{path}/data/{number}/bucket={b}" for b in touched}
+        changed.unpersist()
+        _publish(spark, path, number, files)
+
+    query = shown.writeStream.outputMode("update").foreachBatch(show).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def read_shown(spark, path: str, schema) -> DataFrame:
+    """The last version of a table that ``show_to`` keeps; without any, no rows."""
+    files = sorted(_version(spark, path, None).values())
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def _files(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark, path: str) -> list[int]:
+    fs, where = _files(spark, f"{path}/versions")
+    names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _version(spark, path: str, before: int | None) -> dict[str, str]:
+    """Files by bucket of the last version, or of the last before a number."""
+    numbers = [n for n in _versions(spark, path) if before is None or n < before]
+    if not numbers:
+        return {}
+    return json.loads(spark.read.text(f"{path}/versions/{numbers[-1]}").first().value)
+
+
+def _publish(spark, path: str, number: int, files: dict[str, str]) -> None:
+    """Make ``files`` version ``number``; data that only versions older than the last VERSIONS use goes."""
+    fs, part = _files(spark, f"{path}/.version-{number}")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(files).encode()))
+    out.close()
+    to = _files(spark, f"{path}/versions/{number}")[1]
+    fs.mkdirs(to.getParent())
+    fs.delete(to, True)
+    fs.rename(part, to)
+    old = _versions(spark, path)[:-VERSIONS]
+    used = set(files.values()).union(*(json.loads(spark.read.text(f"{path}/versions/{n}").first().value).values() for n in _versions(spark, path)[-VERSIONS:]))
+    for n in old:
+        for file in json.loads(spark.read.text(f"{path}/versions/{n}").first().value).values():
+            if file not in used:
+                delete(spark, file)
+        delete(spark, f"{path}/versions/{n}")
+
+
 def record_to(stream: DataFrame, target: str) -> tuple[str | None, str | None]:
     """Record what a stream has now as parquet at ``target``: (target, None), (None, message) or, without frames, (None, None).
 
