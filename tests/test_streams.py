@@ -85,6 +85,25 @@ def test_repeated_elements_count_once(spark):
     assert [screen.incomplete(screen.traversed(spark.createDataFrame(x, kind))).first().incomplete for x in (kids, kids[:301], kids[:301] * 2)] == [True, False, False]
 
 
+def test_long_texts_are_counted_in_graphemes(spark):
+    from veilspark.functions.text import longer_than
+
+    texts = ["👍🏽" * 20, "👍🏽" * 21, "e\u0301" * 20, "e\u0301" * 21, "a" * 20, "a" * 21, None, "👨‍👩‍👧" * 20, "\r\n" * 20]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(longer_than(F.col("t"), 20).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [False, True, False, True, False, True, False, False, False]
+
+
+def test_large_files_are_not_opened(spark, tmp_path):
+    from veilspark.sources.texts import guarded_files
+
+    for name, content in (("a", b"fine"), ("b", b"x" * 50), ("c", b"\xff")):
+        (tmp_path / name).write_bytes(content)
+    with open(tmp_path / "huge", "wb") as f:
+        f.truncate(3 << 30)  # no array holds so many bytes
+    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error) for r in guarded_files(spark, str(tmp_path), 49).collect()}
+    assert got == {"a": ("fine", None), "b": (None, "too large"), "c": (None, "not UTF-8"), "huge": (None, "too large")}
+
+
 def test_settings_begin_a_lifecycle_only_while_a_preview_is_wanted(spark):
     controls = ["settings", "start", "settings", None, "stop", "settings", "start", "error", "settings"]
     df = spark.createDataFrame([(i, "k", "clean", c) for i, c in enumerate(controls)], "i int, k string, event string, control string")

@@ -81,6 +81,11 @@ def folded_away(phrase: str) -> str:
     return re.sub(MARKS, "", phrase.translate(dict(zip(map(ord, FOLDS[0]), FOLDS[1]))).lower())
 
 
+def longer_than(c: Column, limit: int) -> Column:
+    """Whether a text has more than ``limit`` characters as people count them: grapheme clusters, which are told apart only where code points are too many."""
+    return F.coalesce(F.when(F.char_length(c) > limit, F.regexp_count(c, F.lit("\\X")) > limit), F.lit(False))
+
+
 def trimmed(c: Column) -> Column:
     """``c`` without white space and line breaks at its ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import readable
+from veilspark.functions.text import longer_than, readable
 from veilspark.operators.detect import with_detections
 from veilspark.session import stash
 
@@ -140,7 +140,7 @@ def incomplete(elements: DataFrame) -> DataFrame:
     app = ["snapshot_id", "pid"]
     shown = F.coalesce(F.col("visible"), F.lit(True))
     texts = F.array("value", "title", "description")
-    long = F.exists(texts, lambda t: F.coalesce(F.char_length(t) > MAX_CHARS, F.lit(False)))
+    long = F.exists(texts, lambda t: longer_than(t, MAX_CHARS))
     error = F.col("err").isNotNull() & ~F.col("err").isin(*BENIGN)
     one = elements.groupBy(*app, "window_id", "elem_id").agg(
         F.min(F.struct("child_pos", "parent_id")).alias("place"),

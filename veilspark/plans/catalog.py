@@ -106,9 +106,10 @@ def q_kind_filter(t):
     return detect.spans(_detected(t, kinds=("email", "ip")), "doc_id")
 
 
-@query("select * from (values ('email', 'Email', 3), ('phone', 'Phone number', 1), ('card', 'Payment card', 5), ('pesel', 'Polish PESEL', 4), ('ip', 'IP address', 2), ('custom', 'Custom phrase', 6)) v(kind, label, priority)")
+@query(f"{DET}, p as (select * from (values ('email', 'Email', 3), ('phone', 'Phone number', 1), ('card', 'Payment card', 5), ('pesel', 'Polish PESEL', 4), ('ip', 'IP address', 2), ('custom', 'Custom phrase', 6)) v(kind, label, priority)) select kind, label, priority, count(id) as n from p left join det using (kind) group by all")
 def q_priority_dim(t):
-    return kind_table(SparkSession.active())
+    found = detect.spans(_detected(t), "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
+    return kind_table(SparkSession.active()).join(found, "kind", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("with recursive " + oracle.detections_ctes(DOCS, phrases=PHRASES) + ' select id as doc_id, "start", "end", kind, value from det')
@@ -379,7 +380,7 @@ def q_text_dedupe(t):
 
 @query(f"""with recursive {REACHED} select snapshot_id, pid, count(*) as visited, bool_or(coalesce(elapsed_ms >= 150, false)) as timed_out,
     bool_or(coalesce(visible, true) and (regexp_matches(coalesce(value, ''), '\\S') or regexp_matches(coalesce(title, ''), '\\S') or regexp_matches(coalesce(description, ''), '\\S'))) as readable,
-    bool_or(coalesce(visible, true) and (length(value) > 20000 or coalesce(err not in ('noValue', 'attributeUnsupported'), false))) or bool_or(coalesce(elapsed_ms >= 150, false)) or count(*) > 1500 as incomplete from reached group by 1, 2""")
+    bool_or(coalesce(visible, true) and (length_grapheme(value) > 20000 or coalesce(err not in ('noValue', 'attributeUnsupported'), false))) or bool_or(coalesce(elapsed_ms >= 150, false)) or count(*) > 1500 as incomplete from reached group by 1, 2""")
 def q_limits(t):
     return screen.incomplete(screen.traversed(_elements(t)))
 
@@ -454,7 +455,7 @@ VERDICTS = f"""with recursive {CAPTURED}, {REACHED},
     {oracle.detections_ctes("select id, text as t from num")},
     hits as (select snapshot_id, pid, array_to_string(list_sort(list(distinct kind)), ', ') as kinds from det join num using (id) group by 1, 2),
     lim as (select snapshot_id, pid, bool_or(coalesce(elapsed_ms >= 150, false)) as timed_out,
-        bool_or(coalesce(visible, true) and (length(value) > 20000 or coalesce(err not in ('noValue', 'attributeUnsupported'), false))) or bool_or(coalesce(elapsed_ms >= 150, false)) as incomplete,
+        bool_or(coalesce(visible, true) and (length_grapheme(value) > 20000 or coalesce(err not in ('noValue', 'attributeUnsupported'), false))) or bool_or(coalesce(elapsed_ms >= 150, false)) as incomplete,
         bool_or(coalesce(visible, true) and (value is not null or title is not null)) as readable from reached group by 1, 2),
     nwin as (select snapshot_id, pid, count(distinct window_id) as n from el group by 1, 2),
     app_v as (select c.*, kinds, case when n is null then 'uncovered' when n > 4 then 'uncovered' when coalesce(incomplete, false) then 'inconclusive' when kinds is not null then 'detected' when not coalesce(readable, false) then 'uncovered' else 'scanned' end as status,
@@ -689,11 +690,12 @@ def q_gate_transitions(t):
     return gate.transitions(states, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "is_blocked")
 
 
-@query("select m as mode, r::double as rate, case m when 'quick' then 3 when 'strict' then 10 else case when r < 10 then 5 else 10 end end as checks, m = 'safe' as manual from (values ('quick'), ('balanced'), ('strict'), ('safe')) a(m), (values (5), (10)) b(r)")
+@query("""with c as (select c_custkey, ['quick', 'balanced', 'strict', 'safe'][c_custkey % 4 + 1] as m, (3 + c_custkey % 9)::double as r from customer)
+    select c_custkey, m as mode, r as rate, case m when 'quick' then 3 when 'strict' then 10 else case when r < 10 then 5 else 10 end end as checks, m = 'safe' as manual from c""")
 def q_clear_mode(t):
-    spark = SparkSession.active()
-    m = spark.createDataFrame([(m, r) for m in prefs.CLEAR_MODES for r in (5.0, 10.0)], "mode string, rate double")
-    return m.select("mode", "rate", prefs.required_checks(F.col("mode"), F.col("rate")).alias("checks"), prefs.requires_manual(F.col("mode")).alias("manual"))
+    k = F.col("c_custkey")
+    m = t("customer").select(k, F.get(F.array(*map(F.lit, ("quick", "balanced", "strict", "safe"))), (k % 4).cast("int")).alias("mode"), (3 + k % 9).cast("double").alias("rate"))
+    return m.withColumn("checks", prefs.required_checks(F.col("mode"), F.col("rate"))).withColumn("manual", prefs.requires_manual(F.col("mode")))
 
 
 @query("""with p as (select p_partkey, (p_partkey * 37 % 4000)::bigint as w, (p_size * 50)::bigint as h, (p_size % 12)::double as d, (p_partkey % 61)::bigint as f from part),
@@ -704,13 +706,15 @@ def q_buffer_policy(t):
     return t("part").select("p_partkey", buffer.buffer_policy(k * 37 % 4000, s * 50, s % 12, k % 61).alias("x")).select("p_partkey", "x.*")
 
 
-@query("""select n as resolution, d::double as delay, least(greatest(1, ceil(d * 30)::bigint), 268435456 // (w * h * 4)) as max_frames, greatest(2000000, w * h * 3)::bigint as bitrate
-    from (values ('p720', 1280::bigint, 720::bigint), ('p1080', 1920, 1080), ('p1440', 2560, 1440)) a(n, w, h), (values (1), (2), (3), (5), (10)) b(d)""")
+@query("""with r(n, w, h) as (values ('p720', 1280::bigint, 720::bigint), ('p1080', 1920, 1080), ('p1440', 2560, 1440)), c as (select p_partkey, ['p720', 'p1080', 'p1440'][p_partkey % 3 + 1] as n, [1, 2, 3, 5, 10][p_partkey % 5 + 1]::double as d from part)
+    select p_partkey, n as resolution, d as delay, least(greatest(1, ceil(d * 30)::bigint), 268435456 // (w * h * 4)) as max_frames, greatest(2000000, w * h * 3)::bigint as bitrate from c join r using (n)""")
 def q_resolution_policy(t):
-    rows = SparkSession.active().createDataFrame([(r[0], float(d)) for r in prefs.RESOLUTIONS for d in (1, 2, 3, 5, 10)], "resolution string, delay double")
+    k = F.col("p_partkey")
+    rows = t("part").select(
+        k, F.get(F.array(*map(F.lit, ("p720", "p1080", "p1440"))), (k % 3).cast("int")).alias("resolution"), F.get(F.array(*map(F.lit, (1.0, 2.0, 3.0, 5.0, 10.0))), (k % 5).cast("int")).alias("delay"))
     rows = rows.withColumn("r", prefs.resolution(F.col("resolution")))
     policy = buffer.buffer_policy(F.col("r.width"), F.col("r.height"), F.col("delay"), F.lit(30))
-    return rows.select("resolution", "delay", policy["max_frames"].alias("max_frames"), buffer.bitrate(F.col("r.width"), F.col("r.height")).cast("long").alias("bitrate"))
+    return rows.select(k, "resolution", "delay", policy["max_frames"].alias("max_frames"), buffer.bitrate(F.col("r.width"), F.col("r.height")).cast("long").alias("bitrate"))
 
 
 @query("select p_partkey, greatest(22.0::double, (p_partkey % 3000)::double / 38) as points from part")

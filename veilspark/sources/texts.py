@@ -20,10 +20,12 @@ def input_error(content: Column, limit: int = INPUT_BYTES) -> Column:
 
 
 def guarded_files(spark: SparkSession, path: str, limit: int = INPUT_BYTES) -> DataFrame:
-    """path, text and error of whole files: the text is null where the file is refused. Sizes are checked before contents."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    error = F.when(F.col("length") > limit, "too large").otherwise(input_error(F.col("content"), limit))
-    return files.select("path", F.when(error.isNull(), F.col("content").cast("string")).alias("text"), error.alias("error"))
+    """path, text and error of whole files: the text is null where the file is refused. The reader goes by their lengths first, and never opens those that are
+    too large."""
+    files = spark.read.format("binaryFile").load(path)
+    error = input_error(F.col("content"), limit)
+    read = files.where(F.col("length") <= limit).select("path", F.when(error.isNull(), F.col("content").cast("string")).alias("text"), error.alias("error"))
+    return read.unionByName(files.where(F.col("length") > limit).select("path", F.lit(None).cast("string").alias("text"), F.lit("too large").alias("error")))
 
 
 def write_report(lines: DataFrame, path: str) -> None:
