@@ -880,6 +880,42 @@ def q_detected_reason(t):
     return df.select("doc_id", bursts.detected_reason(F.col("source"), F.col("kinds")).alias("reason"))
 
 
+# requests with a duration of their own: a user's events, ten seconds apart in all
+RUNS_SQL = """r as (select case when user_id % 10 <> 0 then user_id end as user_id, event_id, (event_id + 1) * 10.0::double as ts, case when event_id % 11 <> 0 then event_id % 9 * 500.0 - 300 end as d from events),
+    o as (select user_id, event_id, ts, greatest(coalesce(d, 0), 0)::double as takes, row_number() over (partition by user_id order by ts, event_id) as rn from r),
+    s as (select user_id, 0::bigint as rn, null::double as until, null::bigint as waits, null::double as wd, []::struct(id bigint, a double, z double)[] as runs from (select distinct user_id from o)
+        union all select o.user_id, o.rn, case when own then o.ts + o.takes else until1 end, case when own then null else o.event_id end, case when own then null else o.takes end,
+            list_concat(case when turn then [{'id': s.waits, 'a': s.until, 'z': s.until + s.wd}] else [] end, case when own then [{'id': o.event_id, 'a': o.ts, 'z': o.ts + o.takes}] else [] end)
+        from s join o on o.user_id is not distinct from s.user_id and o.rn = s.rn + 1,
+            lateral (select s.waits is not null and s.until <= o.ts as turn) x, lateral (select case when x.turn then s.until + s.wd else s.until end as until1) y, lateral (select y.until1 is null or y.until1 <= o.ts as own) z),
+    ends as (select *, row_number() over (partition by user_id order by rn desc) as back from s),
+    said as (select user_id, unnest(runs) as x from s union all select user_id, {'id': waits, 'a': until, 'z': until + wd} from ends where back = 1 and waits is not null)"""
+
+
+def _requests(t):
+    e = F.col("event_id")
+    return t("events").select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"), "event_id", ((e + 1) * 10.0).alias("ts"), F.when(e % 11 != 0, e % 9 * 500.0 - 300).alias("takes"))
+
+
+@query(f"with recursive {RUNS_SQL} select user_id, x.id as event_id, x.a as started, x.z as ended from said")
+def q_coalesced_runs(t):
+    return bursts.coalesced_runs(_requests(t), "user_id", "event_id")
+
+
+TICKS_SQL = """sp as (select user_id, epoch(min(ts))::double as started, LIMIT as stopped from events group by 1),
+    tk as (select user_id, started, unnest(generate_series(0, ceil((stopped - started) / 21600)::bigint - 1)) as i from sp where stopped > started),
+    ct as (select user_id, floor((epoch(ts) - started) / 21600)::bigint as i, count(*) as n from events join sp using (user_id) where epoch(ts) < stopped group by 1, 2)
+    select user_id, started + i * 21600.0::double as tick, coalesce(n, 0) as n from tk left join ct using (user_id, i)"""
+
+
+@query("with " + TICKS_SQL.replace("LIMIT", "epoch(max(ts))::double - user_id % 5 * 40000.0"))
+def q_all_ticks(t):
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = t("events").select("user_id", at.alias("at"))
+    spans = rows.groupBy("user_id").agg(F.min("at").alias("started"), F.max("at").alias("stopped")).withColumn("stopped", F.col("stopped") - F.col("user_id") % 5 * 40000.0)
+    return capture.all_ticks(rows, spans, "user_id", "at", 21600.0)
+
+
 #: Rows of a micro-batch at most, where a stream is read in order.
 BATCH = 1 << 18
 
@@ -968,6 +1004,22 @@ def stream_recording_whole(t):
     return _recorded(buffer.with_states(frames, states, "user_id", "ts", "event_id"), "event_id").withColumn("event_id", F.col("event_id").cast("string"))
 
 
+@query(f"with recursive {RUNS_SQL} select user_id, x.id as event_id, x.a as started, x.z as ended from said where x.a < (select (max(event_id) + 1) * 10.0 from events)")
+def stream_coalesced(t):
+    """Runs that have started by the last request of all."""
+    rows = _requests(t).withColumn("at", F.timestamp_seconds("ts")).drop("ts")
+    out = _streamed(rows, lambda s: live.coalesced_stream(s, "user_id", "event_id", "at"), ["at", "event_id"])
+    return out.where(F.col("started") < t("events").agg((F.max("event_id") + 1) * 10.0).first()[0])
+
+
+@query("with " + TICKS_SQL.replace("LIMIT", "(select epoch(max(ts)) from events)::double") + " where started + (i + 1) * 21600 < (select epoch(max(ts)) from events)")
+def stream_ticks(t):
+    """Ticks that have ended by the last event of all, silent ones too."""
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = _streamed(rows, lambda s: live.tick_stream(s, "user_id", "ts", 21600.0), ["ts", "user_id"])
+    return out.where(F.col("tick") + 21600.0 < rows.agg(F.max(F.unix_micros("ts")) / 1e6).first()[0])
+
+
 @query(ORACLES["q_shown_frame"])
 def stream_shown(t):
     return _streamed(t("events").select("user_id", "event_id", "event_type"), lambda s: capture.shown_frame(s, "user_id", "event_id", "event_type"), None, lambda out, path, state: _shown(out, path, state))

@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from veilspark.operators import buffer as buffer_module
+from veilspark.operators import bursts as bursts_module
 from veilspark.operators import gate as gate_module
+from veilspark.operators.bursts import RUN, Runner
 from veilspark.operators.buffer import RELEASED, Buffer, arrivals, with_states
 from veilspark.operators.detect import spans, with_detections
 from veilspark.operators.gate import STATE, WAITING, Gate, with_defaults
 from veilspark.session import delete
 
 # processors go to the workers by value: the one that Spark starts beside the driver has no copy of the package
-for _module in (sys.modules[__name__], buffer_module, gate_module):
+for _module in (sys.modules[__name__], buffer_module, bursts_module, gate_module):
     cloudpickle.register_pickle_by_value(_module)
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -225,6 +227,109 @@ def record_stream(both: DataFrame, key: str, ts: str, payload: str, fps: float)
     return _keyed(boxed, key, RecorderProcessor(ts, payload, fps), f"frame_no long, pts double, blocked_reason string, {payload} {dict(both.dtypes)[payload]}")
 
 
+class RunnerProcessor(StatefulProcessor):
+    """A runner whose waiting request starts by an event-time timer, or before the first later arrival."""
+
+    def __init__(self, order: str, kind: str):
+        self.order, self.kind = order, kind
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("runner", f"until double, waiting {self.kind}, takes double")
+
+    def _runner(self) -> Runner:
+        return Runner(*map(_plain, self.state.get())) if self.state.exists() else Runner()
+
+    def _frame(self, key, runs: list[tuple]) -> pd.DataFrame:
+        return _frame([(_own(key), *x) for x in runs], ["key_text", self.order, "started", "ended"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        runner, out = self._runner(), []
+        was = runner.until if runner.waiting is not None else None
+        for number, now, takes in _rows(rows, ["at_seconds", self.order], [self.order, "at_seconds", "takes"]):
+            out += runner.arrival(number, now, takes)
+        due = runner.until if runner.waiting is not None else None
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(_millis(was))
+            if due is not None:
+                self.handle.registerTimer(_millis(due))
+        self.state.update((runner.until, runner.waiting, runner.takes))
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        runner = self._runner()
+        out = runner.due(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        if out:
+            self.state.update((runner.until, runner.waiting, runner.takes))
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def coalesced_stream(requests: DataFrame, key: str, order: str, ts: str = "ts", takes: str = "takes", late: str = "0 seconds") -> DataFrame:
+    """The runs of a stream of requests, as ``coalesced_runs`` has them, each when it starts; ``ts`` is a timestamp, and ``order`` isn't null. The state is a
+    number and two times per key; what still waits starts when the watermark, ``late`` behind the newest request, passes the end of what runs."""
+    rows = requests.withWatermark(ts, late).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    rows = rows.select(key, order, ts, F.col("_at").alias("at_seconds"), F.greatest(F.coalesce(F.col(takes).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("takes"))
+    kind = dict(requests.dtypes)[order]
+    return _keyed(rows, key, RunnerProcessor(order, kind), f"{order} {kind}, {RUN}", "EventTime")
+
+
+class TickProcessor(StatefulProcessor):
+    """Ticks by a timer that is set again whenever it goes off, with or without rows."""
+
+    def __init__(self, every: float):
+        self.every = every
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("tick", "tick double, n long")
+
+    def _go(self, key, tick: float, n: int, now: float) -> tuple[list[tuple], float, int]:
+        """The ticks that have ended by ``now``, and the one that goes on."""
+        out = []
+        while tick + self.every <= now:
+            out.append((_own(key), tick, n))
+            tick, n = tick + self.every, 0
+        return out, tick, n
+
+    def handleInputRows(self, key, rows, timerValues):
+        tick, n = map(_plain, self.state.get()) if self.state.exists() else (None, 0)
+        was, out = tick, []
+        for (now,) in _rows(rows, ["at_seconds"], ["at_seconds"]):
+            tick = now if tick is None else tick
+            ended, tick, n = self._go(key, tick, n, now)
+            out += ended
+            n += 1
+        if was != tick:
+            if was is not None:
+                self.handle.deleteTimer(_millis(was + self.every))
+            self.handle.registerTimer(_millis(tick + self.every))
+        self.state.update((tick, n))
+        yield _frame(out, ["key_text", "tick", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        tick, n = map(_plain, self.state.get())
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) / 1000
+        out, tick, n = self._go(key, tick, n, now)
+        if out:
+            self.handle.registerTimer(_millis(tick + self.every))
+            self.state.update((tick, n))
+        yield _frame(out, ["key_text", "tick", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def tick_stream(rows: DataFrame, key: str, ts: str, every: float, late: str = "0 seconds") -> DataFrame:
+    """``key``, tick (seconds), n of every tick of a stream's keys when it has ended, as ``capture.all_ticks`` has them: from a key's first row on, silent ones too.
+
+    Timers go by event time: a silent key ticks on as the watermark does.
+    """
+    timed = rows.withWatermark(ts, late).select(key, ts, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at_seconds"))
+    return _keyed(timed, key, TickProcessor(every), "tick double, n long", "EventTime")
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write all that a stream has now to parquet, then end."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
