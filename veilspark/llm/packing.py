@@ -15,7 +15,7 @@ from veilspark.llm.common import id_text, stash, table
 
 LENGTH, END = 2048, 0
 #: Pieces packed together, about; words whose ids a worker keeps, and as many met before those.
-GROUP, WORDS = 40_000, 1 << 18
+GROUP, WORDS = 40_000, 1 << 17
 
 # The word pattern of byte-level vocabularies, for texts of the characters below alone.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"

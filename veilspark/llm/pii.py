@@ -26,6 +26,8 @@ TRIGGER = re.compile("[0-9@]")
 WINDOW, STRIDE, AROUND = 64, 32, 24
 #: Windows to train on at most, epochs and updates at least, and the least mean probability of an added span's tags.
 TRAIN, EPOCHS, UPDATES, SURE = 1200, 8, 600, 0.95
+#: Characters of texts that are read at once, about.
+SLICE = 1 << 20
 #: Of so many windows of a kind one is held out to measure recall; the recall below which training warns.
 HELD, POOR = 6, 0.5
 
@@ -283,6 +285,18 @@ def tagged_spans(model: Tagger, texts: list[str]) -> list[list]:
     return out
 
 
+def _slices(texts: list[str]):
+    """(from, to) of runs of texts of about SLICE characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def added_spans(tagged: list[list], known: list[list]) -> list[list]:
     """Of each text's tagged spans those that touch none of its base spans."""
     return [[(s, k, e) for s, k, e in some if not any(x < e and s < y for x, _, y in base)] for some, base in zip(tagged, known)]
@@ -298,7 +312,7 @@ def _found(model: Tagger | None):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
-            tagged = tagged_spans(model, texts) if model else [[] for _ in texts]
+            tagged = [x for a, z in _slices(texts) for x in (tagged_spans(model, texts[a:z]) if model else [[]] * (z - a))]
             both = [sorted(x + y) for x, y in zip(base, added_spans(tagged, base))]
             rows = [pa.array([[dict(zip("ske", x)) for x in spans] for spans in some], kind) for some in (base, tagged, both)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *rows], ["doc_id", "base", "tagged", "found"])
@@ -330,7 +344,7 @@ def masked(docs: DataFrame, windows: int = TRAIN, epochs: int = EPOCHS) -> DataF
             some = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
             sub = [texts[i] for i in some]
             base = [base_spans(t) for t in sub]
-            more = added_spans(tagged_spans(model, sub), base) if model else [[] for _ in sub]
+            more = added_spans([x for a, z in _slices(sub) for x in tagged_spans(model, sub[a:z])], base) if model else [[] for _ in sub]
             for i, t, x, y in zip(some, sub, base, more):
                 if not x and not y:
                     continue

@@ -18,7 +18,7 @@ ROWS, SIZE, ENTRIES = 1 << 14, 32, 4
 TRAIN, HIDDEN, PASSES, GOOD = 10_000, 32, 60, 0.7
 #: Words are runs of letters and digits, and runs of other signs. Words a worker remembers; words handled at once.
 WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-KEPT, SLICE = 1 << 19, 1 << 18
+KEPT, SLICE = 1 << 17, 1 << 18
 
 
 class RowOf(dict):
