@@ -148,17 +148,19 @@ def gate_timed(events: DataFrame, delay: Column | float, key: str = "stream_id",
 
 
 # What a gate says after control events.
-CONTROL = {"settings": "Settings changed · checking again", "stop": "Preview stopped", "error": "Capture stopped"}
+CONTROL = {"settings": "Settings changed · checking again", "stop": "Preview stopped", "error": "Capture stopped", "failed": "Screen Recording permission required"}
+FILLING, NOT_TRUSTED = "Filling delayed stream buffer", "Accessibility permission required"
 
 
 def control_events(controls: DataFrame) -> DataFrame:
     """``controls`` (control, delay seconds, trusted) with the event and the reason that a gate gets for each: all reset it.
 
-    ``start`` says that the buffer is being filled, or that permission is lacking; ``warm_up`` names the delay in whole seconds.
+    ``start`` says that the buffer is being filled, or that permission is lacking; ``warm_up`` names the delay in whole seconds; ``failed`` is a start that the
+    screen may not be captured for.
     """
     c = F.col("control")
     reason = F.when(c == "warm_up", F.concat(F.lit("Filling "), whole_seconds(F.col("delay")), F.lit("-second buffer")))
-    reason = reason.when(c == "start", F.when(F.col("trusted"), "Filling delayed stream buffer").otherwise("Accessibility permission required"))
+    reason = reason.when(c == "start", F.when(F.col("trusted"), FILLING).otherwise(NOT_TRUSTED))
     for name, text in CONTROL.items():
         reason = reason.when(c == name, text)
     return controls.withColumn("event", F.when(reason.isNotNull(), "reset")).withColumn("reason", reason).where("event is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import PATTERN, kind_table
 from veilspark.functions.text import ascii_digits, ipv4_valid, luhn_valid, pesel_valid, saturating_multiply
-from veilspark.operators import buffer, bursts, capture, detect, dictionary, gate, phrases, ranges, screen
+from veilspark.operators import buffer, bursts, capture, detect, dictionary, gate, lifecycle, phrases, ranges, screen
 from veilspark.operators import settings as prefs
 from veilspark.plans import oracle
 from veilspark.session import shared_dir, ship_package
@@ -651,16 +651,16 @@ def q_gate_hot(t):
     return ranges.gate_states_by_ranges(rows, 64, "user_id", "event_id")
 
 
-CONTROLS = "select event_id, case event_id % 6 when 0 then 'start' when 1 then 'warm_up' when 2 then 'settings' when 3 then 'stop' when 4 then 'error' else 'none' end as control, event_id % 7 / 2.0::double as delay, event_id % 4 <> 0 as trusted from events"
+CONTROLS = "select event_id, case event_id % 7 when 0 then 'start' when 1 then 'warm_up' when 2 then 'settings' when 3 then 'stop' when 4 then 'error' when 5 then 'failed' else 'none' end as control, event_id % 7 / 2.0::double as delay, event_id % 4 <> 0 as trusted from events"
 
 
 @query(f"""with c as ({CONTROLS}) select event_id, 'reset' as event, case control when 'start' then case when trusted then 'Filling delayed stream buffer' else 'Accessibility permission required' end
-    when 'warm_up' then 'Filling ' || trunc(delay)::int || '-second buffer' when 'settings' then 'Settings changed · checking again' when 'stop' then 'Preview stopped' else 'Capture stopped' end as reason,
+    when 'warm_up' then 'Filling ' || trunc(delay)::int || '-second buffer' when 'settings' then 'Settings changed · checking again' when 'stop' then 'Preview stopped' when 'failed' then 'Screen Recording permission required' else 'Capture stopped' end as reason,
     'Buffering for ' || trunc(delay)::int || ' seconds before checks begin' as status from c where control <> 'none'""")
 def q_control_events(t):
     k = F.col("event_id")
-    names = F.array(*map(F.lit, ("start", "warm_up", "settings", "stop", "error", "none")))
-    rows = t("events").select("event_id", F.get(names, (k % 6).cast("int")).alias("control"), (k % 7 / 2.0).alias("delay"), (k % 4 != 0).alias("trusted"))
+    names = F.array(*map(F.lit, ("start", "warm_up", "settings", "stop", "error", "failed", "none")))
+    rows = t("events").select("event_id", F.get(names, (k % 7).cast("int")).alias("control"), (k % 7 / 2.0).alias("delay"), (k % 4 != 0).alias("trusted"))
     return gate.control_events(rows).select("event_id", "event", "reason", gate.buffering_status(F.col("delay")).alias("status"))
 
 
@@ -916,6 +916,66 @@ def q_all_ticks(t):
     return capture.all_ticks(rows, spans, "user_id", "at", 21600.0)
 
 
+# whole previews: controls, verdicts, answers and frames of a user
+PREVIEWS = """o as (select *, row_number() over (partition by user_id order by ts, event_id) as rn from (select user_id, event_id, (event_id + 1) * 10.0::double as ts,
+        case k when 0 then 'start' when 1 then 'buffering' when 2 then 'failed' when 3 then 'stop' when 4 then 'settings' when 5 then 'error' when 6 then 'detected' when 7 then 'inconclusive' when 11 then 'deny' when 12 then 'record' when 19 then 'start' when 20 then 'start'
+            else case when k in (8, 9, 10) then 'approve' when k between 13 and 18 then 'frame' else 'clean' end end as what,
+        'why ' || event_id % 4 as why, event_id % 4 <> 0 as trusted, case when event_id % 3 = 0 then 600 else 2000 end::double as wait, 1 + event_id % 2 as n, event_id % 5 <> 0 as by_hand, event_id % 7 <> 0 as delayed
+        from (select user_id, event_id, event_id % 31 as k from events))),
+    s as (select user_id, 0::bigint as rn, null::bigint as event_id, null::double as at, true as blocked, 'Waiting for a privacy check' as reason, 0::bigint as checks, false as manual, false as delay, false as hit, false as running, 0::bigint as lc, 0::bigint as cc,
+            null::double as due, false as hand, null::bigint as al, null::bigint as ac, []::struct(r double, id bigint)[] as held, null::double as last, null::bigint as rec, false as asks, null::boolean as admitted, null::bigint as released, null::bigint as recorded,
+            null::struct("at" double, blocked boolean, reason varchar, checks bigint, manual boolean, running boolean, lc bigint, cc bigint, asks boolean) as timer
+        from (select distinct user_id from o)
+    union all select o.user_id, o.rn, o.event_id, o.ts,
+        case when resets or bad then true when opens then false when gets and o.what = 'approve' then false else f.blocked end,
+        case when o.what = 'settings' and not f.running then 'Settings changed · checking again' when starts then case when o.trusted then 'Filling delayed stream buffer' else 'Accessibility permission required' end
+             when o.what = 'stop' then 'Preview stopped' when o.what = 'error' then 'Capture stopped' when fails then 'Screen Recording permission required' when fills then 'Filling ' || trunc(o.wait)::int || '-second buffer' when bad then o.why
+             when clean and f.delay then 'Clean checks passed · waiting for stream delay' when clean and f.manual then 'Manual clearance required' when clean and not f.blocked then 'Protected'
+             when enough and o.delayed then 'Clean checks passed · waiting for stream delay' when enough and wants then 'Clean checks passed · approval required' when opens then 'Protected'
+             when clean then 'Checking for PII · ' || (f.checks + 1) || '/' || o.n || ' clean bursts' when gets and o.what = 'approve' then 'Protected' when gets then 'Manual clearance required' else f.reason end,
+        case when resets or bad or (gets and o.what = 'approve') then 0 when counts then f.checks + 1 else f.checks end,
+        manual2, case when resets or bad then false when enough and o.delayed then true else f.delay end,
+        case when o.what = 'detected' and f.running then true when resets or opens or (gets and o.what = 'approve') then false else f.hit end,
+        case when starts then true when ends then false else f.running end, f.lc + case when starts or o.what in ('stop', 'error') then 1 else 0 end, cc2,
+        case when resets or bad then null when enough and o.delayed then o.ts + o.wait else f.due end, o.by_hand,
+        case when asks2 then f.lc when starts or ends or o.what = 'settings' or answers then null else f.al end, case when asks2 then cc2 when starts or ends or o.what = 'settings' or answers then null else f.ac end,
+        case when starts or ends then [] when goes then list_append(keep, {'r': o.ts + o.wait, 'id': o.event_id}) when frame then keep else f.held end, case when starts or ends then null when goes then o.ts else f.last end,
+        case when ends then null when f.running and o.what = 'record' then 0 when frame and gone > 0 then f.rec + 1 else f.rec end, asks2,
+        case when frame then goes end, case when frame and gone > 0 then f.held[gone].id end, case when frame and gone > 0 then f.rec end,
+        case when fires then {'at': s.due, 'blocked': f.blocked, 'reason': f.reason, 'checks': f.checks, 'manual': f.manual, 'running': f.running, 'lc': f.lc, 'cc': f.cc, 'asks': f.asked} end
+    from s join o on o.user_id = s.user_id and o.rn = s.rn + 1,
+        lateral (select coalesce(s.due <= o.ts, false) as fires) t,
+        lateral (select s.running, s.lc, s.cc, s.checks, s.held, s.last, s.rec, case when fires then s.hand and s.hit else s.blocked end as blocked, case when fires then case when s.hand and s.hit then 'Clean checks passed · approval required' else 'Protected' end else s.reason end as reason,
+            case when fires then s.hand and s.hit else s.manual end as manual, s.delay and not fires as delay, case when fires and not (s.hand and s.hit) then false else s.hit end as hit, case when not fires then s.due end as due,
+            fires and s.hand and s.hit and s.al is null as asked, case when fires and s.hand and s.hit and s.al is null then s.lc else s.al end as al, case when fires and s.hand and s.hit and s.al is null then s.cc else s.ac end as ac) f,
+        lateral (select o.what = 'start' or (o.what = 'settings' and f.running) as starts, o.what = 'failed' and f.running as fails, o.what = 'buffering' and f.running as fills, o.what = 'clean' and f.running as clean, o.what in ('detected', 'inconclusive') and f.running as bad,
+            o.what in ('approve', 'deny') and f.al is not null as answers, o.what = 'frame' and f.running as frame) c,
+        lateral (select o.what in ('stop', 'error') or fails as ends, starts or fails or fills or o.what in ('stop', 'error', 'settings') as resets, answers and f.running and f.al = f.lc and f.ac = f.cc and f.manual as gets,
+            clean and f.blocked and not f.delay and not f.manual as counts, f.cc + case when bad then 1 else 0 end as cc2) d,
+        lateral (select counts and f.checks + 1 >= o.n as enough, o.by_hand and f.hit as wants) e,
+        lateral (select enough and not o.delayed and not wants as opens, case when resets or bad or (gets and o.what = 'approve') then false when enough and not o.delayed then wants else f.manual end as manual2) g,
+        lateral (select (answers and not gets and f.manual) or (clean and manual2 and f.al is null) as asks2) h,
+        lateral (select coalesce(list_position(list_transform(f.held, lambda x: x.r > o.ts), true) - 1, len(f.held)) as gone) i,
+        lateral (select f.held[gone + 1:] as keep) j,
+        lateral (select frame and len(keep) < 2 and (f.last is null or o.ts - f.last >= 500) as goes) k),
+    shown as (select user_id, event_id, "at", blocked as is_blocked, reason, checks as clean_checks, manual as pending_manual, delay as pending_delay, running, lc as lifecycle, cc as clearance, asks, admitted, released as released_seq, recorded as recorded_no from s where rn > 0
+        union all select user_id, null, timer.at, timer.blocked, timer.reason, timer.checks, timer.manual, false, timer.running, timer.lc, timer.cc, timer.asks, null, null, null from s where timer is not null)"""
+
+
+def _previews(t):
+    e = F.col("event_id")
+    names = {0: "start", 1: "buffering", 2: "failed", 3: "stop", 4: "settings", 5: "error", 6: "detected", 7: "inconclusive", 8: "approve", 9: "approve", 10: "approve", 11: "deny", 12: "record", 19: "start", 20: "start"} | dict.fromkeys(range(13, 19), "frame")
+    what = F.get(F.array(*[F.lit(names.get(k, "clean")) for k in range(31)]), (e % 31).cast("int"))
+    return t("events").select(
+        "user_id", "event_id", ((e + 1) * 10.0).alias("ts"), what.alias("what"), F.concat(F.lit("why "), (e % 4).cast("string")).alias("reason"), (e % 4 != 0).alias("trusted"), F.when(e % 3 == 0, 600.0).otherwise(2000.0).alias("delay"),
+        (1 + e % 2).alias("required_checks"), (e % 5 != 0).alias("requires_manual"), (e % 7 != 0).alias("requires_delay"), F.lit(2).alias("max_frames"), F.lit(500.0).alias("sample_interval"))
+
+
+@query(f"with recursive {PREVIEWS} select * from shown")
+def q_lifecycles(t):
+    return lifecycle.lifecycles(_previews(t), "user_id", "event_id")
+
+
 #: Rows of a micro-batch at most, where a stream is read in order.
 BATCH = 1 << 18
 
@@ -1012,6 +1072,13 @@ def stream_coalesced(t):
     return out.where(F.col("started") < t("events").agg((F.max("event_id") + 1) * 10.0).first()[0])
 
 
+@query(f"with recursive {PREVIEWS} select * from shown where event_id is not null")
+def stream_lifecycles(t):
+    rows = _previews(t).withColumn("at", F.timestamp_seconds("ts")).drop("ts")
+    out = _streamed(rows, lambda s: live.lifecycle_stream(s, "user_id", "event_id", "at"), ["at", "event_id"])
+    return out.where("event_id is not null")
+
+
 @query("with " + TICKS_SQL.replace("LIMIT", "(select epoch(max(ts)) from events)::double") + " where started + (i + 1) * 21600 < (select epoch(max(ts)) from events)")
 def stream_ticks(t):
     """Ticks that have ended by the last event of all, silent ones too."""

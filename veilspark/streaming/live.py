@@ -20,14 +20,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from veilspark.operators import buffer as buffer_module
 from veilspark.operators import bursts as bursts_module
 from veilspark.operators import gate as gate_module
+from veilspark.operators import lifecycle as lifecycle_module
 from veilspark.operators.bursts import RUN, Runner
 from veilspark.operators.buffer import RELEASED, Buffer, arrivals, with_states
 from veilspark.operators.detect import spans, with_detections
 from veilspark.operators.gate import STATE, WAITING, Gate, with_defaults
+from veilspark.operators.lifecycle import NAMES, SETTINGS, Preview, with_settings
+from veilspark.operators.lifecycle import SHOWN as PREVIEW
 from veilspark.session import delete
 
 # processors go to the workers by value: the one that Spark starts beside the driver has no copy of the package
-for _module in (sys.modules[__name__], buffer_module, bursts_module, gate_module):
+for _module in (sys.modules[__name__], buffer_module, bursts_module, gate_module, lifecycle_module):
     cloudpickle.register_pickle_by_value(_module)
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -276,6 +279,52 @@ def coalesced_stream(requests: DataFrame, key: str, order: str, ts: str = "ts",
     return _keyed(rows, key, RunnerProcessor(order, kind), f"{order} {kind}, {RUN}", "EventTime")
 
 
+class PreviewProcessor(StatefulProcessor):
+    """A preview with its clearance timer, as an event-time timer of the state store."""
+
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("preview", "text string")
+
+    def _preview(self) -> Preview:
+        return Preview.of(self.state.get()[0]) if self.state.exists() else Preview()
+
+    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return _frame([(_own(key), *x) for x in rows], ["key_text", self.order, *NAMES])
+
+    def handleInputRows(self, key, rows, timerValues):
+        preview, out = self._preview(), []
+        was = preview.due
+        for event in _rows(rows, ["at_seconds", self.order], [self.order, "at_seconds", "what", "reason", *SETTINGS]):
+            out += preview.event(*event)
+        if was != preview.due:
+            if was is not None:
+                self.handle.deleteTimer(_millis(was))
+            if preview.due is not None:
+                self.handle.registerTimer(_millis(preview.due))
+        self.state.update((preview.text(),))
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        preview = self._preview()
+        out = preview.clear(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        if out:
+            self.state.update((preview.text(),))
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_stream(events: DataFrame, key: str, order: str, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
+    """What previews show after every event and every clearance of a stream, as ``lifecycles`` has it; ``ts`` is a timestamp. The state is one preview per key."""
+    at = events.withWatermark(ts, late).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    timed = with_settings(at, key, order, "_at", ts)
+    return _keyed(timed, key, PreviewProcessor(order), f"{order} long, {PREVIEW}", "EventTime")
+
+
 class TickProcessor(StatefulProcessor):
     """Ticks by a timer that is set again whenever it goes off, with or without rows."""
 
