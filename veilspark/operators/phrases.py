@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import fold_away, trimmed
+from veilspark.functions.text import fold_away, trimmed, widened
 
 
 def equivalent(a: Column, b: Column) -> Column:
-    return fold_away(a) == fold_away(b)
+    return widened(fold_away(a)) == widened(fold_away(b))
 
 
 def _outcome(status: str, phrases: Column) -> Column:

@@ -122,6 +122,18 @@ def q_phrase_hits(t):
     return _doc_spans(t, ("custom",), PHRASES).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+# texts with ligatures for letters that phrases have singly, and phrases with ligatures that texts have written out
+@query("""select doc_id, len(string_split(lower(strip_accents(text)), 'est')) + len(string_split(lower(strip_accents(text)), 'fin')) - 2 as n, len(string_split(lower(strip_accents(text)), 'est')) + len(string_split(lower(strip_accents(text)), 'fin')) - 2 as by_table
+    from documents where contains(lower(strip_accents(text)), 'est') or contains(lower(strip_accents(text)), 'fin')""")
+def q_phrase_spellings(t):
+    words = ("EST", "ﬁn")
+    docs = t("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("st"), F.lit("ﬆ"))).otherwise(F.col("text")).alias("text"))
+    one = detect.spans(detect.with_candidates(docs, "text", ("custom",), words), "doc_id", "candidates").groupBy("doc_id").agg(F.count("*").alias("n"))
+    table = SparkSession.active().createDataFrame([(w,) for w in words], "phrase string")
+    two = dictionary.phrase_matches(docs, table, "doc_id", "text", "phrase").groupBy("doc_id").agg(F.count("*").alias("by_table"))
+    return one.join(two, "doc_id")
+
+
 def _redaction_sql(docs: str) -> str:
     """(doc_id, redacted) of ``docs`` (doc_id, text) and its det."""
     return f"""select doc_id, coalesce(r.out, text) as redacted from {docs} left join (
@@ -183,10 +195,10 @@ def q_own_detections(t):
     return detect.spans(detect.with_detections(rows, "text", F.col("kinds"), F.col("phrases")), "doc_id")
 
 
-# a dictionary of 10^5 phrases at sf0.01: words of a document, in pairs, with the document's language for an owner
+# a dictionary of some 86,000 phrases at sf0.01: words of a document, in pairs, with the document's language for an owner; SQL tells a sharp s from two
 WORD_PAIRS = """ph as (select distinct lang, n, plain from (select lang, lower(strip_accents(w)) as plain, length(w) as n from (
-        select lang, unnest(list_transform(generate_series(1, least(len(ws) - 1, 150)), lambda k: case when k % 3 = 0 then lower(ws[k]) || ' ' || ws[k + 1] else ws[k] || ' ' || ws[k + 1] end)) as w
-        from (select lang, string_split(text, ' ') as ws from documents))) where length(plain) between 8 and 15),
+        select lang, unnest(list_transform(generate_series(1, least(len(ws) - 1, 600)), lambda k: case when k % 3 = 0 then lower(ws[k]) || ' ' || ws[k + 1] else ws[k] || ' ' || ws[k + 1] end)) as w
+        from (select lang, string_split(text, ' ') as ws from documents))) where length(plain) between 9 and 12 and not regexp_matches(plain, 'ß|ss')),
     own as (select doc_id as id, lang, text as t, lower(strip_accents(text)) as low from documents), lens as (select distinct n from ph),
     occ as (select id, lang, n, pos, substr(low, pos + 1, n) as plain, t from (select id, lang, n, t, low, unnest(generate_series(0, length(low) - n)) as pos from own, lens)),
     hit as (select occ.*, lead(pos, -1) over (partition by id, occ.plain order by pos) as before, row_number() over (partition by id, occ.plain order by pos) as rn from occ join ph on ph.plain = occ.plain and PAIRED),
@@ -199,8 +211,8 @@ WORD_PAIRS = WORD_PAIRS + f""", placed as (select id, {oracle.units('t[1:pos]')}
 
 def _word_pairs(t):
     w = F.split("text", " ", -1)
-    pair = F.transform(F.sequence(F.lit(1), F.least(F.size(w) - 1, F.lit(150))), lambda k: F.concat(F.when(k % 3 == 0, F.lower(F.element_at(w, k))).otherwise(F.element_at(w, k)), F.lit(" "), F.element_at(w, k + 1)))
-    return t("documents").where(F.size(w) > 1).select("lang", F.explode(pair).alias("phrase")).where("length(phrase) between 8 and 15")
+    pair = F.transform(F.sequence(F.lit(1), F.least(F.size(w) - 1, F.lit(600))), lambda k: F.concat(F.when(k % 3 == 0, F.lower(F.element_at(w, k))).otherwise(F.element_at(w, k)), F.lit(" "), F.element_at(w, k + 1)))
+    return t("documents").where(F.size(w) > 1).select("lang", F.explode(pair).alias("phrase")).where("length(phrase) between 9 and 12 and not rlike(lower(phrase), 'ß|ss')")
 
 
 @query(f"with recursive {WORD_PAIRS.replace('PAIRED', 'true')} select id as doc_id, count(*) as n, count(distinct value) as values, sum(\"start\" * 31 + \"end\")::bigint as places from placed group by 1")
