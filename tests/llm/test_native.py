@@ -214,10 +214,11 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(pages.where("page_id = 12"), listed.limit(0)).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize("bits", [16, 0])
-def test_listed_urls_that_no_page_has(spark, monkeypatch, bits):
-    """With no bits every URL is a possible hit: the exact join removes the false ones."""
+@pytest.mark.parametrize("bits, sent", [(16, 32 << 20), (0, 32 << 20), (16, 0), (0, 0)])
+def test_listed_urls_that_no_page_has(spark, monkeypatch, bits, sent):
+    """With no bits every URL is a possible hit: the exact join removes the false ones, also where nothing is small enough to be sent."""
     monkeypatch.setattr(urls, "BITS_PER_URL", bits)
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", sent)
     pages = spark.createDataFrame([(i, f"http://site{i}.net/p{i}") for i in range(300)] + [(999, None)], "page_id long, url string")
     listed = spark.createDataFrame([(f"https://SITE{i}.net/p{i}/",) for i in range(0, 600, 7)] + [(f"http://absent{i}.net/x",) for i in range(50)] + [(None,), ("nope",)], "url string")
     out = {r.page_id: r.verdict for r in urls.filter_urls(pages, listed).collect()}
@@ -225,8 +226,9 @@ def test_listed_urls_that_no_page_has(spark, monkeypatch, bits):
 
 
 def test_listed_pages(spark):
-    pages = spark.createDataFrame([(1, "http://www.free-bets.net/a"), (2, None), (3, "http://free-bets"), (4, "http://x.org/free-bets.net"), (5, "nope")], "page_id long, url string")
-    assert [r.url for r in urls.listed_pages(pages).collect()] == ["http://www.free-bets.net/a"]
+    titles = [None, None, "", "a ** b", "x", "De%%% êeux*** ouier", "x</title>***"]
+    pages = spark.createDataFrame([(i, u, t and f"<html><title>{t}</title>") for i, (u, t) in enumerate(zip(["http://www.free-bets.net/a", None, "http://free-bets", "http://x.org/free-bets.net", "nope", "http://y.net/1", "http://y.net/2"], titles))], "page_id long, url string, html string")
+    assert [r.url for r in urls.listed_pages(pages).collect()] == ["http://www.free-bets.net/a", "http://y.net/1"]
 
 
 def test_bloom_has_no_false_negative(spark):
