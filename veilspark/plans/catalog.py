@@ -1012,7 +1012,8 @@ def _in_order(frame: DataFrame, order: list[str], most: int, path: str) -> None:
 
 
 def _streamed(frame: DataFrame, build, order: list[str] | None = None, sink=None) -> DataFrame:
-    """The rows that a stream over ``frame``, written as files, makes: in one go, or by ranges of ``order`` of BATCH rows at most, in order."""
+    """The rows that a stream over ``frame``, written as files, makes: in one go, or by ranges of ``order`` of BATCH rows at most, in order. A ``sink`` takes the
+    stream and gives the rows that it has kept."""
     from pyspark.sql.types import StructType
 
     spark = frame.sparkSession
@@ -1024,8 +1025,10 @@ def _streamed(frame: DataFrame, build, order: list[str] | None = None, sink=None
     else:
         frame.write.parquet(f"{place}/in")
     out = build(source.parquet(f"{place}/in"))
-    made = (sink or live.drain)(out, f"{place}/out", f"{place}/state")
-    return spark.read.schema(out.schema).parquet(f"{place}/out") if made is None else made
+    if sink:
+        return sink(out, f"{place}/out", f"{place}/state")
+    live.drain(out, f"{place}/out", f"{place}/state")
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
 @query(ORACLES["q_gate_manual"])
