@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import documents
+from test_native import brute_mix
+from test_near import reach, slow_print
 
 import corpus_pipeline
 from veilspark.llm import pii, quality
@@ -318,6 +320,9 @@ def test_training_says_so_when_it_fails():
 
 
 def test_pipeline(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    P = pytest.importorskip("public_tokenizers")
     prose = junk_and_prose(160)
     base = [(i, t, f"s{i % 4}") for i, t, _ in prose]
     base += [(1000 + i, t, "s1") for i, t, q in prose if q and i < 20] + [(2000 + i, t, s) for i, t, s in personal(30)]
@@ -339,3 +344,39 @@ def test_pipeline(spark, tmp_path):
     assert any("[email]" in r.text for r in clean) and all(r.n_chars == len(r.text) and not slow_spans(r.text) for r in clean)
     assert len(mixed) == sum(1 for r in packed if r.piece == 0) > 0
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
+    # each stage over what the one before kept, in plain Python: groups of near fingerprints, words near the targets, pieces of the library's ids
+    prints = [slow_print(r.text) for r in good]
+    comp = reach([r.doc_id for r in good], lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 4)
+    assert sorted(r.doc_id for r in single) == sorted(r.doc_id for i, r in enumerate(good) if comp[i] == r.doc_id)
+    before = {r.doc_id: r.text for r in single}
+    assert all(r.text == before[r.doc_id] for r in clean if not re.search("[0-9@]", before[r.doc_id]))
+    size, total, target = brute_mix([(r.doc_id, r.text, r.source) for r in clean])
+    words = dict(zip([r.doc_id for r in clean], size))
+    taken, copies = {s: 0 for s in total}, {}
+    for r in mixed:
+        taken[r.source] += words[r.doc_id]
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert max(copies.values()) <= 3 and all(abs(taken[s] - target[s]) <= max(size) for s in total)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed}
+    assert sum(own[r.doc_id] for r in mixed) == sum(r.length for r in packed)
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
+
+
+def test_pipeline_without_rows_and_with_other_columns(spark, tmp_path):
+    prose = junk_and_prose(40)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    few = [(i, t, "en", f"s{i % 3}", len(t)) for i, t, _ in prose] + [(900, None, None, None, None), (901, "", "en", "s0", 0), (902, "a@b.org " * 3000, "en", "s1", 1)]
+    for name, rows in (("none", []), ("some", few)):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, q, 0) for i, _, q in prose] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    wide = spark.createDataFrame(few, kind).selectExpr("*", "1 as size", "2.0 as boost", "'x' as _row", "3 as f", "4 as score", "5 as held_out", "6 as piece", "7 as n", "8 as cuts", "null as component_id")
+    wide.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/some/labels.parquet").write.parquet(f"{tmp_path}/wide/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    some, other = (sorted(map(tuple, corpus_pipeline.run(spark, f"{tmp_path}/{x}").drop("sequence_id", "offset").collect())) for x in ("some", "wide"))
+    assert some == other and len(some) > 10
