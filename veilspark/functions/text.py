@@ -85,7 +85,7 @@ def widened(c: Column) -> Column:
     out = c
     for one, more in WIDE.items():
         out = F.replace(out, F.lit(one), F.lit(more))
-    return F.when(is_ascii(c), c).otherwise(out)
+    return F.when(c.rlike("[" + "".join(WIDE) + "]"), out).otherwise(c)
 
 
 def folded_away(phrase: str) -> str:

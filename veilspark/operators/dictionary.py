@@ -174,9 +174,9 @@ def _candidates(sent, lengths: dict[int, list[int]], by: tuple[str, ...], key: s
                 doc, n, whole, a, z, units, plain = matches(texts[at:stop])
                 if len(doc):
                     values = [texts[at + d][i:j] for d, i, j in zip(doc, a, z)]
-                    rows = b.slice(at, stop - at).take(pa.array(doc))
+                    rows = pa.array(at + doc)
                     yield pa.RecordBatch.from_arrays(
-                        [*(rows.column(c) for c in (key, *by)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(units[0].astype(np.int32)), pa.array(units[1].astype(np.int32)), pa.array(values, pa.string()), pa.array(plain, pa.string())],
+                        [*(b.column(c).take(rows) for c in (key, *by)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(units[0].astype(np.int32)), pa.array(units[1].astype(np.int32)), pa.array(values, pa.string()), pa.array(plain, pa.string())],
                         [key, *by, "n", "whole", "start", "end", "value", "plain"])
                 at = stop
 
