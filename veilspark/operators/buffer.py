@@ -12,6 +12,8 @@ from veilspark.functions.text import saturating_multiply
 from veilspark.operators.gate import WAITING
 
 BUDGET = 256 * 1024 * 1024
+# What a recording that failed says.
+FAILED_RECORDING, FAILED_FINALIZING = "Recording failed: ", "Recording failed while finalizing the video."
 
 
 def buffer_policy(width: Column, height: Column, delay: Column, fps: Column, budget: Column | None = None) -> Column:
@@ -138,7 +140,7 @@ def session_outcomes(sessions: DataFrame, frames: DataFrame, ts: str, *more: str
     first = F.struct(ts, *more)
     own = frames.groupBy("session_id").agg(F.count("*").alias("frames"), F.min_by("width", first).alias("width"), F.min_by("height", first).alias("height"))
     out = sessions.join(own, "session_id", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
-    message = F.when(F.col("failure").isNotNull(), F.concat(F.lit("Recording failed: "), F.col("failure")))
+    message = F.when(F.col("failure").isNotNull(), F.concat(F.lit(FAILED_RECORDING), F.col("failure")))
     return out.select("session_id", "frames", "width", "height", ((F.col("frames") > 0) & F.col("failure").isNull()).alias("published"), message.alias("message"))
 
 

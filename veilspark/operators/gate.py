@@ -150,6 +150,12 @@ def gate_timed(events: DataFrame, delay: Column | float, key: str = "stream_id",
 # What a gate says after control events.
 CONTROL = {"settings": "Settings changed · checking again", "stop": "Preview stopped", "error": "Capture stopped", "failed": "Screen Recording permission required"}
 FILLING, NOT_TRUSTED = "Filling delayed stream buffer", "Accessibility permission required"
+WARMING, BUFFERING = ("Filling ", "-second buffer"), ("Buffering for ", " seconds before checks begin")
+
+
+def filling(seconds: float | None) -> str:
+    """What a gate says while the buffer fills: the delay cut to whole seconds."""
+    return str(int(seconds or 0)).join(WARMING)
 
 
 def control_events(controls: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def control_events(controls: DataFrame) -> DataFrame:
     screen may not be captured for.
     """
     c = F.col("control")
-    reason = F.when(c == "warm_up", F.concat(F.lit("Filling "), whole_seconds(F.col("delay")), F.lit("-second buffer")))
+    reason = F.when(c == "warm_up", F.concat(F.lit(WARMING[0]), whole_seconds(F.col("delay")), F.lit(WARMING[1])))
     reason = reason.when(c == "start", F.when(F.col("trusted"), FILLING).otherwise(NOT_TRUSTED))
     for name, text in CONTROL.items():
         reason = reason.when(c == name, text)
@@ -172,7 +178,7 @@ def whole_seconds(delay: Column) -> Column:
 
 
 def buffering_status(delay: Column) -> Column:
-    return F.concat(F.lit("Buffering for "), whole_seconds(delay), F.lit(" seconds before checks begin"))
+    return F.concat(F.lit(BUFFERING[0]), whole_seconds(delay), F.lit(BUFFERING[1]))
 
 
 def generations(events: DataFrame, key: str, order: list[str]) -> DataFrame:

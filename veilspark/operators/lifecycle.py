@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.buffer import Buffer
-from veilspark.operators.gate import CHECKS, CONTROL, FILLING, NOT_TRUSTED, Gate
+from veilspark.operators.gate import CHECKS, CONTROL, FILLING, NOT_TRUSTED, Gate, filling
 
 VERDICTS, ANSWERS = ("clean", "detected", "inconclusive"), ("approve", "deny")
 
@@ -101,7 +101,7 @@ class Preview:
             if what == "failed":
                 self._end(CONTROL[what])
             elif what == "buffering":
-                self._reset(f"Filling {int(delay or 0)}-second buffer")
+                self._reset(filling(delay))
             elif what == "record":
                 self.recorded = 0
             elif what in VERDICTS:

@@ -22,7 +22,7 @@ from veilspark.operators import bursts as bursts_module
 from veilspark.operators import gate as gate_module
 from veilspark.operators import lifecycle as lifecycle_module
 from veilspark.operators.bursts import RUN, Runner
-from veilspark.operators.buffer import RELEASED, Buffer, arrivals, with_states
+from veilspark.operators.buffer import FAILED_FINALIZING, FAILED_RECORDING, RELEASED, Buffer, arrivals, with_states
 from veilspark.operators.detect import spans, with_detections
 from veilspark.operators.gate import STATE, WAITING, Gate, with_defaults
 from veilspark.operators.lifecycle import NAMES, SETTINGS, Preview, with_settings
@@ -485,11 +485,11 @@ def record_to(stream: DataFrame, target: str) -> tuple[str | None, str | None]:
         delete(spark, target)
         source, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{part}/frames", target))
         if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, to):
-            return None, "Recording failed while finalizing the video."
+            return None, FAILED_FINALIZING
         return target, None
     except Exception as e:  # whatever ends the stream ends the recording, and is reported
         delete(spark, target)
-        return None, f"Recording failed: {e}"
+        return None, f"{FAILED_RECORDING}{e}"
     finally:
         delete(spark, part)
 
