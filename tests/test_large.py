@@ -11,7 +11,7 @@ TABLES = {
 }
 
 
-@pytest.mark.parametrize("name", ["q_child_limit", "q_limits"])
+@pytest.mark.parametrize("name", ["q_child_limit", "q_limits", "q_tree_walk"])
 def test_walks_go_on_to_the_last_element(spark, tmp_path, name):
     """Applications of over 1,501 elements: the SQL counts and numbers all of them."""
     db = duckdb.connect()
