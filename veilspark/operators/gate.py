@@ -45,6 +45,9 @@ class Gate:
         elif kind == "deny" and self.manual:
             self.blocked, self.reason = True, MANUAL
 
+    def values(self) -> tuple:
+        return self.blocked, self.reason, self.checks, self.manual, self.delay, self.detected
+
     def shown(self) -> tuple:
         return self.blocked, self.reason, self.checks, self.manual, self.delay
 

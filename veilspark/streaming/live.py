@@ -1,13 +1,13 @@
 """Detection, gating, delayed release and recording over streams, with the batch operators' rules.
 
-Keyed state is kept by ``transformWithState`` in RocksDB. A micro-batch's rows of a key are put in order together, so the source's rate
+Keyed state is kept by ``transformWithState`` in RocksDB, for buckets of keys. A micro-batch's rows of a key are put in order together, so the source's rate
 (``maxFilesPerTrigger`` and the size of its files) bounds what a hot key takes; micro-batches have to come in that order.
 """
 
 from __future__ import annotations
 
-import dataclasses
 import json
+import pickle
 import sys
 
 import numpy as np
@@ -34,7 +34,6 @@ for _module in (sys.modules[__name__], buffer_module, bursts_module, gate_module
     cloudpickle.register_pickle_by_value(_module)
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-GATE = "blocked boolean, reason string, checks long, manual boolean, delay boolean, detected boolean"
 
 
 def detect_stream(texts: DataFrame, key: str, text: str, **options) -> DataFrame:
@@ -47,52 +46,125 @@ def _plain(x):
     return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x.item() if isinstance(x, np.generic) else x
 
 
-def _rows(frames, order: list[str], cols: list[str]) -> list[tuple]:
-    got = pd.concat(list(frames)).sort_values(order)
-    return [tuple(map(_plain, r)) for r in got[cols].itertuples(index=False)]
+def _cells(column: pd.Series) -> list:
+    """A column's values as Python has them: missing ones are None."""
+    return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+    return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(names, zip(*rows) if rows else [()] * len(names))})
+
+
+def _millis(seconds: float) -> int:
+    return int(-(-seconds * 1000 // 1))
+
+
+#: Buckets that a stream's keys are dealt to.
+KEYED = 256
 
 
 def _keyed(rows: DataFrame, key: str, make: StatefulProcessor, out: str, mode: str = "None") -> DataFrame:
-    """``rows`` grouped by ``key`` as text, so that null keys and keys of any size come through; the processor gets the text.
+    """``rows`` grouped by buckets of ``key`` as text, so that null keys and keys of any size come through; the processor gets the text.
 
     Sets the session's state store to RocksDB, which these processors need, for all streams that start from then on.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = dict(rows.dtypes)[key]
-    done = rows.withColumn("key_text", F.col(key).cast("string")).drop(key).groupBy("key_text").transformWithStateInPandas(make, f"key_text string, {out}", "append", mode)
+    dealt = rows.withColumn("key_text", F.col(key).cast("string")).drop(key).withColumn("key_bucket", F.pmod(F.xxhash64("key_text"), F.lit(KEYED)).cast("int"))
+    done = dealt.groupBy("key_bucket").transformWithStateInPandas(make, f"key_text string, {out}", "append", mode)
     return done.withColumn(key, F.col("key_text").cast(kind)).select(key, *[c for c in done.columns if c != "key_text"])
 
 
-def _own(key) -> str | None:
-    return _plain(key[0])
+class Folds(StatefulProcessor):
+    """A fold over the rows of each key, a bucket of keys at a time: a call for every key would cost more than its rows do.
 
+    The states of a bucket's keys are one value, read and written once a micro-batch, and its timer is that of the key that is due first. A subclass says
+    what columns a fold reads (``cols``), by what a key's rows are put in order (``by``, nulls last) and what it gives (``names``, behind the key's text).
+    """
 
-class GateProcessor(StatefulProcessor):
-    def __init__(self, order: str):
-        self.order = order
+    cols: list[str] = []
+    by: list[str] = []
+    names: list[str] = []
+    timed = False
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("gate", GATE)
-
-    def gate(self) -> Gate:
-        return Gate(*map(_plain, self.state.get())) if self.state.exists() else Gate()
+        self.handle, self.kept = handle, handle.getValueState("kept", "states binary")
+
+    def fold(self, key: str | None, state, rows: list[list], out: list[tuple]):
+        """The state of a key (None: there is none) after its ``rows``; what they give is added to ``out``."""
+        raise NotImplementedError
+
+    def due(self, state) -> float | None:
+        """When a key's timer goes off."""
+        return None
+
+    def fire(self, key: str | None, state, now: float, out: list[tuple]):
+        """The state of a key after its timer, which has gone off by ``now``."""
+        raise NotImplementedError
+
+    def _states(self) -> dict:
+        return pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else {}
+
+    def _next(self, states: dict) -> int | None:
+        return min((_millis(x) for x in map(self.due, states.values()) if x is not None), default=None) if self.timed else None
+
+    def _rows_by_key(self, frames) -> dict:
+        found: dict = {}
+        n = len(self.by)
+        for frame in frames:
+            cells = {c: _cells(frame[c]) for c in {"key_text", *self.by, *self.cols}}
+            for key, *row in zip(*(cells[c] for c in ("key_text", *self.by, *self.cols))):
+                found.setdefault(key, []).append(row)
+        for rows in found.values():
+            if len(rows) > 1:
+                rows.sort(key=lambda r: [(x is None, x) for x in r[:n]])
+        return {key: [r[n:] for r in rows] for key, rows in found.items()}
 
     def handleInputRows(self, key, rows, timerValues):
-        gate, out = self.gate(), []
-        for o, *event in _rows(rows, [self.order, "event", "reason"], [self.order, "event", "reason", "required_checks", "requires_manual", "requires_delay"]):
-            gate.event(*event)
-            out.append((_own(key), o, *gate.shown()))
-        self.state.update(dataclasses.astuple(gate))
-        yield _frame(out, ["key_text", self.order, *SHOWN])
+        states, out = self._states(), []
+        was = self._next(states)
+        for k, events in self._rows_by_key(rows).items():
+            states[k] = self.fold(k, states.get(k), events, out)
+        first = self._next(states)
+        if was != first:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.kept.update((pickle.dumps(states),))
+        yield _frame(out, ["key_text", *self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        states, out = self._states(), []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for k, state in states.items():
+            due = self.due(state)
+            if due is not None and _millis(due) <= now:
+                states[k] = self.fire(k, state, max(now / 1000, due), out)
+        first = self._next(states)
+        if first is not None:
+            self.handle.registerTimer(first)
+        self.kept.update((pickle.dumps(states),))
+        yield _frame(out, ["key_text", *self.names])
 
     def close(self) -> None:
         pass
 
 
+class GateProcessor(Folds):
+    """The state is a gate's six values."""
+
+    def __init__(self, order: str):
+        self.by, self.cols, self.names = [order, "event", "reason"], [order, "event", "reason", "required_checks", "requires_manual", "requires_delay"], [order, *SHOWN]
+
+    def fold(self, key, state, rows, out):
+        gate = Gate(*state or ())
+        for o, *event in rows:
+            gate.event(*event)
+            out.append((key, o, *gate.shown()))
+        return gate.values()
+
+
 SHOWN = [x.split()[0] for x in STATE.split(", ")]
 
 
@@ -102,58 +174,38 @@ def gate_stream(events: DataFrame, key: str = "stream_id", order: str = "seq") -
     return _keyed(rows, key, GateProcessor(order), f"{order} {dict(events.dtypes)[order]}, {STATE}")
 
 
-class TimedGateProcessor(GateProcessor):
-    """A gate with its clearance timer, as an event-time timer of the state store."""
+class TimedGateProcessor(Folds):
+    """A gate with its clearance timer, as an event-time timer of the state store. The state is the gate's, when the timer goes off and under which setting."""
+
+    timed = True
 
     def __init__(self, order: str, ts: str):
-        self.order, self.ts = order, ts
+        self.by, self.names = [ts, order, "event", "reason"], [order, ts, *SHOWN]
+        self.cols = [order, ts, "wait_seconds", "event", "reason", "required_checks", "requires_manual", "requires_delay"]
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.handle, self.timer = handle, handle.getValueState("timer", "due double, by_hand boolean")
+    def due(self, state):
+        return state[1]
 
-    def _fire(self, key, gate: Gate, due: float, by_hand: bool):
+    def fire(self, key, state, now, out):
+        values, due, by_hand = state
+        gate = Gate(*values)
         gate.event("delay_complete", None, 0, by_hand, True)
-        return (_own(key), None, due, *gate.shown())
+        out.append((key, None, due, *gate.shown()))
+        return gate.values(), None, False
 
-    def handleInputRows(self, key, rows, timerValues):
-        gate, out = self.gate(), []
-        due, by_hand = map(_plain, self.timer.get()) if self.timer.exists() else (None, False)
-        was = due
-        for o, now, delay, *event in _rows(rows, [self.ts, self.order, "event", "reason"], [self.order, self.ts, "wait_seconds", "event", "reason", "required_checks", "requires_manual", "requires_delay"]):
+    def fold(self, key, state, rows, out):
+        values, due, by_hand = state or ((), None, False)
+        gate = Gate(*values)
+        for o, now, delay, *event in rows:
             if due is not None and due <= now:
-                out.append(self._fire(key, gate, due, by_hand))
-                due = None
+                values, due, by_hand = self.fire(key, (gate.values(), due, by_hand), now, out)
+                gate = Gate(*values)
             waited = gate.delay
             gate.event(*event)
             by_hand = event[3]
             due = (due if waited or delay is None else now + delay) if gate.delay else None
-            out.append((_own(key), o, now, *gate.shown()))
-        self.state.update(dataclasses.astuple(gate))
-        if was != due:
-            if was is not None:
-                self.handle.deleteTimer(_millis(was))
-            if due is not None:
-                self.handle.registerTimer(_millis(due))
-        if due is None:
-            self.timer.clear()
-        else:
-            self.timer.update((due, by_hand))
-        yield _frame(out, ["key_text", self.order, self.ts, *SHOWN])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        due, by_hand = map(_plain, self.timer.get()) if self.timer.exists() else (None, False)
-        if due is not None and _millis(due) <= expiredTimerInfo.getExpiryTimeInMs():
-            gate = self.gate()
-            out.append(self._fire(key, gate, due, by_hand))
-            self.state.update(dataclasses.astuple(gate))
-            self.timer.clear()
-        yield _frame(out, ["key_text", self.order, self.ts, *SHOWN])
-
-
-def _millis(seconds: float) -> int:
-    return int(-(-seconds * 1000 // 1))
+            out.append((key, o, now, *gate.shown()))
+        return gate.values(), due, by_hand
 
 
 def gate_timed_stream(events: DataFrame, delay: Column | float, key: str = "stream_id", order: str = "seq", ts: str = "ts", late: str = "1 minute") -> DataFrame:
@@ -168,29 +220,17 @@ def gate_timed_stream(events: DataFrame, delay: Column | float, key: str = "stre
     return out.withColumn(ts, F.timestamp_micros((F.col("at_seconds") * 1e6).cast("long"))).drop("at_seconds")
 
 
-class BufferProcessor(StatefulProcessor):
-    def __init__(self, order: str, ts: str):
-        self.order, self.ts = order, ts
+class BufferProcessor(Folds):
+    """The state is a buffer: epoch, the time of the last frame that entered, the frames held."""
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("clock", "epoch string, last double")
-        self.held = handle.getListState("held", "ready double, number long")
+    def __init__(self, order: str, ts: str):
+        self.by, self.cols, self.names = [order], [order, ts, "epoch", "delay", "max_frames", "sample_interval"], [order, "admitted", "released_seq"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        epoch, last = map(_plain, self.state.get()) if self.state.exists() else (None, None)
-        held = [tuple(map(_plain, x)) for x in self.held.get()] if self.held.exists() else []
-        buffer, out = Buffer(epoch, last, held), []
-        for o, *arrival in _rows(rows, [self.order], [self.order, self.ts, "epoch", "delay", "max_frames", "sample_interval"]):
-            out.append((_own(key), o, *buffer.arrival(o, *arrival)))
-        self.state.update((buffer.epoch, buffer.last))
-        if buffer.held:
-            self.held.put(list(buffer.held))
-        else:
-            self.held.clear()
-        yield _frame(out, ["key_text", self.order, "admitted", "released_seq"])
-
-    def close(self) -> None:
-        pass
+    def fold(self, key, state, rows, out):
+        buffer = Buffer(*state or ())
+        for o, *arrival in rows:
+            out.append((key, o, *buffer.arrival(o, *arrival)))
+        return buffer.epoch, buffer.last, list(buffer.held)
 
 
 def release_stream(frames: DataFrame, key: str, order: str, ts: str = "ts") -> DataFrame:
@@ -199,28 +239,22 @@ def release_stream(frames: DataFrame, key: str, order: str, ts: str = "ts") -> D
     return _keyed(rows, key, BufferProcessor(order, ts), f"{order} {dict(frames.dtypes)[order]}, {RELEASED}")
 
 
-class RecorderProcessor(StatefulProcessor):
-    def __init__(self, ts: str, payload: str, fps: float):
-        self.ts, self.payload, self.fps = ts, payload, fps
+class RecorderProcessor(Folds):
+    """The state is a frame number and the gate's last state."""
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("recorder", "frames long, blocked boolean, reason string")
+    def __init__(self, ts: str, payload: str, fps: float):
+        self.fps, self.cols, self.names = fps, [ts, "side", payload, "is_blocked", "reason"], ["frame_no", "pts", "blocked_reason", payload]
 
-    def handleInputRows(self, key, rows, timerValues):
-        n, blocked, reason = map(_plain, self.state.get()) if self.state.exists() else (0, True, WAITING)
-        out = []
-        got = [(at, side, _plain(box[0]) if len(box) else None, is_blocked, why) for at, side, box, is_blocked, why in _rows(rows, [self.ts, "side"], [self.ts, "side", self.payload, "is_blocked", "reason"])]
+    def fold(self, key, state, rows, out):
+        n, blocked, reason = state or (0, True, WAITING)
+        got = [(at, side, _plain(box[0]) if len(box) else None, is_blocked, why) for at, side, box, is_blocked, why in rows]
         for _, side, payload, is_blocked, why in sorted(got, key=lambda x: (x[0], x[1], x[2] is not None, x[2])):
             if side == 0:
                 blocked, reason = is_blocked is not False, why or WAITING
             else:
-                out.append((_own(key), n, n / self.fps, reason if blocked else None, None if blocked else payload))
+                out.append((key, n, n / self.fps, reason if blocked else None, None if blocked else payload))
                 n += 1
-        self.state.update((n, blocked, reason))
-        yield _frame(out, ["key_text", "frame_no", "pts", "blocked_reason", self.payload])
-
-    def close(self) -> None:
-        pass
+        return n, blocked, reason
 
 
 def record_stream(both: DataFrame, key: str, ts: str, payload: str, fps: float) -> DataFrame:
@@ -230,44 +264,28 @@ def record_stream(both: DataFrame, key: str, ts: str, payload: str, fps: float)
     return _keyed(boxed, key, RecorderProcessor(ts, payload, fps), f"frame_no long, pts double, blocked_reason string, {payload} {dict(both.dtypes)[payload]}")
 
 
-class RunnerProcessor(StatefulProcessor):
+class RunnerProcessor(Folds):
     """A runner whose waiting request starts by an event-time timer, or before the first later arrival."""
 
-    def __init__(self, order: str, kind: str):
-        self.order, self.kind = order, kind
+    timed = True
 
-    def init(self, handle) -> None:
-        self.handle, self.state = handle, handle.getValueState("runner", f"until double, waiting {self.kind}, takes double")
+    def __init__(self, order: str):
+        self.by, self.cols, self.names = ["at_seconds", order], [order, "at_seconds", "takes"], [order, "started", "ended"]
 
-    def _runner(self) -> Runner:
-        return Runner(*map(_plain, self.state.get())) if self.state.exists() else Runner()
+    def due(self, state):
+        until, waiting, _ = state
+        return until if waiting is not None else None
 
-    def _frame(self, key, runs: list[tuple]) -> pd.DataFrame:
-        return _frame([(_own(key), *x) for x in runs], ["key_text", self.order, "started", "ended"])
+    def fire(self, key, state, now, out):
+        runner = Runner(*state)
+        out += [(key, *x) for x in runner.due(now)]
+        return runner.until, runner.waiting, runner.takes
 
-    def handleInputRows(self, key, rows, timerValues):
-        runner, out = self._runner(), []
-        was = runner.until if runner.waiting is not None else None
-        for number, now, takes in _rows(rows, ["at_seconds", self.order], [self.order, "at_seconds", "takes"]):
-            out += runner.arrival(number, now, takes)
-        due = runner.until if runner.waiting is not None else None
-        if was != due:
-            if was is not None:
-                self.handle.deleteTimer(_millis(was))
-            if due is not None:
-                self.handle.registerTimer(_millis(due))
-        self.state.update((runner.until, runner.waiting, runner.takes))
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        runner = self._runner()
-        out = runner.due(expiredTimerInfo.getExpiryTimeInMs() / 1000)
-        if out:
-            self.state.update((runner.until, runner.waiting, runner.takes))
-        yield self._frame(key, out)
-
-    def close(self) -> None:
-        pass
+    def fold(self, key, state, rows, out):
+        runner = Runner(*state or ())
+        for row in rows:
+            out += [(key, *x) for x in runner.arrival(*row)]
+        return runner.until, runner.waiting, runner.takes
 
 
 def coalesced_stream(requests: DataFrame, key: str, order: str, ts: str = "ts", takes: str = "takes", late: str = "0 seconds") -> DataFrame:
@@ -276,46 +294,30 @@ def coalesced_stream(requests: DataFrame, key: str, order: str, ts: str = "ts",
     rows = requests.withWatermark(ts, late).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
     rows = rows.select(key, order, ts, F.col("_at").alias("at_seconds"), F.greatest(F.coalesce(F.col(takes).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("takes"))
     kind = dict(requests.dtypes)[order]
-    return _keyed(rows, key, RunnerProcessor(order, kind), f"{order} {kind}, {RUN}", "EventTime")
+    return _keyed(rows, key, RunnerProcessor(order), f"{order} {kind}, {RUN}", "EventTime")
 
 
-class PreviewProcessor(StatefulProcessor):
+class PreviewProcessor(Folds):
     """A preview with its clearance timer, as an event-time timer of the state store."""
 
-    def __init__(self, order: str):
-        self.order = order
+    timed = True
 
-    def init(self, handle) -> None:
-        self.handle, self.state = handle, handle.getValueState("preview", "text string")
-
-    def _preview(self) -> Preview:
-        return Preview.of(self.state.get()[0]) if self.state.exists() else Preview()
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        return _frame([(_own(key), *x) for x in rows], ["key_text", self.order, *NAMES])
+    def __init__(self, order: str):
+        self.by, self.cols, self.names = ["at_seconds", order], [order, "at_seconds", "what", "reason", *SETTINGS], [order, *NAMES]
 
-    def handleInputRows(self, key, rows, timerValues):
-        preview, out = self._preview(), []
-        was = preview.due
-        for event in _rows(rows, ["at_seconds", self.order], [self.order, "at_seconds", "what", "reason", *SETTINGS]):
-            out += preview.event(*event)
-        if was != preview.due:
-            if was is not None:
-                self.handle.deleteTimer(_millis(was))
-            if preview.due is not None:
-                self.handle.registerTimer(_millis(preview.due))
-        self.state.update((preview.text(),))
-        yield self._frame(key, out)
+    def due(self, state):
+        return state[0]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        preview = self._preview()
-        out = preview.clear(expiredTimerInfo.getExpiryTimeInMs() / 1000)
-        if out:
-            self.state.update((preview.text(),))
-        yield self._frame(key, out)
+    def fire(self, key, state, now, out):
+        preview = Preview.of(state[1])
+        out += [(key, *x) for x in preview.clear(now)]
+        return preview.due, preview.text()
 
-    def close(self) -> None:
-        pass
+    def fold(self, key, state, rows, out):
+        preview = Preview.of(state[1]) if state else Preview()
+        for event in rows:
+            out += [(key, *x) for x in preview.event(*event)]
+        return preview.due, preview.text()
 
 
 def lifecycle_stream(events: DataFrame, key: str, order: str, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
@@ -325,49 +327,29 @@ def lifecycle_stream(events: DataFrame, key: str, order: str, ts: str = "ts", la
     return _keyed(timed, key, PreviewProcessor(order), f"{order} long, {PREVIEW}", "EventTime")
 
 
-class TickProcessor(StatefulProcessor):
-    """Ticks by a timer that is set again whenever it goes off, with or without rows."""
+class TickProcessor(Folds):
+    """Ticks by a timer that is set again whenever it goes off, with or without rows. The state is the tick that goes on, and its rows."""
+
+    timed = True
 
     def __init__(self, every: float):
-        self.every = every
+        self.every, self.by, self.cols, self.names = every, ["at_seconds"], ["at_seconds"], ["tick", "n"]
 
-    def init(self, handle) -> None:
-        self.handle, self.state = handle, handle.getValueState("tick", "tick double, n long")
+    def due(self, state):
+        return state[0] + self.every
 
-    def _go(self, key, tick: float, n: int, now: float) -> tuple[list[tuple], float, int]:
-        """The ticks that have ended by ``now``, and the one that goes on."""
-        out = []
+    def fire(self, key, state, now, out):
+        tick, n = state
         while tick + self.every <= now:
-            out.append((_own(key), tick, n))
+            out.append((key, tick, n))
             tick, n = tick + self.every, 0
-        return out, tick, n
+        return tick, n
 
-    def handleInputRows(self, key, rows, timerValues):
-        tick, n = map(_plain, self.state.get()) if self.state.exists() else (None, 0)
-        was, out = tick, []
-        for (now,) in _rows(rows, ["at_seconds"], ["at_seconds"]):
-            tick = now if tick is None else tick
-            ended, tick, n = self._go(key, tick, n, now)
-            out += ended
-            n += 1
-        if was != tick:
-            if was is not None:
-                self.handle.deleteTimer(_millis(was + self.every))
-            self.handle.registerTimer(_millis(tick + self.every))
-        self.state.update((tick, n))
-        yield _frame(out, ["key_text", "tick", "n"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        tick, n = map(_plain, self.state.get())
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) / 1000
-        out, tick, n = self._go(key, tick, n, now)
-        if out:
-            self.handle.registerTimer(_millis(tick + self.every))
-            self.state.update((tick, n))
-        yield _frame(out, ["key_text", "tick", "n"])
-
-    def close(self) -> None:
-        pass
+    def fold(self, key, state, rows, out):
+        for (now,) in rows:
+            tick, n = self.fire(key, state or (now, 0), now, out)
+            state = tick, n + 1
+        return state
 
 
 def tick_stream(rows: DataFrame, key: str, ts: str, every: float, late: str = "0 seconds") -> DataFrame:
@@ -379,10 +361,20 @@ def tick_stream(rows: DataFrame, key: str, ts: str, every: float, late: str = "0
     return _keyed(timed, key, TickProcessor(every), "tick double, n long", "EventTime")
 
 
+def _start(writer, spark) -> None:
+    """Run a stream over what there is. State is kept in two parts a core at most: each costs a store, a worker and a commit every micro-batch."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        query = writer.trigger(availableNow=True).start()  # the stream has its own copy of the settings from then on
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    query.awaitTermination()
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write all that a stream has now to parquet, then end."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    _start(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint), stream.sparkSession)
 
 
 #: Buckets of keys in a table of what is shown, and its versions that stay readable.
@@ -477,8 +469,7 @@ def record_to(stream: DataFrame, target: str) -> tuple[str | None, str | None]:
         frames.write.mode("append").parquet(f"{part}/frames")
 
     try:
-        query = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{part}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        _start(stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{part}/state"), spark)
         done = spark.read.schema(stream.schema).parquet(f"{part}/frames")
         if done.isEmpty():
             return None, None
