@@ -204,3 +204,24 @@ def test_hashes_tell_words_apart():
         flat = [w for x in some for w in [*x, None]]
         known = dict(zip(flat, got.tolist()))
         assert [known[w] for w in flat] == got.tolist() and len(set(known.values())) == len(known)
+
+
+def test_gradients_take_few_tasks(spark, docs, monkeypatch):
+    """Every task writes a sum for each row of weights, so there are no more for a table that is cut into many parts."""
+    words = spark.sparkContext.broadcast(maxent.Words(maxent.word_counts(maxent._texts(docs))))
+    coded = maxent._texts(docs).mapInArrow(maxent._code(words), maxent.CODED)
+    tasks, gradient = spark.sparkContext.accumulator(0), maxent._gradient
+
+    def counted(*args):
+        inner = gradient(*args)
+
+        def run(batches):
+            tasks.add(1)
+            yield from inner(batches)
+
+        return run
+
+    want = maxent.feature_sums(coded.coalesce(1), words)
+    monkeypatch.setattr(maxent, "_gradient", counted)
+    got = maxent.feature_sums(coded.repartition(40), words)
+    assert (got == want).all() and 0 < tasks.value <= 2 * spark.sparkContext.defaultParallelism

@@ -268,9 +268,11 @@ def _gradient(words, weights):
 
 
 def feature_sums(coded: DataFrame, words, weights=None) -> np.ndarray:
-    """What ``_gradient`` gives, over all tasks: WIDE x ROWS numbers, whatever the corpus."""
+    """What ``_gradient`` gives, over all tasks: WIDE x ROWS numbers, whatever the corpus. Each task writes as many, so there are two tasks a core at most,
+    into however many files ``coded`` is cut."""
     names = [f"v{k}" for k in range(WIDE)]
-    got = coded.select("codes").mapInArrow(_gradient(words, weights), SUMS).groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    tasks = 2 * coded.sparkSession.sparkContext.defaultParallelism
+    got = coded.select("codes").coalesce(tasks).mapInArrow(_gradient(words, weights), SUMS).groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
     out = np.zeros((WIDE, ROWS))
     for k, x in enumerate(names):
         out[k, got.column("row").to_numpy()] = got.column(x).to_numpy()
