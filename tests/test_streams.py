@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,36 @@ print("RESULT", got[0] is not None, got[1])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert f"RESULT {rows > 0} None" in out.stdout, out.stderr[-3000:]
+
+
+def test_state_is_kept_in_a_part_a_core(spark, tmp_path, monkeypatch):
+    """A micro-batch has a store, a worker and a commit for every part, and its file is cut into row groups that several tasks read."""
+    from veilspark.plans import catalog
+
+    df = spark.range(4000).select((F.col("id") % 37).alias("user_id"), F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, "error").otherwise("view").alias("event_type"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    places = []
+    monkeypatch.setattr(live, "drain", lambda s, path, state, f=live.drain: (places.append(os.path.dirname(path.removeprefix("file://"))), f(s, path, state)))
+    monkeypatch.setattr(catalog, "GROUP", 4096)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        got = sorted(map(tuple, catalog.QUERIES["stream_gate"](spark, str(tmp_path)).collect()))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(map(tuple, catalog.QUERIES["q_gate_manual"](spark, str(tmp_path)).collect())) and len(got) == 4000
+    parts = [x for x in os.listdir(f"{places[0]}/state/state/0") if x.isdigit()]
+    assert 0 < len(parts) <= spark.sparkContext.defaultParallelism
+    files = [f for f in os.listdir(f"{places[0]}/in") if f.endswith(".parquet")]
+    assert all(pq.ParquetFile(f"{places[0]}/in/{f}").num_row_groups > 1 for f in files)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "double", "date"])
+def test_payloads_of_all_kinds(spark, tmp_path, kind):
+    states = spark.createDataFrame([("a", 0, False, "ok"), ("a", 5, True, "no")], "k string, ts int, is_blocked boolean, reason string")
+    frames = spark.createDataFrame([("a", 1, "7"), ("a", 2, None), ("a", 2, "3"), ("a", 6, "8"), ("b", 1, "9")], "k string, ts int, p string")
+    frames = frames.withColumn("p", F.expr("date_add(date'2024-01-01', cast(p as int))") if kind == "date" else F.col("p").cast(kind))
+    both = buffer.with_states(frames, states, "k", "ts", "p")
+    live.drain(live.record_stream(stream_of(spark, both, f"{tmp_path}/in"), "k", "ts", "p", 10.0), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(str, buffer.recorded(frames, states, "k", "ts", "p", F.lit(10.0)).collect()))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import pickle
 import sys
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -109,16 +111,20 @@ class Folds(StatefulProcessor):
         return min((_millis(x) for x in map(self.due, states.values()) if x is not None), default=None) if self.timed else None
 
     def _rows_by_key(self, frames) -> dict:
-        found: dict = {}
-        n = len(self.by)
+        cells: dict = {c: [] for c in ("key_text", *self.by, *self.cols)}
         for frame in frames:
-            cells = {c: _cells(frame[c]) for c in {"key_text", *self.by, *self.cols}}
-            for key, *row in zip(*(cells[c] for c in ("key_text", *self.by, *self.cols))):
-                found.setdefault(key, []).append(row)
-        for rows in found.values():
+            for c, values in cells.items():
+                values += _cells(frame[c])
+        places = zip(*([(x is None, x) for x in cells[c]] if None in cells[c] else cells[c] for c in self.by)) if self.by else repeat(())
+        found: dict = {}
+        for key, *row in zip(cells["key_text"], places, zip(*(cells[c] for c in self.cols))):
+            found.setdefault(key, []).append(row)
+        del cells
+        for key, rows in found.items():
             if len(rows) > 1:
-                rows.sort(key=lambda r: [(x is None, x) for x in r[:n]])
-        return {key: [r[n:] for r in rows] for key, rows in found.items()}
+                rows.sort(key=itemgetter(0))
+            found[key] = [row for _, row in rows]
+        return found
 
     def handleInputRows(self, key, rows, timerValues):
         states, out = self._states(), []
@@ -240,28 +246,38 @@ def release_stream(frames: DataFrame, key: str, order: str, ts: str = "ts") -> D
 
 
 class RecorderProcessor(Folds):
-    """The state is a frame number and the gate's last state."""
+    """The state is a frame number and the gate's last state. Payloads that are ``boxed`` come in arrays, others with ``has_payload``."""
+
+    def __init__(self, ts: str, payload: str, fps: float, boxed: bool):
+        self.fps, self.boxed, self.names = fps, boxed, ["frame_no", "pts", "blocked_reason", payload]
+        self.by, self.cols = [] if boxed else [ts, "side", "has_payload", payload], [ts, "side", "has_payload", payload, "is_blocked", "reason"]
 
-    def __init__(self, ts: str, payload: str, fps: float):
-        self.fps, self.cols, self.names = fps, [ts, "side", payload, "is_blocked", "reason"], ["frame_no", "pts", "blocked_reason", payload]
+    def _unboxed(self, rows):
+        got = [(at, side, has, _plain(box[0]) if has else None, *state) for at, side, has, box, *state in rows]
+        return sorted(got, key=lambda x: (x[0], x[1], x[3] is not None, x[3]))
 
     def fold(self, key, state, rows, out):
         n, blocked, reason = state or (0, True, WAITING)
-        got = [(at, side, _plain(box[0]) if len(box) else None, is_blocked, why) for at, side, box, is_blocked, why in rows]
-        for _, side, payload, is_blocked, why in sorted(got, key=lambda x: (x[0], x[1], x[2] is not None, x[2])):
+        for _, side, has, payload, is_blocked, why in self._unboxed(rows) if self.boxed else rows:
             if side == 0:
                 blocked, reason = is_blocked is not False, why or WAITING
             else:
-                out.append((key, n, n / self.fps, reason if blocked else None, None if blocked else payload))
+                out.append((key, n, n / self.fps, reason if blocked else None, payload if has and not blocked else None))
                 n += 1
         return n, blocked, reason
 
 
+#: What stands for a payload of a kind that is null, beside ``has_payload``: without nulls, numbers stay whole.
+UNBOXED = {"tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "string": ""}
+
+
 def record_stream(both: DataFrame, key: str, ts: str, payload: str, fps: float) -> DataFrame:
     """The protected recording of a stream of frames among gate states (``with_states``), as ``recorded`` has it; the state is a frame
-    number and the gate's last state per key. Payloads travel in arrays, so that numbers stay whole where some are null; they have to have an order."""
-    boxed = both.withColumn(payload, F.array_compact(F.array(payload)))
-    return _keyed(boxed, key, RecorderProcessor(ts, payload, fps), f"frame_no long, pts double, blocked_reason string, {payload} {dict(both.dtypes)[payload]}")
+    number and the gate's last state per key. Payloads that are neither whole numbers nor texts travel in arrays; they have to have an order."""
+    kind, timed = dict(both.dtypes)[payload], dict(both.dtypes)[ts].startswith("timestamp")
+    box = F.coalesce(payload, F.lit(UNBOXED[kind]).cast(kind)) if kind in UNBOXED else F.array_compact(F.array(payload))
+    rows = both.withColumns({"has_payload": F.col(payload).isNotNull(), payload: box, **({ts: F.unix_micros(F.col(ts).cast("timestamp"))} if timed else {})})
+    return _keyed(rows, key, RecorderProcessor(ts, payload, fps, kind not in UNBOXED), f"frame_no long, pts double, blocked_reason string, {payload} {kind}")
 
 
 class RunnerProcessor(Folds):
@@ -362,13 +378,18 @@ def tick_stream(rows: DataFrame, key: str, ts: str, every: float, late: str = "0
 
 
 def _start(writer, spark) -> None:
-    """Run a stream over what there is. State is kept in two parts a core at most: each costs a store, a worker and a commit every micro-batch."""
+    """Run a stream over what there is. State is kept in a part a core at most: each costs a store, a worker and a commit every micro-batch. Files that
+    are small are read by several tasks, by their row groups."""
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), 2 * spark.sparkContext.defaultParallelism)))
+    own = {"spark.sql.shuffle.partitions": str(min(int(parts), spark.sparkContext.defaultParallelism)), "spark.sql.files.openCostInBytes": str(1 << 17)}
+    were = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         query = writer.trigger(availableNow=True).start()  # the stream has its own copy of the settings from then on
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for k, v in were.items():
+            spark.conf.set(k, v)
     query.awaitTermination()
 
 
