@@ -225,3 +225,23 @@ def test_gradients_take_few_tasks(spark, docs, monkeypatch):
     monkeypatch.setattr(maxent, "_gradient", counted)
     got = maxent.feature_sums(coded.repartition(40), words)
     assert (got == want).all() and 0 < tasks.value <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_gradients_of_few_tokens_take_one_task(spark, docs, monkeypatch):
+    """A task writes WIDE x ROWS numbers, so it reads as many tokens at least: what is gathered follows the corpus."""
+    words = spark.sparkContext.broadcast(maxent.Words(maxent.word_counts(maxent._texts(docs))))
+    coded = maxent._texts(docs).mapInArrow(maxent._code(words), maxent.CODED)
+    rows, gradient = spark.sparkContext.accumulator(0), maxent._gradient
+
+    def counted(*args):
+        def run(batches):
+            for b in gradient(*args)(batches):
+                rows.add(b.num_rows)
+                yield b
+        return run
+
+    want = maxent.feature_sums(coded.coalesce(1), words)
+    monkeypatch.setattr(maxent, "_gradient", counted)
+    got = maxent.feature_sums(coded.repartition(40), words)
+    assert 0 < rows.value <= maxent.ROWS // maxent.BLOCK
+    assert (got == want).all()

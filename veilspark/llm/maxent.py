@@ -238,7 +238,9 @@ def _shares(weights: np.ndarray, prior: np.ndarray, node: np.ndarray | None, row
     return np.exp(out, out=out)
 
 
-SUMS = ", ".join(["row int", *(f"v{k} float" for k in range(WIDE))])
+#: Rows whose sums travel together.
+BLOCK = 1 << 10
+SUMS = "block int, sums binary"
 
 
 def _gradient(words, weights):
@@ -261,21 +263,29 @@ def _gradient(words, weights):
                         share = shares[k].astype(np.float64)
                         for r in places:
                             sums[k, low:high] += np.bincount(r, share, high - low)
-        some = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(s[some].astype(np.float32)) for s in sums)], ["row", *(f"v{k}" for k in range(WIDE))])
+        some = [k for k in range(ROWS // BLOCK) if sums[:, k * BLOCK : (k + 1) * BLOCK].any()]
+        blocks = [sums[:, k * BLOCK : (k + 1) * BLOCK].astype(np.float32).tobytes() for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
 
     return run
 
 
+def _added(tasks: pa.Table) -> pa.Table:
+    """The sums of a block over all tasks."""
+    total = np.zeros(WIDE * BLOCK)
+    for one in tasks.column("sums"):
+        total += np.frombuffer(one.as_buffer(), np.float32)
+    return pa.table({"block": tasks.column("block").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
 def feature_sums(coded: DataFrame, words, weights=None) -> np.ndarray:
-    """What ``_gradient`` gives, over all tasks: WIDE x ROWS numbers, whatever the corpus. Each task writes as many, so there are two tasks a core at most,
-    into however many files ``coded`` is cut."""
-    names = [f"v{k}" for k in range(WIDE)]
-    tasks = 2 * coded.sparkSession.sparkContext.defaultParallelism
-    got = coded.select("codes").coalesce(tasks).mapInArrow(_gradient(words, weights), SUMS).groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    """What ``_gradient`` gives, over all tasks: WIDE x ROWS numbers, whatever the corpus. Each task writes as many, 4 bytes each, so a task reads that many
+    tokens at least, and there are two tasks a core at most, into however many files ``coded`` is cut."""
+    tasks = max(1, min(2 * coded.sparkSession.sparkContext.defaultParallelism, int(words.value.n) // (WIDE * ROWS)))
+    rows = coded.select("codes").coalesce(tasks).mapInArrow(_gradient(words, weights), SUMS)
     out = np.zeros((WIDE, ROWS))
-    for k, x in enumerate(names):
-        out[k, got.column("row").to_numpy()] = got.column(x).to_numpy()
+    for block, sums in rows.groupBy("block").applyInArrow(_added, SUMS).collect():  # ROWS / BLOCK
+        out[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(sums, np.float32).reshape(WIDE, BLOCK)
     return out
 
 
