@@ -246,3 +246,15 @@ def test_one_pass_over_texts_for_many_phrases(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "_judged", lambda *_: None)
     dictionary.with_places(spark.createDataFrame([(1, "x")], "id int, t string"), index, "t", "p")
     assert [part for part, _ in made] == [(0, 1)]
+
+
+@pytest.mark.parametrize("round_", [1 << 26, 20])
+def test_values_are_numbered(spark, monkeypatch, round_):
+    """Values that are the same have one number in their text, so that they need not leave the task to be counted."""
+    monkeypatch.setattr(dictionary, "ROUND", round_)
+    texts, phrases = cases(13)
+    df, words = spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(p,) for p in phrases], "p string")
+    rows = dictionary.with_places(df, words, "t", "p", (), ("id",), ("value", "same", "start", "end")).collect()
+    assert len(rows) == len(texts) and sum(len(r.places) for r in rows) > 1000
+    for r in rows:
+        assert len({x.value for x in r.places}) == len({x.same for x in r.places}) == len({(x.value, x.same) for x in r.places})
