@@ -20,15 +20,15 @@ from veilspark.operators.detect import spans as detected
 from veilspark.session import stash, unstash
 
 #: Characters of a phrase that are looked for first; bits of a map for each phrase, least and most of their power of two, and most for the map of heads.
-HEAD, BITS, LEAST, MOST, MOST_HEADS = 6, 32, 16, 29, 24
+HEAD, BITS, LEAST, MOST, MOST_HEADS = 8, 16, 16, 29, 25
 #: Phrases that are looked for in one pass over the texts, about; stretches that a task remembers to have sent, and their length at most.
 ROUND, SENT, SHORT = 1 << 26, 1 << 21, 64
 #: Buckets of hashes by their first bits, as a power of two; stretches or characters of them that a task packs at once, about; how packs are compressed.
 BUCKETS, PACKED, PACKED_CHARS, CODEC = 8, 1 << 20, 1 << 25, pa.Codec("zstd", 3)
 #: Where in a hash the three bits of a word of a map are named.
 SHIFTS = (30, 24, 18)
-#: Characters of texts that are hashed together, about: few enough for what is worked out of them to stay in a core's cache.
-SLICE = 1 << 16
+#: Characters of texts that are hashed together, about: few enough for most of what is worked out of them to stay in a core's caches.
+SLICE = 1 << 17
 BASE, OTHER = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
 
 
@@ -466,7 +466,8 @@ class _Slice:
 def _slices(b: pa.RecordBatch, text: str):
     """(number of the first text, code points of texts, their lengths, hashes of their owners) of a batch, SLICE characters or so at once. Nothing is sought where the owner is null."""
     owned, texts = b.column("_owner"), b.column(text).cast(pa.string())
-    texts = pc.if_else(pc.and_(owned.is_valid(), texts.is_valid()), texts, pa.scalar("", pa.string()))
+    if owned.null_count or texts.null_count:
+        texts = pc.if_else(pc.and_(owned.is_valid(), texts.is_valid()), texts, pa.scalar("", pa.string()))
     owners = owned.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
     size, (place, data), at = pc.utf8_length(texts).to_numpy().astype(np.int64), _strings(texts), 0
     upto = np.cumsum(size)
@@ -482,7 +483,7 @@ class _Sent:
     def __init__(self, most: int):
         self.slots = np.uint64(max(2, 1 << most.bit_length() - 1) - 1)
         self.whole = (np.arange(self.slots + np.uint64(1), dtype=np.uint64) ^ np.uint64(1)) << np.uint64(16)  # of no stretch that comes to this place
-        self.check, self.last = np.zeros(len(self.whole), np.uint64), np.zeros(len(self.whole), np.int64)
+        self.check, self.last = np.zeros(len(self.whole), np.uint64), np.zeros(len(self.whole), np.int32)
 
     def new(self, whole: np.ndarray, check: np.ndarray, short: np.ndarray) -> np.ndarray:
         """Those that were not sent, as far as is known, each once; all that are not short."""
@@ -628,8 +629,8 @@ class _Places:
         start, end = (y + (np.cumsum(room) - room)[docs] for y in (start, end))
         order = np.lexsort((less, start - end, start))
         # the next one that is free begins where this one ends, or behind
-        following, kept, i = np.searchsorted(start[order], end[order]).tolist(), [], 0
-        while i < len(following):
+        following, kept, i, n = np.searchsorted(start[order], end[order]).tolist(), [], 0, len(order)
+        while i < n:
             kept.append(i)
             i = following[i]
         kept = order[kept] if kept else order[:0]
